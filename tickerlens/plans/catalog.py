@@ -53,3 +53,206 @@ def q_ohlcv_bars(spark, sf_dir):
 @register("log_return")
 def q_log_return(spark, sf_dir):
     return C.round_doubles(C.returns(spark, sf_dir))
+
+
+# ----------------------------------------------------------- sources ----
+
+from ..functions.numeric import safe_bigint, safe_double  # noqa: E402
+from ..functions.text import source_of  # noqa: E402
+from ..operators import health as H  # noqa: E402
+from ..operators.ingest import (accounting_by_batch, first_arrivals,  # noqa: E402
+                                ingest_headlines)
+from ..operators.prices import pivot_prices, price_window, unpivot_prices  # noqa: E402
+from ..operators.scoring import unscored, with_latest_scores  # noqa: E402
+from ..sources import feeds  # noqa: E402
+
+
+@register("articles_parse")
+def q_articles_parse(spark, sf_dir):
+    """Article rows -> paged JSON responses -> parsed and exploded."""
+    pages = feeds.build_feed_pages(driver.article_rows(spark, sf_dir))
+    arts = feeds.explode_articles(feeds.parse_feed(pages.drop("page")))
+    return arts.select("ticker", "batch_id", "title", "url", "published_at", "source_name")
+
+
+@register("feed_topk")
+def q_feed_topk(spark, sf_dir):
+    """Newest 20 English articles per ticker in the 7-day window."""
+    w = feeds.feed_window(driver.article_rows(spark, sf_dir), C.FEED_AS_OF)
+    return w.select("ticker", "feed_rank", "rank", "published_at")
+
+
+@register("topic_lookup")
+def q_topic_lookup(spark, sf_dir):
+    """Ticker -> search query (default: the ticker) for every article."""
+    a = driver.article_rows(spark, sf_dir).select("doc_id", "ticker")
+    return a.join(F.broadcast(C.topics(spark).select("ticker", "query")), "ticker", "left") \
+        .select("doc_id", "ticker", F.coalesce("query", "ticker").alias("query"))
+
+
+@register("feed_union")
+def q_feed_union(spark, sf_dir):
+    """Per-ticker search results (any query term) in ticker order."""
+    f = feeds.fan_out(driver.article_rows(spark, sf_dir), C.topics(spark))
+    return f.select("doc_id", "ticker", "ticker_pos")
+
+
+@register("topic_match")
+def q_topic_match(spark, sf_dir):
+    """Headlines matching *all* terms of a ticker's query."""
+    a = driver.article_rows(spark, sf_dir).select("doc_id", "title")
+    return feeds.topic_match(a, C.topics(spark), text="title", mode="all")
+
+
+@register("title_clean")
+def q_title_clean(spark, sf_dir):
+    """Cleaned titles, removed/empty ones dropped."""
+    return C.records(spark, sf_dir).select("feed_rank", "ticker", "headline")
+
+
+@register("source_normalize")
+def q_source_normalize(spark, sf_dir):
+    """F3 in both strip modes."""
+    a = driver.article_rows(spark, sf_dir)
+    return a.select("doc_id", source_of("source_name", "url").alias("source"),
+                    source_of("source_name", "url", "prefix").alias("source_prefix"))
+
+
+@register("headline_hash")
+def q_headline_hash(spark, sf_dir):
+    return C.records(spark, sf_dir).select("feed_rank", "headline_hash")
+
+
+@register("headline_dedup")
+def q_headline_dedup(spark, sf_dir):
+    """Two ingest runs split on a poll-slot edge; the second run
+    inserts only hashes the first did not store."""
+    rec = C.records(spark, sf_dir)
+    cut = C.cut_slot()
+    run1 = first_arrivals(rec.filter(F.col("batch_id") < cut))
+    run2 = ingest_headlines(rec.filter(F.col("batch_id") >= cut), existing=run1)
+    out = run1.withColumn("run", F.lit(1)).unionByName(run2.withColumn("run", F.lit(2)))
+    return out.select("headline_hash", "ticker", "headline", "source", "raw_timestamp",
+                      "market_date", "feed_rank", "run")
+
+
+@register("ingest_accounting")
+def q_ingest_accounting(spark, sf_dir):
+    """Inserted / skipped per ingest run (poll slot)."""
+    return accounting_by_batch(C.records(spark, sf_dir))
+
+
+@register("price_dedup")
+def q_price_dedup(spark, sf_dir):
+    """Two fetches, first wins per (ticker, market_date)."""
+    return C.round_doubles(C.stored_prices(spark, sf_dir))
+
+
+@register("price_window")
+def q_price_window(spark, sf_dir):
+    """Stored-style bars in [as_of - 14, as_of + 1)."""
+    return C.round_doubles(price_window(C.returns(spark, sf_dir), C.PRICE_AS_OF))
+
+
+@register("prices_unpivot")
+def q_prices_unpivot(spark, sf_dir):
+    """Bars pivoted to the wide download shape and back to long."""
+    wide = pivot_prices(C.bars(spark, sf_dir), C.TICKERS)
+    long = unpivot_prices(wide, C.TICKERS)
+    return C.round_doubles(long.filter(F.col("close").isNotNull() & ~F.isnan("close")))
+
+
+@register("safe_numeric")
+def q_safe_numeric(spark, sf_dir):
+    """F7/F8 on tick-derived values; every 7th tick carries NaN."""
+    t = driver.ticks(spark, sf_dir)
+    x = F.when(F.col("tick_id") % 7 == 0, F.lit(float("nan"))).otherwise(
+        F.col("price") * 10.0 - 1000.0)
+    return C.round_doubles(t.select("tick_id", safe_double(x).alias("as_double"),
+                                    safe_bigint(x).alias("as_bigint")))
+
+
+# ------------------------------------------------------------ scoring ----
+
+@register("score_merge")
+def q_score_merge(spark, sf_dir):
+    """Stored headlines with their latest score (NULL if none)."""
+    s = with_latest_scores(C.stored_headlines(spark, sf_dir), C.scores(spark, sf_dir))
+    return C.round_doubles(s.select("headline_hash", "ticker", "sentiment_label",
+                                    "confidence", "model_version"))
+
+
+@register("unscored_backlog")
+def q_unscored_backlog(spark, sf_dir):
+    """The 200 oldest unscored headlines."""
+    b = unscored(C.stored_headlines(spark, sf_dir), C.scores(spark, sf_dir),
+                 limit=C.BACKLOG_LIMIT)
+    return b.select("headline_hash", "ticker", "headline", "batch_id", "ticker_pos",
+                    "feed_rank")
+
+
+# ------------------------------------------------------------- health ----
+
+@register("health_summary")
+def q_health_summary(spark, sf_dir):
+    """A1/A2: counts and newest values by arrival."""
+    return H.health_summary(C.scored_headlines(spark, sf_dir), C.stored_prices(spark, sf_dir))
+
+
+@register("recent_headlines")
+def q_recent_headlines(spark, sf_dir):
+    """10 newest stored headlines."""
+    return H.recent(C.stored_headlines(spark, sf_dir), 10,
+                    ["ticker", "market_date", "headline", "source"],
+                    ["batch_id", "ticker_pos", "feed_rank"])
+
+
+@register("job_log_append")
+def q_job_log_append(spark, sf_dir):
+    """The job ledger."""
+    return H.job_ledger(driver.job_runs(spark, sf_dir))
+
+
+@register("recent_jobs")
+def q_recent_jobs(spark, sf_dir):
+    """10 newest ledger rows with error text (health view)."""
+    return H.recent(H.job_ledger(driver.job_runs(spark, sf_dir)), 10,
+                    ["job_name", "ran_at", "inserted", "skipped", "error"], ["run_id"])
+
+
+# ---------------------------------------------------------- analytics ----
+
+from ..operators import analytics as A  # noqa: E402
+
+
+@register("daily_sentiment")
+def q_daily_sentiment(spark, sf_dir):
+    return C.round_doubles(C.daily(spark, sf_dir))
+
+
+@register("sentiment_price_join")
+def q_sentiment_price_join(spark, sf_dir):
+    return C.round_doubles(A.sentiment_price_join(C.daily(spark, sf_dir),
+                                                  C.returns(spark, sf_dir)))
+
+
+@register("rolling_pearson")
+def q_rolling_pearson(spark, sf_dir):
+    j = A.sentiment_price_join(C.daily(spark, sf_dir), C.returns(spark, sf_dir))
+    return C.round_doubles(A.rolling_pearson(j, C.ROLL_WINDOW))
+
+
+def _spikes(spark, sf_dir):
+    s = C.stored_headlines(spark, sf_dir)
+    first_seen = (s.filter(F.col("published_ts").isNotNull())
+                  .groupBy("ticker", "market_date")
+                  .agg(F.min("published_ts").alias("t0")))
+    return A.sentiment_spikes(C.daily(spark, sf_dir), first_seen, C.SPIKE_LOOKBACK,
+                              C.SPIKE_MIN_HISTORY, C.SPIKE_K)
+
+
+@register("event_study")
+def q_event_study(spark, sf_dir):
+    """Forward returns after sentiment spikes, per horizon and sign."""
+    return C.round_doubles(A.event_study(_spikes(spark, sf_dir),
+                                         driver.ticks(spark, sf_dir), C.HORIZONS))

@@ -45,3 +45,61 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stored_headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_arrivals(records(spark, sf_dir))
+
+
+# --- more fixed query parameters (our choice) -------------------------------
+FEED_AS_OF = "2024-01-20"     # run date of the feed-window query
+PRICE_CUT = "2024-01-16 18:00:00"   # first price fetch sees ticks before this
+# Ticker -> search query; tickers without an entry search for themselves.
+TOPIC_QUERIES = {
+    "T00": "the market",
+    "T01": "der die und",
+    "T02": "de la que",
+    "T03": "that was",
+    "T04": "orre rewh",
+}
+SPIKE_LOOKBACK = 5
+SPIKE_MIN_HISTORY = 2
+SPIKE_K = 1.0
+HORIZONS = (1, 4, 24)
+BACKLOG_LIMIT = 200
+# ---------------------------------------------------------------------------
+
+
+def cut_slot() -> int:
+    """Poll slot of ``SPLIT_CUT`` (two ingest runs split on a slot edge)."""
+    import datetime as dt
+    t = dt.datetime.fromisoformat(SPLIT_CUT)
+    days = (t.date() - dt.date(1970, 1, 1)).days
+    return days * (24 // driver.POLL_HOURS) + t.hour // driver.POLL_HOURS
+
+
+def topics(spark: SparkSession) -> DataFrame:
+    from ..sources.feeds import topic_table
+    return topic_table(spark, TICKERS, TOPIC_QUERIES)
+
+
+def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return driver.human_scores(spark, sf_dir)
+
+
+def scored_headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.scoring import with_latest_scores
+    return with_latest_scores(stored_headlines(spark, sf_dir), scores(spark, sf_dir))
+
+
+def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.analytics import daily_sentiment
+    return daily_sentiment(scored_headlines(spark, sf_dir))
+
+
+def stored_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two price fetches, first wins per (ticker, date): the first fetch sees
+    ticks before ``PRICE_CUT`` only (a mid-session close stays frozen)."""
+    from ..operators.prices import ingest_prices
+    t = driver.ticks(spark, sf_dir)
+    f1 = log_return(ohlcv_bars(t.filter(F.col("ts") < F.lit(PRICE_CUT).cast("timestamp_ntz"))))
+    f2 = log_return(ohlcv_bars(t))
+    f1 = f1.withColumn("fetch_ord", F.lit(1))
+    f2 = f2.withColumn("fetch_ord", F.lit(2))
+    return f1.unionByName(ingest_prices(f2, existing=f1))

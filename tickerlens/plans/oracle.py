@@ -36,3 +36,224 @@ oracle("log_return", S.with_ctes(S.TICKS, S.BARS, S.RETURNS) + f"""
 SELECT ticker, market_date, {S.r6('open')} AS open, {S.r6('high')} AS high,
        {S.r6('low')} AS low, {S.r6('close')} AS close, volume,
        {S.r6('daily_return')} AS daily_return FROM rets""")
+
+
+# ------------------------------------------------------------ sources ----
+from . import common as C  # noqa: E402
+
+
+def _topics_cte() -> str:
+    tk = S.values_list([(t, i) for i, t in enumerate(C.TICKERS)], ["ticker", "ticker_pos"])
+    qm = S.values_list(list(C.TOPIC_QUERIES.items()), ["ticker", "query"])
+    return f"""topics AS (
+  SELECT t.ticker, CAST(t.ticker_pos AS INTEGER) AS ticker_pos,
+         coalesce(q.query, t.ticker) AS query
+  FROM {tk.replace(' AS v(', ' AS t(')} LEFT JOIN {qm.replace(' AS v(', ' AS q(')}
+  ON q.ticker = t.ticker)"""
+
+
+TERMS = f"""terms AS (
+  SELECT ticker, ticker_pos, term, count(*) OVER (PARTITION BY ticker) AS n_terms
+  FROM (SELECT DISTINCT ticker, ticker_pos, unnest({S.tokens('query')}) AS term FROM topics) x)"""
+
+HITS = f"""doc_terms AS (
+  SELECT DISTINCT doc_id, unnest({S.tokens('title')}) AS term FROM articles),
+hits AS (
+  SELECT d.doc_id, t.ticker, t.ticker_pos, t.n_terms, count(*) AS n_hit
+  FROM doc_terms d JOIN terms t ON t.term = d.term
+  GROUP BY d.doc_id, t.ticker, t.ticker_pos, t.n_terms)"""
+
+oracle("articles_parse", S.with_ctes(S.ARTICLES) + """
+SELECT ticker, batch_id, title, url, published_at, source_name FROM articles""")
+
+oracle("feed_topk", S.with_ctes(S.ARTICLES) + f"""
+SELECT ticker, feed_rank, rank, published_at FROM (
+  SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY published_ts DESC, feed_rank) AS rank
+  FROM articles
+  WHERE lang = 'en' AND CAST(published_ts AS DATE) >= DATE '{C.FEED_AS_OF}' - 7
+    AND CAST(published_ts AS DATE) <= DATE '{C.FEED_AS_OF}') x
+WHERE rank <= 20""")
+
+oracle("topic_lookup", S.with_ctes(S.ARTICLES, _topics_cte()) + """
+SELECT a.doc_id, a.ticker, coalesce(t.query, a.ticker) AS query
+FROM articles a LEFT JOIN topics t ON t.ticker = a.ticker""")
+
+oracle("feed_union", S.with_ctes(S.ARTICLES, _topics_cte(), TERMS, HITS) + """
+SELECT doc_id, ticker, ticker_pos FROM hits""")
+
+oracle("topic_match", S.with_ctes(S.ARTICLES, _topics_cte(), TERMS, HITS) + """
+SELECT doc_id, ticker, ticker_pos, n_terms, n_hit FROM hits WHERE n_hit = n_terms""")
+
+oracle("title_clean", S.with_ctes(S.ARTICLES, S.RECORDS) + """
+SELECT feed_rank, ticker, headline FROM records""")
+
+oracle("source_normalize", S.with_ctes(S.ARTICLES) + f"""
+SELECT doc_id, {S.source_of('source_name', 'url')} AS source,
+       {S.source_of('source_name', 'url', 'prefix')} AS source_prefix FROM articles""")
+
+oracle("headline_hash", S.with_ctes(S.ARTICLES, S.RECORDS) + """
+SELECT feed_rank, headline_hash FROM records""")
+
+oracle("headline_dedup", S.with_ctes(S.ARTICLES, S.RECORDS, S.STORED) + f"""
+SELECT headline_hash, ticker, headline, source, raw_timestamp, market_date, feed_rank,
+       CASE WHEN batch_id < {C.cut_slot()} THEN 1 ELSE 2 END AS run
+FROM stored""")
+
+oracle("ingest_accounting", S.with_ctes(S.ARTICLES, S.RECORDS, S.STORED) + """
+SELECT r.batch_id, coalesce(w.inserted, 0) AS inserted, r.n - coalesce(w.inserted, 0) AS skipped
+FROM (SELECT batch_id, count(*) AS n FROM records GROUP BY batch_id) r
+LEFT JOIN (SELECT batch_id, count(*) AS inserted FROM stored GROUP BY batch_id) w
+  ON w.batch_id = r.batch_id""")
+
+STORED_PRICES = [
+    S.TICKS,
+    f"ticks1 AS (SELECT * FROM ticks WHERE ts < TIMESTAMP '{C.PRICE_CUT}')",
+    S.bars_cte("bars1", "ticks1"), S.rets_cte("rets1", "bars1"),
+    S.bars_cte("bars2", "ticks"), S.rets_cte("rets2", "bars2"),
+    """sprices AS (
+  SELECT * EXCLUDE (rn) FROM (
+    SELECT *, row_number() OVER (PARTITION BY ticker, market_date ORDER BY fetch_ord) AS rn
+    FROM (SELECT ticker, market_date, open, high, low, close, volume, daily_return,
+                 1 AS fetch_ord FROM rets1
+          UNION ALL
+          SELECT ticker, market_date, open, high, low, close, volume, daily_return,
+                 2 AS fetch_ord FROM rets2) u) x
+  WHERE rn = 1)"""]
+
+oracle("price_dedup", S.with_ctes(*STORED_PRICES) + f"""
+SELECT ticker, market_date, {S.r6('open')} AS open, {S.r6('high')} AS high,
+       {S.r6('low')} AS low, {S.r6('close')} AS close, volume,
+       {S.r6('daily_return')} AS daily_return, fetch_ord FROM sprices""")
+
+oracle("price_window", S.with_ctes(S.TICKS, S.BARS, S.RETURNS) + f"""
+SELECT ticker, market_date, {S.r6('open')} AS open, {S.r6('high')} AS high,
+       {S.r6('low')} AS low, {S.r6('close')} AS close, volume,
+       {S.r6('daily_return')} AS daily_return FROM rets
+WHERE market_date >= DATE '{C.PRICE_AS_OF}' - 14 AND market_date < DATE '{C.PRICE_AS_OF}' + 1""")
+
+oracle("prices_unpivot", S.with_ctes(S.TICKS, S.BARS) + f"""
+SELECT ticker, market_date, {S.r6('open')} AS open, {S.r6('high')} AS high,
+       {S.r6('low')} AS low, {S.r6('close')} AS close, volume FROM bars""")
+
+oracle("safe_numeric", S.with_ctes(S.TICKS) + f"""
+SELECT tick_id,
+       {S.r6("CASE WHEN isnan(x) THEN NULL ELSE x END")} AS as_double,
+       CASE WHEN isnan(x) OR isinf(x) THEN NULL ELSE CAST(trunc(x) AS BIGINT) END AS as_bigint
+FROM (SELECT tick_id, CASE WHEN tick_id % 7 = 0 THEN CAST('NaN' AS DOUBLE)
+                           ELSE price * CAST(10.0 AS DOUBLE) - CAST(1000.0 AS DOUBLE) END AS x
+      FROM ticks) t""")
+
+# ------------------------------------------------------------ scoring ----
+
+SCORED = [S.ARTICLES, S.RECORDS, S.STORED, S.HUMAN_SCORES, S.LATEST_SCORES]
+
+oracle("score_merge", S.with_ctes(*SCORED) + f"""
+SELECT s.headline_hash, s.ticker, l.sentiment_label, {S.r6('l.confidence')} AS confidence,
+       l.model_version
+FROM stored s LEFT JOIN latest l ON l.headline_hash = s.headline_hash""")
+
+oracle("unscored_backlog", S.with_ctes(*SCORED) + f"""
+SELECT headline_hash, ticker, headline, batch_id, ticker_pos, feed_rank
+FROM stored s
+WHERE NOT EXISTS (SELECT 1 FROM scores c WHERE c.headline_hash = s.headline_hash)
+ORDER BY batch_id, ticker_pos, feed_rank LIMIT {C.BACKLOG_LIMIT}""")
+
+# ------------------------------------------------------------- health ----
+
+oracle("health_summary", S.with_ctes(*SCORED, *STORED_PRICES) + """
+SELECT h.total_headlines, h.scored_headlines,
+       h.total_headlines - h.scored_headlines AS unscored_headlines,
+       p.total_price_records, h.last_news_timestamp, p.last_price_date
+FROM (SELECT count(*) AS total_headlines, count(l.sentiment_label) AS scored_headlines,
+             arg_max_null(s.raw_timestamp, (s.batch_id, s.ticker_pos, s.feed_rank))
+               AS last_news_timestamp
+      FROM stored s LEFT JOIN latest l ON l.headline_hash = s.headline_hash) h,
+     (SELECT count(*) AS total_price_records,
+             arg_max_null(market_date, (fetch_ord, ticker, market_date)) AS last_price_date
+      FROM sprices) p""")
+
+oracle("recent_headlines", S.with_ctes(S.ARTICLES, S.RECORDS, S.STORED) + """
+SELECT ticker, market_date, headline, source FROM stored
+ORDER BY batch_id DESC, ticker_pos DESC, feed_rank DESC LIMIT 10""")
+
+JOBS = f"""jobs AS (
+  SELECT event_id AS run_id,
+         ['news_job', 'price_job', 'scoring_job'][((user_id % 3) + 3) % 3 + 1] AS job_name,
+         {S.iso_z('ts')} AS ran_at,
+         CASE WHEN event_type = 'error' THEN 0 ELSE TRY_CAST(trunc(value) AS BIGINT) END
+           AS inserted,
+         CASE WHEN event_type = 'error' THEN 0
+              ELSE TRY_CAST(NULLIF(regexp_extract(props, '"k":\\s*(\\d+)', 1), '') AS BIGINT) END
+           AS skipped,
+         CASE WHEN event_type = 'error' THEN 'error: ' || props END AS error
+  FROM events)"""
+
+oracle("job_log_append", S.with_ctes(JOBS) + """
+SELECT run_id, job_name, ran_at, inserted, skipped, error FROM jobs""")
+
+oracle("recent_jobs", S.with_ctes(JOBS) + """
+SELECT job_name, ran_at, inserted, skipped, error FROM jobs ORDER BY run_id DESC LIMIT 10""")
+
+# ---------------------------------------------------------- analytics ----
+
+DAILY_CTES = [*SCORED, S.DAILY]
+JOINED = [S.TICKS, S.BARS, S.RETURNS, """nrets AS (
+  SELECT *, lead(daily_return) OVER (PARTITION BY ticker ORDER BY market_date) AS next_return
+  FROM rets)""", """joined AS (
+  SELECT d.*, r.close, r.daily_return, r.next_return
+  FROM daily d JOIN nrets r ON r.ticker = d.ticker AND r.market_date = d.market_date)"""]
+
+oracle("daily_sentiment", S.with_ctes(*DAILY_CTES) + f"""
+SELECT ticker, market_date, {S.r6('mean_sentiment')} AS mean_sentiment,
+       {S.r6('weighted_sentiment')} AS weighted_sentiment, n_headlines FROM daily""")
+
+oracle("sentiment_price_join", S.with_ctes(*DAILY_CTES, *JOINED) + f"""
+SELECT ticker, market_date, {S.r6('mean_sentiment')} AS mean_sentiment,
+       {S.r6('weighted_sentiment')} AS weighted_sentiment, n_headlines,
+       {S.r6('close')} AS close, {S.r6('daily_return')} AS daily_return,
+       {S.r6('next_return')} AS next_return FROM joined""")
+
+oracle("rolling_pearson", S.with_ctes(*DAILY_CTES, *JOINED) + f"""
+SELECT ticker, market_date, {S.r6('mean_sentiment')} AS mean_sentiment,
+       {S.r6('next_return')} AS next_return, n_pairs,
+       {S.r6('CASE WHEN n_pairs >= ' + str(C.ROLL_WINDOW) + ' AND sx * sy > 0 THEN cv / (sx * sy) END')}
+         AS pearson
+FROM (SELECT *, count(xm) OVER w AS n_pairs, covar_pop(xm, ym) OVER w AS cv,
+             stddev_pop(xm) OVER w AS sx, stddev_pop(ym) OVER w AS sy
+      FROM (SELECT *, CASE WHEN mean_sentiment IS NOT NULL AND next_return IS NOT NULL
+                           THEN mean_sentiment END AS xm,
+                      CASE WHEN mean_sentiment IS NOT NULL AND next_return IS NOT NULL
+                           THEN next_return END AS ym FROM joined) m
+      WINDOW w AS (PARTITION BY ticker ORDER BY market_date
+                   ROWS BETWEEN {C.ROLL_WINDOW - 1} PRECEDING AND CURRENT ROW)) x""")
+
+_HZ = ", ".join(f"({h})" for h in (0, *C.HORIZONS))
+oracle("event_study", S.with_ctes(*DAILY_CTES, S.TICKS, f"""first_seen AS (
+  SELECT ticker, market_date, min(published_ts) AS t0 FROM stored
+  WHERE published_ts IS NOT NULL GROUP BY ticker, market_date)""", f"""hist AS (
+  SELECT ticker, market_date, mean_sentiment,
+         count(mean_sentiment) OVER w AS n_hist, avg(mean_sentiment) OVER w AS m,
+         stddev_samp(mean_sentiment) OVER w AS sd
+  FROM daily
+  WINDOW w AS (PARTITION BY ticker ORDER BY market_date
+               ROWS BETWEEN {C.SPIKE_LOOKBACK} PRECEDING AND 1 PRECEDING))""", f"""spikes AS (
+  SELECT h.ticker, h.market_date, (h.mean_sentiment - h.m) / h.sd AS z, f.t0
+  FROM hist h JOIN first_seen f ON f.ticker = h.ticker AND f.market_date = h.market_date
+  WHERE h.n_hist >= {C.SPIKE_MIN_HISTORY} AND h.sd > 0
+    AND abs((h.mean_sentiment - h.m) / h.sd) >= {C.SPIKE_K})""", f"""probes AS (
+  SELECT ticker, market_date, CAST(sign(z) AS INTEGER) AS direction, hz.h AS horizon_hours,
+         t0 + hz.h * INTERVAL 1 HOUR AS pt
+  FROM spikes, (VALUES {_HZ}) hz(h))""", """hit AS (
+  SELECT p.ticker, p.market_date, p.direction, p.horizon_hours,
+         arg_min(t.price, (t.ts, t.tick_id)) AS v
+  FROM probes p LEFT JOIN ticks t ON t.ticker = p.ticker AND t.ts >= p.pt
+  GROUP BY p.ticker, p.market_date, p.direction, p.horizon_hours)""", """rets_h AS (
+  SELECT h.horizon_hours, h.direction,
+         CASE WHEN b.v > 0 AND h.v > 0 THEN ln(h.v / b.v) END AS ret
+  FROM hit h JOIN hit b ON b.ticker = h.ticker AND b.market_date = h.market_date
+                       AND b.horizon_hours = 0
+  WHERE h.horizon_hours > 0)""") + f"""
+SELECT horizon_hours, direction, count(ret) AS n_events, {S.r6('avg(ret)')} AS mean_return,
+       {S.r6('stddev_samp(ret)')} AS std_return, {S.r6('min(ret)')} AS min_return,
+       {S.r6('max(ret)')} AS max_return
+FROM rets_h GROUP BY horizon_hours, direction""")

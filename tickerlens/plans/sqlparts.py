@@ -95,7 +95,7 @@ RETURNS = """rets AS (
         FROM bars WHERE close IS NOT NULL AND NOT isnan(close)) b)"""
 
 ARTICLES = f"""articles AS (
-  SELECT d.doc_id, {ticker('d.doc_id')} AS ticker, {ticker_pos('d.doc_id')} AS ticker_pos,
+  SELECT d.doc_id, d.lang, {ticker('d.doc_id')} AS ticker, {ticker_pos('d.doc_id')} AS ticker_pos,
          {first_line('d.text')} AS title, CAST(NULL AS VARCHAR) AS source_name, p.url,
          {iso_z('e.ts')} AS published_at,
          coalesce({poll_slot('e.ts')}, 0) AS batch_id, d.doc_id AS feed_rank,
@@ -148,3 +148,37 @@ DAILY = """daily AS (
 
 def with_ctes(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
+
+
+def tokens(x: str) -> str:
+    """Twin of ``functions.model.word_tokens``."""
+    from ..functions.model import TOKEN_PATTERN
+    return (f"list_filter(regexp_split_to_array(lower({x}), '{TOKEN_PATTERN}'), "
+            f"lambda t: length(t) >= 1)")
+
+
+def bars_cte(name: str, src: str) -> str:
+    return f"""{name} AS (
+  SELECT ticker, market_date,
+         arg_min(price, (ts, tick_id)) AS open, max(price) AS high,
+         min(price) AS low, arg_max(price, (ts, tick_id)) AS close,
+         count(*) AS volume
+  FROM (SELECT *, {session_date('ts')} AS market_date FROM {src}) t
+  GROUP BY ticker, market_date)"""
+
+
+def rets_cte(name: str, bars: str) -> str:
+    return f"""{name} AS (
+  SELECT *, CASE WHEN prev_close > 0 AND close > 0 THEN ln(close / prev_close) END
+           AS daily_return
+  FROM (SELECT *, lag(close) OVER (PARTITION BY ticker ORDER BY market_date) AS prev_close
+        FROM {bars} WHERE close IS NOT NULL AND NOT isnan(close)) b)"""
+
+
+def values_list(rows, names) -> str:
+    def lit(v):
+        if isinstance(v, str):
+            return "'" + v.replace("'", "''") + "'"
+        return str(v)
+    body = ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows)
+    return f"(VALUES {body}) AS v({', '.join(names)})"

@@ -74,12 +74,12 @@ def first_line(text: Column | str) -> Column:
 def article_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw article rows as a feed would deliver them (before cleaning).
 
-    Columns: doc_id, ticker, ticker_pos, title, source_name, url,
+    Columns: doc_id, lang, ticker, ticker_pos, title, source_name, url,
     published_at (raw ISO text, may be NULL), batch_id, feed_rank.
     Only the first line of each document is carried past the scan.
     """
     docs = table(spark, sf_dir, "documents").select(
-        "doc_id", first_line("text").alias("title"))
+        "doc_id", "lang", first_line("text").alias("title"))
     ev = table(spark, sf_dir, "events").select(
         (F.col("event_id")).alias("ev_id"), F.col("ts").alias("pub_ts"))
     pages = table(spark, sf_dir, "pages").select(
@@ -88,7 +88,7 @@ def article_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
               .join(ev, ev.ev_id == docs.doc_id * DOC_EVENT_STRIDE, "left")
               .join(pages, pages.page_id == docs.doc_id, "left"))
     return joined.select(
-        "doc_id",
+        "doc_id", "lang",
         ticker_of("doc_id").alias("ticker"),
         ticker_pos_of("doc_id").alias("ticker_pos"),
         "title",
@@ -171,3 +171,28 @@ def corpus_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.col("title"), F.lit("@"), name))
     return (docs.join(lab, "doc_id")
             .select(F.col("doc_id").alias("line_no"), line.alias("value")))
+
+
+JOB_NAMES = ("news_job", "price_job", "scoring_job")
+
+
+def job_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Job ledger rows from events: one run per event.
+
+    job_name by ``pmod(user_id, 3)``; an 'error' event is a failed run
+    (inserted = skipped = 0, error text); otherwise inserted = truncated
+    value and skipped = ``k`` from props.  Columns: run_id, job_name,
+    ran_at_ts, inserted, skipped, error."""
+    ev = table(spark, sf_dir, "events")
+    names = F.array(*[F.lit(n) for n in JOB_NAMES])
+    failed = F.col("event_type") == "error"
+    k = F.regexp_extract(F.col("props"), r'"k":\s*(\d+)', 1)
+    return ev.select(
+        F.col("event_id").alias("run_id"),
+        F.get(names, F.pmod(F.col("user_id"), F.lit(len(JOB_NAMES))).cast("int")).alias("job_name"),
+        F.col("ts").alias("ran_at_ts"),
+        F.when(failed, F.lit(0).cast("bigint")).otherwise(
+            F.col("value").try_cast("bigint")).alias("inserted"),
+        F.when(failed, F.lit(0).cast("bigint")).otherwise(
+            F.nullif(k, F.lit("")).try_cast("bigint")).alias("skipped"),
+        F.when(failed, F.concat(F.lit("error: "), F.col("props"))).alias("error"))
