@@ -86,7 +86,7 @@ def label_id(text: Column | str) -> Column:
     """label text (any case, padded) -> 0/1/2, NULL when unknown."""
     m = F.create_map(*[x for i, name in enumerate(LABELS)
                        for x in (F.lit(name), F.lit(i))])
-    return F.element_at(m, F.lower(ustrip(text)))
+    return F.try_element_at(m, F.lower(ustrip(text)))
 
 
 def label_text(idx: Column | str) -> Column:

@@ -256,3 +256,123 @@ def q_event_study(spark, sf_dir):
     """Forward returns after sentiment spikes, per horizon and sign."""
     return C.round_doubles(A.event_study(_spikes(spark, sf_dir),
                                          driver.ticks(spark, sf_dir), C.HORIZONS))
+
+
+# ------------------------------------------------------------ corpus ----
+
+from ..functions.model import keyword_without_stopwords  # noqa: E402
+from ..operators import corpus as K  # noqa: E402
+from ..operators import ml as M  # noqa: E402
+from ..session import scratch_path  # noqa: E402
+
+
+@register("corpus_parse")
+def q_corpus_parse(spark, sf_dir):
+    """sentence@label lines -> (sentence, label)."""
+    return C.corpus(spark, sf_dir).select("line_no", "sentence", "label")
+
+
+@register("corpus_audit")
+def q_corpus_audit(spark, sf_dir):
+    """Malformed / unknown-label counters in one pass."""
+    return K.corpus_audit(driver.corpus_lines(spark, sf_dir))
+
+
+@register("class_distribution")
+def q_class_distribution(spark, sf_dir):
+    """A3: class balance audit."""
+    return C.round_doubles(K.class_distribution(C.corpus(spark, sf_dir)))
+
+
+@register("stratified_split")
+def q_stratified_split(spark, sf_dir):
+    """Exact 70/15/15 stratified split, counted per split and label."""
+    return C.splits(spark, sf_dir).groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("split_ratios")
+def q_split_ratios(spark, sf_dir):
+    """A4: class shares per split."""
+    return C.round_doubles(K.split_ratios(C.splits(spark, sf_dir)))
+
+
+@register("split_roundtrip")
+def q_split_roundtrip(spark, sf_dir):
+    """Splits written partitioned by split, read back, counted."""
+    back = K.split_roundtrip(C.splits(spark, sf_dir), scratch_path(spark, "tickerlens"))
+    return back.groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("tokenize")
+def q_tokenize(spark, sf_dir):
+    """M2: truncated lower-case tokens of every corpus sentence."""
+    return M.tokenize(C.corpus(spark, sf_dir), max_len=512).select("line_no", "label", "tokens")
+
+
+# ------------------------------------------------------- model decode ----
+
+@register("logits_decode")
+def q_logits_decode(spark, sf_dir):
+    """softmax / argmax / confidence of model logits."""
+    from ..functions.model import decode_logits
+    o = driver.model_outputs(spark, sf_dir)
+    x = decode_logits("logits")
+    return C.round_doubles(o.select("doc_id", x["pred"].alias("pred"), x["label"].alias("label"),
+                                    x["confidence"].alias("confidence")))
+
+
+@register("attention_keyword")
+def q_attention_keyword(spark, sf_dir):
+    """most-attended token of the CLS row (mean over heads)."""
+    from ..functions.model import attention_keyword
+    o = driver.model_outputs(spark, sf_dir)
+    return o.select("doc_id", attention_keyword("tokens", "attention", "length").alias("keyword"))
+
+
+@register("keyword_stopwords")
+def q_keyword_stopwords(spark, sf_dir):
+    """Attention keyword with stop words excluded."""
+    o = driver.model_outputs(spark, sf_dir)
+    return o.select("doc_id", keyword_without_stopwords(
+        "tokens", "attention", "length", C.stopwords()).alias("keyword"))
+
+
+@register("macro_metrics")
+def q_macro_metrics(spark, sf_dir):
+    """A5: argmax of model logits against the labels."""
+    from ..functions.model import decode_logits
+    o = driver.model_outputs(spark, sf_dir).select("doc_id", decode_logits("logits")["pred"]
+                                                    .alias("prediction"))
+    j = o.join(driver.label_of_doc(spark, sf_dir), "doc_id")
+    return C.round_doubles(M.macro_metrics(j, "label", "prediction"))
+
+
+def _trained(spark, sf_dir):
+    s = C.splits(spark, sf_dir)
+    train = s.filter(F.col("split") == "train")
+    val = s.filter(F.col("split") == "validation")
+    return M.train_select(train, val), s
+
+
+@register("train_select")
+def q_train_select(spark, sf_dir):
+    """M3: grid of regularisation values, best by validation macro-F1."""
+    (_, report), _ = _trained(spark, sf_dir)
+    return report
+
+
+@register("train_eval")
+def q_train_eval(spark, sf_dir):
+    """M4: held-out test metrics of the selected model."""
+    (model, _), s = _trained(spark, sf_dir)
+    return M.evaluate(model, s.filter(F.col("split") == "test"))
+
+
+@register("scoring_drain")
+def q_scoring_drain(spark, sf_dir):
+    """M1/L2: score the whole unscored backlog with the selected model."""
+    from ..operators.scoring import score_with_pipeline
+    (model, _), _ = _trained(spark, sf_dir)
+    backlog = unscored(C.stored_headlines(spark, sf_dir), C.scores(spark, sf_dir))
+    return score_with_pipeline(backlog.select("headline_hash", "headline"), model,
+                               "mllib-logreg", text="headline")

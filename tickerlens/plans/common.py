@@ -103,3 +103,27 @@ def stored_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     f1 = f1.withColumn("fetch_ord", F.lit(1))
     f2 = f2.withColumn("fetch_ord", F.lit(2))
     return f1.unionByName(ingest_prices(f2, existing=f1))
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.corpus import parse_corpus
+    return parse_corpus(driver.corpus_lines(spark, sf_dir))
+
+
+def splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.corpus import stratified_split
+    return stratified_split(corpus(spark, sf_dir), seed=42)
+
+
+def stopwords() -> list[str]:
+    """Spark's default English stop-word list, read from the MLlib jar that
+    ships with PySpark (no JVM needed, so the oracle can use it too)."""
+    import glob
+    import os
+    import zipfile
+
+    import pyspark
+    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
+    with zipfile.ZipFile(jars[0]) as z:
+        text = z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode("utf-8")
+    return text.split()

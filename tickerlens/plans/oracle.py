@@ -257,3 +257,151 @@ SELECT horizon_hours, direction, count(ret) AS n_events, {S.r6('avg(ret)')} AS m
        {S.r6('stddev_samp(ret)')} AS std_return, {S.r6('min(ret)')} AS min_return,
        {S.r6('max(ret)')} AS max_return
 FROM rets_h GROUP BY horizon_hours, direction""")
+
+
+# ------------------------------------------------------------- corpus ----
+
+_NAMES = "['negative', 'neutral', 'positive']"
+LINES = f"""lines AS (
+  SELECT doc_id AS line_no,
+         CASE WHEN doc_id % 7 = 0 THEN title
+              ELSE title || '@' || CASE WHEN doc_id % 11 = 0 THEN 'mixed'
+                                        WHEN doc_id % 13 = 0 THEN ' ' || upper({_NAMES}[label + 1]) || ' '
+                                        ELSE {_NAMES}[label + 1] END END AS value
+  FROM (SELECT d.doc_id, {S.first_line('d.text')} AS title,
+               CASE WHEN l.toxic = 1 THEN 0 WHEN l.quality = 1 THEN 2 ELSE 1 END AS label
+        FROM labels l JOIN documents d ON d.doc_id = l.doc_id) x)"""
+
+_SPLIT_RE = "^(.*)@([^@]*)$"
+PARSED = f"""cls AS (
+  SELECT line_no, {S.ustrip("coalesce(value, '')")} AS line FROM lines),
+cls2 AS (
+  SELECT line_no, line,
+         {S.ustrip(f"CASE WHEN contains(line, '@') THEN regexp_extract(line, '{_SPLIT_RE}', 1) END")}
+           AS sentence,
+         CASE lower({S.ustrip(f"CASE WHEN contains(line, '@') THEN regexp_extract(line, '{_SPLIT_RE}', 2) END")})
+           WHEN 'negative' THEN 0 WHEN 'neutral' THEN 1 WHEN 'positive' THEN 2 END AS label
+  FROM cls),
+parsed AS (
+  SELECT line_no, sentence, label,
+         CASE WHEN line = '' THEN 'blank' WHEN NOT contains(line, '@') THEN 'no_delimiter'
+              WHEN label IS NULL THEN 'unknown_label' END AS reject
+  FROM cls2),
+kept AS (SELECT line_no, sentence, label FROM parsed WHERE reject IS NULL)"""
+
+
+def _lr(src: str, n: str, draws: str, out: str) -> str:
+    """Largest-remainder quota over a per-label table (twin of corpus._largest_remainder)."""
+    return f"""SELECT * EXCLUDE (cont, fl, rem, need, rk),
+       fl + CASE WHEN rk <= need THEN 1 ELSE 0 END AS {out}
+FROM (SELECT *, {draws} - sum(fl) OVER () AS need,
+             row_number() OVER (ORDER BY rem DESC, label) AS rk
+      FROM (SELECT *, CAST(floor(cont) AS BIGINT) AS fl, cont - floor(cont) AS rem
+            FROM (SELECT *, {draws} * {n} / sum({n}) OVER () AS cont FROM {src}) a) b) c"""
+
+
+QUOTAS = f"""cnt AS (SELECT label, count(*) AS n FROM kept GROUP BY label),
+c1 AS (SELECT *, sum(n) OVER () - CAST(ceil(CAST(0.30 AS DOUBLE) * sum(n) OVER ()) AS BIGINT)
+                 AS d1 FROM cnt),
+q1 AS ({_lr('c1', 'n', 'd1', 'n_train')}),
+c2 AS (SELECT *, n - n_train AS temp FROM q1),
+c3 AS (SELECT *, sum(temp) OVER () - CAST(ceil(CAST(0.50 AS DOUBLE) * sum(temp) OVER ()) AS BIGINT)
+                 AS d2 FROM c2),
+q2 AS ({_lr('c3', 'temp', 'd2', 'n_validation')}),
+quotas AS (SELECT label, n_train, n_validation, temp - n_validation AS n_test FROM q2),
+split_counts AS (
+  SELECT * FROM (
+    SELECT 'train' AS split, label, n_train AS n FROM quotas
+    UNION ALL SELECT 'validation', label, n_validation FROM quotas
+    UNION ALL SELECT 'test', label, n_test FROM quotas) u
+  WHERE n > 0)"""
+
+oracle("corpus_parse", S.with_ctes(LINES, PARSED) + """
+SELECT line_no, sentence, label FROM kept""")
+
+oracle("corpus_audit", S.with_ctes(LINES, PARSED) + """
+SELECT count(*) AS n_lines, count(*) FILTER (WHERE reject = 'blank') AS n_blank,
+       count(*) FILTER (WHERE reject = 'no_delimiter') AS n_no_delimiter,
+       count(*) FILTER (WHERE reject = 'unknown_label') AS n_unknown_label,
+       count(*) FILTER (WHERE reject IS NULL) AS n_rows
+FROM parsed""")
+
+oracle("class_distribution", S.with_ctes(LINES, PARSED) + f"""
+SELECT label, ['Negative', 'Neutral', 'Positive'][label + 1] AS label_name, n,
+       {S.r6('pct')} AS pct, repeat('█', CAST(floor(pct / 2) AS INTEGER)) AS bar
+FROM (SELECT label, n, n / sum(n) OVER () * 100.0 AS pct
+      FROM (SELECT label, count(*) AS n FROM kept GROUP BY label) c) x""")
+
+oracle("stratified_split", S.with_ctes(LINES, PARSED, QUOTAS) + """
+SELECT split, label, n FROM split_counts""")
+
+oracle("split_roundtrip", S.with_ctes(LINES, PARSED, QUOTAS) + """
+SELECT split, label, n FROM split_counts""")
+
+oracle("split_ratios", S.with_ctes(LINES, PARSED, QUOTAS) + f"""
+SELECT split,
+       {S.r6('coalesce(sum(n) FILTER (WHERE label = 0), 0) / sum(n)')} AS negative,
+       {S.r6('coalesce(sum(n) FILTER (WHERE label = 1), 0) / sum(n)')} AS neutral,
+       {S.r6('coalesce(sum(n) FILTER (WHERE label = 2), 0) / sum(n)')} AS positive
+FROM split_counts GROUP BY split""")
+
+oracle("tokenize", S.with_ctes(LINES, PARSED) + f"""
+SELECT line_no, label, list_slice({S.tokens('sentence')}, 1, 512) AS tokens FROM kept""")
+
+# ------------------------------------------------------- model decode ----
+
+MODEL = f"""mo AS (
+  SELECT e.vec_id AS doc_id, CAST(e.embedding AS DOUBLE[]) AS emb,
+         list_slice(CAST(e.embedding AS DOUBLE[]), 1, 3) AS logits,
+         list_concat(['[CLS]'],
+                     list_slice({S.tokens(S.ustrip(f"coalesce({S.first_line('d.text')}, '')"))}, 1, 14),
+                     ['[SEP]']) AS toks
+  FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id),
+cand AS (
+  SELECT doc_id, i, toks[i] AS tok,
+         ((((0.0 + emb[i]) + emb[16 + i]) + emb[32 + i]) + emb[48 + i]) / 4 AS w
+  FROM (SELECT *, unnest(range(2, len(toks))) AS i FROM mo) x)"""
+
+
+def _kw(stop_filter: str) -> str:
+    return f"""
+SELECT m.doc_id, k.keyword FROM mo m LEFT JOIN (
+  SELECT doc_id, regexp_replace(arg_max(tok, (w, -i)), '^#+', '') AS keyword
+  FROM cand {stop_filter} GROUP BY doc_id) k ON k.doc_id = m.doc_id"""
+
+
+oracle("logits_decode", S.with_ctes(MODEL) + f"""
+SELECT doc_id, pred, {_NAMES}[pred + 1] AS label, {S.r6('conf')} AS confidence
+FROM (SELECT doc_id, CAST(list_position(logits, list_max(logits)) - 1 AS INTEGER) AS pred,
+             1.0 / list_sum(list_transform(logits, lambda x: exp(x - list_max(logits)))) AS conf
+      FROM mo) x""")
+
+oracle("attention_keyword", S.with_ctes(MODEL) + _kw(""))
+
+
+def _stop_sql() -> str:
+    words = ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(set(C.stopwords())))
+    return f"WHERE NOT list_contains([{words}], lower(regexp_replace(tok, '^#+', '')))"
+
+
+oracle("keyword_stopwords", S.with_ctes(MODEL) + _kw(_stop_sql()))
+
+oracle("macro_metrics", S.with_ctes(MODEL) + f"""
+, j AS (
+  SELECT CAST(list_position(m.logits, list_max(m.logits)) - 1 AS INTEGER) AS p,
+         CASE WHEN l.toxic = 1 THEN 0 WHEN l.quality = 1 THEN 2 ELSE 1 END AS t
+  FROM mo m JOIN labels l ON l.doc_id = m.doc_id),
+classes AS (SELECT t AS c FROM j UNION SELECT p FROM j),
+per AS (
+  SELECT c.c,
+         count(*) FILTER (WHERE j.t = c.c AND j.p = c.c) AS tp,
+         count(*) FILTER (WHERE j.t = c.c) AS tn,
+         count(*) FILTER (WHERE j.p = c.c) AS pn
+  FROM classes c, j GROUP BY c.c),
+pr AS (
+  SELECT tp, tn, CASE WHEN pn > 0 THEN tp / pn ELSE 0.0 END AS p,
+         CASE WHEN tn > 0 THEN tp / tn ELSE 0.0 END AS r FROM per)
+SELECT {S.r6('sum(tp) / sum(tn)')} AS accuracy, {S.r6('avg(p)')} AS precision,
+       {S.r6('avg(r)')} AS recall,
+       {S.r6('avg(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END)')} AS f1
+FROM pr""")
