@@ -376,3 +376,106 @@ def q_scoring_drain(spark, sf_dir):
     backlog = unscored(C.stored_headlines(spark, sf_dir), C.scores(spark, sf_dir))
     return score_with_pipeline(backlog.select("headline_hash", "headline"), model,
                                "mllib-logreg", text="headline")
+
+
+# ---------------------------------------------------------- streaming ----
+
+import uuid  # noqa: E402
+
+from ..streaming import jobs as R  # noqa: E402
+
+
+def _stream_base(spark) -> str:
+    return scratch_path(spark, f"tickerlens/stream-{uuid.uuid4().hex}")
+
+
+def _land_feeds(spark, sf_dir, in_dir: str, first: bool) -> None:
+    """Land the feed pages of one scheduled run (before / after the cut)."""
+    pages = feeds.feed_documents(feeds.build_feed_pages(driver.article_rows(spark, sf_dir)))
+    cond = F.col("batch_id") < C.cut_slot()
+    pages.filter(cond if first else ~cond).write.mode("append").json(in_dir)
+
+
+def _run_headline_stream(spark, sf_dir, base: str) -> str:
+    in_dir, table = f"{base}/in", f"{base}/headlines"
+    for first in (True, False):          # two scheduled runs of the job
+        _land_feeds(spark, sf_dir, in_dir, first)
+        q = R.start_headlines(spark, in_dir, table, f"{base}/ckpt", f"{base}/ledger",
+                              as_of=C.AS_OF)
+        q.awaitTermination()
+    return table
+
+
+@register("stream_headlines")
+def q_stream_headlines(spark, sf_dir):
+    """Headline ingest stream, two availableNow runs."""
+    table = _run_headline_stream(spark, sf_dir, _stream_base(spark))
+    return spark.read.parquet(table).select("headline_hash", "ticker", "headline", "source",
+                                            "raw_timestamp", "market_date")
+
+
+@register("stream_ledger")
+def q_stream_ledger(spark, sf_dir):
+    """The ledger rows the headline stream wrote (one per micro-batch)."""
+    base = _stream_base(spark)
+    _run_headline_stream(spark, sf_dir, base)
+    return spark.read.parquet(f"{base}/ledger").select("job_name", "inserted", "skipped",
+                                                        "error", "batch_no")
+
+
+@register("stream_dedup_bounded")
+def q_stream_dedup_bounded(spark, sf_dir):
+    """R2: watermark-bounded dedup of the landed feeds."""
+    from ..operators.ingest import headline_records, with_hash
+    base = _stream_base(spark)
+    in_dir = f"{base}/in"
+    _land_feeds(spark, sf_dir, in_dir, True)
+    _land_feeds(spark, sf_dir, in_dir, False)
+    s = spark.readStream.schema(R.FEED_FILE_SCHEMA).json(in_dir)
+    arts = feeds.explode_articles(s).withColumn("feed_rank", F.col("page") * 1000 + F.col("feed_pos"))
+    recs = with_hash(headline_records(arts, as_of=C.AS_OF)).filter(
+        F.col("published_ts").isNotNull())
+    out = R.bounded_dedup(recs).select("headline_hash", "ticker", "published_ts")
+    q = (out.writeStream.format("parquet").option("path", f"{base}/out")
+         .option("checkpointLocation", f"{base}/ckpt").outputMode("append")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/out")
+
+
+@register("stream_prices")
+def q_stream_prices(spark, sf_dir):
+    """Two price fetches landed and ingested by two stream runs."""
+    from ..operators.prices import ohlcv_bars
+    base = _stream_base(spark)
+    in_dir, table = f"{base}/in", f"{base}/prices"
+    t = driver.ticks(spark, sf_dir)
+    fetches = [t.filter(F.col("ts") < F.lit(C.PRICE_CUT).cast("timestamp_ntz")), t]
+    for f in fetches:
+        ohlcv_bars(f).write.mode("append").parquet(in_dir)
+        q = R.start_prices(spark, in_dir, table, f"{base}/ckpt", f"{base}/ledger")
+        q.awaitTermination()
+    out = spark.read.parquet(table).select(
+        "ticker", "market_date", "open", "high", "low", "close", "volume", "daily_return",
+        (F.col("fetch_ord") + 1).alias("fetch_ord"))
+    return C.round_doubles(out)
+
+
+@register("stream_scoring")
+def q_stream_scoring(spark, sf_dir):
+    """Scoring stream over the stored headlines table; the scorer
+    decodes the model outputs of each headline (F11/F12)."""
+    from ..operators.scoring import decode_outputs
+    base = _stream_base(spark)
+    table = _run_headline_stream(spark, sf_dir, base)
+    outputs = driver.model_outputs(spark, sf_dir)
+
+    def scorer(backlog):
+        mo = outputs.join(backlog.select("headline_hash"), "headline_hash", "left_semi")
+        return decode_outputs(mo, "embeddings")
+
+    q = R.start_scoring(spark, table, f"{base}/scores", f"{base}/ckpt-score", scorer,
+                        f"{base}/ledger")
+    q.awaitTermination()
+    return C.round_doubles(spark.read.parquet(f"{base}/scores").select(
+        "headline_hash", "sentiment_label", "confidence", "attention_keyword"))

@@ -405,3 +405,14 @@ SELECT {S.r6('sum(tp) / sum(tn)')} AS accuracy, {S.r6('avg(p)')} AS precision,
        {S.r6('avg(r)')} AS recall,
        {S.r6('avg(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END)')} AS f1
 FROM pr""")
+
+
+# ---------------------------------------------------------- streaming ----
+
+oracle("stream_headlines", S.with_ctes(S.ARTICLES, S.RECORDS, S.STORED) + """
+SELECT headline_hash, ticker, headline, source, raw_timestamp, market_date FROM stored""")
+
+oracle("stream_prices", S.with_ctes(*STORED_PRICES) + f"""
+SELECT ticker, market_date, {S.r6('open')} AS open, {S.r6('high')} AS high,
+       {S.r6('low')} AS low, {S.r6('close')} AS close, volume,
+       {S.r6('daily_return')} AS daily_return, fetch_ord FROM sprices""")

@@ -153,3 +153,10 @@ def fan_out(articles: DataFrame, topics: DataFrame, mode: str = "any") -> DataFr
     m = topic_match(articles.select("doc_id", F.col("title").alias("t")), topics,
                     text="t", mode=mode).select("doc_id", "ticker", "ticker_pos")
     return articles.drop("ticker", "ticker_pos").join(m, "doc_id")
+
+
+def feed_documents(pages: DataFrame) -> DataFrame:
+    """Pages as landed documents: request context plus the parsed
+    ``articles`` array, ready for ``write.json``."""
+    return pages.select("ticker", "ticker_pos", "batch_id", "page",
+                        F.from_json(F.col("value"), FEED_SCHEMA)["articles"].alias("articles"))
