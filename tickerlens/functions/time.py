@@ -59,8 +59,9 @@ def parse_iso_utc(raw: Column | str) -> Column:
         F.when(g(5) == "", "00").otherwise(g(5)), F.lit(":"),
         F.when(g(6) == "", "00").otherwise(g(6)), F.lit("."),
         F.when(g(7) == "", "000000").otherwise(frac))
-    local = F.try_to_timestamp(local_text, F.lit("yyyy-MM-dd HH:mm:ss.SSSSSS"))
-    local = F.when(ok, local.cast("timestamp_ntz"))
+    # string -> TIMESTAMP_NTZ is a pure wall-clock parse (no session zone);
+    # impossible dates (Feb 30, hour 25) give NULL
+    local = F.when(ok, local_text.try_cast("timestamp_ntz"))
     off = g(8)
     digits = F.regexp_replace(off, r"[^0-9]", "")
     sign = F.when(off.startswith("-"), F.lit(-1)).otherwise(F.lit(1))

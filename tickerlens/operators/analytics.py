@@ -18,16 +18,23 @@ from ..functions.text import polarity
 from .asof import asof_forward
 
 
-def daily_sentiment(scored: DataFrame) -> DataFrame:
+def daily_sentiment(scored: DataFrame, first_published: str | None = None) -> DataFrame:
     """Per (ticker, market_date): unweighted mean polarity (-1/0/+1),
-    confidence-weighted mean and headline count.  Unscored rows are ignored."""
-    p = polarity("sentiment_label")
-    s = scored.filter(F.col("sentiment_label").isNotNull())
-    return (s.groupBy("ticker", "market_date")
-            .agg(F.avg(p).alias("mean_sentiment"),
-                 F.try_divide(F.sum(p * F.col("confidence")), F.sum("confidence"))
-                 .alias("weighted_sentiment"),
-                 F.count(F.lit(1)).alias("n_headlines")))
+    confidence-weighted mean and scored-headline count.  Unscored rows do
+    not count; days without any scored headline are dropped.
+
+    With ``first_published`` the same single aggregation also returns
+    ``t0``, the earliest publication of the day over all stored headlines."""
+    lab = F.col("sentiment_label")
+    p = polarity(lab)
+    conf = F.when(lab.isNotNull(), F.col("confidence"))
+    aggs = [F.avg(p).alias("mean_sentiment"),
+            F.try_divide(F.sum(p * conf), F.sum(conf)).alias("weighted_sentiment"),
+            F.count(lab).alias("n_headlines")]
+    if first_published:
+        aggs.append(F.min(first_published).alias("t0"))
+    return (scored.groupBy("ticker", "market_date").agg(*aggs)
+            .filter(F.col("n_headlines") > 0))
 
 
 def with_next_return(returns: DataFrame) -> DataFrame:
@@ -63,23 +70,21 @@ def rolling_pearson(joined: DataFrame, window: int, x: str = "mean_sentiment",
                          F.when(n >= window, r).alias("pearson"))
 
 
-def sentiment_spikes(daily: DataFrame, first_seen: DataFrame, lookback: int = 5,
-                     min_history: int = 2, k: float = 1.0) -> DataFrame:
+def sentiment_spikes(daily: DataFrame, lookback: int = 5, min_history: int = 2,
+                     k: float = 1.0) -> DataFrame:
     """Spike days: |z| >= k where z compares a day's mean sentiment with the
-    previous ``lookback`` sessions of that ticker (sample stddev).
-
-    ``first_seen`` gives (ticker, market_date, t0): the first publication of
-    the day, the event time of the spike."""
+    previous ``lookback`` sessions of that ticker (sample stddev).  ``daily``
+    carries ``t0``, the event time of the spike (see ``daily_sentiment``)."""
     w = (Window.partitionBy("ticker").orderBy("market_date")
          .rowsBetween(-lookback, -1))
     m = F.avg("mean_sentiment").over(w)
     sd = F.stddev_samp("mean_sentiment").over(w)
     n = F.count("mean_sentiment").over(w)
     z = F.try_divide(F.col("mean_sentiment") - m, F.when(sd > 0, sd))
-    spikes = (daily.select("ticker", "market_date", "mean_sentiment",
-                           n.alias("n_hist"), z.alias("z"))
-              .filter((F.col("n_hist") >= min_history) & (F.abs(F.col("z")) >= k)))
-    return spikes.join(first_seen, ["ticker", "market_date"])
+    return (daily.select("ticker", "market_date", "mean_sentiment", "t0",
+                         n.alias("n_hist"), z.alias("z"))
+            .filter((F.col("n_hist") >= min_history) & (F.abs(F.col("z")) >= k)
+                    & F.col("t0").isNotNull()))
 
 
 def event_study(spikes: DataFrame, ticks: DataFrame,
@@ -95,10 +100,11 @@ def event_study(spikes: DataFrame, ticks: DataFrame,
               .withColumn("pt", F.timestamp_add("HOUR", F.col("horizon_hours"), F.col("t0"))))
     hit = asof_forward(probes, ticks, "ticker", "pt", "ts", "tick_id", "price",
                        cell_seconds=cell_seconds)
-    base = hit.filter(F.col("horizon_hours") == 0).select(
-        "ticker", "market_date", F.col("match_value").alias("p0"))
-    fwd = hit.filter(F.col("horizon_hours") > 0).join(base, ["ticker", "market_date"])
-    ret = fwd.withColumn("ret", guarded_log_ratio(F.col("match_value"), F.col("p0")))
+    # base price = the horizon-0 probe of the same spike (4 rows per window)
+    w = Window.partitionBy("ticker", "market_date").orderBy("horizon_hours")
+    ret = (hit.withColumn("p0", F.first("match_value").over(w))
+           .filter(F.col("horizon_hours") > 0)
+           .withColumn("ret", guarded_log_ratio(F.col("match_value"), F.col("p0"))))
     return (ret.groupBy("horizon_hours", "direction")
             .agg(F.count("ret").alias("n_events"),
                  F.avg("ret").alias("mean_return"),

@@ -8,7 +8,8 @@ the union form, made skew-safe by cutting time into cells:
    ``first(..., ignorenulls)`` over ``current row .. unbounded following``.
    A hot key is spread over many (key, cell) tasks.
 2. probes whose cell holds no later tick take the first tick of the next
-   non-empty cell, found on a one-row-per-(key, cell) table (small).
+   non-empty cell, found on a one-row-per-(key, cell) table (small) built
+   from the probes' own cells, so step 1 is computed once.
 
 Both steps are exact; nothing is capped.
 """
@@ -65,8 +66,8 @@ def asof_forward(probes: DataFrame, ticks: DataFrame, key: str, probe_time: str,
                                          F.col("_v").alias("match_value")),
                                 F.struct("_t", "_tie")).alias("_f"))
                   .select("_k", "_cell", F.lit(0).alias("_side"), "_f"))
-    probe_cells = (in_cell.filter(F.col("_m").isNull())
-                   .select("_k", "_cell").distinct()
+    probe_cells = (p.select("_k", time_cell(F.col("_t"), cell_seconds).alias("_cell"))
+                   .distinct()
                    .select("_k", "_cell", F.lit(1).alias("_side"),
                            F.lit(None).cast(cell_first.schema["_f"].dataType).alias("_f")))
     w2 = (Window.partitionBy("_k").orderBy("_cell", "_side")

@@ -43,8 +43,11 @@ def headline_records(articles: DataFrame, as_of=None,
                     *ORDER_COLS))
 
 
-def with_hash(records: DataFrame) -> DataFrame:
-    return records.withColumn("headline_hash", headline_hash("headline"))
+def with_hash(records: DataFrame, stripped: bool = False) -> DataFrame:
+    """F1 on ``headline``; ``stripped=True`` skips the strip for headlines
+    that ``headline_records`` already cleaned (same hash, one regex less)."""
+    h = F.sha2(F.col("headline"), 256) if stripped else headline_hash("headline")
+    return records.withColumn("headline_hash", h)
 
 
 def first_arrivals(records: DataFrame,

@@ -243,12 +243,8 @@ def q_rolling_pearson(spark, sf_dir):
 
 
 def _spikes(spark, sf_dir):
-    s = C.stored_headlines(spark, sf_dir)
-    first_seen = (s.filter(F.col("published_ts").isNotNull())
-                  .groupBy("ticker", "market_date")
-                  .agg(F.min("published_ts").alias("t0")))
-    return A.sentiment_spikes(C.daily(spark, sf_dir), first_seen, C.SPIKE_LOOKBACK,
-                              C.SPIKE_MIN_HISTORY, C.SPIKE_K)
+    daily = A.daily_sentiment(C.scored_headlines(spark, sf_dir), first_published="published_ts")
+    return A.sentiment_spikes(daily, C.SPIKE_LOOKBACK, C.SPIKE_MIN_HISTORY, C.SPIKE_K)
 
 
 @register("event_study")

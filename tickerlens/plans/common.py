@@ -40,7 +40,8 @@ def returns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.ingest import with_hash
-    return with_hash(headline_records(driver.article_rows(spark, sf_dir), as_of=AS_OF))
+    return with_hash(headline_records(driver.article_rows(spark, sf_dir), as_of=AS_OF),
+                     stripped=True)
 
 
 def stored_headlines(spark: SparkSession, sf_dir: str) -> DataFrame:

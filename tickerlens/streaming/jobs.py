@@ -105,7 +105,7 @@ def headline_batch(table_path: str, as_of=None,
     def body(batch: DataFrame, batch_no: int) -> tuple[int, int]:
         spark = batch.sparkSession
         arts = explode_articles(batch).withColumn("feed_rank", F.col("page") * 1000 + F.col("feed_pos"))
-        recs = with_hash(headline_records(arts, as_of=as_of))
+        recs = with_hash(headline_records(arts, as_of=as_of), stripped=True)
         obs = Observation(f"headlines_in_{batch_no}")
         recs = recs.observe(obs, F.count(F.lit(1)).alias("n"))
         stored = _read_or_none(spark, table_path)
