@@ -29,6 +29,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def as_of_date(as_of) -> Column:
+    """Run date as a DATE column (``None`` -> current date)."""
+    return _as_date(as_of)
+
+
 def _as_date(as_of) -> Column:
     if as_of is None:
         return F.current_date()
@@ -45,32 +50,24 @@ def parse_iso_utc(raw: Column | str) -> Column:
     ``Z`` means UTC; an explicit offset is subtracted; a value without offset
     is taken as UTC.  Anything else (empty, 'garbage', '13:42', '2026', an
     impossible date) gives NULL.
+
+    Cost: one guard, one rewrite to the extended form (basic dates and comma
+    fractions included), one trailing-separator trim and one offset extract;
+    the wall-clock parse is Spark's own string -> TIMESTAMP_NTZ cast.
     """
     s = _col(raw)
-
-    def g(i: int) -> Column:
-        return F.regexp_extract(s, ISO_PATTERN, i)
-
     ok = s.rlike(ISO_PATTERN)
-    frac = F.rpad(g(7), 6, "0").substr(1, 6)
-    local_text = F.concat(
-        g(1), F.lit("-"), g(2), F.lit("-"), g(3), F.lit(" "),
-        F.when(g(4) == "", "00").otherwise(g(4)), F.lit(":"),
-        F.when(g(5) == "", "00").otherwise(g(5)), F.lit(":"),
-        F.when(g(6) == "", "00").otherwise(g(6)), F.lit("."),
-        F.when(g(7) == "", "000000").otherwise(frac))
+    extended = F.regexp_replace(s, ISO_PATTERN, "$1-$2-$3T$4:$5:$6.$7")
+    local_text = F.regexp_replace(extended, r"[T:.]+$", "")
     # string -> TIMESTAMP_NTZ is a pure wall-clock parse (no session zone);
-    # impossible dates (Feb 30, hour 25) give NULL
+    # impossible dates (Feb 30, hour 24) give NULL
     local = F.when(ok, local_text.try_cast("timestamp_ntz"))
-    off = g(8)
-    digits = F.regexp_replace(off, r"[^0-9]", "")
+    off = F.regexp_extract(s, ISO_PATTERN, 8)
+    hhmm = F.replace(off, F.lit(":"), F.lit(""))
     sign = F.when(off.startswith("-"), F.lit(-1)).otherwise(F.lit(1))
-    off_minutes = F.when(
-        (off == "") | (F.upper(off) == "Z"), F.lit(0)
-    ).otherwise(
-        sign * (F.substring(digits, 1, 2).cast("int") * 60
-                + F.coalesce(F.nullif(F.substring(digits, 3, 2), F.lit("")),
-                             F.lit("0")).cast("int")))
+    minutes = (F.substring(hhmm, 2, 2).try_cast("int") * 60
+               + F.coalesce(F.substring(hhmm, 4, 2).try_cast("int"), F.lit(0)))
+    off_minutes = F.when((off == "") | (F.upper(off) == "Z"), F.lit(0)).otherwise(sign * minutes)
     return F.timestamp_add("MINUTE", -off_minutes, local)
 
 

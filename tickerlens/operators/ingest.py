@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_title, headline_hash, source_of, title_kept
-from ..functions.time import parse_iso_utc, session_date
+from ..functions.time import as_of_date, parse_iso_utc, session_date_ts
 
 ORDER_COLS = ["batch_id", "ticker_pos", "feed_rank"]
 STORED_COLS = ["ticker", "headline", "source", "raw_timestamp", "market_date",
@@ -32,15 +32,18 @@ def headline_records(articles: DataFrame, as_of=None,
     *not* counted as skipped later.
     """
     t = clean_title("title")
-    return (articles
-            .withColumn("headline", t)
-            .filter(title_kept("headline"))
-            .select("ticker", "headline",
-                    source_of("source_name", "url", strip_mode).alias("source"),
-                    F.col("published_at").alias("raw_timestamp"),
-                    session_date("published_at", as_of).alias("market_date"),
-                    parse_iso_utc("published_at").alias("published_ts"),
-                    *ORDER_COLS))
+    # parse once; the session date is derived from the parsed instant (a
+    # projection referenced twice is not collapsed, so the parse runs once)
+    parsed = (articles
+              .withColumn("headline", t)
+              .filter(title_kept("headline"))
+              .withColumn("published_ts", parse_iso_utc("published_at")))
+    return parsed.select(
+        "ticker", "headline",
+        source_of("source_name", "url", strip_mode).alias("source"),
+        F.col("published_at").alias("raw_timestamp"),
+        F.coalesce(session_date_ts("published_ts"), as_of_date(as_of)).alias("market_date"),
+        "published_ts", *ORDER_COLS)
 
 
 def with_hash(records: DataFrame, stripped: bool = False) -> DataFrame:
