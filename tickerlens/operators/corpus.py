@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import LABELS, label_id, pct_bar, split_last, ustrip
+from .rank import distributed_rank
 
 SPLITS = ("train", "validation", "test")
 
@@ -113,24 +114,17 @@ def stratified_split(df: DataFrame, seed: int = 42, test_size: float = 0.30,
     small (label, cell) count table.  Deterministic for a fixed seed."""
     keys = [F.col(k) for k in key]
     h = F.xxhash64(F.lit(seed), F.coalesce(F.col("sentence"), F.lit("")), *keys)
-    x = df.withColumn("_h", h).withColumn("_cell", F.shiftright(F.col("_h"), 64 - cells_bits))
-    cell_counts = x.groupBy(label, "_cell").agg(F.count(F.lit(1)).alias("_cn"))
-    offs = cell_counts.withColumn(
-        "_off", F.coalesce(F.sum("_cn").over(
-            Window.partitionBy(label).orderBy("_cell")
-            .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_cn")
-    w = Window.partitionBy(label, "_cell").orderBy("_h", *keys)
-    ranked = (x.withColumn("_rn", F.row_number().over(w) - 1)
-              .join(F.broadcast(offs), [label, "_cell"])
-              .withColumn("_rank", F.col("_rn") + F.col("_off")))
+    # (label x 256 cells) offsets: bounded by the class count, broadcast
+    ranked = distributed_rank(df.withColumn("_h", h), [label],
+                              F.shiftright(F.col("_h"), 64 - cells_bits),
+                              [F.col("_h"), *keys], out="_rank")
     q = split_quotas(df, test_size, second_test, label).select(
         F.col("label").alias(label), "n_train", "n_validation")
     out = ranked.join(F.broadcast(q), label)
     split = (F.when(F.col("_rank") < F.col("n_train"), F.lit("train"))
              .when(F.col("_rank") < F.col("n_train") + F.col("n_validation"), F.lit("validation"))
              .otherwise(F.lit("test")))
-    return out.withColumn("split", split).drop("_h", "_cell", "_rn", "_off", "_rank",
-                                               "n_train", "n_validation")
+    return out.withColumn("split", split).drop("_h", "_rank", "n_train", "n_validation")
 
 
 def split_ratios(df: DataFrame, label: str = "label") -> DataFrame:

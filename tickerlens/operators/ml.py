@@ -118,12 +118,17 @@ def keyword_by_coefficients(scored: DataFrame, model: PipelineModel) -> DataFram
     the model's ``vocabSize`` and not by the data, so it is broadcast."""
     cv = next(s for s in model.stages if hasattr(s, "vocabulary"))
     lr = model.stages[-1]
-    vocab = cv.vocabulary
+    import numpy as np
+    import pandas as pd
+
+    vocab = np.asarray(cv.vocabulary, dtype=object)
     coef = lr.coefficientMatrix.toArray()
-    rows = [(int(c), t, float(coef[c][j])) for c in range(coef.shape[0])
-            for j, t in enumerate(vocab)]
+    n_cls = coef.shape[0]
+    pdf = pd.DataFrame({"pred": np.repeat(np.arange(n_cls, dtype=np.int32), len(vocab)),
+                        "tok": np.tile(vocab, n_cls),
+                        "coef": coef.reshape(-1).astype(float)})
     spark = scored.sparkSession
-    table = spark.createDataFrame(rows, "pred int, tok string, coef double")
+    table = spark.createDataFrame(pdf, "pred int, tok string, coef double")
     toks = scored.select("headline_hash", "pred",
                          F.posexplode("tokens").alias("pos", "tok"))
     best = (toks.join(F.broadcast(table), ["pred", "tok"])

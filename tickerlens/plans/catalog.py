@@ -251,7 +251,8 @@ def _spikes(spark, sf_dir):
 def q_event_study(spark, sf_dir):
     """Forward returns after sentiment spikes, per horizon and sign."""
     return C.round_doubles(A.event_study(_spikes(spark, sf_dir),
-                                         driver.ticks(spark, sf_dir), C.HORIZONS))
+                                         driver.ticks(spark, sf_dir), C.HORIZONS,
+                                         cell_seconds=C.ASOF_CELL_SECONDS))
 
 
 # ------------------------------------------------------------ corpus ----
@@ -344,7 +345,12 @@ def q_macro_metrics(spark, sf_dir):
 
 
 def _trained(spark, sf_dir):
-    s = C.splits(spark, sf_dir)
+    # the split (several shuffles) feeds every ML pass: materialise it once
+    # with a reliable checkpoint in the shared checkpoint folder, which also
+    # cuts the lineage an executor loss would otherwise replay
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
+    s = C.splits(spark, sf_dir).checkpoint(eager=True)
     train = s.filter(F.col("split") == "train")
     val = s.filter(F.col("split") == "validation")
     return M.train_select(train, val), s

@@ -63,6 +63,7 @@ SPIKE_LOOKBACK = 5
 SPIKE_MIN_HISTORY = 2
 SPIKE_K = 1.0
 HORIZONS = (1, 4, 24)
+ASOF_CELL_SECONDS = 3600      # as-of join time cell (hot tickers span many)
 BACKLOG_LIMIT = 200
 # ---------------------------------------------------------------------------
 

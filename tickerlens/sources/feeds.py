@@ -70,10 +70,16 @@ def build_feed_pages(articles: DataFrame, page_size: int = PAGE_SIZE) -> DataFra
     articles per (ticker, batch_id), newest first, like a paged API.
 
     The group is bounded by ``page_size`` so ``collect_list`` never holds
-    more than one page; the rank window is per (ticker, batch_id)."""
-    w = Window.partitionBy("ticker", "batch_id").orderBy(
-        F.col("published_at").desc_nulls_last(), F.col("feed_rank"))
-    ranked = articles.withColumn("rk", F.row_number().over(w) - 1)
+    more than one page; the rank is computed per (ticker, batch_id, minute)
+    cell plus an offset, never as one window over a whole group."""
+    from ..operators.rank import distributed_rank
+    # rank newest first; cells = publish minute, so a hot (ticker, poll)
+    # group is ranked by many tasks; the (group, minute) offset table grows
+    # with the data and is left to the planner (not force-broadcast)
+    ranked = distributed_rank(
+        articles, ["ticker", "batch_id"], F.substring(F.col("published_at"), 1, 16),
+        [F.col("published_at").desc_nulls_last(), F.col("feed_rank")], out="rk",
+        cell_desc=True, broadcast_offsets=False)
     item = F.struct(F.col("title"), F.col("url"), F.col("published_at").alias("publishedAt"),
                     F.struct(F.col("source_name").alias("name")).alias("source"))
     pages = (ranked.groupBy("ticker", "ticker_pos", "batch_id",
