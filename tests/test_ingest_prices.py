@@ -69,3 +69,20 @@ def test_price_first_wins_golden(spark):
     assert math.isclose(recomputed[d2], math.log(12 / 10))
     last = ingest_prices(f1.unionByName(f2), policy="last_wins")
     assert {r.market_date: r.close for r in last.collect()}[d1] == 11.0
+
+
+def test_unpivot_wide_and_flat(spark):
+    from tickerlens.operators.prices import unpivot_prices
+    d = dt.date(2026, 5, 1)
+    wide = spark.createDataFrame([(d, 1.0, 2.0, 0.5, 1.5, 100.0, float("nan"), None, None, None, None)],
+                                 "date date, A_Open double, A_High double, A_Low double, A_Close double, "
+                                 "A_Volume double, B_Open double, B_High double, B_Low double, "
+                                 "B_Close double, B_Volume double")
+    rows = {r.ticker: r for r in unpivot_prices(wide, ["A", "B", "C"]).collect()}
+    assert set(rows) == {"A", "B"}            # C absent -> skipped
+    assert rows["A"].volume == 100 and rows["B"].open is None
+    flat = spark.createDataFrame([(d, 1.0, 2.0, 0.5, 1.5, 3.9)],
+                                 "date date, Open double, High double, Low double, Close double, Volume double")
+    assert [r.ticker for r in unpivot_prices(flat, ["A"]).collect()] == ["A"]
+    assert unpivot_prices(flat, ["A", "B"]).count() == 0
+    assert unpivot_prices(flat, ["A"]).first().volume == 3

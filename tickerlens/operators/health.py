@@ -47,3 +47,16 @@ def job_ledger(runs: DataFrame) -> DataFrame:
         F.when(failed, F.lit(0).cast("bigint")).otherwise(F.col("inserted")).alias("inserted"),
         F.when(failed, F.lit(0).cast("bigint")).otherwise(F.col("skipped")).alias("skipped"),
         "error")
+
+
+def health_card(summary: DataFrame) -> DataFrame:
+    """the status-card text of ``health_summary`` (counts with
+    thousands separators, newest values as text)."""
+    from ..functions.text import thousands
+    return summary.select(
+        thousands("total_headlines").alias("total_headlines"),
+        thousands("scored_headlines").alias("scored_headlines"),
+        thousands("unscored_headlines").alias("unscored_headlines"),
+        thousands("total_price_records").alias("total_price_records"),
+        F.coalesce(F.col("last_news_timestamp"), F.lit("None")).alias("last_news_timestamp"),
+        F.coalesce(F.col("last_price_date").cast("string"), F.lit("None")).alias("last_price_date"))

@@ -82,6 +82,16 @@ def unpivot_prices(wide: DataFrame, tickers: Sequence[str]) -> DataFrame:
     Tickers whose columns are absent are skipped; numeric guards F7/F8 are
     applied; rows whose close is NULL/NaN are dropped later by ``log_return``.
     """
+    if not any(f"{t}_Close" in wide.columns for t in tickers) and "Close" in wide.columns:
+        # Q20: a flat frame (no ticker level) belongs to the only configured
+        # ticker; with several tickers it cannot be attributed -> no rows
+        if len(tickers) == 1:
+            flat = ["Open", "High", "Low", "Close", "Volume"]
+            wide = wide.select("date", *[
+                (F.col(c) if c in wide.columns else F.lit(None).cast("double"))
+                .alias(f"{tickers[0]}_{c}") for c in flat])
+        else:
+            tickers = []
     present = [t for t in tickers if f"{t}_Close" in wide.columns]
     if not present:
         return wide.sparkSession.createDataFrame(

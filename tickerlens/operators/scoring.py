@@ -61,8 +61,9 @@ def decode_outputs(outputs: DataFrame, model_version: str) -> DataFrame:
 class Scorer(Protocol):
     """Pluggable model for ``score_in_pandas``.
 
-    ``load()`` runs once per Python worker; ``logits(texts)`` returns an
-    ``n x 3`` array-like for a batch of texts.  Decode stays in the JVM.
+    ``load()`` runs once per Python worker (cached under ``cache_key`` or the
+    class name); ``logits(texts)`` returns an ``n x 3`` array-like for a
+    batch of texts.  Decode stays in the JVM.
     """
 
     def load(self) -> None: ...
@@ -70,7 +71,7 @@ class Scorer(Protocol):
     def logits(self, texts: pd.Series): ...
 
 
-_LOADED: dict[int, object] = {}
+_LOADED: dict[str, object] = {}
 
 
 def score_in_pandas(df: DataFrame, scorer: Scorer, text: str = "headline",
@@ -80,7 +81,10 @@ def score_in_pandas(df: DataFrame, scorer: Scorer, text: str = "headline",
     ``spark.sql.execution.arrow.maxRecordsPerBatch`` is the forward batch;
     the scorer is loaded once per worker process and reused.  The output
     carries logits only; label and confidence are decoded natively."""
-    key = id(scorer)
+    # stable across task deserialisation, so a reused Python worker keeps
+    # the loaded model between tasks (``id()`` would change every task)
+    key = getattr(scorer, "cache_key", None) or \
+        f"{type(scorer).__module__}.{type(scorer).__qualname__}"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = _LOADED.get(key)

@@ -199,6 +199,13 @@ def q_health_summary(spark, sf_dir):
     return H.health_summary(C.scored_headlines(spark, sf_dir), C.stored_prices(spark, sf_dir))
 
 
+@register("health_card")
+def q_health_card(spark, sf_dir):
+    """the health counts as status-card text (thousands separators)."""
+    return H.health_card(H.health_summary(C.scored_headlines(spark, sf_dir),
+                                          C.stored_prices(spark, sf_dir)))
+
+
 @register("recent_headlines")
 def q_recent_headlines(spark, sf_dir):
     """10 newest stored headlines."""

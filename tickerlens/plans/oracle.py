@@ -172,6 +172,21 @@ FROM (SELECT count(*) AS total_headlines, count(l.sentiment_label) AS scored_hea
              arg_max_null(market_date, (fetch_ord, ticker, market_date)) AS last_price_date
       FROM sprices) p""")
 
+oracle("health_card", S.with_ctes(*SCORED, *STORED_PRICES) + """
+SELECT format('{:,}', h.total_headlines) AS total_headlines,
+       format('{:,}', h.scored_headlines) AS scored_headlines,
+       format('{:,}', h.total_headlines - h.scored_headlines) AS unscored_headlines,
+       format('{:,}', p.total_price_records) AS total_price_records,
+       coalesce(h.last_news_timestamp, 'None') AS last_news_timestamp,
+       coalesce(CAST(p.last_price_date AS VARCHAR), 'None') AS last_price_date
+FROM (SELECT count(*) AS total_headlines, count(l.sentiment_label) AS scored_headlines,
+             arg_max_null(s.raw_timestamp, (s.batch_id, s.ticker_pos, s.feed_rank))
+               AS last_news_timestamp
+      FROM stored s LEFT JOIN latest l ON l.headline_hash = s.headline_hash) h,
+     (SELECT count(*) AS total_price_records,
+             arg_max_null(market_date, (fetch_ord, ticker, market_date)) AS last_price_date
+      FROM sprices) p""")
+
 oracle("recent_headlines", S.with_ctes(S.ARTICLES, S.RECORDS, S.STORED) + """
 SELECT ticker, market_date, headline, source FROM stored
 ORDER BY batch_id DESC, ticker_pos DESC, feed_rank DESC LIMIT 10""")
