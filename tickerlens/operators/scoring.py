@@ -87,10 +87,14 @@ def score_in_pandas(df: DataFrame, scorer: Scorer, text: str = "headline",
         f"{type(scorer).__module__}.{type(scorer).__qualname__}"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = _LOADED.get(key)
+        # look the cache up on the imported module inside the worker: a
+        # module global referenced by this closure would be pickled by value
+        import importlib
+        cache = importlib.import_module(__name__)._LOADED
+        model = cache.get(key)
         if model is None:
             scorer.load()
-            _LOADED[key] = scorer
+            cache[key] = scorer
             model = scorer
         for pdf in batches:
             lg = model.logits(pdf[text].fillna(""))
