@@ -47,3 +47,30 @@ def test_dedup_is_partial_aggregate(spark):
 def test_topk_uses_window_group_limit(spark):
     p = plan(queries()["feed_topk"](spark, SF_SMALL))
     assert "WindowGroupLimit" in p
+
+
+SIDE_EFFECTS = ("stream_", "train_", "scoring_drain", "split_roundtrip")
+
+
+def _nodes(p):
+    """All physical nodes of a plan (the AQE wrapper is unwrapped)."""
+    if p.nodeName() == "AdaptiveSparkPlan":
+        p = p.inputPlan()
+    out, stack = [], [p]
+    while stack:
+        n = stack.pop()
+        out.append(n)
+        kids = n.children()
+        stack.extend(kids.apply(i) for i in range(kids.size()))
+    return out
+
+
+@pytest.mark.parametrize("name", sorted(k for k in queries() if not k.startswith(SIDE_EFFECTS)))
+def test_no_single_partition_window_or_pairs(spark, name):
+    """Every window is partitioned, and no plan pairs all rows of two sides."""
+    nodes = _nodes(queries()[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan())
+    names = [n.nodeName() for n in nodes]
+    assert "CartesianProduct" not in names and "BroadcastNestedLoopJoin" not in names, name
+    for n in nodes:
+        if n.nodeName() == "Window":
+            assert not n.partitionSpec().isEmpty(), (name, n.toString())

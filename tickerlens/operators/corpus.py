@@ -6,7 +6,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import LABELS, label_id, pct_bar, split_last, ustrip
@@ -58,48 +58,83 @@ def corpus_audit(lines: DataFrame, value: str = "value") -> DataFrame:
                  F.count_if(r.isNull()).alias("n_rows"))
 
 
+def _per_label(df: DataFrame, label: str, value: F.Column | None = None) -> DataFrame:
+    """One row holding ``c = array<struct<label, n>>`` sorted by label.
+
+    The array has one entry per class (the label map is fixed, so it is
+    bounded by the class count, never by the data); the counts behind it
+    come from a partial aggregate.  Per-class arithmetic over the whole set
+    (shares, quotas) then runs on that array with higher-order functions:
+    no window over an unpartitioned frame and no join."""
+    counts = df.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.agg(F.array_sort(F.collect_list(F.struct("label", "n"))).alias("c"))
+
+
+def _total(arr: F.Column, field: str) -> F.Column:
+    """Sum of ``field`` over an array of structs."""
+    return F.aggregate(arr, F.lit(0).cast("bigint"), lambda acc, x: acc + x[field])
+
+
 def class_distribution(df: DataFrame, label: str = "label") -> DataFrame:
     """A3: count and percentage per label (ascending), with a text bar."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    total = df.agg(F.count(F.lit(1)).alias("total"))
     names = F.array(*[F.lit(x.capitalize()) for x in LABELS])
-    pct = F.col("n") / F.col("total") * 100.0
-    return (counts.crossJoin(total)
-            .select(F.col(label).alias("label"), F.get(names, F.col(label)).alias("label_name"),
-                    "n", pct.alias("pct"), pct_bar(pct).alias("bar")))
-
-
-def _largest_remainder(counts: DataFrame, n_col: str, draws: F.Column, out: str) -> DataFrame:
-    """Quota per label: floor(draws * n_l / N) plus one for the labels with
-    the largest remainders (ties: lower label first) until ``draws`` is met.
-    ``counts`` has one row per label (tiny)."""
-    whole = Window.partitionBy(F.lit(1))
-    total = F.sum(n_col).over(whole)
-    cont = draws * F.col(n_col) / total
-    fl = F.floor(cont).cast("bigint")
-    c = counts.withColumn("_fl", fl).withColumn("_rem", cont - fl)
-    need = draws - F.sum("_fl").over(whole)
-    rk = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.col("_rem").desc(), "label"))
-    c = c.withColumn(out, F.col("_fl") + F.when(rk <= need, 1).otherwise(0))
-    return c.drop("_fl", "_rem")
+    per = _per_label(df, label).withColumn("_tot", _total(F.col("c"), "n"))
+    rows = per.select(F.inline(F.transform(
+        "c", lambda x: F.struct(x["label"].alias("label"), x["n"].alias("n"),
+                                (x["n"] / F.col("_tot") * 100.0).alias("pct")))))
+    return rows.select("label", F.get(names, F.col("label")).alias("label_name"),
+                       "n", "pct", pct_bar(F.col("pct")).alias("bar"))
+
+
+def _largest_remainder(one: DataFrame, w: list[F.Column], draws: F.Column, out: str) -> DataFrame:
+    """Quota per class for the weight columns ``w`` of the one-row frame
+    ``one``: floor(draws * w_i / W) plus one for the classes with the
+    largest remainders (ties: lower class first) until ``draws`` is met.
+    Absent classes (w_i = 0) take no share.  Adds ``{out}0..``.  Three
+    projections, so no large expression is inlined more than once."""
+    k = len(w)
+    total = sum(w[1:], w[0])
+    one = one.select("*", *[F.try_divide(draws.cast("double") * w[i], total).alias(f"_c{i}")
+                            for i in range(k)])
+    fl = [F.floor(F.col(f"_c{i}")).cast("bigint") for i in range(k)]
+    one = one.select("*", *[fl[i].alias(f"_f{i}") for i in range(k)],
+                     *[(F.col(f"_c{i}") - fl[i]).alias(f"_r{i}") for i in range(k)],
+                     (draws - sum(fl[1:], fl[0])).alias("_need"))
+    quotas = []
+    for i in range(k):
+        ri = F.col(f"_r{i}")
+        ahead = [F.when((w[j] > 0) & ((F.col(f"_r{j}") > ri) | ((F.col(f"_r{j}") == ri) & F.lit(j < i))), 1)
+                 .otherwise(0) for j in range(k) if j != i]
+        bonus = F.when((w[i] > 0) & (sum(ahead[1:], ahead[0]) < F.col("_need")), 1).otherwise(0)
+        quotas.append((F.col(f"_f{i}") + bonus).alias(f"{out}{i}"))
+    helpers = ["_need"] + [f"_{p}{i}" for p in "cfr" for i in range(k)]
+    return one.select(*[c for c in one.columns if c not in helpers], *quotas)
 
 
 def split_quotas(df: DataFrame, test_size: float = 0.30, second_test: float = 0.50,
                  label: str = "label") -> DataFrame:
     """Exact per-label split sizes: ``n_temp = ceil(test_size * n)``, then
     the temp block split with ``ceil(second_test * n_temp)`` for test.
-    Output: label, n, n_train, n_validation, n_test (one row per label)."""
-    counts = df.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    whole = Window.partitionBy(F.lit(1))
-    n_all = F.sum("n").over(whole)
-    n_temp = F.ceil(F.lit(test_size) * n_all)
-    q = _largest_remainder(counts, "n", n_all - n_temp, "n_train")
-    q = q.withColumn("temp", F.col("n") - F.col("n_train"))
-    n_temp2 = F.sum("temp").over(whole)
-    n_test2 = F.ceil(F.lit(second_test) * n_temp2)
-    q = _largest_remainder(q, "temp", n_temp2 - n_test2, "n_validation")
-    return q.select("label", "n", "n_train", "n_validation",
-                    (F.col("temp") - F.col("n_validation")).alias("n_test"))
+    Output: label, n, n_train, n_validation, n_test (one row per present
+    label).
+
+    The class set is the fixed label map, so the counts are one partial
+    aggregate with a conditional count per class (one row); the quota
+    arithmetic is scalar over that row and the result is unpivoted."""
+    k = len(LABELS)
+    one = df.agg(*[F.count_if(F.col(label) == i).alias(f"_n{i}") for i in range(k)])
+    n = [F.col(f"_n{i}") for i in range(k)]
+    n_all = sum(n[1:], n[0])
+    one = _largest_remainder(one, n, n_all - F.ceil(F.lit(test_size) * n_all), "_tr")
+    one = one.select("*", *[(F.col(f"_n{i}") - F.col(f"_tr{i}")).alias(f"_t{i}") for i in range(k)])
+    t = [F.col(f"_t{i}") for i in range(k)]
+    t_all = sum(t[1:], t[0])
+    one = _largest_remainder(one, t, t_all - F.ceil(F.lit(second_test) * t_all), "_va")
+    ltype = df.schema[label].dataType
+    rows = F.array(*[F.struct(F.lit(i).cast(ltype).alias("label"), F.col(f"_n{i}").alias("n"),
+                              F.col(f"_tr{i}").alias("n_train"), F.col(f"_va{i}").alias("n_validation"),
+                              (F.col(f"_t{i}") - F.col(f"_va{i}")).alias("n_test")) for i in range(k)])
+    return one.select(F.inline(rows)).filter(F.col("n") > 0)
 
 
 def stratified_split(df: DataFrame, seed: int = 42, test_size: float = 0.30,
@@ -114,10 +149,11 @@ def stratified_split(df: DataFrame, seed: int = 42, test_size: float = 0.30,
     small (label, cell) count table.  Deterministic for a fixed seed."""
     keys = [F.col(k) for k in key]
     h = F.xxhash64(F.lit(seed), F.coalesce(F.col("sentence"), F.lit("")), *keys)
-    # (label x 256 cells) offsets: bounded by the class count, broadcast
+    # offsets table: (label x 2^cells_bits) rows, bounded by the fixed label
+    # map and the cell parameter, never by the data -> safe to broadcast
     ranked = distributed_rank(df.withColumn("_h", h), [label],
                               F.shiftright(F.col("_h"), 64 - cells_bits),
-                              [F.col("_h"), *keys], out="_rank")
+                              [F.col("_h"), *keys], out="_rank", broadcast_offsets=True)
     q = split_quotas(df, test_size, second_test, label).select(
         F.col("label").alias(label), "n_train", "n_validation")
     out = ranked.join(F.broadcast(q), label)

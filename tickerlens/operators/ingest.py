@@ -86,8 +86,10 @@ def ingest_counts(batch: DataFrame, inserted: DataFrame) -> DataFrame:
     """One row (inserted, skipped) with skipped = input - inserted."""
     total = batch.agg(F.count(F.lit(1)).alias("n"))
     ins = inserted.agg(F.count(F.lit(1)).alias("inserted"))
-    return (total.crossJoin(ins)
-            .select(F.col("inserted"), (F.col("n") - F.col("inserted")).alias("skipped")))
+    # two one-row aggregates folded by a global aggregate (no join)
+    both = total.unionByName(ins, allowMissingColumns=True).agg(
+        F.max("n").alias("n"), F.max("inserted").alias("inserted"))
+    return both.select(F.col("inserted"), (F.col("n") - F.col("inserted")).alias("skipped"))
 
 
 def accounting_by_batch(records: DataFrame,

@@ -5,8 +5,11 @@ task; a group holding a third of the data is then one task.  Here the order
 is cut into *cells* by an expression that is monotone in the ordering (a
 hash prefix, a time bucket).  The rank is the ``row_number`` inside
 (group, cell) plus the number of rows in the group's earlier cells.  The
-offsets come from a (group, cell) count table, one row per cell, which is
-broadcast only when that table is small.
+offsets come from a (group, cell) count table, one row per cell.  That table
+is force-broadcast only when the caller vouches that the group domain is
+bounded by configuration (``broadcast_offsets=True``, e.g. class labels);
+otherwise it is a plain equi-join and AQE converts it to a broadcast join at
+run time only if the materialised table is under the broadcast threshold.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from pyspark.sql import functions as F
 
 def distributed_rank(df: DataFrame, group: Sequence[str], cell: Column,
                      order: Sequence[Column], out: str = "rank",
-                     cell_desc: bool = False, broadcast_offsets: bool = True) -> DataFrame:
+                     cell_desc: bool = False, broadcast_offsets: bool = False) -> DataFrame:
     """Add ``out`` = 0-based position of each row inside ``group`` by
     ``order``.  ``cell`` must be monotone with ``order`` (ascending, or
     descending with ``cell_desc=True``) and NULL cells sort last."""

@@ -29,6 +29,10 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # call-site capture for error messages costs two JVM round trips per
+        # Column operation while a plan is built; plans here are built from
+        # library code, so the capture is off
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", os.environ.get("TICKERLENS_DRIVER_MEMORY", "16g"))
     )
     spark = builder.getOrCreate()
@@ -40,8 +44,9 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster's setting always wins.  Only when it is unset (a bare local
-    test session) is a fresh scratch folder created and registered.
+    The cluster's setting always wins.  Only when it is unset and the master
+    is ``local[...]`` (tests, the bench) is a fresh scratch folder created and
+    registered; on a cluster an unset folder is an error.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
@@ -52,6 +57,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir() or configured
+    master = sc.master or ""
+    if not master.startswith("local"):
+        # a machine-local folder is not readable after an executor is lost
+        raise RuntimeError(
+            "spark.checkpoint.dir is not set: on a cluster it must name a shared "
+            "folder (e.g. on the cluster file system) before tickerlens cuts lineage")
     local = tempfile.mkdtemp(prefix="tickerlens-ckpt-")
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local
