@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from tickerlens.functions import (attention_keyword, clean_title, decode_logits,
                                   headline_hash, in_trading_hours, label_id,
                                   parse_iso_utc, safe_bigint, safe_double,
-                                  session_date, source_of, split_last, title_kept)
+                                  session_date, source_of, split_last, title_kept,
+                                  title_kept_raw)
 
 AS_OF = "2026-05-16"
 
@@ -70,6 +71,17 @@ def test_title_filter(spark):
     assert kept == ["Fed holds", "NBSP"]
 
 
+def test_raw_title_filter_equals_cleaned_filter(spark):
+    titles = [None, "", "   ", "[Removed]", " [REMOVED] ", "\u3000[removed]\u00a0", "[removed]x",
+              "x[removed]", "[removed] [removed]", "[ removed]", "\n\r\t", "\u2028[removed]\u2029",
+              "  Fed holds  ", " NBSP\u3000", "[remove]", "removed", "[REMOVED]\n"]
+    df = spark.createDataFrame([(t,) for t in titles], "t string")
+    rows = df.select("t", title_kept(clean_title("t")).alias("a"),
+                     title_kept_raw("t").alias("b")).collect()
+    for r in rows:
+        assert r.a == r.b, r.t
+
+
 def test_hash_strips_and_is_case_sensitive(spark):
     df = spark.createDataFrame([("X",), ("X ",), ("x",)], "h string")
     hs = [r[0] for r in df.select(headline_hash("h")).collect()]

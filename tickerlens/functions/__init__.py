@@ -5,7 +5,7 @@ from .model import (attention_keyword, decode_logits, keyword_without_stopwords,
 from .numeric import guarded_log_ratio, round6, safe_bigint, safe_double
 from .text import (LABELS, clean_title, headline_hash, label_id, label_text,
                    pct_bar, polarity, source_of, split_last, thousands,
-                   title_kept, url_netloc, ustrip)
+                   title_kept, title_kept_raw, url_netloc, ustrip)
 from .time import (days_from, in_trading_hours, iso_seconds_z, parse_iso_utc,
                    session_date, session_date_ts)
 
@@ -15,6 +15,6 @@ __all__ = [
     "keyword_without_stopwords", "label_id", "label_text", "mean_over_heads",
     "parse_iso_utc", "pct_bar", "polarity", "round6", "safe_bigint",
     "safe_double", "session_date", "session_date_ts", "source_of",
-    "split_last", "thousands", "title_kept", "url_netloc", "ustrip",
+    "split_last", "thousands", "title_kept", "title_kept_raw", "url_netloc", "ustrip",
     "word_tokens", "wordpiece_frame",
 ]

@@ -55,6 +55,19 @@ def title_kept(cleaned: Column | str) -> Column:
     return (t != F.lit("")) & (F.lower(t) != F.lit(REMOVED_TITLE))
 
 
+# A raw title that P1 drops: only whitespace, or '[removed]' (any ASCII case)
+# with whitespace around it.  \z is the true end of input.
+DROPPED_TITLE_PATTERN = rf"^{WS_CLASS}*(?i:\[removed\])?{WS_CLASS}*\z"
+
+
+def title_kept_raw(raw: Column | str) -> Column:
+    """P1 predicate on the *uncleaned* title, equal to
+    ``title_kept(clean_title(raw))``: the anchored pattern fails at the first
+    character that is neither whitespace nor part of '[removed]', so long
+    titles are not stripped or lower-cased just to be tested."""
+    return ~F.coalesce(_col(raw), F.lit("")).rlike(DROPPED_TITLE_PATTERN)
+
+
 def url_netloc(url: Column | str) -> Column:
     """Authority of a URL ('' when there is no '//' part)."""
     return F.regexp_extract(_col(url), NETLOC_PATTERN, 1)

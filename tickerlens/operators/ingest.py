@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_title, headline_hash, source_of, title_kept
+from ..functions.text import clean_title, headline_hash, source_of, title_kept_raw
 from ..functions.time import as_of_date, parse_iso_utc, session_date_ts
 
 ORDER_COLS = ["batch_id", "ticker_pos", "feed_rank"]
@@ -34,9 +34,11 @@ def headline_records(articles: DataFrame, as_of=None,
     t = clean_title("title")
     # parse once; the session date is derived from the parsed instant (a
     # projection referenced twice is not collapsed, so the parse runs once)
+    # the keep test reads the raw title (no strip inside the filter, which
+    # the optimizer would otherwise evaluate a second time below the project)
     parsed = (articles
+              .filter(title_kept_raw("title"))
               .withColumn("headline", t)
-              .filter(title_kept("headline"))
               .withColumn("published_ts", parse_iso_utc("published_at")))
     return parsed.select(
         "ticker", "headline",
