@@ -86,3 +86,19 @@ def test_unpivot_wide_and_flat(spark):
     assert [r.ticker for r in unpivot_prices(flat, ["A"]).collect()] == ["A"]
     assert unpivot_prices(flat, ["A", "B"]).count() == 0
     assert unpivot_prices(flat, ["A"]).first().volume == 3
+
+
+def test_stored_key_lookup_broadcasts_the_counted_batch(spark):
+    """The history is probed map-side with the broadcast batch keys when the
+    batch fits the threshold; without a count it is a shuffle join, and the
+    rows are the same either way."""
+    from tickerlens.operators.ingest import not_stored
+    hist = spark.range(0, 5000).selectExpr("sha2(cast(id as string), 256) AS headline_hash")
+    batch = spark.range(4990, 5010).selectExpr("sha2(cast(id as string), 256) AS headline_hash",
+                                               "id")
+    small = not_stored(batch, hist, ["headline_hash"], batch_rows=20)
+    plain = not_stored(batch, hist, ["headline_hash"])
+    p = small._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in p and "LeftSemi" in p
+    assert sorted(r.id for r in small.collect()) == list(range(5000, 5010))
+    assert sorted(r.id for r in plain.collect()) == list(range(5000, 5010))

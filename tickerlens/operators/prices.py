@@ -119,7 +119,7 @@ def unpivot_prices(wide: DataFrame, tickers: Sequence[str]) -> DataFrame:
 
 def ingest_prices(batch: DataFrame, existing: DataFrame | None = None,
                   policy: str = "first_wins",
-                  order: str = "fetch_ord") -> DataFrame:
+                  order: str = "fetch_ord", batch_rows: int | None = None) -> DataFrame:
     """New stored rows for a fetched batch.
 
     Unique key (ticker, market_date).  ``first_wins`` keeps the earliest
@@ -137,5 +137,6 @@ def ingest_prices(batch: DataFrame, existing: DataFrame | None = None,
                .agg(pick(F.struct(*payload), F.col(order)).alias("r"))
                .select(*keys, "r.*"))
     if existing is not None and policy == "first_wins":
-        winners = winners.join(existing.select(*keys), keys, "left_anti")
+        from .ingest import not_stored
+        winners = not_stored(winners, existing, keys, batch_rows)
     return winners
