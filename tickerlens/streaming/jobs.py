@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.ingest import headline_records, ingest_headlines, with_hash
+from ..operators.ingest import headline_records, ingest_headlines, not_stored, with_hash
 from ..operators.prices import ingest_prices, log_return
 from ..sources.feeds import FEED_SCHEMA, explode_articles
 
@@ -189,12 +189,17 @@ def scoring_batch(scores_path: str, scorer: Callable[[DataFrame], DataFrame]):
     def body(batch: DataFrame, batch_no: int) -> tuple[int, int]:
         spark = batch.sparkSession
         done = _read_or_none(spark, scores_path)
-        backlog = batch.select("headline_hash", "headline").dropDuplicates(["headline_hash"])
-        if done is not None:
-            backlog = backlog.join(done.filter(F.col("batch_no") != batch_no)
-                                   .select("headline_hash"), "headline_hash", "left_anti")
-        scored = scorer(backlog).withColumn("score_seq", F.lit(batch_no).cast("bigint"))
-        _write_batch(scored, scores_path, batch_no)
+        backlog = (batch.select("headline_hash", "headline").dropDuplicates(["headline_hash"])
+                   .persist(StorageLevel.MEMORY_AND_DISK))
+        try:
+            if done is not None:
+                # stored-score lookup sized by the counted batch (not_stored)
+                backlog = not_stored(backlog, done.filter(F.col("batch_no") != batch_no),
+                                     ["headline_hash"], batch_rows=backlog.count())
+            scored = scorer(backlog).withColumn("score_seq", F.lit(batch_no).cast("bigint"))
+            _write_batch(scored, scores_path, batch_no)
+        finally:
+            backlog.unpersist()
         n = spark.read.parquet(scores_path).filter(F.col("batch_no") == batch_no).count()
         return n, 0
     return body
