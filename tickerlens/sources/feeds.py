@@ -30,6 +30,9 @@ PAGE_SIZE = 20        # articles per ticker per request
 DAYS_BACK = 7         # request window
 LANGUAGE = "en"
 # ---------------------------------------------------------------------------
+# feed_rank values per rank cell for articles without a publish time (our
+# choice: bounds the rows one paging task ranks when times are missing)
+NULL_TIME_BUCKET = 4096
 
 
 def read_articles(spark: SparkSession, path: str) -> DataFrame:
@@ -76,8 +79,14 @@ def build_feed_pages(articles: DataFrame, page_size: int = PAGE_SIZE) -> DataFra
     # rank newest first; cells = publish minute, so a hot (ticker, poll)
     # group is ranked by many tasks; the (group, minute) offset table grows
     # with the data and is left to the planner (not force-broadcast)
+    # articles without a publish time sort last by feed_rank; they are cut
+    # into feed_rank buckets so that they are not one cell either.  The cell
+    # (minute, -bucket) in descending order is monotone with the sort order.
+    minute = F.substring(F.col("published_at"), 1, 16)
+    bucket = F.when(F.col("published_at").isNull(),
+                    -F.floor(F.col("feed_rank") / F.lit(NULL_TIME_BUCKET)))
     ranked = distributed_rank(
-        articles, ["ticker", "batch_id"], F.substring(F.col("published_at"), 1, 16),
+        articles, ["ticker", "batch_id"], F.struct(minute.alias("m"), bucket.alias("b")),
         [F.col("published_at").desc_nulls_last(), F.col("feed_rank")], out="rk",
         cell_desc=True, broadcast_offsets=False)
     item = F.struct(F.col("title"), F.col("url"), F.col("published_at").alias("publishedAt"),
