@@ -121,8 +121,13 @@ def split_quotas(df: DataFrame, test_size: float = 0.30, second_test: float = 0.
     The class set is the fixed label map, so the counts are one partial
     aggregate with a conditional count per class (one row); the quota
     arithmetic is scalar over that row and the result is unpivoted."""
+    one = df.agg(*[F.count_if(F.col(label) == i).alias(f"_n{i}") for i in range(len(LABELS))])
+    return _quotas(one, test_size, second_test, df.schema[label].dataType)
+
+
+def _quotas(one: DataFrame, test_size: float, second_test: float, ltype) -> DataFrame:
+    """``split_quotas`` from the one-row frame of class counts ``_n0..``."""
     k = len(LABELS)
-    one = df.agg(*[F.count_if(F.col(label) == i).alias(f"_n{i}") for i in range(k)])
     n = [F.col(f"_n{i}") for i in range(k)]
     n_all = sum(n[1:], n[0])
     one = _largest_remainder(one, n, n_all - F.ceil(F.lit(test_size) * n_all), "_tr")
@@ -130,7 +135,6 @@ def split_quotas(df: DataFrame, test_size: float = 0.30, second_test: float = 0.
     t = [F.col(f"_t{i}") for i in range(k)]
     t_all = sum(t[1:], t[0])
     one = _largest_remainder(one, t, t_all - F.ceil(F.lit(second_test) * t_all), "_va")
-    ltype = df.schema[label].dataType
     rows = F.array(*[F.struct(F.lit(i).cast(ltype).alias("label"), F.col(f"_n{i}").alias("n"),
                               F.col(f"_tr{i}").alias("n_train"), F.col(f"_va{i}").alias("n_validation"),
                               (F.col(f"_t{i}") - F.col(f"_va{i}")).alias("n_test")) for i in range(k)])
@@ -151,10 +155,16 @@ def stratified_split(df: DataFrame, seed: int = 42, test_size: float = 0.30,
     h = F.xxhash64(F.lit(seed), F.coalesce(F.col("sentence"), F.lit("")), *keys)
     # offsets table: (label x 2^cells_bits) rows, bounded by the fixed label
     # map and the cell parameter, never by the data -> safe to broadcast
-    ranked = distributed_rank(df.withColumn("_h", h), [label],
-                              F.shiftright(F.col("_h"), 64 - cells_bits),
-                              [F.col("_h"), *keys], out="_rank", broadcast_offsets=True)
-    q = split_quotas(df, test_size, second_test, label).select(
+    ranked, counts = distributed_rank(df.withColumn("_h", h), [label],
+                                      F.shiftright(F.col("_h"), 64 - cells_bits),
+                                      [F.col("_h"), *keys], out="_rank",
+                                      broadcast_offsets=True, with_counts=True)
+    # class totals from the rank's (label, cell) count table: no extra pass
+    # over the corpus
+    one = counts.agg(*[F.coalesce(F.sum(F.when(F.col(label) == i, F.col("_cn"))),
+                                  F.lit(0)).cast("bigint").alias(f"_n{i}")
+                       for i in range(len(LABELS))])
+    q = _quotas(one, test_size, second_test, df.schema[label].dataType).select(
         F.col("label").alias(label), "n_train", "n_validation")
     out = ranked.join(F.broadcast(q), label)
     split = (F.when(F.col("_rank") < F.col("n_train"), F.lit("train"))

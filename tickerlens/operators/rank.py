@@ -22,10 +22,16 @@ from pyspark.sql import functions as F
 
 def distributed_rank(df: DataFrame, group: Sequence[str], cell: Column,
                      order: Sequence[Column], out: str = "rank",
-                     cell_desc: bool = False, broadcast_offsets: bool = False) -> DataFrame:
+                     cell_desc: bool = False, broadcast_offsets: bool = False,
+                     with_counts: bool = False):
     """Add ``out`` = 0-based position of each row inside ``group`` by
     ``order``.  ``cell`` must be monotone with ``order`` (ascending, or
-    descending with ``cell_desc=True``) and NULL cells sort last."""
+    descending with ``cell_desc=True``) and NULL cells sort last.
+
+    With ``with_counts=True`` the (group, ``_cell``, ``_cn``) count table is
+    returned too, so a caller that needs per-group totals aggregates it
+    instead of reading ``df`` once more (the shared count exchange is then
+    reused by the planner)."""
     g = list(group)
     x = df.withColumn("_cell", cell)
     counts = x.groupBy(*g, "_cell").agg(F.count(F.lit(1)).alias("_cn"))
@@ -42,5 +48,6 @@ def distributed_rank(df: DataFrame, group: Sequence[str], cell: Column,
     renamed = offs.withColumnsRenamed({c: f"_o_{c}" for c in keys})
     # null-safe equality: a NULL cell (or group value) is a real cell here
     joined = ranked.join(renamed, [ranked[c].eqNullSafe(F.col(f"_o_{c}")) for c in keys])
-    return (joined.withColumn(out, F.col("_rn") + F.col("_off"))
-            .drop("_cell", "_rn", "_off", *[f"_o_{c}" for c in keys]))
+    result = (joined.withColumn(out, F.col("_rn") + F.col("_off"))
+              .drop("_cell", "_rn", "_off", *[f"_o_{c}" for c in keys]))
+    return (result, counts) if with_counts else result
