@@ -431,3 +431,19 @@ oracle("stream_prices", S.with_ctes(*STORED_PRICES) + f"""
 SELECT ticker, market_date, {S.r6('open')} AS open, {S.r6('high')} AS high,
        {S.r6('low')} AS low, {S.r6('close')} AS close, volume,
        {S.r6('daily_return')} AS daily_return, fetch_ord FROM sprices""")
+
+# stream = batch: every stored headline is scored once; the scorer decodes
+# the model outputs whose headline hash is stored (F11 label/confidence,
+# F12 keyword)
+oracle("stream_scoring", S.with_ctes(S.ARTICLES, S.RECORDS, S.STORED, MODEL) + f"""
+, kw AS ({_kw("")}),
+dec AS (
+  SELECT x.doc_id, {S.sha(f"coalesce({S.first_line('d.text')}, '')")} AS headline_hash,
+         {_NAMES}[x.pred + 1] AS sentiment_label, {S.r6('x.conf')} AS confidence
+  FROM (SELECT doc_id, CAST(list_position(logits, list_max(logits)) - 1 AS INTEGER) AS pred,
+               1.0 / list_sum(list_transform(logits, lambda v: exp(v - list_max(logits)))) AS conf
+        FROM mo) x
+  JOIN documents d ON d.doc_id = x.doc_id)
+SELECT dec.headline_hash, dec.sentiment_label, dec.confidence, kw.keyword AS attention_keyword
+FROM dec JOIN kw ON kw.doc_id = dec.doc_id
+WHERE dec.headline_hash IN (SELECT headline_hash FROM stored)""")
