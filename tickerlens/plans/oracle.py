@@ -447,3 +447,16 @@ dec AS (
 SELECT dec.headline_hash, dec.sentiment_label, dec.confidence, kw.keyword AS attention_keyword
 FROM dec JOIN kw ON kw.doc_id = dec.doc_id
 WHERE dec.headline_hash IN (SELECT headline_hash FROM stored)""")
+
+# ledger of the two availableNow runs of the headline stream (one micro-batch
+# each, split on the poll-slot cut): a run inserts the stored hashes whose
+# first arrival is in it and skips the rest of its records
+_RUN = f"CASE WHEN batch_id < {C.cut_slot()} THEN 0 ELSE 1 END"
+oracle("stream_ledger", S.with_ctes(S.ARTICLES, S.RECORDS, S.STORED) + f"""
+, seen AS (SELECT {_RUN} AS batch_no, count(*) AS n FROM records GROUP BY 1),
+won AS (SELECT {_RUN} AS batch_no, count(*) AS n FROM stored GROUP BY 1),
+runs AS (SELECT * FROM (VALUES (0), (1)) v(batch_no))
+SELECT 'news_job' AS job_name, CAST(coalesce(won.n, 0) AS BIGINT) AS inserted,
+       CAST(coalesce(seen.n, 0) - coalesce(won.n, 0) AS BIGINT) AS skipped,
+       CAST(NULL AS VARCHAR) AS error, CAST(runs.batch_no AS BIGINT) AS batch_no
+FROM runs LEFT JOIN seen USING (batch_no) LEFT JOIN won USING (batch_no)""")
