@@ -74,3 +74,16 @@ def test_no_single_partition_window_or_pairs(spark, name):
     for n in nodes:
         if n.nodeName() == "Window":
             assert not n.partitionSpec().isEmpty(), (name, n.toString())
+
+
+def test_plan_check_catches_single_partition_window_and_pairs(spark):
+    """Negative control for the check above."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+    df = spark.range(10)
+    bad = df.withColumn("r", F.row_number().over(Window.orderBy("id")))
+    wins = [n for n in _nodes(bad._jdf.queryExecution().executedPlan()) if n.nodeName() == "Window"]
+    assert wins and wins[0].partitionSpec().isEmpty()
+    pairs = df.crossJoin(spark.range(3).withColumnRenamed("id", "j"))
+    names = [n.nodeName() for n in _nodes(pairs._jdf.queryExecution().executedPlan())]
+    assert "BroadcastNestedLoopJoin" in names or "CartesianProduct" in names
