@@ -338,7 +338,7 @@ def q_keyword_stopwords(spark, sf_dir):
     """Attention keyword with stop words excluded."""
     o = driver.model_outputs(spark, sf_dir)
     return o.select("doc_id", keyword_without_stopwords(
-        "tokens", "attention", "length", C.stopwords()).alias("keyword"))
+        "tokens", "attention", "length", C.STOP_WORDS).alias("keyword"))
 
 
 @register("macro_metrics")

@@ -117,15 +117,10 @@ def splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stratified_split(corpus(spark, sf_dir), seed=42)
 
 
-def stopwords() -> list[str]:
-    """Spark's default English stop-word list, read from the MLlib jar that
-    ships with PySpark (no JVM needed, so the oracle can use it too)."""
-    import glob
-    import os
-    import zipfile
-
-    import pyspark
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-    with zipfile.ZipFile(jars[0]) as z:
-        text = z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode("utf-8")
-    return text.split()
+# Stop words of the keyword query (a query parameter, our choice).
+STOP_WORDS = (
+    "a about after again all also an and any are as at be been before but by can could did do "
+    "does for from had has have he her his how i if in into is it its may more most no not of on "
+    "or our out over she should so some such than that the their them then there these they this "
+    "to under up was we were what when where which while who will with would you your"
+).split()

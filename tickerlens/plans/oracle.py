@@ -395,7 +395,7 @@ oracle("attention_keyword", S.with_ctes(MODEL) + _kw(""))
 
 
 def _stop_sql() -> str:
-    words = ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(set(C.stopwords())))
+    words = ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(set(C.STOP_WORDS)))
     return f"WHERE NOT list_contains([{words}], lower(regexp_replace(tok, '^#+', '')))"
 
 
