@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .bpe import op9_byte_bpe
 from .quality_rules import OP8_SQL, op8_quality_rules
 
 QUERIES = {
+    "op9_byte_bpe": op9_byte_bpe,
     "op8_quality_rules": op8_quality_rules,
 }
 
