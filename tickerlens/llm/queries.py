@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from .bpe import op9_byte_bpe
+from .line_dedup import OP10_SQL, op10_line_dedup
 from .quality_rules import OP8_SQL, op8_quality_rules
 
 QUERIES = {
+    "op10_line_dedup": op10_line_dedup,
     "op9_byte_bpe": op9_byte_bpe,
     "op8_quality_rules": op8_quality_rules,
 }
 
 ORACLES = {
+    "op10_line_dedup": OP10_SQL,
     "op8_quality_rules": OP8_SQL,
 }
