@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from .bpe import op9_byte_bpe
+from .debruijn import OP3_SQL, op3_substring_dedup
 from .jaccard_orders import OP4_SQL, op4_ngram_jaccard
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .quality_rules import OP8_SQL, op8_quality_rules
 
 QUERIES = {
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op10_line_dedup": op10_line_dedup,
     "op9_byte_bpe": op9_byte_bpe,
@@ -15,6 +17,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_substring_dedup": OP3_SQL,
     "op4_ngram_jaccard": OP4_SQL,
     "op10_line_dedup": OP10_SQL,
     "op8_quality_rules": OP8_SQL,
