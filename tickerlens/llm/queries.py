@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from .bpe import op9_byte_bpe
 from .debruijn import OP3_SQL, op3_substring_dedup
+from .decontam import op7_decontamination
 from .jaccard_orders import OP4_SQL, op4_ngram_jaccard
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .quality_rules import OP8_SQL, op8_quality_rules
 
 QUERIES = {
+    "op7_decontamination": op7_decontamination,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op10_line_dedup": op10_line_dedup,
