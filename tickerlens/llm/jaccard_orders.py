@@ -215,20 +215,24 @@ def _maybe_linked(reps: DataFrame, pct: int) -> DataFrame:
     return _in_steps(rows, run, "id bigint").distinct()
 
 
+def _packed(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Replaces the text column by the packed shingle set."""
+    for b in batches:
+        at = b.schema.get_field_index("text")
+        packed = pa.array([S.shingle_set(t.as_py(), k).tobytes() for t in b.column(at)], pa.binary())
+        yield pa.RecordBatch.from_arrays(
+            [packed if c == at else b.column(c) for c in range(b.num_columns)],
+            names=["packed" if c == at else n for c, n in enumerate(b.schema.names)])
+
+
 def _sets(texts: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """The packed shingle sets of the named documents."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            packed = [S.shingle_set(t.as_py(), k).tobytes() for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())],
-                                             names=["id", "packed"])
-
     own = texts.join(ids, "id", "left_semi").dropDuplicates(["id"])
-    return stored(own.mapInArrow(run, "id bigint, packed binary"), "sets")
+    return own.mapInArrow(lambda b: _packed(b, k), "id bigint, packed binary")
 
 
-def _first_links(reps: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
-    """Spanning links inside the buckets of the first order."""
+def _first_links(reps: DataFrame, ids: DataFrame, texts: DataFrame, k: int, pct: int) -> DataFrame:
+    """Spanning links inside the buckets of the first order, among ``ids``."""
     def run(t: pa.Table) -> pa.Table:
         ids, n = t.column("id").to_numpy(), t.column("n").to_numpy().astype(np.int64)
         par = _matrix(t.column("parity"))
@@ -252,8 +256,11 @@ def _first_links(reps: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
                         b.append(ids[o])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    rows = reps.select("id", "n", "k0", "parity").join(sets, "id")
-    return _in_steps(_blocks(rows, "k0", GROUP_ROWS), run, "a bigint, b bigint")
+    rows = _blocks(reps.select("id", "n", "k0", "parity").join(ids, "id", "left_semi"), "k0", GROUP_ROWS)
+    rows = texts.join(stored(rows.select("id", "n", "k0", "bi", "bj", "grp", "parity"), "blocks"), "id")
+    sets = rows.mapInArrow(lambda b: _packed(b, k), "id bigint, packed binary, n int, k0 bigint, "
+                           "bi int, bj int, grp bigint, parity binary")
+    return _in_steps(sets, run, "a bigint, b bigint")
 
 
 def _met(r: int) -> str:
@@ -355,12 +362,11 @@ def link_classes(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     feats = stored(features(texts, k, pct, heavy), "shingles")
     first = feats.groupBy("s1", "s2").agg(F.min("id").alias("rep"))
     lead = first.select(F.col("rep").alias("id"))
-    reps = stored(feats.join(lead, "id", "left_semi").dropDuplicates(["id"]), "leads")
-    small = reps.drop("prefix", "s1", "s2")
-    sets = _sets(texts, stored(_maybe_linked(small, pct), "ids"), k)
-    links = stored(_first_links(small, sets, pct), "links")
+    small = stored(feats.drop("prefix", "s1", "s2").join(lead, "id", "left_semi")
+                   .dropDuplicates(["id"]), "leads")
+    links = stored(_first_links(small, stored(_maybe_linked(small, pct), "ids"), texts, k, pct), "links")
     ranked = _with_comp(small, links)
-    pairs = _prefix_pairs(reps, ranked, pct)
+    pairs = _prefix_pairs(feats, ranked, pct)
     for r in range(1, ORDERS):
         pairs = pairs.union(_other_bucket_pairs(ranked, r, pct))
     more = _check_pairs(stored(pairs.distinct(), "pairs"), ranked, texts, k, pct, heavy)
