@@ -8,8 +8,10 @@ from .decontam import op7_decontamination
 from .jaccard_orders import OP4_SQL, op4_ngram_jaccard
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .quality_rules import OP8_SQL, op8_quality_rules
+from .toxicity import op6_toxicity
 
 QUERIES = {
+    "op6_toxicity": op6_toxicity,
     "op7_decontamination": op7_decontamination,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_ngram_jaccard": op4_ngram_jaccard,
