@@ -11,6 +11,7 @@ from ..session import scratch_path
 
 # --- fixed values -----------------------------------------------------------
 WORD_GAP = r"[\x20\x09-\x0D]+"          # what separates words
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 GAP_CHARS = " \t\n\x0b\x0c\r"
 # ---------------------------------------------------------------------------
 
@@ -30,10 +31,17 @@ def words(text: Column | str) -> Column:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet below the session's shared checkpoint folder
     and read it back: lineage is cut, a lost executor costs nothing that was
-    written, and the planner sees the real size of the table."""
+    written, and the planner sees the real size of the table.  The shuffle
+    files of the write go when it ends (a session setting of Spark, put back
+    afterwards), so a job of many steps holds those of one step at a time."""
     spark = df.sparkSession
     path = scratch_path(spark, f"tickerlens-{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

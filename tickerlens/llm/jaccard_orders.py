@@ -370,7 +370,7 @@ def link_classes(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     for r in range(1, ORDERS):
         pairs = pairs.union(_other_bucket_pairs(ranked, r, pct))
     more = _check_pairs(stored(pairs.distinct(), "pairs"), ranked, texts, k, pct, heavy)
-    comp = components(links.union(more))
+    comp = components(links.union(stored(more, "links")))
     own = (feats.select("id", "n", "s1", "s2").join(first, ["s1", "s2"])
            .join(comp.toDF("rep", "c"), "rep", "left")
            .select("id", "n", F.coalesce("c", "rep").alias("c")).dropDuplicates(["id"]))
