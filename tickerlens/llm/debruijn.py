@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles as S
+from .common import stored
 
 # --- fixed values -----------------------------------------------------------
 ANCHOR_WORDS = 6              # words of an anchor gram (less than k)
@@ -66,10 +67,6 @@ def _signed(a: np.ndarray) -> pa.Array:
     return pa.array(a.view(np.int64))
 
 
-def _ints(x) -> np.ndarray:
-    return x.values.to_numpy(zero_copy_only=False) if x.is_valid else np.empty(0, np.int64)
-
-
 def _anchors(docs: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -87,26 +84,24 @@ def _anchors(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "mark bigint, doc bigint")
 
 
-def _pieces(marked: DataFrame, k: int) -> DataFrame:
-    """Path pieces of documents around their repeated anchors (``marks``)."""
+def _pieces(docs: DataFrame, k: int) -> DataFrame:
+    """All path pieces of documents."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list] = [[], [], [], [], []]
-            for i, t, m in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+            for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 got = _paths(t.as_py(), k)
                 if got is None:
                     continue
                 _, first, n, mark, piece = got
-                keep = np.isin(mark.view(np.int64), _ints(m))
-                for c, v in zip(out, (piece[keep].view(np.int64), mark[keep].view(np.int64),
-                                      np.full(int(keep.sum()), i, np.int64),
-                                      first[keep].astype(np.int32), n[keep].astype(np.int32)),
-                                strict=True):
+                for c, v in zip(out, (piece.view(np.int64), mark.view(np.int64),
+                                      np.full(len(n), i, np.int64),
+                                      first.astype(np.int32), n.astype(np.int32)), strict=True):
                     c.append(v)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out],
                                                  names=["piece", "mark", "doc", "at", "n"])
-    return marked.mapInArrow(run, "piece bigint, mark bigint, doc bigint, at int, n int")
+    return docs.mapInArrow(run, "piece bigint, mark bigint, doc bigint, at int, n int")
 
 
 def _opened(asked: DataFrame, k: int) -> DataFrame:
@@ -206,17 +201,17 @@ def repeated_spans(docs: DataFrame, k: int) -> DataFrame:
     with the digest of the words at the source coordinates."""
     anchors = _anchors(docs, k)
     shared = anchors.groupBy("mark").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
-    shared = shared.filter("lo < hi").select("mark")
-    marks = anchors.join(shared, "mark").groupBy("doc").agg(F.collect_list("mark").alias("marks"))
-    pieces = _pieces(docs.join(marks, "doc"), k)
+    shared = stored(shared.filter("lo < hi").select("mark"), "anchors")
+    pieces = stored(_pieces(docs, k).join(shared, "mark"), "pieces")
     source = pieces.groupBy("piece").agg(F.min(F.struct("doc", "at")).alias("s"),
                                          F.min("mark").alias("mark"), F.min("n").alias("n"))
+    source = stored(source, "sources")
     fans = source.groupBy("mark").agg(F.count("*").alias("fan"))
-    source = source.join(fans, "mark")
+    source = stored(source.join(fans, "mark").select("piece", "s", "n", "fan"), "fans")
     # edges of the pieces at branching anchors, each with its own source
     asked = source.filter("fan > 1").groupBy(F.col("s.doc").alias("doc")).agg(
         F.collect_list(F.struct(F.col("s.at").alias("at"), "n", "piece")).alias("q"))
-    edges = _opened(docs.join(asked, "doc"), k)
+    edges = stored(_opened(docs.join(asked, "doc"), k), "edges")
     edge_source = edges.groupBy("edge").agg(F.min(F.struct("doc", "at")).alias("s"))
     opened = (edges.join(edge_source, "edge").groupBy("piece")
               .agg(F.collect_list(F.struct("k", F.col("s.doc").alias("src"),
@@ -226,16 +221,18 @@ def repeated_spans(docs: DataFrame, k: int) -> DataFrame:
                                   F.col("s.doc").alias("src"), F.col("s.at").alias("sat"))).alias("es"))
     opened = opened.select("piece", F.transform("es", lambda e: F.struct(
         e["k"].alias("k"), F.lit(1).alias("n"), e["src"].alias("src"), e["sat"].alias("sat"))).alias("es"))
-    own = pieces.select("piece", "doc", "at").join(plain.union(opened), "piece")
+    table = stored(plain.union(opened), "edge-sources")
+    own = pieces.select("piece", "doc", "at").join(table, "piece")
     older = F.filter("es", lambda e: e["src"] < F.col("doc"))
     hits = own.select("doc", F.transform(older, lambda e: F.struct(
         (F.col("at") + e["k"]).alias("at"), e["n"].alias("n"), e["src"].alias("src"),
         e["sat"].alias("sat"))).alias("hs")).filter(F.size("hs") > 0)
     hits = hits.groupBy("doc").agg(F.flatten(F.collect_list("hs")).alias("hs"))
-    spans = _spans(hits, k)
+    spans = stored(_spans(hits, k), "spans")
     wanted = spans.select("src", "sat", "words").distinct().groupBy(F.col("src").alias("doc")).agg(
         F.collect_list(F.struct("sat", "words")).alias("q"))
-    return spans.join(_source_digests(docs.join(wanted, "doc")), ["src", "sat", "words"])
+    digests = stored(_source_digests(docs.join(wanted, "doc")), "digests")
+    return spans.join(digests, ["src", "sat", "words"])
 
 
 def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
@@ -244,8 +241,8 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     space, UTF-8 bytes) of every row of ``df``."""
     docs = df.select(F.col(id_col).cast("bigint").alias("doc"),
                      F.col(text_col).cast("string").cast("binary").alias("text"))
-    spans = repeated_spans(docs, k).distinct().groupBy("doc").agg(
-        F.collect_list(F.struct("at", "words", "digest")).alias("q"))
+    spans = stored(repeated_spans(docs, k).distinct().groupBy("doc").agg(
+        F.collect_list(F.struct("at", "words", "digest")).alias("q")), "removals")
     return _remove(docs.join(spans, "doc", "left")).withColumnRenamed("doc", id_col)
 
 
