@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op9_byte_bpe
+from .chat_prefs import OP5_SQL, op5_chat_preferences
 from .debruijn import OP3_SQL, op3_substring_dedup
 from .decontam import op7_decontamination
 from .jaccard_orders import OP4_SQL, op4_ngram_jaccard
@@ -11,6 +12,7 @@ from .quality_rules import OP8_SQL, op8_quality_rules
 from .toxicity import op6_toxicity
 
 QUERIES = {
+    "op5_chat_preferences": op5_chat_preferences,
     "op6_toxicity": op6_toxicity,
     "op7_decontamination": op7_decontamination,
     "op3_substring_dedup": op3_substring_dedup,
@@ -21,6 +23,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op5_chat_preferences": OP5_SQL,
     "op3_substring_dedup": OP3_SQL,
     "op4_ngram_jaccard": OP4_SQL,
     "op10_line_dedup": OP10_SQL,
