@@ -6,12 +6,14 @@ from .bpe import op9_byte_bpe
 from .chat_prefs import OP5_SQL, op5_chat_preferences
 from .debruijn import OP3_SQL, op3_substring_dedup
 from .decontam import op7_decontamination
+from .html_wrapper import op1_html_wrapper
 from .jaccard_orders import OP4_SQL, op4_ngram_jaccard
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .quality_rules import OP8_SQL, op8_quality_rules
 from .toxicity import op6_toxicity
 
 QUERIES = {
+    "op1_html_wrapper": op1_html_wrapper,
     "op5_chat_preferences": op5_chat_preferences,
     "op6_toxicity": op6_toxicity,
     "op7_decontamination": op7_decontamination,
