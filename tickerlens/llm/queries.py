@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op9_byte_bpe
 from .chat_prefs import OP5_SQL, op5_chat_preferences
+from .cotrain import op2_cotraining
 from .debruijn import OP3_SQL, op3_substring_dedup
 from .decontam import op7_decontamination
 from .html_wrapper import op1_html_wrapper
@@ -13,6 +14,7 @@ from .quality_rules import OP8_SQL, op8_quality_rules
 from .toxicity import op6_toxicity
 
 QUERIES = {
+    "op2_cotraining": op2_cotraining,
     "op1_html_wrapper": op1_html_wrapper,
     "op5_chat_preferences": op5_chat_preferences,
     "op6_toxicity": op6_toxicity,
