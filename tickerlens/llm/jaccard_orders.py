@@ -9,7 +9,7 @@ are used together:
    exact copies costs one row from there on.
 2. Representatives whose first token agrees under an order meet in a bucket.
    A bucket is cut into blocks of bounded size, and inside a block a pair is
-   looked at only if its sizes and a 512-bit parity sketch allow the
+   looked at only if its sizes and their parity sketches allow the
    similarity (toggled bits are a lower bound of the symmetric difference, so
    nothing is lost) and its sets are not connected already.  Only spanning
    links leave a task, never all pairs of a bucket.
@@ -40,7 +40,7 @@ from .components import components
 
 # --- fixed values -----------------------------------------------------------
 ORDERS = 4                    # global orders under which sets meet
-PARITY_WORDS = 8              # 64-bit words of the parity sketch
+PARITY_BITS = 512             # least size of a parity sketch (a power of two)
 BLOCK = 512                   # sets of a bucket compared in one task step
 GROUP_ROWS = 1500             # rows that share one task step, about
 HEAVY_SHARE = 0.005           # a token in more documents counts as frequent
@@ -108,8 +108,47 @@ def _prefix(u: np.ndarray, heavy: np.ndarray, order: int, pct: int) -> np.ndarra
 
 
 def _parity(u: np.ndarray) -> bytes:
-    bits = (S.mix(u, 99) % np.uint64(PARITY_WORDS * 64)).astype(np.int64)
-    return np.packbits((np.bincount(bits, minlength=PARITY_WORDS * 64) & 1).astype(np.uint8)).tobytes()
+    """Parity of the tokens in every cell of a hash table with at least as
+    many cells as tokens.  Sizes are powers of two, so XOR of its halves turns
+    a sketch into the one of half the size."""
+    bits = max(PARITY_BITS, 1 << (len(u) - 1).bit_length())
+    cell = (S.mix(u, 99) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(cell, minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+class _Sketches:
+    """Parity sketches of a task step, by size, and their folded forms."""
+
+    def __init__(self, packed: list[bytes]):
+        self.size = np.array([len(x) for x in packed], np.int64)
+        self.row = np.zeros(len(packed), np.int64)
+        self.by: dict[tuple[int, int], np.ndarray] = {}
+        for c in np.unique(self.size):
+            at = np.flatnonzero(self.size == c)
+            self.row[at] = np.arange(len(at))
+            self.by[int(c), int(c)] = np.frombuffer(
+                b"".join([packed[k] for k in at]), np.uint64).reshape(len(at), -1)
+
+    def folded(self, size: int, to: int) -> np.ndarray:
+        got = self.by.get((size, to))
+        if got is None:
+            big = self.folded(size, to * 2)
+            half = big.shape[1] // 2
+            got = self.by[size, to] = big[:, :half] ^ big[:, half:]
+        return got
+
+    def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Lower bound of the symmetric difference of the sets i[k] and j[k]."""
+        i, j = np.broadcast_arrays(i, j)
+        out = np.zeros(len(j), np.int64)
+        classes = self.size[i] * (1 << 32) + self.size[j]
+        for c in np.unique(classes):
+            at = np.flatnonzero(classes == c)
+            a, b = int(c) >> 32, int(c) & 0xFFFFFFFF
+            to = min(a, b)
+            x = self.folded(a, to)[self.row[i[at]]] ^ self.folded(b, to)[self.row[j[at]]]
+            out[at] = np.bitwise_count(x).sum(axis=1, dtype=np.int64)
+        return out
 
 
 def features(texts: DataFrame, k: int, pct: int, heavy: np.ndarray) -> DataFrame:
@@ -179,18 +218,13 @@ def _buckets(t: pa.Table, key: str) -> Iterator[np.ndarray]:
             yield part
 
 
-def _matrix(col) -> np.ndarray:
-    return np.frombuffer(b"".join(col.to_pylist()), np.uint64).reshape(-1, PARITY_WORDS)
-
-
-def _near(i: int, idx: np.ndarray, n: np.ndarray, par: np.ndarray, pct: int) -> np.ndarray:
+def _near(i: int, idx: np.ndarray, n: np.ndarray, par: _Sketches, pct: int) -> np.ndarray:
     """Members after position i of a bucket whose size and parity allow a link."""
     rest = idx[i + 1:]
     a, b = n[idx[i]], n[rest]
     ok = (np.maximum(a, b) * pct <= 100 * np.minimum(a, b))
     rest = rest[ok]
-    d = np.bitwise_count(par[rest] ^ par[idx[i]]).sum(axis=1, dtype=np.int64)
-    return rest[d <= _most_apart(a, n[rest], pct)]
+    return rest[par.apart(idx[i], rest) <= _most_apart(a, n[rest], pct)] if len(rest) else rest
 
 
 def _in_steps(df: DataFrame, fn, schema: str) -> DataFrame:
@@ -201,7 +235,7 @@ def _maybe_linked(reps: DataFrame, pct: int) -> DataFrame:
     """Ids that have a possible partner in a bucket of the first order."""
     def run(t: pa.Table) -> pa.Table:
         ids, n = t.column("id").to_numpy(), t.column("n").to_numpy().astype(np.int64)
-        par, out = _matrix(t.column("parity")), []
+        par, out = _Sketches(t.column("parity").to_pylist()), []
         for idx in _buckets(t, "k0"):
             for i in range(len(idx) - 1):
                 near = _near(i, idx, n, par, pct)
@@ -235,7 +269,7 @@ def _first_links(reps: DataFrame, ids: DataFrame, texts: DataFrame, k: int, pct:
     """Spanning links inside the buckets of the first order, among ``ids``."""
     def run(t: pa.Table) -> pa.Table:
         ids, n = t.column("id").to_numpy(), t.column("n").to_numpy().astype(np.int64)
-        par = _matrix(t.column("parity"))
+        par = _Sketches(t.column("parity").to_pylist())
         packed = [np.frombuffer(x, np.uint64) for x in t.column("packed").to_pylist()]
         a, b = [], []
         for idx in _buckets(t, "k0"):
@@ -275,7 +309,7 @@ def _other_bucket_pairs(reps: DataFrame, r: int, pct: int) -> DataFrame:
 
     def run(t: pa.Table) -> pa.Table:
         ids, n = t.column("id").to_numpy(), t.column("n").to_numpy().astype(np.int64)
-        comp, par = t.column("comp").to_numpy(), _matrix(t.column("parity"))
+        comp, par = t.column("comp").to_numpy(), _Sketches(t.column("parity").to_pylist())
         ks = [t.column(c).to_numpy() for c in keys[:-1]]
         a, b = [], []
         for idx in _buckets(t, keys[-1]):
@@ -321,7 +355,8 @@ def _check_pairs(pairs: DataFrame, reps: DataFrame, texts: DataFrame, k: int, pc
             if not t.num_rows:
                 continue
             na, nb = (t.column(c).to_numpy().astype(np.int64) for c in ("na", "nb"))
-            d = np.bitwise_count(_matrix(t.column("pa")) ^ _matrix(t.column("pb"))).sum(axis=1, dtype=np.int64)
+            par, m = _Sketches(t.column("pa").to_pylist() + t.column("pb").to_pylist()), t.num_rows
+            d = par.apart(np.arange(m), np.arange(m, 2 * m))
             ok = pa.array(d <= _most_apart(na, nb, pct))
             yield t.select(["a", "b"]).filter(ok)
 
