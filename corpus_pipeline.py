@@ -1,27 +1,79 @@
-"""Corpus pipeline: five stages, each written as Parquet and read again."""
+"""Corpus pipeline: five stages over ``documents``, each written as Parquet
+and read again as the next one's input.
+
+Every stage takes (spark, docs, sf_dir), works on all its predecessor kept and
+returns the columns of ``documents``; the last one adds the token ids.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickerlens.llm.bpe import encode_decode, n_ids
 from tickerlens.llm.common import stored, table
+from tickerlens.llm.decontam import benchmark_leaks
+from tickerlens.llm.jaccard_orders import link_classes
+from tickerlens.llm.line_dedup import drop_site_lines
 from tickerlens.llm.quality_rules import quality_cascade
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects."""
-    return quality_cascade(docs, kept_col="__kept").filter("__kept").select(
+    return quality_cascade(docs, kept_col="__kept", kept_only=True).select(
+        *[F.col(f"`{c}`") for c in docs.columns])
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the boilerplate lines of their source; ``n_chars`` of a
+    changed text is counted anew."""
+    out = drop_site_lines(docs, F.col("source"), dropped_col="__dropped")
+    n = F.when(F.col("__dropped") > 0, F.length("text")).otherwise(F.col("n_chars"))
+    return out.withColumn("n_chars", n.cast(docs.schema["n_chars"].dataType)).select(
         *[F.col(f"`{c}`") for c in docs.columns])
 
 
-STAGES = [("quality rules", quality)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every class of near duplicates (five-word shingles,
+    Jaccard 0.8 or more): the one with the smallest id."""
+    classes = link_classes(docs.select("doc_id", "text"), k=5, pct=80)
+    gone = stored(classes.filter("component_id < doc_id").select("doc_id").distinct(), "duplicates")
+    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    leaks = benchmark_leaks(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    gone = stored(leaks.select("doc_id").distinct(), "leaks")
+    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every text as byte-level BPE ids (packed, 4 bytes each), their number
+    and whether they decode to the text."""
+    coded = encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                          public_tokenizers.PATTERN, decoded_col="__decoded")
+    same = F.col("__decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    return coded.withColumns({"n_tokens": n_ids("ids"), "round_trip": same}).drop("__decoded")
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("line dedup", line_dedup),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("byte-level BPE", tokens),
+]
+
+# Edit distance over windows and BPE merges are not expressible in SQL; the
+# stages are tested against brute force in tests/llm.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = stored(docs, f"pipeline-{k}")

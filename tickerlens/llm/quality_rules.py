@@ -172,8 +172,9 @@ def rule_order(df: DataFrame, rules: Sequence[Rule] = RULES, *, text_col: str =
 
 def quality_cascade(df: DataFrame, rules: Sequence[Rule] = RULES, *, text_col: str = "text",
                     order: Sequence[Rule] | None = None, with_stats: Sequence[str] = (),
-                    kept_col: str = "kept", failed_col: str | None = None) -> DataFrame:
-    """``df`` plus ``kept_col`` (no rule rejects) and, if named, the first
+                    kept_col: str = "kept", failed_col: str | None = None,
+                    kept_only: bool = False) -> DataFrame:
+    """``df`` (with ``kept_only`` its kept rows) plus ``kept_col`` (no rule rejects) and, if named, the first
     rule of the cascade that rejects (NULL when kept) and the statistics of
     ``with_stats`` for every row (else they are computed only while alive)."""
     if order is None:
@@ -195,7 +196,13 @@ def quality_cascade(df: DataFrame, rules: Sequence[Rule] = RULES, *, text_col: s
     out.append(alive.alias(kept_col))
     if failed_col:
         out.append(F.col(st.alive).alias(failed_col))
-    return st.df.select(*out)
+    if not kept_only:
+        return st.df.select(*out)
+    # a row number beside the verdict keeps the optimizer from copying the
+    # statistics' expressions into the filter again and again
+    row, = hidden(st.df, "row")
+    judged = st.df.withColumn(row, F.monotonically_increasing_id())
+    return judged.filter(alive & (F.col(row) >= 0)).select(*out)
 
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
