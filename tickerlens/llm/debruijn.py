@@ -42,7 +42,8 @@ from . import shingles as S
 from .common import stored
 
 # --- fixed values -----------------------------------------------------------
-ANCHOR_WORDS = 6              # words of an anchor gram (less than k)
+ANCHOR_WORDS = 5              # words of an anchor gram (less than k)
+LOW = np.uint64((1 << 28) - 1)  # position bits of an anchor choice
 # ---------------------------------------------------------------------------
 
 
@@ -52,10 +53,16 @@ def _paths(text: bytes | None, k: int):
     wh = S.word_hashes(S.split_words(text))
     if len(wh) < k:
         return None
-    edges = S.window_hashes(wh, k)
-    grams = S.window_hashes(wh, min(ANCHOR_WORDS, k - 1))
-    at = (np.lib.stride_tricks.sliding_window_view(grams, len(grams) - len(edges) + 1).argmin(axis=1)
-          + np.arange(len(edges)))
+    edges, grams = S.window_hashes(wh, k, min(ANCHOR_WORDS, k - 1))
+    # least gram inside each edge, the leftmost of equal ones: hash bits above,
+    # position below, and a sliding minimum by doubling
+    at = (grams & ~LOW) | np.arange(len(grams), dtype=np.uint64)
+    width, have = len(grams) - len(edges) + 1, 1
+    while have < width:
+        step = min(have, width - have)
+        at = np.minimum(at[:len(at) - step], at[step:])
+        have += step
+    at = (at & LOW).astype(np.int64)
     first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
     n = np.diff(np.append(first, len(edges)))
     # a piece has fewer than k edges, so its first and last edge cover its words
@@ -110,7 +117,7 @@ def _opened(asked: DataFrame, k: int) -> DataFrame:
         for b in batches:
             out: list[list] = [[], [], [], [], []]
             for i, t, q in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
-                edges = S.window_hashes(S.word_hashes(S.split_words(t.as_py())), k)
+                edges, = S.window_hashes(S.word_hashes(S.split_words(t.as_py())), k)
                 for x in q:
                     at, n = x["at"], x["n"]
                     out[0].append(edges[at:at + n].view(np.int64))
@@ -126,7 +133,7 @@ def _opened(asked: DataFrame, k: int) -> DataFrame:
 
 def _spans(hits: DataFrame, k: int) -> DataFrame:
     """Long spans of a document: runs of edges whose source coordinates run
-    along, as (doc, at, words, src_doc, src_at)."""
+    along, as (doc, src, sat, words) with all first words ``ats``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list] = [[], [], [], [], []]
@@ -140,15 +147,19 @@ def _spans(hits: DataFrame, k: int) -> DataFrame:
                                       | (at[1:] > at[:-1] + n[:-1])))
                 first = np.flatnonzero(new)
                 last = np.append(first[1:], len(at)) - 1
-                for c, x in zip(out, (np.full(len(first), doc), at[first],
-                                      at[last] + n[last] - at[first] + k - 1, src[first], sat[first]),
-                                strict=True):
-                    c.append(x)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(c).astype(np.int64)) for c in out],
-                    names=["doc", "at", "words", "src", "sat"])
-    return hits.mapInArrow(run, "doc bigint, at bigint, words bigint, src bigint, sat bigint")
+                same: dict[tuple[int, int, int], list[int]] = {}
+                for x in zip(src[first].tolist(), sat[first].tolist(),
+                             (at[last] + n[last] - at[first] + k - 1).tolist(),
+                             at[first].tolist(), strict=True):
+                    same.setdefault(x[:3], []).append(x[3])
+                for (a, b_, c), ats in same.items():
+                    for col, x in zip(out, (doc, a, b_, c, ats), strict=True):
+                        col.append(x)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(out, (*[pa.int64()] * 4, pa.list_(pa.int64())),
+                                                strict=True)],
+                names=["doc", "src", "sat", "words", "ats"])
+    return hits.mapInArrow(run, "doc bigint, src bigint, sat bigint, words bigint, ats array<bigint>")
 
 
 def _digest(ws: list[bytes], at: int, n: int) -> bytes:
@@ -183,8 +194,9 @@ def _remove(docs: DataFrame) -> DataFrame:
                 if q:
                     gone = np.zeros(len(ws) + 1, bool)
                     for x in q:
-                        if _digest(ws, x["at"], x["words"]) == x["digest"]:
-                            gone[x["at"]:x["at"] + x["words"]] = True
+                        for at in x["ats"]:
+                            if _digest(ws, at, x["words"]) == x["digest"]:
+                                gone[at:at + x["words"]] = True
                     kept = [w for w, g in zip(ws, gone.tolist(), strict=False) if not g]
                 for c, v in zip(out, (i, len(ws), len(ws) - len(kept), b" ".join(kept)), strict=True):
                     c.append(v)
@@ -196,7 +208,7 @@ def _remove(docs: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, k: int) -> DataFrame:
-    """doc, at, words, src, sat, digest: spans of ``docs(doc, text)`` whose
+    """src, sat, words, doc, ats, digest: spans of ``docs(doc, text)`` whose
     every run of ``k`` words also starts in a document with a smaller id,
     with the digest of the words at the source coordinates."""
     anchors = _anchors(docs, k)
@@ -241,8 +253,8 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     space, UTF-8 bytes) of every row of ``df``."""
     docs = df.select(F.col(id_col).cast("bigint").alias("doc"),
                      F.col(text_col).cast("string").cast("binary").alias("text"))
-    spans = stored(repeated_spans(docs, k).distinct().groupBy("doc").agg(
-        F.collect_list(F.struct("at", "words", "digest")).alias("q")), "removals")
+    spans = stored(repeated_spans(docs, k).groupBy("doc").agg(
+        F.collect_list(F.struct("ats", "words", "digest")).alias("q")), "removals")
     return _remove(docs.join(spans, "doc", "left")).withColumnRenamed("doc", id_col)
 
 

@@ -44,16 +44,34 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def window_hashes(wh: np.ndarray, k: int) -> np.ndarray:
-    """Hash of every run of ``k`` words (ordered, 64 bits)."""
-    n = len(wh) - k + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    acc = wh[:n].copy()
-    for j in range(1, k):
-        acc = acc * STEP + wh[j:j + n]
-        acc ^= acc >> np.uint64(29)
-    return mix(acc)
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = a * STEP + b
+    x ^= x >> np.uint64(29)
+    return x
+
+
+def window_hashes(wh: np.ndarray, *ks: int) -> list[np.ndarray]:
+    """Hash of every run of ``k`` words (ordered, 64 bits) for each ``k``,
+    put together from runs of 1, 2, 4, ... words."""
+    runs = {1: wh}
+    while max(runs) * 2 <= max(ks):
+        k = max(runs)
+        r = runs[k]
+        runs[2 * k] = _joined(r[:max(0, len(r) - k)], r[k:])
+    out = []
+    for k in ks:
+        n = len(wh) - k + 1
+        if n <= 0:
+            out.append(np.empty(0, np.uint64))
+            continue
+        acc, at = None, 0
+        for p in sorted(runs, reverse=True):
+            if k & p:
+                r = runs[p][at:at + n]
+                acc = r if acc is None else _joined(acc, r)
+                at += p
+        out.append(mix(acc, k))
+    return out
 
 
 def shingle_set(text: bytes | None, k: int, lower: bool = True) -> np.ndarray:
@@ -64,7 +82,7 @@ def shingle_set(text: bytes | None, k: int, lower: bool = True) -> np.ndarray:
         return np.empty(0, np.uint64)
     if len(ws) < k:
         return np.array([xxhash.xxh3_64_intdigest(b" ".join(ws), seed=k)], np.uint64)
-    return np.unique(window_hashes(word_hashes(ws), k))
+    return np.unique(window_hashes(word_hashes(ws), k)[0])
 
 
 def signed(x: int) -> int:
