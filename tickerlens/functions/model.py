@@ -92,10 +92,10 @@ def word_tokens(text: Column | str) -> Column:
     return F.filter(parts, lambda t: F.length(t) >= 1)
 
 
-def wordpiece_frame(text: Column | str, max_len: int) -> tuple[Column, Column]:
+def wordpiece_frame(words: Column, max_len: int) -> tuple[Column, Column]:
     """Tokens ``[CLS] w1 .. wk [SEP]`` padded with [PAD] to ``max_len`` and the
-    unpadded length, the layout a sequence classifier sees."""
-    words = F.slice(word_tokens(text), 1, max_len - 2)
+    unpadded length, the layout a sequence classifier sees; ``words`` are the
+    at most ``max_len - 2`` tokens of one window."""
     toks = F.concat(F.array(F.lit(CLS)), words, F.array(F.lit(SEP)))
     length = F.size(toks)
     padded = F.concat(toks, F.array_repeat(F.lit(PAD), F.lit(max_len) - length))

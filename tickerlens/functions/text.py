@@ -119,7 +119,7 @@ def polarity(label: Column | str) -> Column:
 def split_last(c: Column | str, delim: str = "@") -> tuple[Column, Column]:
     """split on the last delimiter -> (before, after); NULLs if absent."""
     d = delim.replace("\\", "\\\\")
-    pattern = rf"^(.*){d}([^{d}]*)$"
+    pattern = rf"(?s)^(.*){d}([^{d}]*)\z"       # any character may stand before the delimiter
     x = _col(c)
     has = x.contains(delim)
     return (F.when(has, F.regexp_extract(x, pattern, 1)),

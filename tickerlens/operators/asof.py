@@ -4,9 +4,11 @@ Spark has no public as-of join, and a bare range join is quadratic.  This is
 the union form, made skew-safe by cutting time into cells:
 
 1. probes and ticks are unioned and windowed per (key, cell), ordered by
-   (time, side, tie); the first tick row at or after each probe is
-   ``first(..., ignorenulls)`` over ``current row .. unbounded following``.
-   A hot key is spread over many (key, cell) tasks.
+   (time, side, tie) from the latest row down; the first tick row at or after
+   each probe is ``last(..., ignorenulls)`` over ``unbounded preceding ..
+   current row``, a running frame that costs one step per row.  Only ticks of
+   cells that hold a probe are windowed.  A hot key is spread over many
+   (key, cell) tasks.
 2. probes whose cell holds no later tick take the first tick of the next
    non-empty cell, found on a one-row-per-(key, cell) table (small) built
    from the probes' own cells, so step 1 is computed once.
@@ -47,38 +49,38 @@ def asof_forward(probes: DataFrame, ticks: DataFrame, key: str, probe_time: str,
         F.lit(1).alias("_side"), F.col(tick_tie).cast("long").alias("_tie"),
         F.col(value).cast("double").alias("_v"),
         F.lit(None).cast(p.schema["_probe"].dataType).alias("_probe"))
-    u = p.unionByName(t).withColumn("_cell", time_cell(F.col("_t"), cell_seconds))
+    p = p.withColumn("_cell", time_cell(F.col("_t"), cell_seconds))
+    t = t.withColumn("_cell", time_cell(F.col("_t"), cell_seconds))
+    probed = p.select("_k", "_cell").distinct()
+    u = p.unionByName(t.join(probed, ["_k", "_cell"], "left_semi").select(*p.columns))
 
     tick_struct = F.when(F.col("_side") == 1, F.struct(
         F.col("_t").alias("match_time"), F.col("_tie").alias("match_id"),
         F.col("_v").alias("match_value")))
-    w = (Window.partitionBy("_k", "_cell").orderBy("_t", "_side", "_tie")
-         .rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    in_cell = (u.withColumn("_m", F.first(tick_struct, ignorenulls=True).over(w))
+    w = (Window.partitionBy("_k", "_cell")
+         .orderBy(F.desc("_t"), F.desc("_side"), F.desc("_tie"))
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    in_cell = (u.withColumn("_m", F.last(tick_struct, ignorenulls=True).over(w))
                .filter(F.col("_side") == 0)
                .select("_k", "_cell", "_probe", "_m"))
 
     # first tick of every non-empty cell (one row per key and cell)
-    cell_first = (t.withColumn("_cell", time_cell(F.col("_t"), cell_seconds))
-                  .groupBy("_k", "_cell")
+    cell_first = (t.groupBy("_k", "_cell")
                   .agg(F.min_by(F.struct(F.col("_t").alias("match_time"),
                                          F.col("_tie").alias("match_id"),
                                          F.col("_v").alias("match_value")),
                                 F.struct("_t", "_tie")).alias("_f"))
                   .select("_k", "_cell", F.lit(0).alias("_side"), "_f"))
-    probe_cells = (p.select("_k", time_cell(F.col("_t"), cell_seconds).alias("_cell"))
-                   .distinct()
-                   .select("_k", "_cell", F.lit(1).alias("_side"),
-                           F.lit(None).cast(cell_first.schema["_f"].dataType).alias("_f")))
-    w2 = (Window.partitionBy("_k").orderBy("_cell", "_side")
-          .rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    probe_cells = probed.select("_k", "_cell", F.lit(1).alias("_side"),
+                                F.lit(None).cast(cell_first.schema["_f"].dataType).alias("_f"))
+    w2 = (Window.partitionBy("_k").orderBy(F.desc("_cell"), F.desc("_side"))
+          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     nxt = (cell_first.unionByName(probe_cells)
-           .withColumn("_n", F.first("_f", ignorenulls=True).over(w2))
+           .withColumn("_n", F.last("_f", ignorenulls=True).over(w2))
            .filter(F.col("_side") == 1)
            .select("_k", "_cell", "_n"))
     # a probe row at the same cell must not see that cell's own first tick:
-    # cell rows sort before probe-cell rows (side 0 < 1), so the window of a
-    # probe-cell row starts after them.
+    # probe-cell rows (side 1) come before cell rows (side 0) of their cell.
 
     out = in_cell.join(nxt, ["_k", "_cell"], "left").select(
         "_probe", F.coalesce(F.col("_m"), F.col("_n")).alias("_r"))

@@ -85,7 +85,7 @@ def q_feed_topk(spark, sf_dir):
 @register("topic_lookup")
 def q_topic_lookup(spark, sf_dir):
     """Ticker -> search query (default: the ticker) for every article."""
-    a = driver.article_rows(spark, sf_dir).select("doc_id", "ticker")
+    a = driver.titles(spark, sf_dir).select("doc_id", "ticker")
     return a.join(F.broadcast(C.topics(spark).select("ticker", "query")), "ticker", "left") \
         .select("doc_id", "ticker", F.coalesce("query", "ticker").alias("query"))
 
@@ -93,14 +93,14 @@ def q_topic_lookup(spark, sf_dir):
 @register("feed_union")
 def q_feed_union(spark, sf_dir):
     """Per-ticker search results (any query term) in ticker order."""
-    f = feeds.fan_out(driver.article_rows(spark, sf_dir), C.topics(spark))
+    f = feeds.fan_out(driver.titles(spark, sf_dir), C.topics(spark))
     return f.select("doc_id", "ticker", "ticker_pos")
 
 
 @register("topic_match")
 def q_topic_match(spark, sf_dir):
     """Headlines matching *all* terms of a ticker's query."""
-    a = driver.article_rows(spark, sf_dir).select("doc_id", "title")
+    a = driver.titles(spark, sf_dir).select("doc_id", "title")
     return feeds.topic_match(a, C.topics(spark), text="title", mode="all")
 
 
@@ -319,7 +319,7 @@ def q_tokenize(spark, sf_dir):
 def q_logits_decode(spark, sf_dir):
     """softmax / argmax / confidence of model logits."""
     from ..functions.model import decode_logits
-    o = driver.model_outputs(spark, sf_dir)
+    o = driver.embedding_logits(spark, sf_dir)
     x = decode_logits("logits")
     return C.round_doubles(o.select("doc_id", x["pred"].alias("pred"), x["label"].alias("label"),
                                     x["confidence"].alias("confidence")))
@@ -330,14 +330,15 @@ def q_attention_keyword(spark, sf_dir):
     """most-attended token of the CLS row (mean over heads)."""
     from ..functions.model import attention_keyword
     o = driver.model_outputs(spark, sf_dir)
-    return o.select("doc_id", attention_keyword("tokens", "attention", "length").alias("keyword"))
+    return o.select("doc_id", "window",
+                    attention_keyword("tokens", "attention", "length").alias("keyword"))
 
 
 @register("keyword_stopwords")
 def q_keyword_stopwords(spark, sf_dir):
     """Attention keyword with stop words excluded."""
     o = driver.model_outputs(spark, sf_dir)
-    return o.select("doc_id", keyword_without_stopwords(
+    return o.select("doc_id", "window", keyword_without_stopwords(
         "tokens", "attention", "length", C.STOP_WORDS).alias("keyword"))
 
 
@@ -345,8 +346,8 @@ def q_keyword_stopwords(spark, sf_dir):
 def q_macro_metrics(spark, sf_dir):
     """A5: argmax of model logits against the labels."""
     from ..functions.model import decode_logits
-    o = driver.model_outputs(spark, sf_dir).select("doc_id", decode_logits("logits")["pred"]
-                                                    .alias("prediction"))
+    o = driver.embedding_logits(spark, sf_dir).select("doc_id", decode_logits("logits")["pred"]
+                                                      .alias("prediction"))
     j = o.join(driver.label_of_doc(spark, sf_dir), "doc_id")
     return C.round_doubles(M.macro_metrics(j, "label", "prediction"))
 
@@ -441,7 +442,7 @@ def q_stream_dedup_bounded(spark, sf_dir):
     _land_feeds(spark, sf_dir, in_dir, True)
     _land_feeds(spark, sf_dir, in_dir, False)
     s = spark.readStream.schema(R.FEED_FILE_SCHEMA).json(in_dir)
-    arts = feeds.explode_articles(s).withColumn("feed_rank", F.col("page") * 1000 + F.col("feed_pos"))
+    arts = feeds.explode_articles(s).withColumn("feed_rank", R.feed_rank())
     recs = with_hash(headline_records(arts, as_of=C.AS_OF)).filter(
         F.col("published_ts").isNotNull())
     out = R.bounded_dedup(recs).select("headline_hash", "ticker", "published_ts")
@@ -481,7 +482,12 @@ def q_stream_scoring(spark, sf_dir):
 
     def scorer(backlog):
         mo = outputs.join(backlog.select("headline_hash"), "headline_hash", "left_semi")
-        return decode_outputs(mo, "embeddings")
+        # one output per hash: that of its first line and window
+        cols = [c for c in mo.columns if c != "headline_hash"]
+        one = (mo.groupBy("headline_hash")
+               .agg(F.min_by(F.struct(*cols), F.struct("doc_id", "window")).alias("o"))
+               .select("headline_hash", "o.*"))
+        return decode_outputs(one, "embeddings")
 
     q = R.start_scoring(spark, table, f"{base}/scores", f"{base}/ckpt-score", scorer,
                         f"{base}/ledger")

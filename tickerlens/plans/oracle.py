@@ -279,15 +279,15 @@ FROM rets_h GROUP BY horizon_hours, direction""")
 _NAMES = "['negative', 'neutral', 'positive']"
 LINES = f"""lines AS (
   SELECT doc_id AS line_no,
-         CASE WHEN doc_id % 7 = 0 THEN title
-              ELSE title || '@' || CASE WHEN doc_id % 11 = 0 THEN 'mixed'
-                                        WHEN doc_id % 13 = 0 THEN ' ' || upper({_NAMES}[label + 1]) || ' '
-                                        ELSE {_NAMES}[label + 1] END END AS value
-  FROM (SELECT d.doc_id, {S.first_line('d.text')} AS title,
-               CASE WHEN l.toxic = 1 THEN 0 WHEN l.quality = 1 THEN 2 ELSE 1 END AS label
-        FROM labels l JOIN documents d ON d.doc_id = l.doc_id) x)"""
-
-_SPLIT_RE = "^(.*)@([^@]*)$"
+         CASE WHEN k % 7 = 0 THEN t
+              ELSE t || '@' || CASE WHEN k % 11 = 0 THEN 'mixed'
+                                    WHEN k % 13 = 0 THEN ' ' || upper({_NAMES}[label + 1]) || ' '
+                                    ELSE {_NAMES}[label + 1] END END AS value
+  FROM (SELECT doc_id, doc + pos AS k, label,
+               CASE WHEN (doc + pos) % 17 = 0 THEN 'a' || chr(13) || chr(133) || title ELSE title END AS t
+        FROM {S.lines_of("(SELECT d.doc_id AS doc, text, CASE WHEN l.toxic = 1 THEN 0 WHEN l.quality = 1 THEN 2 ELSE 1 END AS label FROM labels l JOIN documents d ON d.doc_id = l.doc_id) j", "label")} y) x)"""
+
+_SPLIT_RE = "(?s)^(.*)@([^@]*)$"
 PARSED = f"""cls AS (
   SELECT line_no, {S.ustrip("coalesce(value, '')")} AS line FROM lines),
 cls2 AS (
@@ -366,30 +366,33 @@ SELECT line_no, label, list_slice({S.tokens('sentence')}, 1, 512) AS tokens FROM
 # ------------------------------------------------------- model decode ----
 
 MODEL = f"""mo AS (
-  SELECT e.vec_id AS doc_id, CAST(e.embedding AS DOUBLE[]) AS emb,
-         list_slice(CAST(e.embedding AS DOUBLE[]), 1, 3) AS logits,
-         list_concat(['[CLS]'],
-                     list_slice({S.tokens(S.ustrip(f"coalesce({S.first_line('d.text')}, '')"))}, 1, 14),
-                     ['[SEP]']) AS toks
-  FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id),
+  SELECT doc_id, w AS "window", title, emb, logits,
+         list_concat(['[CLS]'], ws[14 * w + 1:14 * w + 14], ['[SEP]']) AS toks
+  FROM (SELECT *, unnest(range(greatest(CAST(ceil(len(ws) / 14) AS BIGINT), 1))) AS w
+        FROM (SELECT doc_id, title, emb, list_slice(emb, 1, 3) AS logits,
+                     {S.tokens(S.ustrip("coalesce(title, '')"))} AS ws
+              FROM {S.lines_of("(SELECT e.vec_id AS doc, d.text, CAST(e.embedding AS DOUBLE[]) AS emb FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id) j", "emb")} y) z) v),
 cand AS (
-  SELECT doc_id, i, toks[i] AS tok,
+  SELECT doc_id, "window", i, toks[i] AS tok,
          ((((0.0 + emb[i]) + emb[16 + i]) + emb[32 + i]) + emb[48 + i]) / 4 AS w
   FROM (SELECT *, unnest(range(2, len(toks))) AS i FROM mo) x)"""
 
+LOGITS = """lg AS (SELECT vec_id AS doc_id, list_slice(CAST(embedding AS DOUBLE[]), 1, 3) AS logits
+                   FROM embeddings)"""
+
 
 def _kw(stop_filter: str) -> str:
     return f"""
-SELECT m.doc_id, k.keyword FROM mo m LEFT JOIN (
-  SELECT doc_id, regexp_replace(arg_max(tok, (w, -i)), '^#+', '') AS keyword
-  FROM cand {stop_filter} GROUP BY doc_id) k ON k.doc_id = m.doc_id"""
+SELECT m.doc_id, m."window", k.keyword FROM mo m LEFT JOIN (
+  SELECT doc_id, "window", regexp_replace(arg_max(tok, (w, -i)), '^#+', '') AS keyword
+  FROM cand {stop_filter} GROUP BY doc_id, "window") k ON k.doc_id = m.doc_id AND k."window" = m."window\""""
 
 
-oracle("logits_decode", S.with_ctes(MODEL) + f"""
+oracle("logits_decode", S.with_ctes(LOGITS) + f"""
 SELECT doc_id, pred, {_NAMES}[pred + 1] AS label, {S.r6('conf')} AS confidence
 FROM (SELECT doc_id, CAST(list_position(logits, list_max(logits)) - 1 AS INTEGER) AS pred,
              1.0 / list_sum(list_transform(logits, lambda x: exp(x - list_max(logits)))) AS conf
-      FROM mo) x""")
+      FROM lg) x""")
 
 oracle("attention_keyword", S.with_ctes(MODEL) + _kw(""))
 
@@ -401,11 +404,11 @@ def _stop_sql() -> str:
 
 oracle("keyword_stopwords", S.with_ctes(MODEL) + _kw(_stop_sql()))
 
-oracle("macro_metrics", S.with_ctes(MODEL) + f"""
+oracle("macro_metrics", S.with_ctes(LOGITS) + f"""
 , j AS (
   SELECT CAST(list_position(m.logits, list_max(m.logits)) - 1 AS INTEGER) AS p,
          CASE WHEN l.toxic = 1 THEN 0 WHEN l.quality = 1 THEN 2 ELSE 1 END AS t
-  FROM mo m JOIN labels l ON l.doc_id = m.doc_id),
+  FROM lg m JOIN labels l ON l.doc_id = m.doc_id),
 classes AS (SELECT t AS c FROM j UNION SELECT p FROM j),
 per AS (
   SELECT c.c,
@@ -424,7 +427,7 @@ FROM pr""")
 
 # ---------------------------------------------------------- streaming ----
 
-oracle("stream_headlines", S.with_ctes(S.ARTICLES, S.RECORDS, S.STORED) + """
+oracle("stream_headlines", S.with_ctes(S.ARTICLES, S.RECORDS, S.PAGED) + """
 SELECT headline_hash, ticker, headline, source, raw_timestamp, market_date FROM stored""")
 
 oracle("stream_prices", S.with_ctes(*STORED_PRICES) + f"""
@@ -435,24 +438,26 @@ SELECT ticker, market_date, {S.r6('open')} AS open, {S.r6('high')} AS high,
 # stream = batch: every stored headline is scored once; the scorer decodes
 # the model outputs whose headline hash is stored (F11 label/confidence,
 # F12 keyword)
-oracle("stream_scoring", S.with_ctes(S.ARTICLES, S.RECORDS, S.STORED, MODEL) + f"""
+oracle("stream_scoring", S.with_ctes(S.ARTICLES, S.RECORDS, S.PAGED, MODEL) + f"""
 , kw AS ({_kw("")}),
 dec AS (
-  SELECT x.doc_id, {S.sha(f"coalesce({S.first_line('d.text')}, '')")} AS headline_hash,
+  SELECT x.doc_id, x."window", {S.sha("coalesce(x.title, '')")} AS headline_hash,
          {_NAMES}[x.pred + 1] AS sentiment_label, {S.r6('x.conf')} AS confidence
-  FROM (SELECT doc_id, CAST(list_position(logits, list_max(logits)) - 1 AS INTEGER) AS pred,
+  FROM (SELECT doc_id, "window", title, CAST(list_position(logits, list_max(logits)) - 1 AS INTEGER) AS pred,
                1.0 / list_sum(list_transform(logits, lambda v: exp(v - list_max(logits)))) AS conf
-        FROM mo) x
-  JOIN documents d ON d.doc_id = x.doc_id)
-SELECT dec.headline_hash, dec.sentiment_label, dec.confidence, kw.keyword AS attention_keyword
-FROM dec JOIN kw ON kw.doc_id = dec.doc_id
-WHERE dec.headline_hash IN (SELECT headline_hash FROM stored)""")
+        FROM mo) x),
+one AS (
+  SELECT dec.*, kw.keyword, row_number() OVER (
+           PARTITION BY headline_hash ORDER BY dec.doc_id, dec."window") AS rn
+  FROM dec JOIN kw ON kw.doc_id = dec.doc_id AND kw."window" = dec."window")
+SELECT headline_hash, sentiment_label, confidence, keyword AS attention_keyword
+FROM one WHERE rn = 1 AND headline_hash IN (SELECT headline_hash FROM stored)""")
 
 # ledger of the two availableNow runs of the headline stream (one micro-batch
 # each, split on the poll-slot cut): a run inserts the stored hashes whose
 # first arrival is in it and skips the rest of its records
 _RUN = f"CASE WHEN batch_id < {C.cut_slot()} THEN 0 ELSE 1 END"
-oracle("stream_ledger", S.with_ctes(S.ARTICLES, S.RECORDS, S.STORED) + f"""
+oracle("stream_ledger", S.with_ctes(S.ARTICLES, S.RECORDS, S.PAGED) + f"""
 , seen AS (SELECT {_RUN} AS batch_no, count(*) AS n FROM records GROUP BY 1),
 won AS (SELECT {_RUN} AS batch_no, count(*) AS n FROM stored GROUP BY 1),
 runs AS (SELECT * FROM (VALUES (0), (1)) v(batch_no))

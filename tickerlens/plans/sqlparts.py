@@ -26,8 +26,13 @@ def sha(x: str) -> str:
     return f"sha256({ustrip(x)})"
 
 
-def first_line(text: str) -> str:
-    return f"split_part({text}, chr(10), 1)"
+def lines_of(src: str, cols: str) -> str:
+    """Lines of the texts of ``src(doc, text, <cols>)``: doc, pos (from 0),
+    doc_id (line id), title."""
+    extra = f", {cols}" if cols else ""
+    return f"""(SELECT doc, pos, doc * 134217728 + pos AS doc_id, ls[pos + 1] AS title{extra}
+   FROM (SELECT *, unnest(range(len(ls))) AS pos
+         FROM (SELECT *, string_split(text, chr(10)) AS ls FROM {src}) s1) s2)"""
 
 
 def ny_local(ts: str) -> str:
@@ -95,14 +100,14 @@ RETURNS = """rets AS (
         FROM bars WHERE close IS NOT NULL AND NOT isnan(close)) b)"""
 
 ARTICLES = f"""articles AS (
-  SELECT d.doc_id, d.lang, {ticker('d.doc_id')} AS ticker, {ticker_pos('d.doc_id')} AS ticker_pos,
-         {first_line('d.text')} AS title, CAST(NULL AS VARCHAR) AS source_name, p.url,
+  SELECT l.doc_id, l.lang, {ticker('l.doc')} AS ticker, {ticker_pos('l.doc')} AS ticker_pos,
+         l.title, CAST(NULL AS VARCHAR) AS source_name, p.url,
          {iso_z('e.ts')} AS published_at,
-         coalesce({poll_slot('e.ts')}, 0) AS batch_id, d.doc_id AS feed_rank,
+         coalesce({poll_slot('e.ts')}, 0) AS batch_id, l.doc_id AS feed_rank,
          date_trunc('second', e.ts) AS published_ts
-  FROM documents d
-  LEFT JOIN events e ON e.event_id = d.doc_id * 5
-  LEFT JOIN pages p ON p.page_id = d.doc_id)"""
+  FROM {lines_of("(SELECT doc_id AS doc, lang, text FROM documents) d", "lang")} l
+  LEFT JOIN events e ON e.event_id = l.doc * 5
+  LEFT JOIN pages p ON p.page_id = l.doc)"""
 
 RECORDS = f"""records AS (
   SELECT ticker, headline, {source_of('source_name', 'url')} AS source,
@@ -120,13 +125,21 @@ STORED = """stored AS (
     WHERE ticker IS NOT NULL AND headline IS NOT NULL AND source IS NOT NULL) r
   WHERE rn = 1)"""
 
+PAGED = """stored AS (
+  SELECT * EXCLUDE (rn) FROM (
+    SELECT *, row_number() OVER (PARTITION BY headline_hash
+                                 ORDER BY batch_id, ticker_pos, raw_timestamp DESC NULLS LAST, feed_rank) AS rn
+    FROM records
+    WHERE ticker IS NOT NULL AND headline IS NOT NULL AND source IS NOT NULL) r
+  WHERE rn = 1)"""
+
 HUMAN_SCORES = f"""scores AS (
-  SELECT {sha(f"coalesce({first_line('d.text')}, '')")} AS headline_hash,
-         CASE WHEN l.toxic = 1 THEN 'negative' WHEN l.quality = 1 THEN 'positive'
+  SELECT {sha("coalesce(title, '')")} AS headline_hash,
+         CASE WHEN toxic = 1 THEN 'negative' WHEN quality = 1 THEN 'positive'
               ELSE 'neutral' END AS sentiment_label,
          CAST(1.0 AS DOUBLE) AS confidence, CAST(NULL AS VARCHAR) AS attention_keyword,
-         'labels' AS model_version, l.doc_id AS score_seq
-  FROM labels l JOIN documents d ON d.doc_id = l.doc_id)"""
+         'labels' AS model_version, doc_id AS score_seq
+  FROM {lines_of("(SELECT l.doc_id AS doc, text, toxic, quality FROM labels l JOIN documents d ON d.doc_id = l.doc_id) j", "toxic, quality")} x)"""
 
 LATEST_SCORES = """latest AS (
   SELECT headline_hash, arg_max(sentiment_label, score_seq) AS sentiment_label,

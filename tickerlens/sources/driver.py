@@ -9,7 +9,7 @@ the data.  The SQL twins of these adapters live in ``plans.oracle``.
 |---------------|------------------------------------------------------------|
 | ticker        | ``T%02d`` of ``pmod(user_id, 20)`` / ``pmod(doc_id, 20)``  |
 | ticks         | events: ticker, ts (UTC), value as price, event_id         |
-| article rows  | documents' first line as title, publish time from the      |
+| article rows  | every line of a document as title, publish time from the   |
 |               | event with ``event_id = doc_id * 5``, URL from pages       |
 | human scores  | labels: toxic -> negative, quality -> positive, else       |
 |               | neutral                                                    |
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.model import wordpiece_frame
+from ..functions.model import word_tokens, wordpiece_frame
 from ..functions.text import ustrip
 from ..functions.time import iso_seconds_z
 
@@ -33,6 +33,8 @@ POLL_HOURS = 4                # news poll interval: one ingest batch per slot
 SEQ_LEN = 16                  # positions per attention row in embeddings
 N_HEADS = 4
 N_LOGITS = 3
+LINE_STRIDE = 1 << 27         # line ids of a document start at doc_id * stride
+JOB_NAMES = ("news_job", "price_job", "scoring_job")
 # ---------------------------------------------------------------------------
 
 
@@ -66,20 +68,28 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.col("event_id").alias("tick_id"))
 
 
-def first_line(text: Column | str) -> Column:
-    text = F.col(text) if isinstance(text, str) else text
-    return F.substring_index(text, "\n", 1)
+def line_id(doc: Column, pos: Column) -> Column:
+    """Identity of one line of a document (ids in text order)."""
+    return (doc * LINE_STRIDE + pos).cast("bigint")
+
+
+def with_lines(docs: DataFrame, text: str = "text") -> DataFrame:
+    """One row per line of ``text``: ``doc`` (document id), ``pos`` (line in
+    it, from 0), ``doc_id`` (line id) and ``title`` (the line)."""
+    keep = [c for c in docs.columns if c not in ("doc_id", text)]
+    return docs.select(*keep, F.col("doc_id").alias("doc"),
+                       F.posexplode(F.split(text, "\n")).alias("pos", "title")) \
+        .withColumn("doc_id", line_id(F.col("doc"), F.col("pos")))
 
 
 def article_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw article rows as a feed would deliver them (before cleaning).
 
-    Columns: doc_id, lang, ticker, ticker_pos, title, source_name, url,
-    published_at (raw ISO text, may be NULL), batch_id, feed_rank.
-    Only the first line of each document is carried past the scan.
+    Every line of every document is an article.  Columns: doc_id (line id),
+    lang, ticker, ticker_pos, title, source_name, url, published_at (raw ISO
+    text, may be NULL), batch_id, feed_rank (line id).
     """
-    docs = table(spark, sf_dir, "documents").select(
-        "doc_id", "lang", first_line("text").alias("title"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     ev = table(spark, sf_dir, "events").select(
         (F.col("event_id")).alias("ev_id"), F.col("ts").alias("pub_ts"))
     pages = table(spark, sf_dir, "pages").select(
@@ -87,10 +97,11 @@ def article_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = (docs
               .join(ev, ev.ev_id == docs.doc_id * DOC_EVENT_STRIDE, "left")
               .join(pages, pages.page_id == docs.doc_id, "left"))
-    return joined.select(
+    # lines open after the joins, so a document is shuffled once, not per line
+    return with_lines(joined).select(
         "doc_id", "lang",
-        ticker_of("doc_id").alias("ticker"),
-        ticker_pos_of("doc_id").alias("ticker_pos"),
+        ticker_of("doc").alias("ticker"),
+        ticker_pos_of("doc").alias("ticker_pos"),
         "title",
         F.lit(None).cast("string").alias("source_name"),
         "url",
@@ -100,6 +111,14 @@ def article_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The articles without publish time and URL (no join): doc_id, lang,
+    ticker, ticker_pos, title."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return with_lines(docs).select("doc_id", "lang", ticker_of("doc").alias("ticker"),
+                                   ticker_pos_of("doc").alias("ticker_pos"), "title")
+
+
 def human_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score rows from ``labels`` keyed by the headline hash of the doc.
 
@@ -109,12 +128,11 @@ def human_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.text import headline_hash
 
     lab = table(spark, sf_dir, "labels")
-    docs = table(spark, sf_dir, "documents").select(
-        "doc_id", first_line("text").alias("title"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     label = (F.when(F.col("toxic") == 1, F.lit("negative"))
              .when(F.col("quality") == 1, F.lit("positive"))
              .otherwise(F.lit("neutral")))
-    return (lab.join(docs, "doc_id")
+    return (with_lines(lab.join(docs, "doc_id"))
             .select(headline_hash(F.coalesce(F.col("title"), F.lit(""))).alias("headline_hash"),
                     label.alias("sentiment_label"),
                     F.lit(1.0).alias("confidence"),
@@ -123,26 +141,39 @@ def human_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("doc_id").alias("score_seq")))
 
 
+def embedding_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id (document) and logits of every model output; no text is read."""
+    emb = table(spark, sf_dir, "embeddings")
+    return emb.select(F.col("vec_id").alias("doc_id"),
+                      F.slice(F.col("embedding").cast("array<double>"), 1, N_LOGITS).alias("logits"))
+
+
 def model_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per-headline model outputs: logits, padded tokens, CLS attention.
+    """Model outputs of every headline: logits, padded tokens, CLS attention.
 
-    Columns: doc_id, headline_hash, logits array<double>, tokens
-    array<string>, attention array<array<double>>, length int.
+    A headline longer than a sequence is seen in consecutive windows, so every
+    token is covered.  Columns: doc_id (line id), window (from 0),
+    headline_hash, logits array<double>, tokens array<string>, attention
+    array<array<double>>, length int.
     """
     from ..functions.text import headline_hash
 
     emb = table(spark, sf_dir, "embeddings")
-    docs = table(spark, sf_dir, "documents").select(
-        "doc_id", first_line("text").alias("title"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     e = F.col("embedding").cast("array<double>")
     heads = F.array(*[F.slice(e, 1 + h * SEQ_LEN, SEQ_LEN) for h in range(N_HEADS)])
-    toks, length = wordpiece_frame(ustrip(F.coalesce(F.col("title"), F.lit(""))), SEQ_LEN)
-    return (emb.join(docs, emb.vec_id == docs.doc_id)
-            .select("doc_id",
-                    headline_hash(F.coalesce(F.col("title"), F.lit(""))).alias("headline_hash"),
-                    F.slice(e, 1, N_LOGITS).alias("logits"),
-                    toks.alias("tokens"), heads.alias("attention"),
-                    length.alias("length")))
+    lines = with_lines(emb.join(docs, emb.vec_id == docs.doc_id).select("doc_id", "embedding", "text"))
+    lines = lines.withColumn("title", F.coalesce("title", F.lit("")))
+    room = SEQ_LEN - 2
+    lines = lines.withColumn("words", word_tokens(ustrip("title")))
+    n = F.greatest(F.ceil(F.size("words") / room).cast("int"), F.lit(1))
+    lines = lines.withColumn("window", F.explode(F.sequence(F.lit(0), n - 1)))
+    toks, length = wordpiece_frame(F.slice("words", F.col("window") * room + 1, F.lit(room)), SEQ_LEN)
+    return lines.select("doc_id", "window",
+                        headline_hash("title").alias("headline_hash"),
+                        F.slice(e, 1, N_LOGITS).alias("logits"),
+                        toks.alias("tokens"), heads.alias("attention"),
+                        length.alias("length"))
 
 
 def label_of_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,27 +186,26 @@ def label_of_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def corpus_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phrase-corpus lines ``sentence@label`` built from labelled headlines.
 
-    Every 7th doc loses its ``@label`` (malformed line); every 11th gets an
-    unknown label; every 13th label is upper-cased and space-padded.
-    Columns: line_no, value.
+    Every labelled document gives one line per line of its text.  With
+    ``k = doc_id + line``, every 7th loses its ``@label`` (malformed line),
+    every 11th gets an unknown label, every 13th label is upper-cased and
+    space-padded, and every 17th sentence holds a carriage return and a NEL.
+    Columns: line_no (line id), value.
     """
-    docs = table(spark, sf_dir, "documents").select(
-        "doc_id", first_line("text").alias("title"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     lab = label_of_doc(spark, sf_dir)
     names = F.array(F.lit("negative"), F.lit("neutral"), F.lit("positive"))
     name = F.get(names, F.col("label"))
-    name = (F.when(F.col("doc_id") % 11 == 0, F.lit("mixed"))
-            .when(F.col("doc_id") % 13 == 0, F.concat(F.lit(" "), F.upper(name), F.lit(" ")))
+    k = F.col("doc") + F.col("pos")
+    name = (F.when(k % 11 == 0, F.lit("mixed"))
+            .when(k % 13 == 0, F.concat(F.lit(" "), F.upper(name), F.lit(" ")))
             .otherwise(name))
-    line = F.when(F.col("doc_id") % 7 == 0, F.col("title")).otherwise(
-        F.concat(F.col("title"), F.lit("@"), name))
-    return (docs.join(lab, "doc_id")
+    title = F.when(k % 17 == 0, F.concat(F.lit("a\r\u0085"), F.col("title"))).otherwise(F.col("title"))
+    line = F.when(k % 7 == 0, title).otherwise(F.concat(title, F.lit("@"), name))
+    return (with_lines(docs.join(lab, "doc_id"))
             .select(F.col("doc_id").alias("line_no"), line.alias("value")))
 
 
-JOB_NAMES = ("news_job", "price_job", "scoring_job")
-
-
 def job_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Job ledger rows from events: one run per event.
 

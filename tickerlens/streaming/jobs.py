@@ -53,6 +53,11 @@ BAR_FILE_SCHEMA = T.StructType([
 ])
 
 
+def feed_rank() -> F.Column:
+    """Arrival order inside a poll: page, then position in the response."""
+    return F.shiftleft(F.col("page").cast("bigint"), 24) + F.col("feed_pos")
+
+
 def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.parquet(path)
@@ -105,7 +110,7 @@ def headline_batch(table_path: str, as_of=None,
     against the stored table (minus this batch) -> append."""
     def body(batch: DataFrame, batch_no: int) -> tuple[int, int]:
         spark = batch.sparkSession
-        arts = explode_articles(batch).withColumn("feed_rank", F.col("page") * 1000 + F.col("feed_pos"))
+        arts = explode_articles(batch).withColumn("feed_rank", feed_rank())
         recs = with_hash(headline_records(arts, as_of=as_of), stripped=True)
         # the micro-batch is read once: cached, counted (the size check for
         # the stored-key lookup), then deduplicated and written
