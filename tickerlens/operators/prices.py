@@ -140,3 +140,12 @@ def ingest_prices(batch: DataFrame, existing: DataFrame | None = None,
         from .ingest import not_stored
         winners = not_stored(winners, existing, keys, batch_rows)
     return winners
+
+
+def latest_prices(stored: DataFrame, order: str = "fetch_ord") -> DataFrame:
+    """The latest-wins view of an append-only price store: one row per
+    (ticker, market_date), that of the last fetch."""
+    keys = ["ticker", "market_date"]
+    payload = [c for c in stored.columns if c not in keys]
+    return (stored.groupBy(*keys).agg(F.max_by(F.struct(*payload), F.col(order)).alias("r"))
+            .select(*keys, "r.*"))

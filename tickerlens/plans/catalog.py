@@ -429,8 +429,8 @@ def q_stream_ledger(spark, sf_dir):
     """The ledger rows the headline stream wrote (one per micro-batch)."""
     base = _stream_base(spark)
     _run_headline_stream(spark, sf_dir, base)
-    return spark.read.parquet(f"{base}/ledger").select("job_name", "inserted", "skipped",
-                                                        "error", "batch_no")
+    return spark.read.schema(R.LEDGER_SCHEMA).parquet(f"{base}/ledger").select(
+        "job_name", "inserted", "skipped", "error", "batch_no")
 
 
 @register("stream_dedup_bounded")
@@ -455,16 +455,17 @@ def q_stream_dedup_bounded(spark, sf_dir):
 
 @register("stream_prices")
 def q_stream_prices(spark, sf_dir):
-    """Two price fetches landed and ingested by two stream runs."""
+    """Two price fetches landed and ingested by one stream run."""
     from ..operators.prices import ohlcv_bars
     base = _stream_base(spark)
     in_dir, table = f"{base}/in", f"{base}/prices"
     t = driver.ticks(spark, sf_dir)
     fetches = [t.filter(F.col("ts") < F.lit(C.PRICE_CUT).cast("timestamp_ntz")), t]
-    for f in fetches:
-        ohlcv_bars(f).write.mode("append").parquet(in_dir)
-        q = R.start_prices(spark, in_dir, table, f"{base}/ckpt", f"{base}/ledger")
-        q.awaitTermination()
+    for k, f in enumerate(fetches):      # both fetches share one micro-batch
+        bars = ohlcv_bars(f).withColumns({
+            "fetch_id": F.lit(k).cast("bigint"), "fetched_ts": F.lit(None).cast("timestamp_ntz")})
+        bars.write.mode("append").parquet(in_dir)
+    R.start_prices(spark, in_dir, table, f"{base}/ckpt", f"{base}/ledger").awaitTermination()
     out = spark.read.parquet(table).select(
         "ticker", "market_date", "open", "high", "low", "close", "volume", "daily_return",
         (F.col("fetch_ord") + 1).alias("fetch_ord"))

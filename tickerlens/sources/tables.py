@@ -8,7 +8,6 @@ wins per hash), ``prices`` (first-wins by ticker and date, partitioned by
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -58,6 +57,22 @@ TABLES = {"headlines": (HEADLINES, None), "scores": (SCORES, None),
           "prices": (PRICES, "market_date"), "job_log": (JOB_LOG, None)}
 
 
+# the streams commit every micro-batch under these partition columns
+COMMIT = [T.StructField("run", T.StringType()), T.StructField("batch_no", T.LongType())]
+
+
+def stream_schema(name: str) -> T.StructType:
+    """The stored schema of a table that a stream writes."""
+    return T.StructType([*TABLES[name][0].fields, *COMMIT])
+
+
+def create_if_absent(spark: SparkSession, path: str, schema: T.StructType,
+                     partition_by: tuple[str, ...] = ()) -> None:
+    """An empty dataset at ``path`` unless there is one (idempotent)."""
+    w = spark.createDataFrame([], schema).write.mode("ignore")
+    (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
+
+
 def ensure_tables(spark: SparkSession, root: str) -> dict[str, str]:
     """Create every absent table as an empty dataset with its fixed schema;
     existing tables are left untouched (idempotent).  Returns name -> path."""
@@ -65,15 +80,7 @@ def ensure_tables(spark: SparkSession, root: str) -> dict[str, str]:
     for name, (schema, part) in TABLES.items():
         path = f"{root.rstrip('/')}/{name}"
         paths[name] = path
-        try:
-            spark.read.parquet(path)
-            continue
-        except AnalysisException:
-            pass
-        w = spark.createDataFrame([], schema).write.mode("ignore")
-        if part:
-            w = w.partitionBy(part)
-        w.parquet(path)
+        create_if_absent(spark, path, schema, (part,) if part else ())
     return paths
 
 

@@ -3,36 +3,43 @@
 The reference polls on timers; here each job is a streaming query over
 landed files with its own checkpoint.  Run it on a ``processingTime``
 trigger for a service, or ``availableNow`` for a scheduled run.  Jobs talk
-only through tables (R7).
+only through tables (R7), which exist, with a fixed schema, before a job runs.
 
 Exactly-once without MERGE (H6): every micro-batch writes its rows under
-``batch_no=<id>`` with dynamic partition overwrite, and the anti-join
-against the stored table excludes that same partition, so a replayed batch
-replaces itself.  All-time uniqueness lives in the table, not in state (H5).
+``run=<query id>/batch_no=<id>`` with dynamic partition overwrite, and the
+anti-join against the stored table excludes that same partition, so a
+replayed batch replaces itself.  The query id lives in the checkpoint: after a
+restart it is the same, with a new checkpoint it is another one, so a new
+checkpoint never overwrites stored rows.  All-time uniqueness lives in the
+table, not in state (H5).
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import threading
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark import StorageLevel
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.time import in_trading_hours
 from ..operators.ingest import headline_records, ingest_headlines, not_stored, with_hash
 from ..operators.prices import ingest_prices, log_return
 from ..sources.feeds import FEED_SCHEMA, explode_articles
+from ..sources.tables import JOB_LOG, create_if_absent, stream_schema
+
+PARTITIONS = ("run", "batch_no")
 
 LEDGER_SCHEMA = T.StructType([
-    T.StructField("job_name", T.StringType()),
-    T.StructField("ran_at", T.StringType()),
-    T.StructField("inserted", T.LongType()),
-    T.StructField("skipped", T.LongType()),
-    T.StructField("error", T.StringType()),
+    *JOB_LOG.fields,
+    T.StructField("job", T.StringType()),
+    T.StructField("run", T.StringType()),
     T.StructField("batch_no", T.LongType()),
+    T.StructField("attempt", T.StringType()),
 ])
 
 FEED_FILE_SCHEMA = T.StructType(FEED_SCHEMA.fields + [
@@ -43,6 +50,7 @@ FEED_FILE_SCHEMA = T.StructType(FEED_SCHEMA.fields + [
 ])
 
 BAR_FILE_SCHEMA = T.StructType([
+    T.StructField("fetch_id", T.LongType()),
     T.StructField("ticker", T.StringType()),
     T.StructField("market_date", T.DateType()),
     T.StructField("open", T.DoubleType()),
@@ -50,66 +58,99 @@ BAR_FILE_SCHEMA = T.StructType([
     T.StructField("low", T.DoubleType()),
     T.StructField("close", T.DoubleType()),
     T.StructField("volume", T.LongType()),
+    T.StructField("fetched_ts", T.TimestampNTZType()),
 ])
 
+Body = Callable[[DataFrame, str, int], tuple[int, int]]
+
 
-def feed_rank() -> F.Column:
+def feed_rank() -> Column:
     """Arrival order inside a poll: page, then position in the response."""
     return F.shiftleft(F.col("page").cast("bigint"), 24) + F.col("feed_pos")
 
 
-def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None
+def open_table(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A stream's table, created if absent, read with its fixed schema (an
+    unreadable table is an error, not an empty one)."""
+    schema = stream_schema(name)
+    create_if_absent(spark, path, schema, PARTITIONS)
+    return spark.read.schema(schema).parquet(path)
 
 
-def _write_batch(df: DataFrame, path: str, batch_no: int) -> None:
-    (df.withColumn("batch_no", F.lit(batch_no).cast("bigint"))
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("batch_no").parquet(path))
+def _others(table: DataFrame, run: str, batch_no: int) -> DataFrame:
+    return table.filter((F.col("run") != run) | (F.col("batch_no") != batch_no))
 
 
-def job_row(spark: SparkSession, name: str, ran_at: str, inserted: int, skipped: int,
-            error: str | None, batch_no: int) -> DataFrame:
-    """One ledger row."""
-    return spark.createDataFrame([(name, ran_at, int(inserted), int(skipped), error,
-                                   int(batch_no))], LEDGER_SCHEMA)
+def _commit(df: DataFrame, path: str, name: str, run: str, batch_no: int) -> int:
+    """Write one micro-batch to its own partition; number of rows there."""
+    schema = stream_schema(name)
+    rows = df.withColumns({"run": F.lit(run), "batch_no": F.lit(batch_no).cast("bigint")})
+    cols = [F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]
+    (rows.select(*cols).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(*PARTITIONS).parquet(path))
+    own = df.sparkSession.read.schema(schema).parquet(path)
+    return own.filter((F.col("run") == run) & (F.col("batch_no") == batch_no)).count()
 
 
-def _log(spark, ledger_path, name, inserted, skipped, error, batch_no):
+def _log(spark, path, name, inserted, skipped, error, run, batch_no, attempt):
+    """One ledger row.  A success has one partition per (job, run,
+    batch), which a replay overwrites; every failure has a partition of its
+    own, so it stays."""
     ran_at = dt.datetime.now(dt.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
-    row = job_row(spark, name, ran_at, inserted, skipped, error, batch_no).drop("batch_no")
-    # one ledger partition per (job, batch): replays overwrite their own row
-    (row.withColumn("job", F.lit(name)).withColumn("batch_no", F.lit(batch_no).cast("bigint"))
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("job", "batch_no").parquet(ledger_path))
+    row = spark.createDataFrame([(name, ran_at, int(inserted), int(skipped), error, name, run,
+                                  int(batch_no), attempt)], LEDGER_SCHEMA)
+    (row.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("job", "run", "batch_no", "attempt").parquet(path))
+
+
+class _RunId:
+    """The id of the streaming query, known once it has started; the first
+    micro-batch may begin before and waits for it."""
+
+    def __init__(self):
+        self._set, self._id = threading.Event(), ""
 
+    def give(self, query):
+        self._id = str(query.id)
+        self._set.set()
+        return query
 
-def _guarded(name: str, ledger_path: str | None, body: Callable[[DataFrame, int], tuple[int, int]]):
+    def get(self) -> str:
+        if not self._set.wait(120):
+            raise RuntimeError("the streaming query did not report its id")
+        return self._id
+
+
+def _guarded(name: str, ledger_path: str | None, body: Body, run_id: _RunId):
     """Run one micro-batch; log (inserted, skipped) or the failure (0, 0,
-    error).  A failure is re-raised so the query stops before its offsets
-    commit and restarts from the checkpoint without losing the batch."""
+    whole error).  A failure is re-raised so the query stops before its
+    offsets commit and restarts from the checkpoint without losing the batch."""
     def run(batch: DataFrame, batch_no: int) -> None:
-        spark = batch.sparkSession
+        spark, rid = batch.sparkSession, run_id.get()
         try:
-            ins, skp = body(batch, batch_no)
+            ins, skp = body(batch, rid, batch_no)
         except Exception as exc:
             if ledger_path:
-                _log(spark, ledger_path, name, 0, 0, str(exc)[:2000], batch_no)
+                _log(spark, ledger_path, name, 0, 0, str(exc), rid, batch_no, uuid.uuid4().hex)
             raise
         if ledger_path:
-            _log(spark, ledger_path, name, ins, skp, None, batch_no)
+            _log(spark, ledger_path, name, ins, skp, None, rid, batch_no, "done")
     return run
 
 
-def headline_batch(table_path: str, as_of=None,
-                   keys: Sequence[str] = ("headline_hash",)) -> Callable[[DataFrame, int], tuple[int, int]]:
+def _start(stream: DataFrame, name: str, checkpoint: str, ledger_path: str | None, body: Body,
+           trigger: dict | None):
+    rid = _RunId()
+    w = (stream.writeStream.option("checkpointLocation", checkpoint)
+         .foreachBatch(_guarded(name, ledger_path, body, rid)))
+    return rid.give(w.trigger(**(trigger or {"availableNow": True})).start())
+
+
+def headline_batch(table_path: str, as_of=None, keys: Sequence[str] = ("headline_hash",)) -> Body:
     """R1 body: feed responses -> records -> first wins in batch -> anti-join
-    against the stored table (minus this batch) -> append."""
-    def body(batch: DataFrame, batch_no: int) -> tuple[int, int]:
-        spark = batch.sparkSession
+    against the stored table (minus this batch) -> append.  A batch without
+    articles inserts and skips nothing."""
+    def body(batch: DataFrame, run: str, batch_no: int) -> tuple[int, int]:
         arts = explode_articles(batch).withColumn("feed_rank", feed_rank())
         recs = with_hash(headline_records(arts, as_of=as_of), stripped=True)
         # the micro-batch is read once: cached, counted (the size check for
@@ -117,13 +158,11 @@ def headline_batch(table_path: str, as_of=None,
         recs = recs.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             n_in = recs.count()
-            stored = _read_or_none(spark, table_path)
-            existing = None if stored is None else stored.filter(F.col("batch_no") != batch_no)
+            existing = _others(open_table(batch.sparkSession, table_path, "headlines"), run, batch_no)
             new = ingest_headlines(recs, existing, keys, batch_rows=n_in)
-            _write_batch(new, table_path, batch_no)
+            ins = _commit(new, table_path, "headlines", run, batch_no)
         finally:
             recs.unpersist()
-        ins = spark.read.parquet(table_path).filter(F.col("batch_no") == batch_no).count()
         return ins, n_in - ins
     return body
 
@@ -134,13 +173,12 @@ def start_headlines(spark: SparkSession, source_path: str, table_path: str,
     """Headline ingest stream over landed feed JSON files.
 
     No watermark: late articles are accepted at any age (R5)."""
+    open_table(spark, table_path, "headlines")
     reader = spark.readStream.schema(FEED_FILE_SCHEMA)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    stream = reader.json(source_path)
-    w = (stream.writeStream.option("checkpointLocation", checkpoint)
-         .foreachBatch(_guarded("news_job", ledger_path, headline_batch(table_path, as_of))))
-    return w.trigger(**(trigger or {"availableNow": True})).start()
+    return _start(reader.json(source_path), "news_job", checkpoint, ledger_path,
+                  headline_batch(table_path, as_of), trigger)
 
 
 def bounded_dedup(records: DataFrame, delay: str = "7 days",
@@ -155,68 +193,70 @@ def bounded_dedup(records: DataFrame, delay: str = "7 days",
             .dropDuplicatesWithinWatermark([key]).drop("event_time"))
 
 
-def price_batch(table_path: str, policy: str = "first_wins") -> Callable[[DataFrame, int], tuple[int, int]]:
-    """R3 body: one fetched frame -> log returns inside the fetch (Q7) ->
-    first-wins insert."""
-    def body(batch: DataFrame, batch_no: int) -> tuple[int, int]:
-        spark = batch.sparkSession
-        fetched = log_return(batch).withColumn("fetch_ord", F.lit(batch_no).cast("bigint"))
+def price_batch(table_path: str, policy: str = "first_wins", market_hours_only: bool = False) -> Body:
+    """R3 body: fetched frames -> log returns inside each fetch (Q7) -> insert.
+
+    ``fetch_id`` tells the fetches of a micro-batch apart.  ``first_wins``
+    keeps the first stored row of a (ticker, date); ``last_wins`` appends, and
+    ``operators.prices.latest_prices`` is the view of the last fetch.  With
+    ``market_hours_only`` a fetch made outside regular trading hours (by its
+    ``fetched_ts``, UTC) is left out, as the polling job does not run then."""
+    def body(batch: DataFrame, run: str, batch_no: int) -> tuple[int, int]:
+        if market_hours_only:
+            batch = batch.filter(F.col("fetched_ts").isNull() | in_trading_hours("fetched_ts"))
+        fetched = log_return(batch.withColumn("fetch_ord", F.coalesce("fetch_id", F.lit(batch_no))),
+                             key=("fetch_ord", "ticker")).drop("fetch_id", "fetched_ts")
         fetched = fetched.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             n_in = fetched.count()
-            stored = _read_or_none(spark, table_path)
-            existing = None if stored is None else stored.filter(F.col("batch_no") != batch_no)
+            existing = _others(open_table(batch.sparkSession, table_path, "prices"), run, batch_no)
             new = ingest_prices(fetched, existing, policy=policy, batch_rows=n_in)
-            _write_batch(new, table_path, batch_no)
+            ins = _commit(new, table_path, "prices", run, batch_no)
         finally:
             fetched.unpersist()
-        ins = spark.read.parquet(table_path).filter(F.col("batch_no") == batch_no).count()
         return ins, n_in - ins
     return body
 
 
 def start_prices(spark: SparkSession, source_path: str, table_path: str, checkpoint: str,
                  ledger_path: str | None = None, trigger: dict | None = None,
-                 max_files_per_trigger: int | None = None):
-    """Price ingest stream over landed long bar files (one fetch per
-    micro-batch when ``max_files_per_trigger=1``)."""
+                 max_files_per_trigger: int | None = None, policy: str = "first_wins",
+                 market_hours_only: bool = False):
+    """Price ingest stream over landed long bar files; any number of
+    fetches may share a micro-batch."""
+    open_table(spark, table_path, "prices")
     reader = spark.readStream.schema(BAR_FILE_SCHEMA)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    stream = reader.parquet(source_path)
-    w = (stream.writeStream.option("checkpointLocation", checkpoint)
-         .foreachBatch(_guarded("price_job", ledger_path, price_batch(table_path))))
-    return w.trigger(**(trigger or {"availableNow": True})).start()
+    return _start(reader.parquet(source_path), "price_job", checkpoint, ledger_path,
+                  price_batch(table_path, policy, market_hours_only), trigger)
 
 
-def scoring_batch(scores_path: str, scorer: Callable[[DataFrame], DataFrame]):
-    """R4 body: new headlines without a score -> scorer -> append scores."""
-    def body(batch: DataFrame, batch_no: int) -> tuple[int, int]:
+def scoring_batch(headlines_path: str, scores_path: str,
+                  scorer: Callable[[DataFrame], DataFrame] | None) -> Body:
+    """R4 body: a drain.  Every run scores all stored headlines that have no
+    score, whichever run stored them; what a run misses the next one scores.
+    Without a model (``scorer`` None) nothing is scored."""
+    def body(batch: DataFrame, run: str, batch_no: int) -> tuple[int, int]:
         spark = batch.sparkSession
-        done = _read_or_none(spark, scores_path)
-        backlog = (batch.select("headline_hash", "headline").dropDuplicates(["headline_hash"])
-                   .persist(StorageLevel.MEMORY_AND_DISK))
-        try:
-            if done is not None:
-                # stored-score lookup sized by the counted batch (not_stored)
-                backlog = not_stored(backlog, done.filter(F.col("batch_no") != batch_no),
-                                     ["headline_hash"], batch_rows=backlog.count())
-            scored = scorer(backlog).withColumn("score_seq", F.lit(batch_no).cast("bigint"))
-            _write_batch(scored, scores_path, batch_no)
-        finally:
-            backlog.unpersist()
-        n = spark.read.parquet(scores_path).filter(F.col("batch_no") == batch_no).count()
-        return n, 0
+        if scorer is None:
+            return 0, 0
+        done = _others(open_table(spark, scores_path, "scores"), run, batch_no)
+        stored = open_table(spark, headlines_path, "headlines")
+        backlog = not_stored(stored.select("headline_hash", "headline").dropDuplicates(["headline_hash"]),
+                             done, ["headline_hash"])
+        scored = scorer(backlog).withColumn("score_seq", F.lit(batch_no).cast("bigint"))
+        return _commit(scored, scores_path, "scores", run, batch_no), 0
     return body
 
 
 def start_scoring(spark: SparkSession, headlines_path: str, scores_path: str,
-                  checkpoint: str, scorer: Callable[[DataFrame], DataFrame],
+                  checkpoint: str, scorer: Callable[[DataFrame], DataFrame] | None,
                   ledger_path: str | None = None, trigger: dict | None = None):
     """Score what the ingest stream stored; the two jobs share only
-    tables and have separate checkpoints."""
-    schema = spark.read.parquet(headlines_path).schema
-    stream = spark.readStream.schema(schema).parquet(headlines_path)
-    w = (stream.writeStream.option("checkpointLocation", checkpoint)
-         .foreachBatch(_guarded("scoring_job", ledger_path, scoring_batch(scores_path, scorer))))
-    return w.trigger(**(trigger or {"availableNow": True})).start()
+    tables, may start in any order and have separate checkpoints."""
+    open_table(spark, headlines_path, "headlines")
+    open_table(spark, scores_path, "scores")
+    stream = spark.readStream.schema(stream_schema("headlines")).parquet(headlines_path)
+    return _start(stream, "scoring_job", checkpoint, ledger_path,
+                  scoring_batch(headlines_path, scores_path, scorer), trigger)
