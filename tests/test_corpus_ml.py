@@ -6,6 +6,8 @@ import tempfile
 
 from pyspark.sql import functions as F
 
+from pyspark.sql import functions as F
+
 from tickerlens.operators.corpus import (corpus_audit, parse_corpus, read_corpus, split_quotas,
                                          stratified_split)
 from tickerlens.operators.ml import macro_metrics
@@ -69,3 +71,34 @@ def test_macro_metrics_golden(spark):
     assert math.isclose(m.precision, 4 / 9)
     assert math.isclose(m.recall, 0.5)
     assert math.isclose(m.f1, 7 / 18)
+
+
+def test_split_does_not_depend_on_the_reading(spark):
+    rows = [(i, f"s {i % 900}", i % 3) for i in range(1500)]
+    a = spark.createDataFrame(rows, "line_no bigint, sentence string, label int")
+    b = a.withColumn("line_no", 10_000 - F.col("line_no")).repartition(7)
+    one, two = (sorted((r["split"], r["label"], r["sentence"]) for r in stratified_split(d).collect())
+                for d in (a, b))
+    assert one == two
+    odd = spark.createDataFrame([(1, "x", 9), (2, "y", None)], a.schema)
+    assert [r["split"] for r in stratified_split(a.union(odd)).filter("label = 9 or label is null").collect()] \
+        == [None, None]
+
+
+def test_model_saved_loaded_and_missing(spark, tmp_path):
+    from tickerlens.operators import ml
+    from tickerlens.operators.scoring import score_with_pipeline
+    rows = [(f"good profit {i}", 2) for i in range(30)] + [(f"bad loss {i}", 0) for i in range(30)] \
+        + [(f"plain day {i}", 1) for i in range(30)]
+    df = spark.createDataFrame(rows, "sentence string, label int")
+    model, _ = ml.train_select(df, df, grid=({"reg_param": 0.01},), width=512)
+    path = str(tmp_path / "m")
+    assert ml.load_model(spark, path) is None
+    version = ml.save_model(model, path)
+    again = ml.load_model(spark, path)
+    todo = spark.createDataFrame([("h1", "good profit never seen"), ("h2", ""), ("h3", "unseen words only")],
+                                 "headline_hash string, headline string")
+    got = {r["headline_hash"]: r for r in score_with_pipeline(todo, again, ml.model_version(again)).collect()}
+    assert got["h1"]["sentiment_label"] == "positive" and got["h1"]["model_version"] == version
+    assert got["h1"]["attention_keyword"] in ("good", "profit")
+    assert got["h2"]["attention_keyword"] is None and got["h3"]["attention_keyword"] is not None

@@ -96,7 +96,7 @@ def test_stored_key_lookup_broadcasts_the_counted_batch(spark):
     hist = spark.range(0, 5000).selectExpr("sha2(cast(id as string), 256) AS headline_hash")
     batch = spark.range(4990, 5010).selectExpr("sha2(cast(id as string), 256) AS headline_hash",
                                                "id")
-    small = not_stored(batch, hist, ["headline_hash"], batch_rows=20)
+    small = not_stored(batch, hist, ["headline_hash"])
     plain = not_stored(batch, hist, ["headline_hash"])
     p = small._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in p and "LeftSemi" in p

@@ -127,5 +127,5 @@ def test_paging_rank_cells_match_one_window_with_null_times(spark):
                          order, out="rk", cell_desc=True)
     w = Window.partitionBy("ticker", "batch_id").orderBy(*order)
     b = r.withColumn("rk2", F.row_number().over(w) - 1)
-    assert b.count() == 1000
+    assert b.count() == a.count() > 1000
     assert b.filter(F.col("rk") != F.col("rk2")).count() == 0

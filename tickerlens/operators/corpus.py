@@ -147,12 +147,15 @@ def stratified_split(df: DataFrame, seed: int = 42, test_size: float = 0.30,
     """Exact stratified train/validation/test split with a ``split``
     column; per-label sizes follow ``split_quotas``.
 
-    Rows are ranked inside their label by ``xxhash64(seed, sentence, key)``.
+    Rows are ranked inside their label by ``xxhash64(seed, sentence)``; ``key``
+    only orders equal sentences, which are interchangeable, so the split does
+    not depend on how the input was read.  Rows whose label is not in the
+    label map keep a NULL ``split``.
     A label holding a third of the data is not one task: the rank is a
     ``row_number`` per (label, hash cell) plus the cell's offset, taken from a
     small (label, cell) count table.  Deterministic for a fixed seed."""
     keys = [F.col(k) for k in key]
-    h = F.xxhash64(F.lit(seed), F.coalesce(F.col("sentence"), F.lit("")), *keys)
+    h = F.xxhash64(F.lit(seed), F.coalesce(F.col("sentence"), F.lit("")))
     # offsets table: (label x 2^cells_bits) rows, bounded by the fixed label
     # map and the cell parameter, never by the data -> safe to broadcast
     ranked, counts = distributed_rank(df.withColumn("_h", h), [label],
@@ -166,10 +169,10 @@ def stratified_split(df: DataFrame, seed: int = 42, test_size: float = 0.30,
                        for i in range(len(LABELS))])
     q = _quotas(one, test_size, second_test, df.schema[label].dataType).select(
         F.col("label").alias(label), "n_train", "n_validation")
-    out = ranked.join(F.broadcast(q), label)
+    out = ranked.join(F.broadcast(q), label, "left")
     split = (F.when(F.col("_rank") < F.col("n_train"), F.lit("train"))
              .when(F.col("_rank") < F.col("n_train") + F.col("n_validation"), F.lit("validation"))
-             .otherwise(F.lit("test")))
+             .when(F.col("n_train").isNotNull(), F.lit("test")))
     return out.withColumn("split", split).drop("_h", "_rank", "n_train", "n_validation")
 
 

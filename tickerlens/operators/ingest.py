@@ -69,57 +69,34 @@ def first_arrivals(records: DataFrame,
             .select(*keys, "r.*"))
 
 
-# Bytes budgeted per broadcast key row (a 64-hex hash or a (ticker, date)
-# pair plus hash-table overhead); the row bound is the session's broadcast
-# threshold divided by this.
-KEY_ROW_BYTES = 128
-
-
-def broadcast_row_limit(spark) -> int:
-    """Largest key count this session may broadcast (0 when disabled)."""
-    raw = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
-    try:
-        limit = int(str(raw).lower().removesuffix("b"))
-    except ValueError:
-        limit = 10 * 1024 * 1024
-    return max(limit, 0) // KEY_ROW_BYTES
-
-
-def not_stored(winners: DataFrame, existing: DataFrame, keys: Sequence[str],
-               batch_rows: int | None = None) -> DataFrame:
+def not_stored(winners: DataFrame, existing: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of ``winners`` whose key is not in ``existing``.
 
     A plain ``left_anti`` can only broadcast its right side, i.e. the whole
     stored history, so every run would shuffle all stored keys.  Instead the
     stored keys that occur in the batch are found first (``left_semi`` of the
     history against the batch keys), then the batch is anti-joined against
-    those hits, which are at most as many as the batch.  When the caller has
-    counted the batch (``batch_rows``) and it fits the session's broadcast
-    threshold, the batch keys are broadcast: the history is only scanned and
-    probed map-side.  Beyond the bound both joins are ordinary shuffle joins
-    on the key."""
+    those hits, which are at most as many as the batch.  Whether the batch's
+    keys are broadcast or shuffled is left to the planner, which knows their
+    size at run time."""
     keys = list(keys)
     k = winners.select(*keys)
-    if batch_rows is not None and batch_rows <= broadcast_row_limit(winners.sparkSession):
-        k = F.broadcast(k)
     hits = existing.select(*keys).join(k, keys, "left_semi")
     return winners.join(hits, keys, "left_anti")
 
 
 def ingest_headlines(batch: DataFrame, existing: DataFrame | None = None,
-                     keys: Sequence[str] = ("headline_hash",),
-                     batch_rows: int | None = None) -> DataFrame:
+                     keys: Sequence[str] = ("headline_hash",)) -> DataFrame:
     """Rows of ``batch`` that a first-wins unique store would insert.
 
     ``existing`` is the stored table (only its key columns are read).  The
     default key is the hash alone, so a story seen for two tickers is kept
     for the first one only; pass ``keys=("ticker", "headline_hash")`` to keep
-    one per ticker.  ``batch_rows`` (a count of ``batch``, when known) lets
-    the stored-key lookup broadcast the batch keys; see ``not_stored``.
+    one per ticker.
     """
     winners = first_arrivals(batch, keys)
     if existing is not None:
-        winners = not_stored(winners, existing, keys, batch_rows)
+        winners = not_stored(winners, existing, keys)
     return winners
 
 

@@ -11,14 +11,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizer, RegexTokenizer
-from pyspark.sql import DataFrame
+from pyspark.ml.feature import IDF, CountVectorizerModel, RegexTokenizer, SQLTransformer
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.model import TOKEN_PATTERN, word_tokens
 
+FEATURE_WIDTH = 1 << 15       # hash buckets of the token counts
 DEFAULT_GRID = ({"reg_param": 0.0}, {"reg_param": 0.01}, {"reg_param": 0.1})
 
 
@@ -54,13 +56,20 @@ def macro_metrics(df: DataFrame, label: str = "label",
                    F.avg(f1).alias("f1"))
 
 
-def feature_pipeline(vocab_size: int = 1 << 14) -> Pipeline:
-    """Tokens -> counts over a vocabulary of at most ``vocab_size`` -> IDF."""
+def feature_pipeline(spark: SparkSession, width: int = FEATURE_WIDTH) -> Pipeline:
+    """Tokens -> counts over ``width`` hash buckets -> IDF.  Every token has a
+    bucket, seen in training or not; no vocabulary is built."""
     tok = RegexTokenizer(inputCol="sentence", outputCol="tokens", pattern=TOKEN_PATTERN,
                          gaps=True, toLowercase=True, minTokenLength=1)
-    cv = CountVectorizer(inputCol="tokens", outputCol="tf", vocabSize=vocab_size)
+    bucket = SQLTransformer(statement=(
+        f"SELECT *, transform(tokens, t -> {bucket_sql('t', width)}) AS buckets FROM __THIS__"))
+    counts = CountVectorizerModel.from_vocabulary([str(k) for k in range(width)], "buckets", "tf")
     idf = IDF(inputCol="tf", outputCol="features")
-    return Pipeline(stages=[tok, cv, idf])
+    return Pipeline(stages=[tok, bucket, counts, idf])
+
+
+def bucket_sql(token: str, width: int) -> str:
+    return f"CAST(pmod(xxhash64({token}), {width}) AS STRING)"
 
 
 def classifier(max_iter: int = 50, reg_param: float = 0.0) -> LogisticRegression:
@@ -68,23 +77,12 @@ def classifier(max_iter: int = 50, reg_param: float = 0.0) -> LogisticRegression
                               maxIter=max_iter, regParam=reg_param)
 
 
-def build_pipeline(seed: int = 42, vocab_size: int = 1 << 14, max_iter: int = 50,
-                   reg_param: float = 0.0) -> Pipeline:
-    """Full pipeline (features + classifier); all stages are deterministic,
-    ``seed`` is kept for the API."""
-    _ = seed
-    return Pipeline(stages=feature_pipeline(vocab_size).getStages()
-                    + [classifier(max_iter, reg_param)])
-
-
 def train_select(train: DataFrame, validation: DataFrame,
-                 grid: Sequence[dict] = DEFAULT_GRID, seed: int = 42,
-                 vocab_size: int = 1 << 14, max_iter: int = 20):
+                 grid: Sequence[dict] = DEFAULT_GRID, width: int = FEATURE_WIDTH, max_iter: int = 20):
     """M3: fit the features once on ``train``, then one classifier per grid
     point on the persisted features; keep the best by validation macro-F1
     (first wins ties).  Returns (PipelineModel, report DataFrame)."""
-    _ = seed
-    feats = feature_pipeline(vocab_size).fit(train)
+    feats = feature_pipeline(train.sparkSession, width).fit(train)
     tr = feats.transform(train).select("label", "features").persist(StorageLevel.MEMORY_AND_DISK)
     va = feats.transform(validation).select("label", "features").persist(StorageLevel.MEMORY_AND_DISK)
     best, best_f1, rows = None, None, []
@@ -110,28 +108,45 @@ def evaluate(model: PipelineModel, test: DataFrame) -> DataFrame:
     return macro_metrics(model.transform(test))
 
 
-def keyword_by_coefficients(scored: DataFrame, model: PipelineModel) -> DataFrame:
-    """Keyword analogue for the linear model: the headline token with the
-    largest coefficient for the predicted class (first position on ties).
+def save_model(model: PipelineModel, path: str) -> str:
+    """Write the selected model; its version is the id of its last stage."""
+    model.write().overwrite().save(path)
+    return model_version(model)
+
 
-    The (class, token, coef) table has classes x vocabulary rows, bounded by
-    the model's ``vocabSize`` and not by the data, so it is broadcast."""
-    cv = next(s for s in model.stages if hasattr(s, "vocabulary"))
-    lr = model.stages[-1]
+def load_model(spark: SparkSession, path: str) -> PipelineModel | None:
+    """The saved model, or None when there is none at ``path``."""
+    try:
+        spark.read.text(f"{path.rstrip('/')}/metadata")
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return PipelineModel.load(path)
+
+
+def model_version(model: PipelineModel) -> str:
+    return model.stages[-1].uid
+
+
+def keyword_by_coefficients(scored: DataFrame, model: PipelineModel) -> DataFrame:
+    """Keyword analogue for the linear model: the headline token whose bucket
+    has the largest coefficient for the predicted class (first position on
+    ties).  The (class, bucket, coef) table has classes x ``FEATURE_WIDTH``
+    rows, bounded by that parameter and not by the data, so it is broadcast.
+    The model output is exploded and aggregated once."""
     import numpy as np
     import pandas as pd
-
-    vocab = np.asarray(cv.vocabulary, dtype=object)
-    coef = lr.coefficientMatrix.toArray()
-    n_cls = coef.shape[0]
-    pdf = pd.DataFrame({"pred": np.repeat(np.arange(n_cls, dtype=np.int32), len(vocab)),
-                        "tok": np.tile(vocab, n_cls),
+    coef = model.stages[-1].coefficientMatrix.toArray()
+    n_cls, width = coef.shape
+    pdf = pd.DataFrame({"pred": np.repeat(np.arange(n_cls, dtype=np.int32), width),
+                        "bucket": np.tile(np.arange(width).astype(str), n_cls),
                         "coef": coef.reshape(-1).astype(float)})
-    spark = scored.sparkSession
-    table = spark.createDataFrame(pdf, "pred int, tok string, coef double")
-    toks = scored.select("headline_hash", "pred",
-                         F.posexplode("tokens").alias("pos", "tok"))
-    best = (toks.join(F.broadcast(table), ["pred", "tok"])
-            .groupBy("headline_hash")
-            .agg(F.max_by("tok", F.struct("coef", -F.col("pos"))).alias("attention_keyword")))
-    return scored.join(best, "headline_hash", "left")
+    table = scored.sparkSession.createDataFrame(pdf, "pred int, bucket string, coef double")
+    toks = scored.select("headline_hash", "pred", "confidence",
+                         F.posexplode_outer("tokens").alias("pos", "tok"))
+    toks = toks.withColumn("bucket", F.expr(bucket_sql("tok", width)))
+    return (toks.join(F.broadcast(table), ["pred", "bucket"], "left")
+            .groupBy("headline_hash", "pred", "confidence")
+            .agg(F.max_by("tok", F.when(F.col("tok").isNotNull(),
+                                        F.struct("coef", -F.col("pos")))).alias("attention_keyword")))

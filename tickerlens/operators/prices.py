@@ -119,7 +119,7 @@ def unpivot_prices(wide: DataFrame, tickers: Sequence[str]) -> DataFrame:
 
 def ingest_prices(batch: DataFrame, existing: DataFrame | None = None,
                   policy: str = "first_wins",
-                  order: str = "fetch_ord", batch_rows: int | None = None) -> DataFrame:
+                  order: str = "fetch_ord") -> DataFrame:
     """New stored rows for a fetched batch.
 
     Unique key (ticker, market_date).  ``first_wins`` keeps the earliest
@@ -138,7 +138,7 @@ def ingest_prices(batch: DataFrame, existing: DataFrame | None = None,
                .select(*keys, "r.*"))
     if existing is not None and policy == "first_wins":
         from .ingest import not_stored
-        winners = not_stored(winners, existing, keys, batch_rows)
+        winners = not_stored(winners, existing, keys)
     return winners
 
 

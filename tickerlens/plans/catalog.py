@@ -380,12 +380,16 @@ def q_train_eval(spark, sf_dir):
 
 @register("scoring_drain")
 def q_scoring_drain(spark, sf_dir):
-    """M1/L2: score the whole unscored backlog with the selected model."""
+    """M1/L2: score the whole unscored backlog with the selected model, saved
+    and loaded as a scoring job does."""
     from ..operators.scoring import score_with_pipeline
     (model, _), _ = _trained(spark, sf_dir)
+    path = f"{scratch_path(spark, 'tickerlens/model')}-{uuid.uuid4().hex}"
+    M.save_model(model, path)
+    model = M.load_model(spark, path)
     backlog = unscored(C.stored_headlines(spark, sf_dir), C.scores(spark, sf_dir))
     return score_with_pipeline(backlog.select("headline_hash", "headline"), model,
-                               "mllib-logreg", text="headline")
+                               M.model_version(model), text="headline").drop("model_version")
 
 
 # ---------------------------------------------------------- streaming ----

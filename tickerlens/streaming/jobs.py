@@ -153,13 +153,12 @@ def headline_batch(table_path: str, as_of=None, keys: Sequence[str] = ("headline
     def body(batch: DataFrame, run: str, batch_no: int) -> tuple[int, int]:
         arts = explode_articles(batch).withColumn("feed_rank", feed_rank())
         recs = with_hash(headline_records(arts, as_of=as_of), stripped=True)
-        # the micro-batch is read once: cached, counted (the size check for
-        # the stored-key lookup), then deduplicated and written
+        # the micro-batch is read once: cached, counted, deduplicated, written
         recs = recs.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             n_in = recs.count()
             existing = _others(open_table(batch.sparkSession, table_path, "headlines"), run, batch_no)
-            new = ingest_headlines(recs, existing, keys, batch_rows=n_in)
+            new = ingest_headlines(recs, existing, keys)
             ins = _commit(new, table_path, "headlines", run, batch_no)
         finally:
             recs.unpersist()
@@ -210,7 +209,7 @@ def price_batch(table_path: str, policy: str = "first_wins", market_hours_only:
         try:
             n_in = fetched.count()
             existing = _others(open_table(batch.sparkSession, table_path, "prices"), run, batch_no)
-            new = ingest_prices(fetched, existing, policy=policy, batch_rows=n_in)
+            new = ingest_prices(fetched, existing, policy=policy)
             ins = _commit(new, table_path, "prices", run, batch_no)
         finally:
             fetched.unpersist()
