@@ -2,21 +2,23 @@
 
 Two shingle sets of Jaccard similarity >= t must share a token among their
 first ``n - ceil(t n) + 1`` tokens under *every* global order of all tokens.
-Several orders (frequent tokens last, the rest by a differently seeded hash)
-are used together:
+Several orders are used together: plain hash orders with different seeds, under
+which similar sets mostly begin with the same token, and rare-first orders
+(frequency class, then hash), under which unlike sets seldom share a prefix:
 
 1. Equal sets collapse to one representative (pre-aggregated), so a group of
    exact copies costs one row from there on.
-2. Representatives whose first token agrees under an order meet in a bucket.
-   A bucket is cut into blocks of bounded size, and inside a block a pair is
+2. Representatives whose first token agrees under a hash order meet in a
+   bucket.
+   It is cut into blocks of bounded size, and inside a block a pair is
    looked at only if its sizes and their parity sketches allow the
    similarity (toggled bits are a lower bound of the symmetric difference, so
    nothing is lost) and its sets are not connected already.  Only spanning
    links leave a task, never all pairs of a bucket.
 3. Pairs that met under none of those orders are found by the prefix filter
-   itself: tokens shared by two prefixes of the first order, minus pairs that
-   met or are connected, intersected with the other orders' prefixes before
-   the sets are compared.  This step makes the join exact.
+   itself: tokens shared by two prefixes of a rare-first order, minus pairs
+   that met or are connected, intersected with the prefixes of two more
+   rare-first orders before the sets are compared.  This step makes the join exact.
 
 Links are connected by large-star/small-star steps (``components``).
 
@@ -43,9 +45,9 @@ ORDERS = 4                    # global orders under which sets meet
 PARITY_BITS = 512             # least size of a parity sketch (a power of two)
 BLOCK = 512                   # sets of a bucket compared in one task step
 GROUP_ROWS = 1500             # rows that share one task step, about
-HEAVY_SHARE = 0.005           # a token in more documents counts as frequent
-HEAVY_MAX = 50_000            # bound of the broadcast table of frequent tokens
-HEAVY_BATCH = 1000            # documents counted together before pre-selection
+HEAVY_MAX = 100_000           # bound of the broadcast table of frequent tokens
+HEAVY_BATCH = 8000            # documents counted together before pre-selection
+HEAVY_LEAST = 4               # sets of a batch that make a token a proposal
 # ---------------------------------------------------------------------------
 
 FEATS = ("id bigint, n int, s1 bigint, s2 bigint, "
@@ -58,43 +60,48 @@ def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def heavy_tokens(texts: DataFrame, k: int) -> np.ndarray:
-    """The most frequent tokens (at most ``HEAVY_MAX``, sorted).
+    """The most frequent tokens (at most ``HEAVY_MAX``, sorted) and their
+    frequency classes, as two rows.
 
-    Every batch of documents proposes the tokens above half the share in it;
-    the proposals are summed over all documents.  A token that misses the
-    table only loses its place at the end of the orders, never a link."""
+    Every batch of documents proposes the tokens of several of its different
+    sets; the proposals are summed over all documents.  A token that misses
+    the table only loses its place in the orders, never a link."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+        held: dict[tuple[int, int], np.ndarray] = {}
+        n = 0
 
         def propose():
-            tok, c = np.unique(np.concatenate(held), return_counts=True)
-            keep = c >= max(3, HEAVY_SHARE / 2 * n)
+            tok, c = np.unique(np.concatenate(list(held.values())), return_counts=True)
+            keep = c >= HEAVY_LEAST
             return pa.RecordBatch.from_arrays(
                 [pa.array(tok[keep].view(np.int64)), pa.array(c[keep])], names=["token", "c"])
         for b in batches:
             for t in b.column(0):
-                held.append(S.shingle_set(t.as_py(), k))
+                u = S.shingle_set(t.as_py(), k)
+                held[S.set_digest(u)] = u
                 n += 1
                 if n == HEAVY_BATCH:
                     yield propose()
-                    held, n = [], 0
+                    held, n = {}, 0
         if n:
             yield propose()
 
-    total = texts.count()
     top = (texts.select("text").mapInArrow(count, "token bigint, c bigint")
            .groupBy("token").agg(F.sum("c").alias("c"))
-           .filter(F.col("c") >= max(3, HEAVY_SHARE * total))
-           .orderBy(F.desc("c"), "token").limit(HEAVY_MAX).select("token").collect())
-    return np.sort(np.array([r[0] for r in top], np.int64).view(np.uint64))
+           .orderBy(F.desc("c"), "token").limit(HEAVY_MAX).collect())
+    tok = np.array([r["token"] for r in top], np.int64).view(np.uint64)
+    cls = np.array([int(r["c"]).bit_length() for r in top], np.uint64)
+    at = np.argsort(tok)
+    return np.stack([tok[at], cls[at]])
 
 
 def _ranks(u: np.ndarray, heavy: np.ndarray, order: int) -> np.ndarray:
-    """Position of tokens in a global order: frequent ones last."""
-    o = S.mix(u, order + 1) >> np.uint64(1)
-    if len(heavy) and len(u):
-        at = np.minimum(np.searchsorted(heavy, u), len(heavy) - 1)
-        o |= (heavy[at] == u).astype(np.uint64) << np.uint64(63)
+    """Position of tokens in a global order: rare ones first, by frequency
+    class; within a class by a hash of the order."""
+    o = S.mix(u, order + 1) >> np.uint64(6)
+    if heavy.shape[1] and len(u):
+        at = np.minimum(np.searchsorted(heavy[0], u), heavy.shape[1] - 1)
+        o |= np.where(heavy[0][at] == u, heavy[1][at], np.uint64(0)) << np.uint64(58)
     return o
 
 
@@ -152,8 +159,8 @@ class _Sketches:
 
 
 def features(texts: DataFrame, k: int, pct: int, heavy: np.ndarray) -> DataFrame:
-    """Size, set digest, first token per order, parity sketch and the prefix
-    under the first order of every text that has words."""
+    """Size, set digest, first token per hash order, parity sketch and the
+    prefix under the first rare-first order of every text that has words."""
     table = texts.sparkSession.sparkContext.broadcast(heavy)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +172,7 @@ def features(texts: DataFrame, k: int, pct: int, heavy: np.ndarray) -> DataFrame
                 if not len(u):
                     continue
                 s1, s2 = S.set_digest(u)
-                first = [S.signed(int(u[_ranks(u, hv, r).argmin()])) for r in range(ORDERS)]
+                first = [S.signed(int(u[S.mix(u, r + 1).argmin()])) for r in range(ORDERS)]
                 vals = [i.as_py(), len(u), s1, s2, *first, _parity(u),
                         _prefix(u, hv, 0, pct).view(np.int64)]
                 for c, v in zip(cols, vals, strict=True):
