@@ -35,8 +35,8 @@ CACHE_PARTS = 250_000         # per worker; only speed depends on these
 CACHE_PAIRS = 500_000
 CACHE_KEY_CHARS = 64
 # white space as the pattern's \s has it (Unicode White_Space)
-SPACE = "\t\n\x0b\x0c\r \x85\xa0        " \
-        "        　"
+SPACE = ("\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
+         "\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 # ---------------------------------------------------------------------------
 
 
