@@ -42,7 +42,7 @@ from . import shingles as S
 from .common import stored
 
 # --- fixed values -----------------------------------------------------------
-ANCHOR_WORDS = 5              # words of an anchor gram (less than k)
+ANCHOR_WORDS = 6              # words of an anchor gram (less than k)
 LOW = np.uint64((1 << 28) - 1)  # position bits of an anchor choice
 # ---------------------------------------------------------------------------
 
@@ -116,15 +116,17 @@ def _opened(asked: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list] = [[], [], [], [], []]
-            for i, t, q in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+            for i, t, q in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
                 edges, = S.window_hashes(S.word_hashes(S.split_words(t.as_py())), k)
-                for x in q:
-                    at, n = x["at"], x["n"]
-                    out[0].append(edges[at:at + n].view(np.int64))
-                    out[1].append(np.full(n, x["piece"], np.int64))
-                    out[2].append(np.arange(n, dtype=np.int32))
-                    out[3].append(np.full(n, i, np.int64))
-                    out[4].append(np.arange(at, at + n, dtype=np.int32))
+                at, n, piece = (q.values.field(c).to_numpy(zero_copy_only=False)
+                                for c in ("at", "n", "piece"))
+                n = n.astype(np.int64)
+                inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                pos = np.repeat(at, n) + inner
+                for c, v in zip(out, (edges[pos].view(np.int64), np.repeat(piece, n),
+                                      inner.astype(np.int32), np.full(len(pos), i, np.int64),
+                                      pos.astype(np.int32)), strict=True):
+                    c.append(v)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out],
                                                  names=["edge", "piece", "k", "doc", "at"])

@@ -9,7 +9,7 @@ import xxhash
 MIX_A = np.uint64(0xBF58476D1CE4E5B9)
 MIX_B = np.uint64(0x94D049BB133111EB)
 STEP = np.uint64(0x9E3779B97F4A7C15)
-CACHE_WORDS = 400_000         # per worker; only speed depends on it
+CACHE_WORDS = 800_000         # per worker; only speed depends on it
 # ---------------------------------------------------------------------------
 
 
