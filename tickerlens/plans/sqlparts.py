@@ -7,7 +7,11 @@ written independently in DuckDB's dialect (``lambda x:`` lambdas, ``isodow``,
 
 from __future__ import annotations
 
-from ..functions.text import NETLOC_PATTERN, STRIP_PATTERN
+# Unicode white space that a strip removes, as code points (its own list, so
+# that a fault in the code under test shows)
+_SPACE = (*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+          0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+_SPACE_SQL = " || ".join(f"chr({c})" for c in _SPACE)
 
 
 def ticker(k: str) -> str:
@@ -19,7 +23,7 @@ def ticker_pos(k: str) -> str:
 
 
 def ustrip(x: str) -> str:
-    return f"regexp_replace({x}, '{STRIP_PATTERN}', '', 'g')"
+    return f"trim({x}, {_SPACE_SQL})"
 
 
 def sha(x: str) -> str:
@@ -59,7 +63,9 @@ def poll_slot(ts: str) -> str:
 def source_of(name: str, url: str, mode: str = "charset") -> str:
     n = f"coalesce({name}, '')"
     u = f"coalesce({url}, '')"
-    net = f"regexp_extract({u}, '{NETLOC_PATTERN}', 1)"
+    after = f"substr({u}, strpos({u}, '//') + 2)"
+    net = (f"(CASE WHEN regexp_matches({u}, '^([A-Za-z][-A-Za-z0-9+.]*:)?//') THEN "
+           f"split_part(split_part(split_part({after}, '/', 1), '?', 1), '#', 1) ELSE '' END)")
     bad = f"(contains({net}, '[') <> contains({net}, ']'))"
     strip_re = "^[w.]+" if mode == "charset" else r"^www\."
     return (f"CASE WHEN {n} <> '' THEN replace(lower({n}), ' ', '-') "
@@ -165,9 +171,9 @@ def with_ctes(*ctes: str) -> str:
 
 def tokens(x: str) -> str:
     """Twin of ``functions.model.word_tokens``."""
-    from ..functions.model import TOKEN_PATTERN
-    return (f"list_filter(regexp_split_to_array(lower({x}), '{TOKEN_PATTERN}'), "
-            f"lambda t: length(t) >= 1)")
+    gaps = " || ".join(f"chr({c})" for c in range(9, 14))
+    return (f"list_filter(string_split(translate(lower({x}), {gaps}, '     '), ' '), "
+            f"lambda t: t <> '')")
 
 
 def bars_cte(name: str, src: str) -> str:
