@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 # --- fixed values -----------------------------------------------------------
 MAX_VOCAB_BYTES = 32 << 20    # bound of what is broadcast
-CACHE_PARTS = 250_000         # per worker; only speed depends on these
-CACHE_PAIRS = 500_000
+CACHE_PARTS = 100_000         # per worker; only speed depends on these
+CACHE_PAIRS = 200_000
 CACHE_KEY_CHARS = 64
 # white space as the pattern's \s has it (Unicode White_Space)
 SPACE = ("\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
@@ -169,7 +169,7 @@ class Codec:
             if got is None:
                 got = _packed(array("I", self.piece_ids(p)))
                 if len(p) <= CACHE_KEY_CHARS:
-                    if len(known) >= CACHE_PARTS:
+                    if len(known) >= CACHE_PARTS * 3 // 4:
                         known.clear()
                     known[p] = got
             out.append(got)

@@ -46,7 +46,7 @@ MAX_ERROR_PCT = 20            # edits per 100 words of the item
 BLOCK_ITEMS = 20_000          # items indexed and broadcast together
 CHUNK_WORDS = 150_000         # words walked over together in a task
 BITS = 1 << 18                # size of the pre-filters
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 # ---------------------------------------------------------------------------
 
 _MARKS = string.punctuation.encode()
