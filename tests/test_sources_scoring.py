@@ -129,3 +129,26 @@ def test_paging_rank_cells_match_one_window_with_null_times(spark):
     b = r.withColumn("rk2", F.row_number().over(w) - 1)
     assert b.count() == a.count() > 1000
     assert b.filter(F.col("rk") != F.col("rk2")).count() == 0
+
+
+def test_keyword_of_a_long_headline_is_the_best_of_all_windows(spark):
+    """The top token may stand in window 1 of the first line; ties go to the
+    first window, other lines of the hash do not count, empty text has none."""
+    from tickerlens.operators.scoring import decode_windows
+
+    def row(h, doc, window, words, weights):
+        toks = ["[CLS]", *words, "[SEP]"]
+        att = [0.99, *weights, 0.98]
+        return (doc, window, h, [0.1, 2.0, 0.3], toks, [att, att], len(toks))
+
+    rows = [row("late", 5, 0, ["a", "b"], [0.2, 0.3]), row("late", 5, 1, ["c", "##top"], [0.1, 0.9]),
+            row("late", 9, 0, ["other", "line"], [0.95, 0.96]),
+            row("tie", 1, 1, ["second"], [0.4]), row("tie", 1, 0, ["x", "first"], [0.1, 0.4]),
+            row("empty", 2, 0, [], [])]
+    df = spark.createDataFrame(rows, "doc_id bigint, window int, headline_hash string, "
+                               "logits array<double>, tokens array<string>, "
+                               "attention array<array<double>>, length int")
+    got = {r["headline_hash"]: (r["attention_keyword"], r["sentiment_label"])
+           for r in decode_windows(df, "v").collect()}
+    assert {h: k for h, (k, _) in got.items()} == {"late": "top", "tie": "first", "empty": None}
+    assert {s for _, s in got.values()} == {"neutral"}

@@ -48,20 +48,39 @@ def mean_over_heads(attention: Column | str) -> Column:
     return F.transform(total, lambda x: x / n)
 
 
-def _best_token(tokens: Column, weights: Column, length: Column,
-                keep=None) -> Column:
+def _best(tokens: Column, weights: Column, length: Column, keep=None) -> Column:
     """Argmax over positions 2..length-1 (1-based: skip [CLS], [SEP] and
-    right padding).  Ties go to the first position.  ``keep`` filters the
-    candidate tokens.  Leading '#' are stripped from the winner."""
+    right padding) as struct(w, neg_i, tok).  Ties go to the first position.
+    ``keep`` filters the candidate tokens; NULL without candidates."""
     idx = F.sequence(F.lit(2), length - 1)
     cands = F.transform(idx, lambda i: F.struct(
         F.element_at(weights, i).alias("w"), (-i).alias("neg_i"),
         F.element_at(tokens, i).alias("tok")))
     if keep is not None:
         cands = F.filter(cands, lambda s: keep(s["tok"]))
-    best = F.array_max(cands)
-    return F.when(length > 2,
-                  F.regexp_replace(best["tok"], r"^#+", ""))
+    return F.when(length > 2, F.array_max(cands))
+
+
+def token_keyword(token: Column) -> Column:
+    """The winning token without its leading '#'."""
+    return F.regexp_replace(token, r"^#+", "")
+
+
+def _best_token(tokens: Column, weights: Column, length: Column,
+                keep=None) -> Column:
+    """Token of ``_best`` without its leading '#'."""
+    return token_keyword(_best(tokens, weights, length, keep)["tok"])
+
+
+def best_of_window(tokens: Column | str, attention: Column | str, length: Column | str,
+                   window: Column | str) -> Column:
+    """Most-attended non-special token of one window as struct(w, neg_window,
+    neg_i, tok): the largest struct of a headline's windows is the best of all
+    its tokens, and ties go to the first window and position.  NULL when the
+    window holds only [CLS] and [SEP]."""
+    b = _best(_col(tokens), mean_over_heads(attention), _col(length).cast("int"))
+    return F.when(b.isNotNull(), F.struct(b["w"].alias("w"), (-_col(window)).alias("neg_window"),
+                                          b["neg_i"].alias("neg_i"), b["tok"].alias("tok")))
 
 
 def attention_keyword(tokens: Column | str, attention: Column | str,

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.model import attention_keyword, decode_logits
+from ..functions.model import attention_keyword, best_of_window, decode_logits, token_keyword
 
 SCORE_FIELDS = ["sentiment_label", "confidence", "attention_keyword", "model_version"]
 ORDER_COLS = ["batch_id", "ticker_pos", "feed_rank"]
@@ -58,6 +58,27 @@ def decode_outputs(outputs: DataFrame, model_version: str) -> DataFrame:
         F.lit(model_version).alias("model_version"))
 
 
+def decode_windows(outputs: DataFrame, model_version: str) -> DataFrame:
+    """F11 + F12 over the windows of whole headlines: one row per hash, that
+    of its first line (least ``doc_id``).  The keyword is the best token of all
+    windows of that line.  One partial aggregate; a row per window is made
+    small before the shuffle."""
+    d = decode_logits("logits")
+    rated = outputs.select(
+        "headline_hash",
+        F.struct((-F.col("doc_id")).alias("neg_doc"),
+                 best_of_window("tokens", "attention", "length", "window").alias("best"),
+                 (-F.col("window")).alias("neg_window"), d["label"].alias("label"),
+                 d["confidence"].alias("confidence")).alias("o"))
+    one = rated.groupBy("headline_hash").agg(F.max("o").alias("o"))
+    return one.select(
+        "headline_hash",
+        F.col("o.label").alias("sentiment_label"),
+        F.col("o.confidence").alias("confidence"),
+        token_keyword(F.col("o.best.tok")).alias("attention_keyword"),
+        F.lit(model_version).alias("model_version"))
+
+
 class Scorer(Protocol):
     """Pluggable model for ``score_in_pandas``.
 

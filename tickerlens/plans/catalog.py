@@ -479,20 +479,15 @@ def q_stream_prices(spark, sf_dir):
 @register("stream_scoring")
 def q_stream_scoring(spark, sf_dir):
     """Scoring stream over the stored headlines table; the scorer
-    decodes the model outputs of each headline (F11/F12)."""
-    from ..operators.scoring import decode_outputs
+    decodes the model outputs of all windows of each headline (F11/F12)."""
+    from ..operators.scoring import decode_windows
     base = _stream_base(spark)
     table = _run_headline_stream(spark, sf_dir, base)
     outputs = driver.model_outputs(spark, sf_dir)
 
     def scorer(backlog):
         mo = outputs.join(backlog.select("headline_hash"), "headline_hash", "left_semi")
-        # one output per hash: that of its first line and window
-        cols = [c for c in mo.columns if c != "headline_hash"]
-        one = (mo.groupBy("headline_hash")
-               .agg(F.min_by(F.struct(*cols), F.struct("doc_id", "window")).alias("o"))
-               .select("headline_hash", "o.*"))
-        return decode_outputs(one, "embeddings")
+        return decode_windows(mo, "embeddings")
 
     q = R.start_scoring(spark, table, f"{base}/scores", f"{base}/ckpt-score", scorer,
                         f"{base}/ledger")
