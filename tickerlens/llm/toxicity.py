@@ -1,9 +1,9 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained on a bounded sample of labelled rows:
-one on the words of ordinary text, one on ordinary text plus the segments of
-toxic text that the first one lacks and that stand in significantly more toxic
-than ordinary texts.  Every window of a few words is compressed with both; a
+Two zstandard dictionaries come from a bounded sample of labelled rows: one is
+trained on ordinary text, the other is the first one plus a list of the words
+of toxic text that it lacks and that stand in significantly more toxic than
+ordinary texts (training on toxic text itself measured worse, see README).  Every window of a few words is compressed with both; a
 window that the toxic dictionary shortens more looks toxic.  The largest
 savings, their number and the number of windows are calibrated to a
 probability by logistic regression on the same sample (weighted back to the
