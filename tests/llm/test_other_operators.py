@@ -36,6 +36,18 @@ def test_article_without_a_wrapper():
     assert H.main_text("<p>" * 5000 + "deep", None) == "deep"
 
 
+def test_left_out_inline_elements_stay_out_of_their_block():
+    page = ("<article><p>A <span class='ad'>Buy <b>now</b></span> B</p>"
+            "<p>C<button>Copy</button>D <a class='share-link' href='x'>Share</a>.</p>"
+            "<p>E <label>Mail <select><option>x<option>y</select></label>F <span class='promo'/>G</p>"
+            "<p>in<span class='ad'></span>side <span class='ad'>open</p><p>H <i>i</i></p>"
+            "<div>J <a class='promo'><div>card</div>more</a> K</div></article><button>last")
+    assert H.main_text(page, None) == "A B\nC D .\nE F G\ninside\nH i\nJ K"
+    root, _ = H.parse("<p>A <span class='ad'>Buy</span> B</p>")
+    p, = root.kids
+    assert len(p.texts) == 1 and [k.sig for k in p.kids] == ["span.ad"] and len(p.kids[0].texts) == 1
+
+
 def test_simple_tree_matching():
     a, _ = H.parse("<div><h1>x</h1><p>1</p><ul><li>2</ul></div>")
     b, _ = H.parse("<div><p>1</p><table><tr><td>z</table><ul><li>3</ul></div>")

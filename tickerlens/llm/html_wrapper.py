@@ -8,7 +8,8 @@ pages merge into the host's wrapper, which counts at every node how many pages
 hold which text.  A text that (nearly) all pages of the host hold at an
 aligned node is template; the varying slots are content.  Content inside
 elements that serve as menu, header, footer, sidebar, notice, advert, form or
-reader comments is left out, and so are scripts, styles and markup.
+reader comments is left out, and so are scripts, styles and markup.  A left-out inline
+element (button, marked span or link) does not break the block around it.
 
 Wrappers are built from many small groups of pages (host, salt) and merged in
 rounds of bounded fan-in, so a host with a third of all pages is never one
@@ -61,6 +62,7 @@ MARKS = frozenset(
     "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe "
     "subscription share sharing social related recommended widget pagination pager contentinfo "
     "complementary search dialog toolbar skip masthead topbar disqus".split())
+ATOMIC = frozenset("button select option".split())     # boxes: words do not join across them
 CLOSES_P = BLOCK - {"body", "html"}
 # ---------------------------------------------------------------------------
 
@@ -107,8 +109,9 @@ def parse(page: str) -> tuple[Node, list[tuple[str, tuple[Node, ...], bool, bool
     left out by its element, inside an article."""
     root = Node("#")
     blocks: list[tuple[str, tuple[Node, ...], bool, bool]] = []
-    # open elements: tag, node path, left out, inside article
-    stack = [("#", (root,), False, False)]
+    # open elements: tag, node path, left out, inside article; a left-out inline
+    # element also holds the text of its parent, which goes on after it
+    stack: list[tuple] = [("#", (root,), False, False, None)]
     buf: list[str] = []
     low = None
 
@@ -117,15 +120,20 @@ def parse(page: str) -> tuple[Node, list[tuple[str, tuple[Node, ...], bool, bool
             text = " ".join(_html.unescape("".join(buf)).split())
             buf.clear()
             if text:
-                _, path, out, art = stack[-1]
+                _, path, out, art, _ = stack[-1]
                 h = xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace"))
                 path[-1].texts[h] = 1
                 blocks.append((text, path, out, art))
 
     def close(k: int):
-        if any(t[0] in BLOCK for t in stack[k:]):
-            flush()
-        del stack[k:]
+        nonlocal buf
+        while len(stack) > k:
+            tag, *_, held = stack[-1]
+            if tag in BLOCK or held is not None:
+                flush()
+            stack.pop()
+            if held is not None:
+                buf = held
 
     def close_open(tags, until):
         for k in range(len(stack) - 1, 0, -1):
@@ -182,22 +190,26 @@ def parse(page: str) -> tuple[Node, list[tuple[str, tuple[Node, ...], bool, bool
             close_open(("tr",), ("table",))
         elif tag == "body":
             close_open(("head",), ())
-        _, path, out, art = stack[-1]
+        _, path, out, art, _ = stack[-1]
         no, cls = _marked(tag, attrs, art)
         art = art or tag in ("article", "main")
-        if tag in BLOCK or no:
+        held = None
+        if tag in BLOCK:
             flush()
+        elif no:
+            if tag in ATOMIC:
+                buf.append(" ")
+            held, buf = buf, []
+        if tag in BLOCK or no:
             sig = f"{tag}.{cls}" if cls else tag
             kids = path[-1].kids
             if not kids or kids[-1].sig != sig:
                 kids.append(Node(sig))
             path = (*path, kids[-1])
-            tag_block = tag
-        else:
-            tag_block = tag
-        stack.append((tag_block, path, out or no, art))
+        stack.append((tag, path, out or no, art, held))
         if attrs.rstrip().endswith("/") and tag not in BLOCK:
-            stack.pop()
+            close(len(stack) - 1)
+    close(1)
     flush()
     return root, blocks
 
