@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -130,6 +131,35 @@ def test_substring_dedup_edges(spark, edges):
     assert got[9]["n_removed"] == 60 and got[5]["n_removed"] == got[5]["n_words"]
 
 
+def test_substring_dedup_null_ids_and_repeated_ids(spark):
+    """A row without an id loses nothing and is no source; rows that share an
+    id are judged and are sources each with its own text."""
+    long = [f"a{k}" for k in range(60)]
+    other = [f"b{k}" for k in range(20)]
+    fork = [f"c{k}" for k in range(8)]
+    texts = [(None, " ".join(long)), (None, " ".join(long)), (None, "short"), (1, " ".join(other)),
+             (1, " ".join(long[:30] + fork + long[30:])), (1, None), (2, " ".join(["x", *long[31:], "y"])),
+             (2, " ".join([*other, "z"])), (3, " ".join(long + other)), (3, "few words"),
+             (3, " ".join(long + other)), (4, " ".join(long[:30] + fork + other))]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string")
+    got = Counter((r[0], r[1], r[2], bytes(r[3]).decode())
+                  for r in debruijn.remove_repeats(df).collect())
+    first = {}
+    for i, t in texts:
+        ws = (t or "").split()
+        for a in range(len(ws) - 12):
+            if i is not None:
+                w = tuple(ws[a:a + 13])
+                first[w] = min(first.get(w, i), i)
+    want = Counter()
+    for i, t in texts:
+        ws = (t or "").split()
+        gone = {a + j for a in range(len(ws) - 12) if i is not None and first[tuple(ws[a:a + 13])] < i
+                for j in range(13)}
+        want[i, len(ws), len(gone), " ".join(w for j, w in enumerate(ws) if j not in gone)] += 1
+    assert got == want
+
+
 # ------------------------------------------------------------ Jaccard join ----
 
 def brute_classes(rows, k, pct):

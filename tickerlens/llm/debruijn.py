@@ -10,7 +10,8 @@ and pre-aggregated groupings:
 1. anchors that occur in two documents or more (most do not, and their paths
    leave the job here);
 2. path pieces around the remaining anchors, each with the smallest source
-   coordinate (document, word) of its content;
+   coordinate (document, row, word) of its content; the row is a digest of the
+   text, as rows that share an id may hold different texts;
 3. anchors with a single piece are unbranched: the piece's source holds for
    all its edges.  At a branching anchor the pieces are opened into their
    edges, and every edge gets its own smallest source;
@@ -24,8 +25,10 @@ What is collected per document is bounded by the document itself.
 
 Defined results: words are judged on the input, in every text; a NULL text
 has no words; fewer than ``k`` words are never removed; of equal texts the one
-with the smallest id stays; rows that repeat one id do not remove each other;
-an empty table gives an empty table.
+with the smallest id stays; rows that repeat one id do not remove each other,
+and every one of them is a source with its own text; a row with a NULL id has
+no place in the order, so it loses nothing and is no source; an empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -95,28 +98,29 @@ def _pieces(docs: DataFrame, k: int) -> DataFrame:
     """All path pieces of documents."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list] = [[], [], [], [], []]
-            for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            out: list[list] = [[], [], [], [], [], []]
+            for i, t, r in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
                 got = _paths(t.as_py(), k)
                 if got is None:
                     continue
                 _, first, n, mark, piece = got
                 for c, v in zip(out, (piece.view(np.int64), mark.view(np.int64),
-                                      np.full(len(n), i, np.int64),
+                                      np.full(len(n), i, np.int64), np.full(len(n), r, np.int64),
                                       first.astype(np.int32), n.astype(np.int32)), strict=True):
                     c.append(v)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out],
-                                                 names=["piece", "mark", "doc", "at", "n"])
-    return docs.mapInArrow(run, "piece bigint, mark bigint, doc bigint, at int, n int")
+                                                 names=["piece", "mark", "doc", "row", "at", "n"])
+    return docs.mapInArrow(run, "piece bigint, mark bigint, doc bigint, row bigint, at int, n int")
 
 
 def _opened(asked: DataFrame, k: int) -> DataFrame:
     """The edges of branching pieces, read at their source coordinates."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list] = [[], [], [], [], []]
-            for i, t, q in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+            out: list[list] = [[], [], [], [], [], []]
+            for i, r, t, q in zip(b.column("doc").to_pylist(), b.column("row").to_pylist(),
+                                  b.column("text"), b.column("q"), strict=True):
                 edges, = S.window_hashes(S.word_hashes(S.split_words(t.as_py())), k)
                 at, n, piece = (q.values.field(c).to_numpy(zero_copy_only=False)
                                 for c in ("at", "n", "piece"))
@@ -125,43 +129,48 @@ def _opened(asked: DataFrame, k: int) -> DataFrame:
                 pos = np.repeat(at, n) + inner
                 for c, v in zip(out, (edges[pos].view(np.int64), np.repeat(piece, n),
                                       inner.astype(np.int32), np.full(len(pos), i, np.int64),
-                                      pos.astype(np.int32)), strict=True):
+                                      np.full(len(pos), r, np.int64), pos.astype(np.int32)),
+                                strict=True):
                     c.append(v)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out],
-                                                 names=["edge", "piece", "k", "doc", "at"])
-    return asked.mapInArrow(run, "edge bigint, piece bigint, k int, doc bigint, at int")
+                                                 names=["edge", "piece", "k", "doc", "row", "at"])
+    return asked.mapInArrow(run, "edge bigint, piece bigint, k int, doc bigint, row bigint, at int")
 
 
 def _spans(hits: DataFrame, k: int) -> DataFrame:
-    """Long spans of a document: runs of edges whose source coordinates run
-    along, as (doc, src, sat, words) with all first words ``ats``."""
+    """Long spans of a row: runs of edges whose source coordinates run along,
+    as (doc, row, src, srow, sat, words) with all first words ``ats``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list] = [[], [], [], [], []]
-            for doc, hs in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            out: list[list] = [[], [], [], [], [], [], []]
+            for doc, row, hs in zip(b.column("doc").to_pylist(), b.column("row").to_pylist(),
+                                    b.column("hs"), strict=True):
                 v = hs.values
-                at, n, src, sat = (v.field(c).to_numpy(zero_copy_only=False).astype(np.int64)
-                                   for c in ("at", "n", "src", "sat"))
-                o = np.lexsort((sat, src, at))
-                at, n, src, sat = at[o], n[o], src[o], sat[o]
-                new = np.concatenate(([True], (src[1:] != src[:-1]) | (sat[1:] - at[1:] != sat[:-1] - at[:-1])
+                at, n, src, srow, sat = (
+                    v.field(c).to_numpy(zero_copy_only=False).astype(np.int64)
+                    for c in ("at", "n", "src", "srow", "sat"))
+                o = np.lexsort((sat, srow, src, at))
+                at, n, src, srow, sat = at[o], n[o], src[o], srow[o], sat[o]
+                new = np.concatenate(([True], (src[1:] != src[:-1]) | (srow[1:] != srow[:-1])
+                                      | (sat[1:] - at[1:] != sat[:-1] - at[:-1])
                                       | (at[1:] > at[:-1] + n[:-1])))
                 first = np.flatnonzero(new)
                 last = np.append(first[1:], len(at)) - 1
-                same: dict[tuple[int, int, int], list[int]] = {}
-                for x in zip(src[first].tolist(), sat[first].tolist(),
+                same: dict[tuple[int, int, int, int], list[int]] = {}
+                for x in zip(src[first].tolist(), srow[first].tolist(), sat[first].tolist(),
                              (at[last] + n[last] - at[first] + k - 1).tolist(),
                              at[first].tolist(), strict=True):
-                    same.setdefault(x[:3], []).append(x[3])
-                for (a, b_, c), ats in same.items():
-                    for col, x in zip(out, (doc, a, b_, c, ats), strict=True):
+                    same.setdefault(x[:4], []).append(x[4])
+                for key, ats in same.items():
+                    for col, x in zip(out, (doc, row, *key, ats), strict=True):
                         col.append(x)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(out, (*[pa.int64()] * 4, pa.list_(pa.int64())),
+                [pa.array(c, t) for c, t in zip(out, (*[pa.int64()] * 6, pa.list_(pa.int64())),
                                                 strict=True)],
-                names=["doc", "src", "sat", "words", "ats"])
-    return hits.mapInArrow(run, "doc bigint, src bigint, sat bigint, words bigint, ats array<bigint>")
+                names=["doc", "row", "src", "srow", "sat", "words", "ats"])
+    return hits.mapInArrow(run, "doc bigint, row bigint, src bigint, srow bigint, sat bigint, "
+                                "words bigint, ats array<bigint>")
 
 
 def _digest(ws: list[bytes], at: int, n: int) -> bytes:
@@ -171,18 +180,19 @@ def _digest(ws: list[bytes], at: int, n: int) -> bytes:
 def _source_digests(asked: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list] = [[], [], [], []]
-            for i, t, q in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+            out: list[list] = [[], [], [], [], []]
+            for i, r, t, q in zip(b.column("doc").to_pylist(), b.column("row").to_pylist(),
+                                  b.column("text"), b.column("q").to_pylist(), strict=True):
                 ws = S.split_words(t.as_py())
                 for x in q:
-                    for c, v in zip(out, (i, x["sat"], x["words"], _digest(ws, x["sat"], x["words"])),
-                                    strict=True):
+                    for c, v in zip(out, (i, r, x["sat"], x["words"],
+                                          _digest(ws, x["sat"], x["words"])), strict=True):
                         c.append(v)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary()),
+                [pa.array(c, t) for c, t in zip(out, (*[pa.int64()] * 4, pa.binary()),
                                                 strict=True)],
-                names=["src", "sat", "words", "digest"])
-    return asked.mapInArrow(run, "src bigint, sat bigint, words bigint, digest binary")
+                names=["src", "srow", "sat", "words", "digest"])
+    return asked.mapInArrow(run, "src bigint, srow bigint, sat bigint, words bigint, digest binary")
 
 
 def _remove(docs: DataFrame) -> DataFrame:
@@ -190,7 +200,8 @@ def _remove(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list] = [[], [], [], []]
-            for i, t, q in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+            for i, t, q in zip(b.column("doc").to_pylist(), b.column("text"),
+                               b.column("q").to_pylist(), strict=True):
                 ws = S.split_words(t.as_py())
                 kept = ws
                 if q:
@@ -210,43 +221,48 @@ def _remove(docs: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, k: int) -> DataFrame:
-    """src, sat, words, doc, ats, digest: spans of ``docs(doc, text)`` whose
-    every run of ``k`` words also starts in a document with a smaller id,
-    with the digest of the words at the source coordinates."""
+    """src, srow, sat, words, doc, row, ats, digest: spans of ``docs(doc, text,
+    row)`` whose every run of ``k`` words also starts in a document with a
+    smaller id, with the digest of the words at the source coordinates."""
+    docs = docs.filter(F.col("doc").isNotNull())
     anchors = _anchors(docs, k)
     shared = anchors.groupBy("mark").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
     shared = stored(shared.filter("lo < hi").select("mark"), "anchors")
     pieces = stored(_pieces(docs, k).join(shared, "mark"), "pieces")
-    source = pieces.groupBy("piece").agg(F.min(F.struct("doc", "at")).alias("s"),
+    source = pieces.groupBy("piece").agg(F.min(F.struct("doc", "row", "at")).alias("s"),
                                          F.min("mark").alias("mark"), F.min("n").alias("n"))
     source = stored(source, "sources")
     fans = source.groupBy("mark").agg(F.count("*").alias("fan"))
     source = stored(source.join(fans, "mark").select("piece", "s", "n", "fan"), "fans")
     # edges of the pieces at branching anchors, each with its own source
-    asked = source.filter("fan > 1").groupBy(F.col("s.doc").alias("doc")).agg(
+    asked = source.filter("fan > 1").groupBy(F.col("s.doc").alias("doc"),
+                                               F.col("s.row").alias("row")).agg(
         F.collect_list(F.struct(F.col("s.at").alias("at"), "n", "piece")).alias("q"))
-    edges = stored(_opened(docs.join(asked, "doc"), k), "edges")
-    edge_source = edges.groupBy("edge").agg(F.min(F.struct("doc", "at")).alias("s"))
+    edges = stored(_opened(docs.join(asked, ["doc", "row"]), k), "edges")
+    edge_source = edges.groupBy("edge").agg(F.min(F.struct("doc", "row", "at")).alias("s"))
     opened = (edges.join(edge_source, "edge").groupBy("piece")
-              .agg(F.collect_list(F.struct("k", F.col("s.doc").alias("src"),
+              .agg(F.collect_list(F.struct("k", F.col("s.doc").alias("src"), F.col("s.row").alias("srow"),
                                            F.col("s.at").alias("sat"))).alias("es")))
     plain = source.filter("fan = 1").select(
         "piece", F.array(F.struct(F.lit(0).alias("k"), F.col("n").alias("n"),
-                                  F.col("s.doc").alias("src"), F.col("s.at").alias("sat"))).alias("es"))
+                                  F.col("s.doc").alias("src"), F.col("s.row").alias("srow"),
+                                  F.col("s.at").alias("sat"))).alias("es"))
     opened = opened.select("piece", F.transform("es", lambda e: F.struct(
-        e["k"].alias("k"), F.lit(1).alias("n"), e["src"].alias("src"), e["sat"].alias("sat"))).alias("es"))
+        e["k"].alias("k"), F.lit(1).alias("n"), e["src"].alias("src"), e["srow"].alias("srow"),
+        e["sat"].alias("sat"))).alias("es"))
     table = stored(plain.union(opened), "edge-sources")
-    own = pieces.select("piece", "doc", "at").join(table, "piece")
+    own = pieces.select("piece", "doc", "row", "at").join(table, "piece")
     older = F.filter("es", lambda e: e["src"] < F.col("doc"))
-    hits = own.select("doc", F.transform(older, lambda e: F.struct(
+    hits = own.select("doc", "row", F.transform(older, lambda e: F.struct(
         (F.col("at") + e["k"]).alias("at"), e["n"].alias("n"), e["src"].alias("src"),
-        e["sat"].alias("sat"))).alias("hs")).filter(F.size("hs") > 0)
-    hits = hits.groupBy("doc").agg(F.flatten(F.collect_list("hs")).alias("hs"))
+        e["srow"].alias("srow"), e["sat"].alias("sat"))).alias("hs")).filter(F.size("hs") > 0)
+    hits = hits.groupBy("doc", "row").agg(F.flatten(F.collect_list("hs")).alias("hs"))
     spans = stored(_spans(hits, k), "spans")
-    wanted = spans.select("src", "sat", "words").distinct().groupBy(F.col("src").alias("doc")).agg(
+    wanted = spans.select("src", "srow", "sat", "words").distinct().groupBy(
+        F.col("src").alias("doc"), F.col("srow").alias("row")).agg(
         F.collect_list(F.struct("sat", "words")).alias("q"))
-    digests = stored(_source_digests(docs.join(wanted, "doc")), "digests")
-    return spans.join(digests, ["src", "sat", "words"])
+    digests = stored(_source_digests(docs.join(wanted, ["doc", "row"])), "digests")
+    return spans.join(digests, ["src", "srow", "sat", "words"])
 
 
 def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
@@ -255,9 +271,10 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     space, UTF-8 bytes) of every row of ``df``."""
     docs = df.select(F.col(id_col).cast("bigint").alias("doc"),
                      F.col(text_col).cast("string").cast("binary").alias("text"))
-    spans = stored(repeated_spans(docs, k).groupBy("doc").agg(
+    docs = docs.withColumn("row", F.xxhash64("text"))
+    spans = stored(repeated_spans(docs, k).groupBy("doc", "row").agg(
         F.collect_list(F.struct("ats", "words", "digest")).alias("q")), "removals")
-    return _remove(docs.join(spans, "doc", "left")).withColumnRenamed("doc", id_col)
+    return _remove(docs.join(spans, ["doc", "row"], "left")).withColumnRenamed("doc", id_col)
 
 
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:
