@@ -248,6 +248,17 @@ def test_infix_distance_brute_force():
         assert full[-1] == d
 
 
+def test_every_walk_finds_the_starts_that_serve_it():
+    rng = random.Random(11)
+    items = [(i, " ".join(rng.choices([f"w{k}" for k in range(3000)], k=rng.randint(15, 20))).encode())
+             for i in range(40)]
+    index = decontam.Index(items)
+    for k, w in enumerate(index.words):
+        want = {(o, k, o) for walk in index.ends for lv in walk for e in lv.values() for i, o in e if i == k}
+        flat = np.concatenate([w, np.full(100, decontam._GAP, np.uint64)])
+        assert want <= {tuple(x) for x in index.starts(flat).tolist()}
+
+
 def test_decontamination_recall_and_precision(spark):
     rng = random.Random(9)
     vocab = [f"word{k}" for k in range(3000)] + ["the", "of", "and", "to"] * 200

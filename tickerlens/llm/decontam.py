@@ -142,12 +142,13 @@ class Index:
         """(position, item, shift) of every start in ``flat`` that shares a
         whole key with an item, without repetitions."""
         found: list[np.ndarray] = []
-        # the first sampled word is the start itself, the same for all walks
+        # the first sampled word is the start itself, but which starts serve
+        # depends on the walk
         first = _grow(np.zeros(len(flat), np.uint64), flat)
-        sure = np.flatnonzero(self.filters[0][0][(first & np.uint64(BITS - 1)).astype(np.int64)]
-                              & (flat != _GAP))
+        low = (first & np.uint64(BITS - 1)).astype(np.int64)
         for r in range(WALKS):
             bits = _bits(flat, r)
+            sure = np.flatnonzero(self.filters[r][0][low] & (flat != _GAP))
             pos, ptr, key, step = sure, sure.copy(), first[sure], 0
             for lv, at in enumerate(STEPS):
                 while step < at:
