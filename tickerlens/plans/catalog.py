@@ -439,7 +439,8 @@ def q_stream_ledger(spark, sf_dir):
 
 @register("stream_dedup_bounded")
 def q_stream_dedup_bounded(spark, sf_dir):
-    """R2: watermark-bounded dedup of the landed feeds."""
+    """R2: watermark-bounded dedup of the landed feeds; rows without a publish
+    time are left out."""
     from ..operators.ingest import headline_records, with_hash
     base = _stream_base(spark)
     in_dir = f"{base}/in"
