@@ -8,6 +8,7 @@ from .cotrain import op2_cotraining
 from .debruijn import OP3_SQL, op3_substring_dedup
 from .decontam import op7_decontamination
 from .html_wrapper import op1_html_wrapper
+from .importance import OP13_SQL, op13_importance_resampling
 from .jaccard_orders import OP4_SQL, op4_ngram_jaccard
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .quality_rules import OP8_SQL, op8_quality_rules
@@ -24,6 +25,7 @@ QUERIES = {
     "op10_line_dedup": op10_line_dedup,
     "op9_byte_bpe": op9_byte_bpe,
     "op8_quality_rules": op8_quality_rules,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
 ORACLES = {
@@ -32,4 +34,5 @@ ORACLES = {
     "op4_ngram_jaccard": OP4_SQL,
     "op10_line_dedup": OP10_SQL,
     "op8_quality_rules": OP8_SQL,
+    "op13_importance_resampling": OP13_SQL,
 }
