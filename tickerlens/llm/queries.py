@@ -12,6 +12,7 @@ from .importance import OP13_SQL, op13_importance_resampling
 from .jaccard_orders import OP4_SQL, op4_ngram_jaccard
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .quality_rules import OP8_SQL, op8_quality_rules
+from .token_counts import op12_token_counts
 from .toxicity import op6_toxicity
 
 QUERIES = {
@@ -25,6 +26,7 @@ QUERIES = {
     "op10_line_dedup": op10_line_dedup,
     "op9_byte_bpe": op9_byte_bpe,
     "op8_quality_rules": op8_quality_rules,
+    "op12_token_counts": op12_token_counts,
     "op13_importance_resampling": op13_importance_resampling,
 }
 
@@ -34,5 +36,6 @@ ORACLES = {
     "op4_ngram_jaccard": OP4_SQL,
     "op10_line_dedup": OP10_SQL,
     "op8_quality_rules": OP8_SQL,
+    "op12_token_counts": op12_token_counts,
     "op13_importance_resampling": OP13_SQL,
 }
