@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op9_byte_bpe
 from .chat_prefs import OP5_SQL, op5_chat_preferences
 from .cotrain import op2_cotraining
+from .cross_align import op11_cross_alignment
 from .debruijn import OP3_SQL, op3_substring_dedup
 from .decontam import op7_decontamination
 from .html_wrapper import op1_html_wrapper
@@ -26,6 +27,7 @@ QUERIES = {
     "op10_line_dedup": op10_line_dedup,
     "op9_byte_bpe": op9_byte_bpe,
     "op8_quality_rules": op8_quality_rules,
+    "op11_cross_alignment": op11_cross_alignment,
     "op12_token_counts": op12_token_counts,
     "op13_importance_resampling": op13_importance_resampling,
 }
@@ -36,6 +38,7 @@ ORACLES = {
     "op4_ngram_jaccard": OP4_SQL,
     "op10_line_dedup": OP10_SQL,
     "op8_quality_rules": OP8_SQL,
+    "op11_cross_alignment": op11_cross_alignment,
     "op12_token_counts": op12_token_counts,
     "op13_importance_resampling": OP13_SQL,
 }
