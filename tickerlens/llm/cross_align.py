@@ -39,6 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -181,14 +182,24 @@ def _block(p: Pair, ids: list, texts: list[str]) -> tuple:
     held = np.unique(doc * kinds + al.keys(len(p.bytes_b))) % kinds
     pairs, holders = np.unique(held, return_counts=True)
     small = "<u2" if max(len(p.bytes_a), len(p.bytes_b)) <= 1 << 16 else "<u4"
-    return (ids, na.astype("<u4").tobytes(), nb.astype("<u4").tobytes(), a.astype(small).tobytes(),
-            b.astype(small).tobytes(), pairs.astype("<u8").tobytes(), holders.astype("<u4").tobytes())
+    return (ids, na.astype("<u4").tobytes(), nb.astype("<u4").tobytes(), pressed(a.astype(small)),
+            pressed(b.astype(small)), pressed(pairs.astype("<u8")), pressed(holders.astype("<u4")))
 
 
-def _ints(raw: bytes, n: int | None = None) -> np.ndarray:
-    """Packed unsigned integers; the width follows from their number."""
-    width = 4 if n is None else len(raw) // max(n, 1) or 4
-    return np.frombuffer(raw, f"<u{width}").astype(np.int64)
+def pressed(x: np.ndarray) -> bytes:
+    """An array's bytes, compressed: ids and pairs are what is written and
+    shuffled, and they press to about half."""
+    return zstandard.ZstdCompressor(level=3).compress(x.tobytes())
+
+
+def opened(raw: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), kind)
+
+
+def _ids(raw: bytes, n: int) -> np.ndarray:
+    """Pressed token ids; their width follows from their number."""
+    x = opened(raw, "u1")
+    return x.view(f"<u{len(x) // n}").astype(np.int64) if n else x.astype(np.int64)
 
 
 def encoded_blocks(df: DataFrame, vocab_a, vocab_b) -> DataFrame:
@@ -292,7 +303,7 @@ def _distinct(blocks: DataFrame) -> DataFrame:
         held = np.zeros(0, "<u8")
         for b in batches:
             for x in b.column(0):
-                held = np.union1d(held, np.frombuffer(x.as_py(), "<u8"))
+                held = np.union1d(held, opened(x.as_py(), "<u8"))
                 if len(held) > MERGE_KEYS:
                     yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int64))], names=["pair"])
                     held = held[:0]
@@ -326,7 +337,7 @@ def _slices(blocks: DataFrame, shards: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block, x, h in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
-                pairs, holders = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(h.as_py(), "<u4")
+                pairs, holders = opened(x.as_py(), "<u8"), opened(h.as_py(), "<u4")
                 shard = _shard(pairs, shards)
                 order = np.argsort(shard, kind="stable")
                 ids, first = np.unique(shard[order], return_index=True)
@@ -334,8 +345,8 @@ def _slices(blocks: DataFrame, shards: int) -> DataFrame:
                 rows = [order[s:e] for s, e in zip(cuts[:-1], cuts[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids, pa.int64()), pa.array([block] * len(ids), pa.int64()),
-                     pa.array([pairs[r].tobytes() for r in rows], pa.binary()),
-                     pa.array([holders[r].tobytes() for r in rows], pa.binary())],
+                     pa.array([pressed(pairs[r]) for r in rows], pa.binary()),
+                     pa.array([pressed(holders[r]) for r in rows], pa.binary())],
                     names=["shard", "block", "pairs", "holders"])
     return blocks.select("block", "pairs", "holders").mapInArrow(
         run, "shard bigint, block bigint, pairs binary, holders binary")
@@ -346,7 +357,7 @@ def _vector(slices: pa.Table, hashes: pa.Table) -> pa.Table:
     h, n = MinimalHash.unpack(hashes.column("hash")[0].as_py()), hashes.column("n")[0].as_py()
     total = np.zeros(n, np.int64)
     for x, c in zip(slices.column("pairs"), slices.column("holders"), strict=True):
-        np.add.at(total, h.index(np.frombuffer(x.as_py(), "<u8")), np.frombuffer(c.as_py(), "<u4"))
+        np.add.at(total, h.index(opened(x.as_py(), "<u8")), opened(c.as_py(), "<u4"))
     return pa.table({"shard": hashes.column("shard")[:1], "salt": hashes.column("salt")[:1],
                      "counts": pa.array([total.astype("<i8").tobytes()], pa.binary())})
 
@@ -364,11 +375,11 @@ def _looked_up(slices: pa.Table, counted: pa.Table) -> pa.Table:
     counts = np.frombuffer(counted.column("counts")[0].as_py(), "<i8")
     out = []
     for x in slices.column("pairs"):
-        pairs = np.frombuffer(x.as_py(), "<u8")
+        pairs = opened(x.as_py(), "<u8")
         at = h.index(pairs)
         if (keys[at] != pairs).any():
             raise ValueError("a pair is not at its place")
-        out.append(counts[at].tobytes())
+        out.append(pressed(counts[at]))
     return pa.table({"block": slices.column("block"), "pairs": slices.column("pairs"),
                      "counts": pa.array(out, pa.binary())})
 
@@ -450,11 +461,10 @@ def align_tokenizers(df: DataFrame, path_a: str, path_b: str, *, id_col: str = "
     def finish(block: pa.Table, found: pa.Table) -> pa.Table:
         size_a, size_b, best = rest.value
         cell = {c: block.column(c)[0].as_py() for c in ("ids", "na", "nb", "a", "b")}
-        na, nb = _ints(cell["na"]), _ints(cell["nb"])
-        al = Aligned(_ints(cell["a"], int(na.sum())), _ints(cell["b"], int(nb.sum())), na, nb, size_a, size_b)
-        keys = np.concatenate([np.zeros(0, "<u8"), *(np.frombuffer(x.as_py(), "<u8") for x in found.column("pairs"))])
-        counts = np.concatenate([np.zeros(0, "<i8"),
-                                 *(np.frombuffer(x.as_py(), "<i8") for x in found.column("counts"))])
+        na, nb = (np.frombuffer(cell[c], "<u4").astype(np.int64) for c in ("na", "nb"))
+        al = Aligned(_ids(cell["a"], int(na.sum())), _ids(cell["b"], int(nb.sum())), na, nb, size_a, size_b)
+        keys, counts = (np.concatenate([np.zeros(0, kind), *(opened(x.as_py(), kind) for x in found.column(c))])
+                        for c, kind in (("pairs", "<u8"), ("counts", "<i8")))
         order = np.argsort(keys)
         link = al.keys(width)
         count = counts[order][np.searchsorted(keys[order].astype(np.int64), link)] if len(link) else link
