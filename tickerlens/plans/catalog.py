@@ -7,12 +7,14 @@ digits so that results compare across engines.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.time import in_trading_hours, session_date_ts
+from ..session import scratch_path
 from ..sources import driver
 from . import common as C
 
@@ -150,8 +152,12 @@ def q_price_dedup(spark, sf_dir):
 
 @register("price_window")
 def q_price_window(spark, sf_dir):
-    """Stored-style bars in [as_of - 14, as_of + 1)."""
-    return C.round_doubles(price_window(C.returns(spark, sf_dir), C.PRICE_AS_OF))
+    """Bars in [as_of - 14, as_of + 1), read from the store, which is
+    partitioned by date."""
+    from ..streaming.stores import write_prices
+    bars = C.returns(spark, sf_dir)
+    stored = write_prices(bars, scratch_path(spark, f"tickerlens/prices-{uuid.uuid4().hex}"))
+    return C.round_doubles(price_window(stored, C.PRICE_AS_OF).select(*bars.columns))
 
 
 @register("prices_unpivot")
@@ -267,7 +273,6 @@ def q_event_study(spark, sf_dir):
 from ..functions.model import keyword_without_stopwords  # noqa: E402
 from ..operators import corpus as K  # noqa: E402
 from ..operators import ml as M  # noqa: E402
-from ..session import scratch_path  # noqa: E402
 
 
 @register("corpus_parse")
@@ -394,8 +399,6 @@ def q_scoring_drain(spark, sf_dir):
 
 # ---------------------------------------------------------- streaming ----
 
-import uuid  # noqa: E402
-
 from ..streaming import jobs as R  # noqa: E402
 
 
@@ -410,9 +413,9 @@ def _land_feeds(spark, sf_dir, in_dir: str, first: bool) -> None:
     pages.filter(cond if first else ~cond).write.mode("append").json(in_dir)
 
 
-def _run_headline_stream(spark, sf_dir, base: str) -> str:
+def _run_headline_stream(spark, sf_dir, base: str, order=(True, False)) -> str:
     in_dir, table = f"{base}/in", f"{base}/headlines"
-    for first in (True, False):          # two scheduled runs of the job
+    for first in order:                  # two scheduled runs of the job
         _land_feeds(spark, sf_dir, in_dir, first)
         q = R.start_headlines(spark, in_dir, table, f"{base}/ckpt", f"{base}/ledger",
                               as_of=C.AS_OF)
@@ -433,8 +436,18 @@ def q_stream_ledger(spark, sf_dir):
     """The ledger rows the headline stream wrote (one per micro-batch)."""
     base = _stream_base(spark)
     _run_headline_stream(spark, sf_dir, base)
-    return spark.read.schema(R.LEDGER_SCHEMA).parquet(f"{base}/ledger").select(
-        "job_name", "inserted", "skipped", "error", "batch_no")
+    return R.read_ledger(spark, f"{base}/ledger").select(
+        "job_name", "inserted", "skipped", "late", "error", "batch_no")
+
+
+@register("stream_late_rows")
+def q_stream_late_rows(spark, sf_dir):
+    """The newer half of the feed lands first, the older half after it; the
+    late rows are stored all the same and counted in the ledger."""
+    base = _stream_base(spark)
+    _run_headline_stream(spark, sf_dir, base, order=(False, True))
+    return R.read_ledger(spark, f"{base}/ledger").select(
+        "inserted", "skipped", "late", "newest", "batch_no")
 
 
 @register("stream_dedup_bounded")
@@ -484,11 +497,9 @@ def q_stream_scoring(spark, sf_dir):
     from ..operators.scoring import decode_windows
     base = _stream_base(spark)
     table = _run_headline_stream(spark, sf_dir, base)
-    outputs = driver.model_outputs(spark, sf_dir)
 
     def scorer(backlog):
-        mo = outputs.join(backlog.select("headline_hash"), "headline_hash", "left_semi")
-        return decode_windows(mo, "embeddings")
+        return decode_windows(driver.model_outputs(spark, sf_dir, backlog), "embeddings")
 
     q = R.start_scoring(spark, table, f"{base}/scores", f"{base}/ckpt-score", scorer,
                         f"{base}/ledger")

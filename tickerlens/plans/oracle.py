@@ -458,10 +458,32 @@ FROM one WHERE rn = 1 AND headline_hash IN (SELECT headline_hash FROM stored)"""
 # first arrival is in it and skips the rest of its records
 _RUN = f"CASE WHEN batch_id < {C.cut_slot()} THEN 0 ELSE 1 END"
 oracle("stream_ledger", S.with_ctes(S.ARTICLES, S.RECORDS, S.PAGED) + f"""
-, seen AS (SELECT {_RUN} AS batch_no, count(*) AS n FROM records GROUP BY 1),
+, seen AS (
+  SELECT {_RUN} AS batch_no, count(*) AS n, count(*) FILTER (WHERE {_RUN} = 1 AND published_ts < (
+           SELECT max(published_ts) FROM records WHERE {_RUN} = 0) - INTERVAL 7 DAY) AS late
+  FROM records GROUP BY 1),
 won AS (SELECT {_RUN} AS batch_no, count(*) AS n FROM stored GROUP BY 1),
 runs AS (SELECT * FROM (VALUES (0), (1)) v(batch_no))
 SELECT 'news_job' AS job_name, CAST(coalesce(won.n, 0) AS BIGINT) AS inserted,
        CAST(coalesce(seen.n, 0) - coalesce(won.n, 0) AS BIGINT) AS skipped,
-       CAST(NULL AS VARCHAR) AS error, CAST(runs.batch_no AS BIGINT) AS batch_no
+       CAST(coalesce(seen.late, 0) AS BIGINT) AS late, CAST(NULL AS VARCHAR) AS error, CAST(runs.batch_no AS BIGINT) AS batch_no
+FROM runs LEFT JOIN seen USING (batch_no) LEFT JOIN won USING (batch_no)""")
+
+# the same two halves landed the other way round: the older one is late where
+# it is more than seven days behind the newest row of the half before it
+_LATE = f"CASE WHEN batch_id < {C.cut_slot()} THEN 1 ELSE 0 END"
+oracle("stream_late_rows", S.with_ctes(S.ARTICLES, S.RECORDS) + f"""
+, rec AS (SELECT *, {_LATE} AS batch_no FROM records),
+won AS (SELECT batch_no, count(*) AS n
+        FROM (SELECT headline_hash, min(batch_no) AS batch_no FROM rec
+              WHERE ticker IS NOT NULL AND source IS NOT NULL GROUP BY headline_hash) f GROUP BY batch_no),
+seen AS (
+  SELECT batch_no, count(*) AS n, max(published_ts) AS newest,
+         count(*) FILTER (WHERE batch_no = 1 AND published_ts < (
+           SELECT max(published_ts) FROM rec WHERE batch_no = 0) - INTERVAL 7 DAY) AS late
+  FROM rec GROUP BY batch_no),
+runs AS (SELECT * FROM (VALUES (0), (1)) v(batch_no))
+SELECT CAST(coalesce(won.n, 0) AS BIGINT) AS inserted,
+       CAST(coalesce(seen.n, 0) - coalesce(won.n, 0) AS BIGINT) AS skipped,
+       CAST(coalesce(seen.late, 0) AS BIGINT) AS late, seen.newest, CAST(runs.batch_no AS BIGINT) AS batch_no
 FROM runs LEFT JOIN seen USING (batch_no) LEFT JOIN won USING (batch_no)""")

@@ -148,29 +148,39 @@ def embedding_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.slice(F.col("embedding").cast("array<double>"), 1, N_LOGITS).alias("logits"))
 
 
-def model_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def model_outputs(spark: SparkSession, sf_dir: str, wanted: DataFrame | None = None) -> DataFrame:
     """Model outputs of every headline: logits, padded tokens, CLS attention.
 
     A headline longer than a sequence is seen in consecutive windows, so every
-    token is covered.  Columns: doc_id (line id), window (from 0),
-    headline_hash, logits array<double>, tokens array<string>, attention
-    array<array<double>>, length int.
+    token is covered.  With ``wanted(headline_hash)`` only the first line of
+    each of these hashes: lines are hashed and reduced to those before any
+    window is opened or any embedding read for them.  Columns: doc_id (line
+    id), window (from 0), headline_hash, logits array<double>, tokens
+    array<string>, attention array<array<double>>, length int.
     """
     from ..functions.text import headline_hash
 
-    emb = table(spark, sf_dir, "embeddings")
+    emb = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     e = F.col("embedding").cast("array<double>")
     heads = F.array(*[F.slice(e, 1 + h * SEQ_LEN, SEQ_LEN) for h in range(N_HEADS)])
-    lines = with_lines(emb.join(docs, emb.vec_id == docs.doc_id).select("doc_id", "embedding", "text"))
-    lines = lines.withColumn("title", F.coalesce("title", F.lit("")))
+    if wanted is None:
+        lines = with_lines(emb.join(docs, emb.vec_id == docs.doc_id).select("doc_id", "embedding", "text"))
+        lines = lines.withColumn("title", F.coalesce("title", F.lit("")))
+        lines = lines.withColumn("headline_hash", headline_hash("title"))
+    else:
+        lines = with_lines(docs.join(emb.select("vec_id"), docs.doc_id == F.col("vec_id"), "left_semi"))
+        lines = lines.withColumn("title", F.coalesce("title", F.lit("")))
+        lines = lines.select(headline_hash("title").alias("headline_hash"), "doc_id", "doc", "title")
+        lines = lines.join(wanted.select("headline_hash"), "headline_hash", "left_semi")
+        first = lines.groupBy("headline_hash").agg(F.min_by(F.struct("doc_id", "doc", "title"), "doc_id").alias("l"))
+        lines = first.select("headline_hash", "l.*").join(emb, F.col("doc") == emb.vec_id)
     room = SEQ_LEN - 2
     lines = lines.withColumn("words", word_tokens(ustrip("title")))
     n = F.greatest(F.ceil(F.size("words") / room).cast("int"), F.lit(1))
     lines = lines.withColumn("window", F.explode(F.sequence(F.lit(0), n - 1)))
     toks, length = wordpiece_frame(F.slice("words", F.col("window") * room + 1, F.lit(room)), SEQ_LEN)
-    return lines.select("doc_id", "window",
-                        headline_hash("title").alias("headline_hash"),
+    return lines.select("doc_id", "window", "headline_hash",
                         F.slice(e, 1, N_LOGITS).alias("logits"),
                         toks.alias("tokens"), heads.alias("attention"),
                         length.alias("length"))

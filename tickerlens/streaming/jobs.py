@@ -7,11 +7,14 @@ only through tables (R7), which exist, with a fixed schema, before a job runs.
 
 Exactly-once without MERGE (H6): every micro-batch writes its rows under
 ``run=<query id>/batch_no=<id>`` with dynamic partition overwrite, and the
-anti-join against the stored table excludes that same partition, so a
-replayed batch replaces itself.  The query id lives in the checkpoint: after a
-restart it is the same, with a new checkpoint it is another one, so a new
-checkpoint never overwrites stored rows.  All-time uniqueness lives in the
-table, not in state (H5).
+look-up of stored keys excludes that same partition, so a replayed batch
+replaces itself.  The query id lives in the checkpoint: after a restart it is
+the same, with a new checkpoint it is another one, so a new checkpoint never
+overwrites stored rows.  All-time uniqueness lives in the table, not in state
+(H5); ``stores`` keeps it cheap to look up.
+
+Counters are observed in the pass that stages the rows and in the one that
+writes them: no pass exists only to count.
 """
 
 from __future__ import annotations
@@ -21,21 +24,24 @@ import threading
 import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.time import in_trading_hours
-from ..operators.ingest import headline_records, ingest_headlines, not_stored, with_hash
+from ..operators.ingest import first_arrivals, headline_records, not_stored, with_hash
 from ..operators.prices import ingest_prices, log_return
 from ..sources.feeds import FEED_SCHEMA, explode_articles
 from ..sources.tables import JOB_LOG, create_if_absent, stream_schema
+from . import stores
+from .stores import Counts, commit, open_table, others
 
-PARTITIONS = ("run", "batch_no")
+LATE_AFTER = "7 days"         # behind the newest row of earlier batches: late
 
 LEDGER_SCHEMA = T.StructType([
     *JOB_LOG.fields,
+    T.StructField("late", T.LongType()),
+    T.StructField("newest", T.TimestampNTZType()),
     T.StructField("job", T.StringType()),
     T.StructField("run", T.StringType()),
     T.StructField("batch_no", T.LongType()),
@@ -61,7 +67,7 @@ BAR_FILE_SCHEMA = T.StructType([
     T.StructField("fetched_ts", T.TimestampNTZType()),
 ])
 
-Body = Callable[[DataFrame, str, int], tuple[int, int]]
+Body = Callable[[DataFrame, str, int], Counts]
 
 
 def feed_rank() -> Column:
@@ -69,40 +75,34 @@ def feed_rank() -> Column:
     return F.shiftleft(F.col("page").cast("bigint"), 24) + F.col("feed_pos")
 
 
-def open_table(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """A stream's table, created if absent, read with its fixed schema (an
-    unreadable table is an error, not an empty one)."""
-    schema = stream_schema(name)
-    create_if_absent(spark, path, schema, PARTITIONS)
-    return spark.read.schema(schema).parquet(path)
-
-
-def _others(table: DataFrame, run: str, batch_no: int) -> DataFrame:
-    return table.filter((F.col("run") != run) | (F.col("batch_no") != batch_no))
-
-
-def _commit(df: DataFrame, path: str, name: str, run: str, batch_no: int) -> int:
-    """Write one micro-batch to its own partition; number of rows there."""
-    schema = stream_schema(name)
-    rows = df.withColumns({"run": F.lit(run), "batch_no": F.lit(batch_no).cast("bigint")})
-    cols = [F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]
-    (rows.select(*cols).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(*PARTITIONS).parquet(path))
-    own = df.sparkSession.read.schema(schema).parquet(path)
-    return own.filter((F.col("run") == run) & (F.col("batch_no") == batch_no)).count()
-
-
-def _log(spark, path, name, inserted, skipped, error, run, batch_no, attempt):
+def _log(spark, path, name, counts, error, run, batch_no, attempt):
     """One ledger row.  A success has one partition per (job, run,
     batch), which a replay overwrites; every failure has a partition of its
     own, so it stays."""
     ran_at = dt.datetime.now(dt.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
-    row = spark.createDataFrame([(name, ran_at, int(inserted), int(skipped), error, name, run,
-                                  int(batch_no), attempt)], LEDGER_SCHEMA)
+    row = spark.createDataFrame([(name, ran_at, int(counts.inserted), int(counts.skipped), error,
+                                  int(counts.late), counts.newest, name, run, int(batch_no), attempt)],
+                                LEDGER_SCHEMA)
     (row.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("job", "run", "batch_no", "attempt").parquet(path))
 
 
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    create_if_absent(spark, path, LEDGER_SCHEMA, ("job", "run", "batch_no", "attempt"))
+    return spark.read.schema(LEDGER_SCHEMA).parquet(path)
+
+
+def late_before(spark: SparkSession, ledger_path: str | None, job: str, run: str, batch_no: int,
+                after: str = LATE_AFTER) -> Column:
+    """The publish time before which a row is late: ``after`` behind the
+    newest one that earlier batches of the job logged; NULL before any did."""
+    if not ledger_path:
+        return F.lit(None).cast("timestamp_ntz")
+    rows = others(read_ledger(spark, ledger_path).filter(F.col("job") == job), run, batch_no)
+    newest = rows.agg(F.max("newest").alias("t")).first()["t"]
+    return F.lit(newest).cast("timestamp_ntz") - F.expr(f"INTERVAL {after}")
+
+
 class _RunId:
     """The id of the streaming query, known once it has started; the first
     micro-batch may begin before and waits for it."""
@@ -122,19 +122,19 @@ class _RunId:
 
 
 def _guarded(name: str, ledger_path: str | None, body: Body, run_id: _RunId):
-    """Run one micro-batch; log (inserted, skipped) or the failure (0, 0,
-    whole error).  A failure is re-raised so the query stops before its
+    """Run one micro-batch; log its counts or the failure (zeros, whole
+    error).  A failure is re-raised so the query stops before its
     offsets commit and restarts from the checkpoint without losing the batch."""
     def run(batch: DataFrame, batch_no: int) -> None:
         spark, rid = batch.sparkSession, run_id.get()
         try:
-            ins, skp = body(batch, rid, batch_no)
+            counts = body(batch, rid, batch_no)
         except Exception as exc:
             if ledger_path:
-                _log(spark, ledger_path, name, 0, 0, str(exc), rid, batch_no, uuid.uuid4().hex)
+                _log(spark, ledger_path, name, Counts(), str(exc), rid, batch_no, uuid.uuid4().hex)
             raise
         if ledger_path:
-            _log(spark, ledger_path, name, ins, skp, None, rid, batch_no, "done")
+            _log(spark, ledger_path, name, counts, None, rid, batch_no, "done")
     return run
 
 
@@ -146,23 +146,26 @@ def _start(stream: DataFrame, name: str, checkpoint: str, ledger_path: str | Non
     return rid.give(w.trigger(**(trigger or {"availableNow": True})).start())
 
 
-def headline_batch(table_path: str, as_of=None, keys: Sequence[str] = ("headline_hash",)) -> Body:
-    """R1 body: feed responses -> records -> first wins in batch -> anti-join
-    against the stored table (minus this batch) -> append.  A batch without
-    articles inserts and skips nothing."""
-    def body(batch: DataFrame, run: str, batch_no: int) -> tuple[int, int]:
+def headline_batch(table_path: str, as_of=None, keys: Sequence[str] = ("headline_hash",),
+                   ledger_path: str | None = None) -> Body:
+    """R1/R5 body: feed responses -> records, staged and counted in one pass
+    -> first wins in batch -> keys stored under the batch's prefixes -> append.
+    Late rows are accepted at any age and counted.  A batch without articles
+    inserts and skips nothing."""
+    def body(batch: DataFrame, run: str, batch_no: int) -> Counts:
+        spark = batch.sparkSession
+        table = open_table(spark, table_path, "headlines")
         arts = explode_articles(batch).withColumn("feed_rank", feed_rank())
         recs = with_hash(headline_records(arts, as_of=as_of), stripped=True)
-        # the micro-batch is read once: cached, counted, deduplicated, written
-        recs = recs.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            n_in = recs.count()
-            existing = _others(open_table(batch.sparkSession, table_path, "headlines"), run, batch_no)
-            new = ingest_headlines(recs, existing, keys)
-            ins = _commit(new, table_path, "headlines", run, batch_no)
-        finally:
-            recs.unpersist()
-        return ins, n_in - ins
+        late = F.col("published_ts") < late_before(spark, ledger_path, "news_job", run, batch_no)
+        recs, seen = stores.staged(
+            recs, f"{table_path.rstrip('/')}_staging/{run}", late=F.count_if(late),
+            newest=F.max("published_ts"), prefixes=F.collect_set(stores.prefix_of(keys[-1])))
+        known = stores.stored_keys(spark, table_path, keys, seen["prefixes"], run, batch_no)
+        new = stores.unseen(first_arrivals(recs, keys), recs, known, keys)
+        ins = commit(new, table_path, "headlines", run, batch_no)
+        stores.commit_keys(spark, table_path, keys, run, batch_no)
+        return Counts(ins, seen["n"] - ins, seen["late"], seen["newest"])
     return body
 
 
@@ -177,7 +180,7 @@ def start_headlines(spark: SparkSession, source_path: str, table_path: str,
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     return _start(reader.json(source_path), "news_job", checkpoint, ledger_path,
-                  headline_batch(table_path, as_of), trigger)
+                  headline_batch(table_path, as_of, ledger_path=ledger_path), trigger)
 
 
 def bounded_dedup(records: DataFrame, delay: str = "7 days",
@@ -200,20 +203,20 @@ def price_batch(table_path: str, policy: str = "first_wins", market_hours_only:
     ``operators.prices.latest_prices`` is the view of the last fetch.  With
     ``market_hours_only`` a fetch made outside regular trading hours (by its
     ``fetched_ts``, UTC) is left out, as the polling job does not run then."""
-    def body(batch: DataFrame, run: str, batch_no: int) -> tuple[int, int]:
+    def body(batch: DataFrame, run: str, batch_no: int) -> Counts:
+        spark = batch.sparkSession
+        open_table(spark, table_path, "prices")
         if market_hours_only:
             batch = batch.filter(F.col("fetched_ts").isNull() | in_trading_hours("fetched_ts"))
-        fetched = log_return(batch.withColumn("fetch_ord", F.coalesce("fetch_id", F.lit(batch_no))),
-                             key=("fetch_ord", "ticker")).drop("fetch_id", "fetched_ts")
-        fetched = fetched.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            n_in = fetched.count()
-            existing = _others(open_table(batch.sparkSession, table_path, "prices"), run, batch_no)
-            new = ingest_prices(fetched, existing, policy=policy)
-            ins = _commit(new, table_path, "prices", run, batch_no)
-        finally:
-            fetched.unpersist()
-        return ins, n_in - ins
+        bars, seen = stores.staged(batch.withColumn("fetch_ord", F.coalesce("fetch_id", F.lit(batch_no))),
+                                   f"{table_path.rstrip('/')}_staging/{run}",
+                                   n_valid=F.count_if(F.col("close").isNotNull() & ~F.isnan("close")),
+                                   dates=F.collect_set("market_date"))
+        fetched = log_return(bars, key=("fetch_ord", "ticker")).drop("fetch_id", "fetched_ts")
+        known = others(stores.stored_prices(spark, table_path, seen["dates"]), run, batch_no)
+        new = ingest_prices(fetched, known, policy=policy)
+        ins = commit(new, table_path, "prices", run, batch_no)
+        return Counts(ins, seen["n_valid"] - ins)
     return body
 
 
@@ -236,16 +239,16 @@ def scoring_batch(headlines_path: str, scores_path: str,
     """R4 body: a drain.  Every run scores all stored headlines that have no
     score, whichever run stored them; what a run misses the next one scores.
     Without a model (``scorer`` None) nothing is scored."""
-    def body(batch: DataFrame, run: str, batch_no: int) -> tuple[int, int]:
+    def body(batch: DataFrame, run: str, batch_no: int) -> Counts:
         spark = batch.sparkSession
         if scorer is None:
-            return 0, 0
-        done = _others(open_table(spark, scores_path, "scores"), run, batch_no)
+            return Counts()
+        done = others(open_table(spark, scores_path, "scores"), run, batch_no)
         stored = open_table(spark, headlines_path, "headlines")
         backlog = not_stored(stored.select("headline_hash", "headline").dropDuplicates(["headline_hash"]),
                              done, ["headline_hash"])
         scored = scorer(backlog).withColumn("score_seq", F.lit(batch_no).cast("bigint"))
-        return _commit(scored, scores_path, "scores", run, batch_no), 0
+        return Counts(commit(scored, scores_path, "scores", run, batch_no))
     return body
 
 
