@@ -249,6 +249,17 @@ def q_sentiment_price_join(spark, sf_dir):
                                                   C.returns(spark, sf_dir)))
 
 
+@register("bucketed_join")
+def q_bucketed_join(spark, sf_dir):
+    """J4 on its index: both sides stored in buckets of (ticker, market_date),
+    joined bucket against bucket."""
+    from ..sources.bucketed import index_sessions, indexed_join
+    name = f"tickerlens_{uuid.uuid4().hex}"
+    daily, bars = index_sessions(C.daily(spark, sf_dir), C.returns(spark, sf_dir), name,
+                                 scratch_path(spark, f"tickerlens/{name}"))
+    return C.round_doubles(indexed_join(daily, bars))
+
+
 @register("rolling_pearson")
 def q_rolling_pearson(spark, sf_dir):
     j = A.sentiment_price_join(C.daily(spark, sf_dir), C.returns(spark, sf_dir))
@@ -397,6 +408,33 @@ def q_scoring_drain(spark, sf_dir):
                                M.model_version(model), text="headline").drop("model_version")
 
 
+def _epochs(spark, sf_dir):
+    """Corpus rows dealt by digest (70 / 15 / 15) and trained for 3 epochs."""
+    from ..operators import epochs as E
+    plan = E.Plan()
+    rows = E.hashed_rows(C.corpus(spark, sf_dir), plan)
+    part = E.digest_number(F.concat(F.lit("split:"), F.col("line_no").cast("string"))) % 100
+    rows = rows.withColumn("part", part)
+    weights, report = E.train_epochs(
+        rows.filter("part < 70"), rows.filter("part >= 70 AND part < 85"),
+        scratch_path(spark, f"tickerlens/epochs-{uuid.uuid4().hex}"), plan)
+    return weights, report, rows.filter("part >= 85")
+
+
+@register("train_epochs")
+def q_train_epochs(spark, sf_dir):
+    """M3: loss and validation metrics of every epoch, the best one marked."""
+    return C.round_doubles(_epochs(spark, sf_dir)[1])
+
+
+@register("epoch_eval")
+def q_epoch_eval(spark, sf_dir):
+    """M4: test metrics of the best epoch."""
+    from ..operators.epochs import predict
+    weights, _, test = _epochs(spark, sf_dir)
+    return C.round_doubles(M.macro_metrics(predict(test, weights)))
+
+
 # ---------------------------------------------------------- streaming ----
 
 from ..streaming import jobs as R  # noqa: E402

@@ -39,6 +39,7 @@ SELECT ticker, market_date, {S.r6('open')} AS open, {S.r6('high')} AS high,
 
 
 # ------------------------------------------------------------ sources ----
+from ..operators.epochs import Plan  # noqa: E402
 from . import common as C  # noqa: E402
 
 
@@ -228,6 +229,8 @@ SELECT ticker, market_date, {S.r6('mean_sentiment')} AS mean_sentiment,
        {S.r6('close')} AS close, {S.r6('daily_return')} AS daily_return,
        {S.r6('next_return')} AS next_return FROM joined""")
 
+oracle("bucketed_join", ORACLE["sentiment_price_join"])
+
 oracle("rolling_pearson", S.with_ctes(*DAILY_CTES, *JOINED) + f"""
 SELECT ticker, market_date, {S.r6('mean_sentiment')} AS mean_sentiment,
        {S.r6('next_return')} AS next_return, n_pairs,
@@ -363,6 +366,93 @@ FROM split_counts GROUP BY split""")
 oracle("tokenize", S.with_ctes(LINES, PARSED) + f"""
 SELECT line_no, label, list_slice({S.tokens('sentence')}, 1, 512) AS tokens FROM kept""")
 
+
+# ------------------------------------------------------ epochs (M3, M4) ----
+# softmax regression by mini-batches, written out step by step: weights are
+# (bucket b, class c, w), bucket -1 is the bias
+
+def _epochs_sql(plan) -> list[str]:
+    num = "CAST('0x' || substr(sha256({}), 1, 8) AS BIGINT)"
+    ctes = [f"""toks AS (
+  SELECT line_no, label, {S.tokens('sentence')} AS ts,
+         {num.format("'split:' || line_no")} % 100 AS part, {num.format("'step:' || line_no")} % {plan.steps} AS step
+  FROM kept)""", f"""feat AS MATERIALIZED (
+  SELECT line_no, label, part, step, b, count(*) / max(n) AS v
+  FROM (SELECT line_no, label, part, step, len(ts) AS n,
+               {num.format("t")} % {plan.width} AS b
+        FROM (SELECT *, unnest(ts) AS t FROM toks) x) y GROUP BY line_no, label, part, step, b
+  UNION ALL SELECT line_no, label, part, step, -1, 1.0 FROM toks)""",
+            "kinds AS (SELECT unnest(range(3)) AS c)",
+            "w_0 AS (SELECT CAST(-1 AS BIGINT) AS b, c, CAST(0.0 AS DOUBLE) AS w FROM kinds)"]
+
+    def probs(rows: str, w: str) -> str:
+        return f"""(SELECT line_no, label, c, z, exp(z - max(z) OVER (PARTITION BY line_no))
+                  / sum(exp(z - mz)) OVER (PARTITION BY line_no) AS p
+           FROM (SELECT *, max(z) OVER (PARTITION BY line_no) AS mz
+                 FROM (SELECT f.line_no, f.label, k.c, coalesce(sum(f.v * w.w), 0) AS z
+                       FROM feat f CROSS JOIN kinds k LEFT JOIN {w} w ON w.b = f.b AND w.c = k.c
+                       WHERE {rows} GROUP BY f.line_no, f.label, k.c) z0) z1)"""
+    k = 0
+    for epoch in range(plan.epochs):
+        for step in range(plan.steps):
+            rows = f"f.part < 70 AND f.step = {step}"
+            ctes.append(f"""p_{k} AS MATERIALIZED {probs(rows, f'w_{k}')}""")
+            ctes.append(f"""w_{k + 1} AS MATERIALIZED (
+  SELECT b, c, sum(w) AS w FROM (
+    SELECT b, c, w * (1 - CAST({plan.rate} AS DOUBLE) * {plan.decay}) AS w FROM w_{k}
+    UNION ALL
+    SELECT f.b, p.c, -CAST({plan.rate} AS DOUBLE) * sum(f.v * (p.p - CASE WHEN p.c = p.label THEN 1 ELSE 0 END))
+             / (SELECT count(DISTINCT line_no) FROM p_{k})
+    FROM feat f JOIN p_{k} p ON p.line_no = f.line_no GROUP BY f.b, p.c) u GROUP BY b, c)""")
+            k += 1
+        val = probs("f.part >= 70 AND f.part < 85", f"w_{k}")
+        ctes.append(f"""e_{epoch} AS MATERIALIZED (SELECT {epoch} AS epoch, m.*,
+    (SELECT -sum(ln(p)) / count(*) FROM ({' UNION ALL '.join(
+        f'SELECT p FROM p_{j} WHERE c = label' for j in range(k - plan.steps, k))}) l) AS loss
+  FROM {_metrics_sql(f"(SELECT line_no, label AS t, arg_max(c, (z, -c)) AS p FROM {val} v GROUP BY line_no, label)")} m)""")
+    return ctes
+
+
+def _metrics_sql(rows: str) -> str:
+    """accuracy, precision, recall and f1 (macro) of rows(t, p)."""
+    return f"""(WITH j AS {rows}, classes AS (SELECT t AS c FROM j UNION SELECT p FROM j),
+   per AS (SELECT c.c, count(*) FILTER (WHERE j.t = c.c AND j.p = c.c) AS tp,
+                  count(*) FILTER (WHERE j.t = c.c) AS tn, count(*) FILTER (WHERE j.p = c.c) AS pn
+           FROM classes c, j GROUP BY c.c),
+   pr AS (SELECT tp, tn, CASE WHEN pn > 0 THEN tp / pn ELSE 0.0 END AS p,
+                 CASE WHEN tn > 0 THEN tp / tn ELSE 0.0 END AS r FROM per)
+  SELECT sum(tp) / sum(tn) AS accuracy, avg(p) AS precision, avg(r) AS recall,
+         avg(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END) AS f1 FROM pr)"""
+
+
+_PLAN = Plan()
+_EPOCHS = [LINES, PARSED, *_epochs_sql(_PLAN), "runs AS (" + " UNION ALL ".join(
+    f"SELECT * FROM e_{e}" for e in range(_PLAN.epochs)) + ")"]
+oracle("train_epochs", S.with_ctes(*_EPOCHS) + f"""
+SELECT CAST(epoch AS INTEGER) AS epoch, {S.r6('loss')} AS loss, {S.r6('accuracy')} AS val_accuracy,
+       {S.r6('precision')} AS val_precision, {S.r6('recall')} AS val_recall, {S.r6('f1')} AS val_f1,
+       epoch = (SELECT arg_max(epoch, (f1, -epoch)) FROM runs) AS best
+FROM runs""")
+
+
+def _best_test() -> str:
+    """Test metrics under the weights of every epoch, then the best one's."""
+    out = []
+    for e in range(_PLAN.epochs):
+        w = f"w_{(e + 1) * _PLAN.steps}"
+        rows = f"""(SELECT line_no, label AS t, arg_max(c, (z, -c)) AS p FROM (
+          SELECT f.line_no, f.label, k.c, coalesce(sum(f.v * w.w), 0) AS z
+          FROM feat f CROSS JOIN kinds k LEFT JOIN {w} w ON w.b = f.b AND w.c = k.c
+          WHERE f.part >= 85 GROUP BY f.line_no, f.label, k.c) v GROUP BY line_no, label)"""
+        out.append(f"SELECT {e} AS epoch, m.* FROM {_metrics_sql(rows)} m")
+    return " UNION ALL ".join(out)
+
+
+oracle("epoch_eval", S.with_ctes(*_EPOCHS) + f"""
+SELECT {S.r6('accuracy')} AS accuracy, {S.r6('precision')} AS precision, {S.r6('recall')} AS recall,
+       {S.r6('f1')} AS f1
+FROM ({_best_test()}) t WHERE epoch = (SELECT arg_max(epoch, (f1, -epoch)) FROM runs)""")
+
 # ------------------------------------------------------- model decode ----
 
 MODEL = f"""mo AS (
