@@ -8,6 +8,9 @@ the tokens' own merge trees).  A token that may not follow is replaced by its
 next shorter prefix, and when none is left the encoder steps back one token.
 Every position is given up at most once, so the work is linear, and the one
 sequence whose neighbours are all compatible is exactly the merge result.
+Texts are taken in slices of about ``SLICE_CHARS`` characters (or one longer
+text); equal pieces of a slice are encoded once, and a worker remembers a
+bounded number of pieces, those met last.
 
 Texts go through one Arrow UDF; only the text column leaves the JVM.  The
 vocabulary file is read on the driver (its path is a parameter, its size is
@@ -15,7 +18,8 @@ checked) and broadcast.
 
 Defined results: a NULL or empty text has no ids and decodes to empty bytes;
 ids are packed as little-endian unsigned 32-bit integers; an empty table
-gives an empty table; other columns are carried through.
+gives an empty table; a very long text is encoded whole; other columns are
+carried through.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from __future__ import annotations
 import base64
 import functools
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -31,7 +35,8 @@ from pyspark.sql import functions as F
 
 # --- fixed values -----------------------------------------------------------
 MAX_VOCAB_BYTES = 32 << 20    # bound of what is broadcast
-CACHE_PARTS = 100_000         # per worker; only speed depends on these
+SLICE_CHARS = 1 << 20         # characters of texts encoded together
+CACHE_PIECES = 150_000        # two fillings stay in a worker; only speed depends on these
 CACHE_PAIRS = 200_000
 CACHE_KEY_CHARS = 64
 # white space as the pattern's \s has it (Unicode White_Space)
@@ -69,14 +74,19 @@ class Codec:
             self.shorter[r] = self.rank[t[:k]] if k else -1
         self.parts: dict[int, tuple[int, int]] = {}     # token -> the two it merges
         self.merged: dict[tuple[int, int], int] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
+        # the longest token that begins every prefix of a token
+        self.longest: dict[str, int] = {"": -1}
+        for t in self.rank:
+            for k in range(1, len(t) + 1):
+                if t[:k] not in self.longest:
+                    self.longest[t[:k]] = self.rank.get(t[:k], self.longest[t[:k - 1]])
+        self.fits: dict[int, bool] = {}
         for t, r in sorted(self.rank.items(), key=lambda x: x[1]):
             if len(t) > 1:
                 self._learn(t, r)
         self.fits.clear()
-        self.cache: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
 
     def _learn(self, text: str, rank: int) -> None:
         """The last merge inside a token: the split into two lower tokens that
@@ -112,112 +122,83 @@ class Codec:
                     return True
                 bound, b = b + 1, pb[0]
 
-    def _remember(self, pair: tuple[int, int]) -> bool:
+    def _remember(self, left: int, right: int) -> bool:
         if len(self.fits) >= CACHE_PAIRS:
             self.fits.clear()
-        ok = self.fits[pair] = self._fit(*pair)
+        ok = self.fits[left << 32 | right] = self._fit(left, right)
         return ok
 
     def piece_ids(self, piece: str) -> list[int]:
         """Ids of one piece of the pattern."""
         s = piece if piece.isascii() else piece.encode("utf-8").decode("latin-1")
-        rank, size, shorter, fits = self.rank, self.size, self.shorter, self.fits
-        if (whole := rank.get(s)) is not None:
+        if (whole := self.rank.get(s)) is not None:
             return [whole]
-        in_trie, reach = self.auto.longest_prefix, self.reach
-        longest: dict[int, int] = {}
+        size, shorter, fits = self.size, self.shorter, self.fits
+        in_trie, longest, reach = self.auto.longest_prefix, self.longest, self.reach
         ids: list[int] = []
         given_up: set[int] = set()
-        n, pos, tok = len(s), 0, -2
-        while pos < n:
-            if tok == -2 and (tok := longest.get(pos, -2)) == -2:
-                ahead = s[pos:pos + reach]
-                k = in_trie(ahead)
-                while k and (tok := rank.get(ahead[:k], -1)) < 0:
-                    k -= 1
-                longest[pos] = tok
+        n, pos, last = len(s), 0, -1
+        ahead = s[:reach]
+        tok = longest[ahead[:in_trie(ahead)]]
+        while True:
             while tok >= 0:
-                if pos + size[tok] not in given_up:
-                    if not ids:
+                at = pos + size[tok]
+                if at not in given_up:
+                    if last < 0:
                         break
-                    pair = (ids[-1], tok)
-                    ok = fits.get(pair)
+                    ok = fits.get(last << 32 | tok)
                     if ok is None:
-                        ok = self._remember(pair)
+                        ok = self._remember(last, tok)
                     if ok:
                         break
                 tok = shorter[tok]
             if tok >= 0:
                 ids.append(tok)
-                pos += size[tok]
-                tok = -2
+                if at == n:
+                    return ids
+                pos, last = at, tok
+                ahead = s[pos:pos + reach]
+                tok = longest[ahead[:in_trie(ahead)]]
             elif ids:
                 given_up.add(pos)
                 tok = ids.pop()
                 pos -= size[tok]
+                last = ids[-1] if ids else -1
             else:
                 raise ValueError("the vocabulary lacks a byte")
-        return ids
-
-    def _pieces(self, text: str) -> bytes:
-        found = self.find(text)
-        if len(found) == 1:
-            return _packed(array("I", self.piece_ids(found[0])))
-        known, out = self.words, []
-        for p in found:
+
+    def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """Packed ids of every text, in order; texts are taken in slices, and
+        equal pieces of a slice are encoded once."""
+        held: list[list[str]] = []
+        chars = 0
+        for t in texts:
+            held.append(self.find(t) if t else [])
+            chars += len(t or "")
+            if chars >= SLICE_CHARS:
+                yield from self._slice(held)
+                held, chars = [], 0
+        yield from self._slice(held)
+
+    def _slice(self, held: list[list[str]]) -> list[bytes]:
+        known, older = self.known, self.older
+        found: dict[str, bytes] = {}
+        for p in set().union(*held):
             got = known.get(p)
             if got is None:
-                got = _packed(array("I", self.piece_ids(p)))
+                got = older.get(p)
+                if got is None:
+                    got = _packed(array("I", self.piece_ids(p)))
                 if len(p) <= CACHE_KEY_CHARS:
-                    if len(known) >= CACHE_PARTS * 3 // 4:
-                        known.clear()
                     known[p] = got
-            out.append(got)
-        return b"".join(out)
-
-    def _chunk(self, part: str) -> bytes:
-        """Ids of a part and the space before it, remembered if short."""
-        got = self.older.get(part)
-        if got is None:
-            got = self._pieces(" " + part)
-        if len(part) <= CACHE_KEY_CHARS:
-            if len(self.cache) >= CACHE_PARTS:      # the last two fillings stay
-                self.older, self.cache = self.cache, {}
-            self.cache[part] = got
-        return got
+            found[p] = got
+        if len(known) > CACHE_PIECES:             # what was not met since the last time goes
+            self.older, self.known = known, {}
+        return [b"".join(map(found.__getitem__, ps)) for ps in held]
 
     def encode(self, text: str) -> bytes:
-        """Packed ids of a text.
-
-        A single space between two characters that are no white space always
-        opens a new match, so the text may be cut there; equal parts are
-        encoded once."""
-        if not text:
-            return b""
-        parts, space = text.split(" "), SPACE
-        got = list(map(self.cache.get, parts))
-        got[0] = None
-        last, done = len(parts) - 1, 0
-
-        def cut(k: int) -> bool:          # may the text be cut after part k?
-            a, b = parts[k], parts[k + 1]
-            return bool(a and b) and a[-1] not in space and b[0] not in space
-
-        for k in [k for k, g in enumerate(got) if g is None]:
-            if k < done:
-                continue
-            start = end = k
-            if start > done and not cut(start - 1):
-                start -= 1
-            while end < last and not cut(end):
-                end += 1
-            if start == end and start:
-                got[k] = self._chunk(parts[k])
-            else:
-                run = " ".join(parts[start:end + 1])
-                got[start:end + 1] = [self._pieces(" " + run if start else run)] + [b""] * (end - start)
-            done = end + 1
-        return b"".join(got)
+        """Packed ids of a text."""
+        return next(self.encode_all([text]))
 
     def decode(self, packed: bytes) -> bytes:
         ids = array("I")
@@ -284,7 +265,7 @@ def encode_decode(df: DataFrame, vocab_path: str, pattern: str, *, text_col: str
     def both(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         c = codec(vocab.value, pattern)
         for s in texts:
-            ids = [c.encode(t) if t else b"" for t in s]
+            ids = list(c.encode_all(s))
             yield pd.DataFrame({"ids": ids, "decoded": [c.decode(i) if back else None for i in ids]})
 
     run = F.pandas_udf(both, "struct<ids: binary, decoded: binary>")
