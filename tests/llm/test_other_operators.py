@@ -36,6 +36,97 @@ def test_article_without_a_wrapper():
     assert H.main_text("<p>" * 5000 + "deep", None) == "deep"
 
 
+def test_case_of_raw_end_tags_keeps_offsets():
+    grows = "\u0130" * 12          # one character that becomes two in lower case
+    page = (f"<p>{grows}</p><SCRIPT>x</Script ><p>Hello world</p><TITLE>t</tItLe><p>Second</p>"
+            "<style>s</ſtyle><p>style text</p></style><p>Third</p>")
+    assert H.main_text(page, None) == f"{grows}\nHello world\nSecond\nThird"
+
+
+def test_spellings_of_marks():
+    page = "".join(f"<div class='{c}'>out</div>" for c in (
+        "COMMENTS", "side-bar", "sideBar", "SIDE_BAR", "siteNav", "post-Comments2", "x__nav-bar", "NAVBar"))
+    assert H.main_text(page + "<div class='entry-Body loading adverb'>in</div>", None) == "in"
+
+
+def test_deep_nesting(spark):
+    for tags in (["div"], ["div", "p", "ul", "li"], ["span", "b"]):
+        deep = "".join(f"<{tags[k % len(tags)]}>" for k in range(10_000))
+        assert H.main_text(f"<p>top</p>{deep}bottom", None) == "top\nbottom"
+        root, _ = H.parse(deep + "bottom")
+        assert len(H.preorder(H.unpack(H.pack(root)))) == len(H.preorder(root))
+    rows = [(i, "http://deep.example/", "<div>menu</div>" + "<div>" * 10_000 + f"text {i}") for i in range(12)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    assert {r["page_id"]: r["text"] for r in H.extract(df).collect()} == {i: f"text {i}" for i in range(12)}
+
+
+def _random_tree(rng, depth):
+    x = H.Node(str(rng.choice(["a", "b", "c"])))
+    for _ in range(int(rng.integers(0, 4)) if depth else 0):
+        x.kids.append(_random_tree(rng, depth - 1))
+    return x
+
+
+def _plain_matching(a, b):
+    best = [[0] * (len(b.kids) + 1) for _ in range(len(a.kids) + 1)]
+    for i, x in enumerate(a.kids):
+        for j, y in enumerate(b.kids):
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j],
+                                     best[i][j] + (_plain_matching(x, y) if x.sig == y.sig else 0))
+    return best[-1][-1] + 1
+
+
+def test_tree_matching_brute_force():
+    rng = np.random.default_rng(7)
+    for _ in range(400):
+        a, b = _random_tree(rng, 3), _random_tree(rng, 3)
+        b.sig = a.sig
+        size, pairs = H.matching(a, b, {})
+        assert size == _plain_matching(a, b)
+        assert pairs == sorted(pairs) and len({i for i, _ in pairs}) == len({j for _, j in pairs}) == len(pairs)
+        assert size == 1 + sum(_plain_matching(a.kids[i], b.kids[j]) for i, j in pairs)
+        assert len(H.preorder(H.merge(a, b))) == H.measure(a).size + H.measure(b).size - size
+
+
+def test_wrapper_alone_finds_the_template(spark, monkeypatch):
+    """No element name and no class tells: aligned slots decide."""
+    page = ("<div class=a><div class=b>Home</div><div class=b2>News</div></div>{2}<div class=c>Read our "
+            "terms</div><div class=d><h1>Title {0}</h1><p>Body {0}</p>{1}<p>Same words</p></div>"
+            "<div class=e>Reader votes</div><div class=f>All rights</div>")
+    rows = [(i, "http://h.example/", page.format(i, "<p>more</p>" * (i % 3), "<hr><p>promo</p>" * (i % 2)))
+            for i in range(60)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    for name in ("MARKS", "LEFT_OUT"):
+        monkeypatch.setattr(H, name, frozenset())
+    pages = df.selectExpr("'h' AS host", "html")
+    wrapper = H.unpack(H.induce(pages).first()["wrapper"])
+    for i, _, html in rows:
+        got = H.main_text(html, wrapper).split("\n")
+        assert [f"Title {i}", f"Body {i}"] == [x for x in got if x.endswith(f" {i}")]
+        assert not {"Home", "News", "Read our terms", "Reader votes", "All rights", "Same words"} & set(got)
+        assert H.main_text(html, None).startswith("Home\nNews")
+
+
+def test_a_hot_host_is_spread_over_tasks(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    monkeypatch.setattr(H, "SALT_PAGES", 5)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        trees = spark.range(300).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(
+            F.concat(F.lit("h"), F.col("id") % 20)).alias("host"), F.xxhash64("id").alias("digest"),
+            F.lit(H.pack(H.Node("#"))).alias("tree"))
+        dealt = H._dealt(trees)
+        plan = dealt.groupBy("host", "salt").count()._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("hashpartitioning(host#") >= 2 and "salt#" in plan
+        tasks = dealt.withColumn("task", F.spark_partition_id()).filter("host = 'hot'")
+        assert tasks.select("task").distinct().count() >= 4
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_left_out_inline_elements_stay_out_of_their_block():
     page = ("<article><p>A <span class='ad'>Buy <b>now</b></span> B</p>"
             "<p>C<button>Copy</button>D <a class='share-link' href='x'>Share</a>.</p>"

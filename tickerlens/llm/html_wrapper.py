@@ -11,9 +11,10 @@ elements that serve as menu, header, footer, sidebar, notice, advert, form or
 reader comments is left out, and so are scripts, styles and markup.  A left-out inline
 element (button, marked span or link) does not break the block around it.
 
-Wrappers are built from many small groups of pages (host, salt) and merged in
-rounds of bounded fan-in, so a host with a third of all pages is never one
-task.  Only trees of hashes are shuffled.  Nodes that cannot become template
+Wrappers are built from many small groups of pages, dealt by host and salt, and
+merged in rounds of bounded fan-in, so a host with a third of all pages is
+spread over many tasks.  Trees are walked by loops and packed flat, so elements
+may nest to any depth.  Only trees of hashes are shuffled.  Nodes that cannot become template
 any more are pruned, which bounds a wrapper.  Pages meet their host's wrapper
 by a join that the planner broadcasts when the written wrappers are small.
 
@@ -29,6 +30,7 @@ from __future__ import annotations
 import html as _html
 import pickle
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -71,24 +73,56 @@ _TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>"
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_PART = re.compile(r"[A-Za-z][a-z]*|[0-9]+")
+_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
+_END = {t: re.compile(f"</{t}", re.I | re.A) for t in RAW | {"title", "textarea"}}
 
 
 class Node:
     """A node of a page or wrapper: signature, pages, texts, children."""
-    __slots__ = ("kids", "n", "sig", "texts")
+    __slots__ = ("kids", "n", "shape", "sig", "size", "texts")
 
-    def __init__(self, sig: str, n: int = 1):
-        self.sig, self.n, self.texts, self.kids = sig, n, {}, []
+    def __init__(self, sig: str, n: int = 1, texts: dict | None = None):
+        self.sig, self.n, self.texts, self.kids = sig, n, {} if texts is None else texts, []
+        self.size = self.shape = None
 
-    def __reduce__(self):
-        return _node, (self.sig, self.n, self.texts, self.kids)
 
+def preorder(a: Node) -> list[Node]:
+    """The nodes of a tree, each before its children, in order."""
+    out, todo = [], [a]
+    while todo:
+        x = todo.pop()
+        out.append(x)
+        todo += reversed(x.kids)
+    return out
+
+
+def pack(a: Node) -> bytes:
+    """A tree of any depth as one flat list."""
+    return pickle.dumps([(x.sig, x.n, x.texts, len(x.kids)) for x in preorder(a)], 5)
+
+
+def unpack(raw: bytes) -> Node:
+    root = Node("")
+    open_ = [(root, 1)]
+    for sig, n, texts, kids in pickle.loads(raw):
+        while not open_[-1][1]:
+            open_.pop()
+        up, left = open_.pop()
+        x = Node(sig, n, texts)
+        up.kids.append(x)
+        open_ += [(up, left - 1), (x, kids)]
+    return root.kids[0]
 
-def _node(sig, n, texts, kids):
-    x = Node(sig, n)
-    x.texts, x.kids = texts, kids
-    return x
+
+def measure(a: Node) -> Node:
+    """Sets the size of every subtree and a digest of its shape."""
+    if a.shape is None:
+        for x in reversed(preorder(a)):
+            if x.shape is None:
+                x.size = 1 + sum(k.size for k in x.kids)
+                x.shape = xxhash.xxh3_128_digest(
+                    b"".join((x.sig.encode("utf-8", "replace"), b"\0", *(k.shape for k in x.kids))))
+    return a
 
 
 def _marked(tag: str, attrs: str, in_article: bool) -> tuple[bool, str]:
@@ -99,31 +133,31 @@ def _marked(tag: str, attrs: str, in_article: bool) -> tuple[bool, str]:
         if name.lower() == "class":
             cls = value
         if not out and tag not in ("body", "html", "article", "main"):
-            parts = {p.lower() for p in _PART.findall(value)}
-            out = bool(parts & MARKS)
+            parts = [p.lower() for p in _PART.findall(value)]
+            # side-bar and sideBar are spellings of sidebar
+            out = not MARKS.isdisjoint(parts) or not MARKS.isdisjoint(map("".join, zip(parts, parts[1:])))
     return out, cls
 
 
-def parse(page: str) -> tuple[Node, list[tuple[str, tuple[Node, ...], bool, bool]]]:
-    """The tree of a page and its text blocks in order: text, path of nodes,
-    left out by its element, inside an article."""
+def parse(page: str) -> tuple[Node, list[tuple[str, Node, bool, bool]]]:
+    """The tree of a page and its text blocks in order: text, node, left out
+    by its element, inside an article."""
     root = Node("#")
-    blocks: list[tuple[str, tuple[Node, ...], bool, bool]] = []
-    # open elements: tag, node path, left out, inside article; a left-out inline
+    blocks: list[tuple[str, Node, bool, bool]] = []
+    # open elements: tag, node, left out, inside article; a left-out inline
     # element also holds the text of its parent, which goes on after it
-    stack: list[tuple] = [("#", (root,), False, False, None)]
+    stack: list[tuple] = [("#", root, False, False, None)]
+    where: dict[str, list[int]] = defaultdict(list)       # places of open tags
     buf: list[str] = []
-    low = None
 
     def flush():
         if buf:
             text = " ".join(_html.unescape("".join(buf)).split())
             buf.clear()
             if text:
-                _, path, out, art, _ = stack[-1]
-                h = xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace"))
-                path[-1].texts[h] = 1
-                blocks.append((text, path, out, art))
+                _, node, out, art, _ = stack[-1]
+                node.texts[xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace"))] = 1
+                blocks.append((text, node, out, art))
 
     def close(k: int):
         nonlocal buf
@@ -132,16 +166,17 @@ def parse(page: str) -> tuple[Node, list[tuple[str, tuple[Node, ...], bool, bool
             if tag in BLOCK or held is not None:
                 flush()
             stack.pop()
+            where[tag].pop()
             if held is not None:
                 buf = held
 
+    def last_open(tags) -> int:
+        return max((where[t][-1] for t in tags if where[t]), default=0)
+
     def close_open(tags, until):
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in tags:
-                close(k)
-                return
-            if stack[k][0] in until:
-                return
+        k = last_open(tags)
+        if k > last_open(until):
+            close(k)
 
     pos, n = 0, len(page)
     while pos < n:
@@ -158,10 +193,8 @@ def parse(page: str) -> tuple[Node, list[tuple[str, tuple[Node, ...], bool, bool
         tag, end = tag.lower(), m.group(1) or m.group(4)
         attrs = m.group(3) if m.group(2) else m.group(6)
         if end:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    close(k)
-                    break
+            if where[tag]:
+                close(where[tag][-1])
             continue
         if tag == "br":
             buf.append(" ")
@@ -172,9 +205,8 @@ def parse(page: str) -> tuple[Node, list[tuple[str, tuple[Node, ...], bool, bool
             continue
         if tag in RAW or tag in ("title", "textarea"):
             if not attrs.rstrip().endswith("/"):
-                low = low if low is not None else page.lower()
-                at = low.find(f"</{tag}", pos)
-                pos = n if at < 0 else at
+                end = _END[tag].search(page, pos)
+                pos = end.end() if end else n
                 at = page.find(">", pos)
                 pos = n if at < 0 else at + 1
             continue
@@ -190,7 +222,7 @@ def parse(page: str) -> tuple[Node, list[tuple[str, tuple[Node, ...], bool, bool
             close_open(("tr",), ("table",))
         elif tag == "body":
             close_open(("head",), ())
-        _, path, out, art, _ = stack[-1]
+        _, node, out, art, _ = stack[-1]
         no, cls = _marked(tag, attrs, art)
         art = art or tag in ("article", "main")
         held = None
@@ -202,11 +234,12 @@ def parse(page: str) -> tuple[Node, list[tuple[str, tuple[Node, ...], bool, bool
             held, buf = buf, []
         if tag in BLOCK or no:
             sig = f"{tag}.{cls}" if cls else tag
-            kids = path[-1].kids
+            kids = node.kids
             if not kids or kids[-1].sig != sig:
                 kids.append(Node(sig))
-            path = (*path, kids[-1])
-        stack.append((tag, path, out or no, art, held))
+            node = kids[-1]
+        where[tag].append(len(stack))
+        stack.append((tag, node, out or no, art, held))
         if attrs.rstrip().endswith("/") and tag not in BLOCK:
             close(len(stack) - 1)
     close(1)
@@ -214,69 +247,104 @@ def parse(page: str) -> tuple[Node, list[tuple[str, tuple[Node, ...], bool, bool
     return root, blocks
 
 
-def _same_shape(a: Node, b: Node) -> bool:
-    return a.sig == b.sig and len(a.kids) == len(b.kids) and all(
-        map(_same_shape, a.kids, b.kids))
+def _matched_kids(a: Node, b: Node, memo: dict) -> list[tuple[int, int]]:
+    """Best order-preserving matching of the children of two nodes, from the
+    sizes of their children's matchings in ``memo``."""
+    x, y = a.kids, b.kids
+    lo, hi_x, hi_y = 0, len(x), len(y)
+    # equal subtrees at either end match in some best matching
+    while lo < min(hi_x, hi_y) and x[lo].shape == y[lo].shape:
+        lo += 1
+    while lo < min(hi_x, hi_y) and x[hi_x - 1].shape == y[hi_y - 1].shape:
+        hi_x, hi_y = hi_x - 1, hi_y - 1
+    pairs = [(i, i) for i in range(lo)]
+    tail = [(i, i - hi_x + hi_y) for i in range(hi_x, len(x))]
+    # only children whose signature the other side has can match
+    sigs = {k.sig for k in x[lo:hi_x]} & {k.sig for k in y[lo:hi_y]}
+    rows = [i for i in range(lo, hi_x) if x[i].sig in sigs]
+    cols = [j for j in range(lo, hi_y) if y[j].sig in sigs]
+    best = [[0] * (len(cols) + 1)]
+    for i in rows:
+        up, row, sig = best[-1], [0], x[i].sig
+        for c, j in enumerate(cols):
+            w = up[c] + memo[id(x[i]), id(y[j])] if y[j].sig == sig else 0
+            row.append(max(up[c + 1], row[c], w))
+        best.append(row)
+    r, c, inner = len(rows), len(cols), []
+    while r and c:
+        i, j = rows[r - 1], cols[c - 1]
+        if x[i].sig == y[j].sig and best[r][c] == best[r - 1][c - 1] + memo[id(x[i]), id(y[j])]:
+            inner.append((i, j))
+            r, c = r - 1, c - 1
+        elif best[r][c] == best[r - 1][c]:
+            r -= 1
+        else:
+            c -= 1
+    return pairs + inner[::-1] + tail
 
 
 def matching(a: Node, b: Node, memo: dict) -> tuple[int, list[tuple[int, int]]]:
     """Simple tree matching: size of the best matching of two trees with
-    equal roots, and the matched children."""
-    key = (id(a), id(b))
-    if key in memo:
-        return memo[key]
-    if _same_shape(a, b):
-        got = memo[key] = (_size(a), [(i, i) for i in range(len(a.kids))])
-        return got
-    m, n = len(a.kids), len(b.kids)
-    best = [[0] * (n + 1) for _ in range(m + 1)]
-    for i, x in enumerate(a.kids):
-        for j, y in enumerate(b.kids):
-            w = best[i][j] + matching(x, y, memo)[0] if x.sig == y.sig else 0
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], w)
-    pairs, i, j = [], m, n
-    while i and j:
-        x, y = a.kids[i - 1], b.kids[j - 1]
-        if x.sig == y.sig and best[i][j] == best[i - 1][j - 1] + matching(x, y, memo)[0]:
-            pairs.append((i - 1, j - 1))
-            i, j = i - 1, j - 1
-        elif best[i][j] == best[i - 1][j]:
-            i -= 1
+    equal roots, and the matched children.  ``memo`` holds the sizes; the walk
+    is a loop, so trees may be of any depth."""
+    measure(a), measure(b)
+    todo, pairs = [(a, b, False)], []
+    while todo:
+        x, y, ready = todo.pop()
+        key = id(x), id(y)
+        if not ready:
+            if key in memo and x is not a:
+                continue
+            if x.shape == y.shape:
+                memo[key] = x.size
+                pairs = [(i, i) for i in range(len(x.kids))]
+                continue
+            todo.append((x, y, True))
+            by_sig = defaultdict(list)
+            for k in y.kids:
+                by_sig[k.sig].append(k)
+            todo += [(k, m, False) for k in x.kids for m in by_sig.get(k.sig, ()) if (id(k), id(m)) not in memo]
         else:
-            j -= 1
-    got = memo[key] = (best[m][n] + 1, pairs[::-1])
-    return got
-
-
-def _size(a: Node) -> int:
-    return 1 + sum(map(_size, a.kids))
+            pairs = _matched_kids(x, y, memo)
+            memo[key] = 1 + sum(memo[id(x.kids[i]), id(y.kids[j])] for i, j in pairs)
+    return memo[id(a), id(b)], pairs
 
 
 def merge(a: Node, b: Node, memo: dict | None = None) -> Node:
     """The wrapper of the pages of two wrappers with equal roots."""
     memo = {} if memo is None else memo
-    _, pairs = matching(a, b, memo)
-    out = Node(a.sig, a.n + b.n)
-    out.texts = dict(a.texts)
-    for h, c in b.texts.items():
-        out.texts[h] = out.texts.get(h, 0) + c
-    i = j = 0
-    for x, y in [*pairs, (len(a.kids), len(b.kids))]:
-        out.kids += a.kids[i:x] + b.kids[j:y]
-        if x < len(a.kids):
-            out.kids.append(merge(a.kids[x], b.kids[y], memo))
-        i, j = x + 1, y + 1
-    return out
+    top = Node(a.sig)
+    todo = [(a, b, top)]
+    while todo:
+        x, y, out = todo.pop()
+        _, pairs = matching(x, y, memo)
+        out.n, out.texts = x.n + y.n, dict(x.texts)
+        for h, c in y.texts.items():
+            out.texts[h] = out.texts.get(h, 0) + c
+        i = j = 0
+        for p, q in [*pairs, (len(x.kids), len(y.kids))]:
+            out.kids += x.kids[i:p] + y.kids[j:q]
+            if p < len(x.kids):
+                out.kids.append(Node(x.kids[p].sig))
+                todo.append((x.kids[p], y.kids[q], out.kids[-1]))
+            i, j = p + 1, q + 1
+    return top
 
 
 def prune(a: Node, pages: int) -> Node:
     """Drops what too few pages hold to be template of any larger set that
     these pages are a part of (only the share can fall from here on)."""
     least = PRUNE_SHARE * pages
-    out = Node(a.sig, a.n)
-    out.texts = {h: c for h, c in a.texts.items() if c >= least}
-    out.kids = [prune(k, pages) for k in a.kids if k.n >= least]
-    return out
+    top = Node(a.sig, a.n)
+    todo = [(a, top)]
+    while todo:
+        x, out = todo.pop()
+        out.texts = {h: c for h, c in x.texts.items() if c >= least}
+        for k in x.kids:
+            if k.n >= least:
+                out.kids.append(Node(k.sig, k.n))
+                todo.append((k, out.kids[-1]))
+    return top
 
 
 def _merge_all(trees: list[Node]) -> Node:
@@ -304,9 +372,9 @@ def main_text(page: str | None, wrapper: Node | None) -> str:
             if fixed:
                 constant[id(x)] = fixed
             todo += [(x.kids[i], w.kids[j]) for i, j in matching(x, w, memo)[1]]
-    kept = [(text, art) for text, path, out, art in blocks if not out and not (
-        id(path[-1]) in constant
-        and xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace")) in constant[id(path[-1])])]
+    kept = [(text, art) for text, node, out, art in blocks if not out and not (
+        id(node) in constant
+        and xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace")) in constant[id(node)])]
     inside = [t for t, art in kept if art]
     return "\n".join(inside or [t for t, _ in kept])
 
@@ -323,25 +391,32 @@ def _trees(pages: DataFrame) -> DataFrame:
                     hosts.append(h)
                     digests.append(xxhash.xxh3_64_intdigest("\n".join(inner).encode("utf-8", "replace"))
                                    - (1 << 63))
-                    trees.append(pickle.dumps(root, 5))
+                    trees.append(pack(root))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(hosts, pa.string()), pa.array(digests, pa.int64()),
                  pa.array(trees, pa.binary())], names=["host", "digest", "tree"])
     return pages.mapInArrow(run, "host string, digest bigint, tree binary")
 
 
-def induce(pages: DataFrame) -> DataFrame:
-    """host, wrapper (packed) of every host of ``pages(host, html)``."""
-    trees = stored(_trees(pages).dropDuplicates(["host", "digest"]), "trees")
+def _dealt(trees: DataFrame) -> DataFrame:
+    """(host, salt, tree) of the hosts with enough pages, each salt of a host
+    in a task of its own: without dealing by both keys anew, all salts of a
+    host would stay together after the join."""
     sizes = trees.groupBy("host").agg(F.count("*").alias("m")).filter(F.col("m") >= MIN_PAGES)
     salts = F.ceil(F.col("m") / SALT_PAGES).cast("int")
     part = trees.join(sizes.select("host", salts.alias("salts")), "host")
     part = part.withColumn("salt", F.pmod("digest", F.col("salts")).cast("int")).drop("salts", "digest")
+    return part.repartition("host", "salt")
+
+
+def induce(pages: DataFrame) -> DataFrame:
+    """host, wrapper (packed) of every host of ``pages(host, html)``."""
+    part = _dealt(stored(_trees(pages).dropDuplicates(["host", "digest"]), "trees"))
 
     def align(t: pa.Table) -> pa.Table:
-        w = _merge_all([pickle.loads(x) for x in t.column("tree").to_pylist()])
+        w = _merge_all([unpack(x) for x in t.column("tree").to_pylist()])
         return pa.table({"host": t.column("host")[:1], "salt": t.column("salt")[:1],
-                         "tree": pa.array([pickle.dumps(w, 5)], pa.binary())})
+                         "tree": pa.array([pack(w)], pa.binary())})
 
     level = stored(part.groupBy("host", "salt").applyInArrow(
         align, "host string, salt int, tree binary"), "wrappers")
@@ -369,7 +444,7 @@ def extract(df: DataFrame, *, url_col: str = "url", html_col: str = "html",
                 if key not in known:
                     if len(known) >= 64:
                         known.clear()
-                    known[key] = pickle.loads(w) if w is not None else None
+                    known[key] = unpack(w) if w is not None else None
                 out.append(main_text(x, known[key]))
             yield pd.Series(out, dtype=object)
 
