@@ -7,9 +7,9 @@ one unbranched piece of path and travel as one row; equal paths in two texts
 cut into equal pieces except at their ends.  Steps, all of them Spark joins
 and pre-aggregated groupings:
 
-1. anchors that occur in two documents or more (most do not, and their paths
-   leave the job here);
-2. path pieces around the remaining anchors, each with the smallest source
+1. path pieces of every text, written once, and the anchors that occur in two
+   documents or more (most do not, and their paths leave the job here);
+2. pieces around the remaining anchors, each with the smallest source
    coordinate (document, row, word) of its content; the row is a digest of the
    text, as rows that share an id may hold different texts;
 3. anchors with a single piece are unbranched: the piece's source holds for
@@ -73,27 +73,6 @@ def _paths(text: bytes | None, k: int):
     return edges, first, n, grams[at[first]], piece
 
 
-def _signed(a: np.ndarray) -> pa.Array:
-    return pa.array(a.view(np.int64))
-
-
-def _anchors(docs: DataFrame, k: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, marks = [], []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                got = _paths(t.as_py(), k)
-                if got is not None:
-                    u = np.unique(got[3])
-                    ids.append(np.full(len(u), i, np.int64))
-                    marks.append(u)
-            if ids:
-                yield pa.RecordBatch.from_arrays(
-                    [_signed(np.concatenate(marks)), pa.array(np.concatenate(ids))],
-                    names=["mark", "doc"])
-    return docs.mapInArrow(run, "mark bigint, doc bigint")
-
-
 def _pieces(docs: DataFrame, k: int) -> DataFrame:
     """All path pieces of documents."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,6 +93,18 @@ def _pieces(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "piece bigint, mark bigint, doc bigint, row bigint, at int, n int")
 
 
+def _edges_at(ws: list[bytes], at: np.ndarray, n: np.ndarray, k: int) -> np.ndarray:
+    """Edge hashes of a text, right where the pieces (``at``, ``n``) lie: only
+    their words are hashed, they are few."""
+    change = np.zeros(len(ws) + 1, np.int64)
+    np.add.at(change, at, 1)
+    np.add.at(change, at + n + k - 1, -1)
+    need = np.flatnonzero(np.cumsum(change)[:-1])
+    wh = np.zeros(len(ws), np.uint64)
+    wh[need] = S.word_hashes([ws[i] for i in need.tolist()])
+    return S.window_hashes(wh, k)[0]
+
+
 def _opened(asked: DataFrame, k: int) -> DataFrame:
     """The edges of branching pieces, read at their source coordinates."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,10 +112,10 @@ def _opened(asked: DataFrame, k: int) -> DataFrame:
             out: list[list] = [[], [], [], [], [], []]
             for i, r, t, q in zip(b.column("doc").to_pylist(), b.column("row").to_pylist(),
                                   b.column("text"), b.column("q"), strict=True):
-                edges, = S.window_hashes(S.word_hashes(S.split_words(t.as_py())), k)
                 at, n, piece = (q.values.field(c).to_numpy(zero_copy_only=False)
                                 for c in ("at", "n", "piece"))
                 n = n.astype(np.int64)
+                edges = _edges_at(S.split_words(t.as_py()), at, n, k)
                 inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 pos = np.repeat(at, n) + inner
                 for c, v in zip(out, (edges[pos].view(np.int64), np.repeat(piece, n),
@@ -225,10 +216,11 @@ def repeated_spans(docs: DataFrame, k: int) -> DataFrame:
     row)`` whose every run of ``k`` words also starts in a document with a
     smaller id, with the digest of the words at the source coordinates."""
     docs = docs.filter(F.col("doc").isNotNull())
-    anchors = _anchors(docs, k)
-    shared = anchors.groupBy("mark").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
+    # texts are hashed once; the written pieces serve the count and the join
+    pieces = stored(_pieces(docs, k), "all-pieces")
+    shared = pieces.groupBy("mark").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
     shared = stored(shared.filter("lo < hi").select("mark"), "anchors")
-    pieces = stored(_pieces(docs, k).join(shared, "mark"), "pieces")
+    pieces = stored(pieces.join(shared, "mark"), "pieces")
     source = pieces.groupBy("piece").agg(F.min(F.struct("doc", "row", "at")).alias("s"),
                                          F.min("mark").alias("mark"), F.min("n").alias("n"))
     source = stored(source, "sources")
