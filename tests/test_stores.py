@@ -40,18 +40,22 @@ def partitions_read(df) -> int:
 def test_key_lookup_reads_the_prefixes_of_the_batch(spark, tmp_path):
     base = str(tmp_path)
     land(spark, f"{base}/in", [f"headline {k}" for k in range(200)])
-    run_news(spark, base, "c1")
+    R.start_headlines(spark, f"{base}/in", f"{base}/h", f"{base}/c1", as_of="2024-02-01", digits=2).awaitTermination()
     stored = spark.read.parquet(f"{base}/h")
-    prefixes = sorted(r[0] for r in stored.select(S.prefix_of("headline_hash")).distinct().collect())
+    prefixes = sorted(r[0] for r in stored.select(S.prefix_of("headline_hash", 2)).distinct().collect())
     assert len(prefixes) > 50
-    some = S.stored_keys(spark, f"{base}/h", KEYS, prefixes[:3], "another", 0)
+    some = S.stored_keys(spark, f"{base}/h", KEYS, prefixes[:3], "another", 0, 2)
     assert re.search(r"PartitionFilters: \[[^\]]*prefix#\d+ IN ", plan(some))
     assert partitions_read(some) == 3
     want = {r[0] for r in stored.select("headline_hash").collect() if r[0][:2] in prefixes[:3]}
     assert {r["headline_hash"] for r in some.collect()} == want
     # the batch's own partition is never looked up
     run = stored.first()["run"]
-    assert S.stored_keys(spark, f"{base}/h", KEYS, prefixes, run, 0).count() == 0
+    assert S.stored_keys(spark, f"{base}/h", KEYS, prefixes, run, 0, 2).count() == 0
+    # other digits: the keys are dealt anew from the table
+    dealt = S.stored_keys(spark, f"{base}/h", KEYS, ["0", "f"], "another", 0, 1)
+    assert dealt.count() == stored.filter("substring(headline_hash, 1, 1) IN ('0', 'f')").count()
+    assert partitions_read(dealt) == 2
 
 
 def test_keys_equal_the_table_after_replay_and_when_made_later(spark, tmp_path):

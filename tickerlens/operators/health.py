@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def health_summary(headlines: DataFrame, prices: DataFrame,
@@ -33,6 +34,29 @@ def health_summary(headlines: DataFrame, prices: DataFrame,
         "total_price_records", "last_news_timestamp", "last_price_date")
 
 
+def footer_session(spark: SparkSession) -> SparkSession:
+    """A session of the same application that answers counts, minima and maxima
+    of Parquet tables from the file footers (aggregate push-down of the second
+    data source API); the caller's session keeps its settings."""
+    s = spark.newSession()
+    v1 = [x for x in s.conf.get("spark.sql.sources.useV1SourceList").split(",") if x.strip() != "parquet"]
+    s.conf.set("spark.sql.sources.useV1SourceList", ",".join(v1))
+    s.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    return s
+
+
+def footer_totals(session: SparkSession, path: str, schema: T.StructType, newest: str | None = None) -> DataFrame:
+    """A1/A2 without a scan: rows of a stored table and, for a DATE or number
+    column, its greatest value; no row is read."""
+    aggs = [F.count(F.lit(1)).alias("n")]
+    if newest:
+        aggs.append(F.max(newest).alias("newest"))
+    out = session.read.schema(schema).parquet(path).agg(*aggs)
+    # a table without files has no footer to add up: its count comes as NULL,
+    # though the planner takes a count as never NULL
+    return out.withColumn("n", F.when(F.col("n") >= 0, F.col("n")).otherwise(0))
+
+
 def recent(df: DataFrame, n: int, cols: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Newest ``n`` rows by arrival order (descending), ``cols`` only.
 

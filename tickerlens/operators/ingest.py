@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_title, headline_hash, source_of, title_kept_raw
@@ -121,12 +121,20 @@ def accounting_by_batch(records: DataFrame,
     keys = list(keys)
     if "headline_hash" not in records.columns:
         records = with_hash(records)
-    winners = first_arrivals(records, keys).select(
-        "batch_id", F.lit(1).alias("won"))
-    won = winners.groupBy("batch_id").agg(F.count(F.lit(1)).alias("inserted"))
-    seen = records.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"))
-    return (seen.join(won, "batch_id", "left")
-            .select("batch_id",
-                    F.coalesce(F.col("inserted"), F.lit(0)).cast("bigint").alias("inserted"),
-                    (F.col("n") - F.coalesce(F.col("inserted"), F.lit(0))).cast("bigint")
-                    .alias("skipped")))
+    valid = F.expr(" AND ".join(f"{c} IS NOT NULL" for c in NOT_NULL))
+    # the records are read once: one row per key and run, then the run of each
+    # key's first arrival among those few
+    runs = records.groupBy(*keys, "batch_id").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.when(valid, F.struct(*ORDER_COLS))).alias("first"))
+    least = F.min("first").over(Window.partitionBy(*keys))
+    runs = runs.withColumn("won", F.col("first").isNotNull() & (F.col("first") == least))
+    out = runs.groupBy("batch_id").agg(F.sum("n").alias("n"), F.count_if("won").alias("inserted"))
+    return out.select("batch_id", "inserted", (F.col("n") - F.col("inserted")).alias("skipped"))
+
+
+def ingest_runs(records: DataFrame, run: Column, keys: Sequence[str] = ("headline_hash",)) -> DataFrame:
+    """S9/W2 over several runs at once, with the ``run`` that stored each row:
+    runs follow each other in arrival order, so what a run inserts are the
+    global first arrivals that fall into it.  One aggregate over the records
+    read once, where run after run would look each other's keys up."""
+    return first_arrivals(records.withColumn("run", run), keys)

@@ -62,8 +62,7 @@ def q_log_return(spark, sf_dir):
 from ..functions.numeric import safe_bigint, safe_double  # noqa: E402
 from ..functions.text import source_of  # noqa: E402
 from ..operators import health as H  # noqa: E402
-from ..operators.ingest import (accounting_by_batch, first_arrivals,  # noqa: E402
-                                ingest_headlines)
+from ..operators.ingest import accounting_by_batch, ingest_runs  # noqa: E402
 from ..operators.prices import pivot_prices, price_window, unpivot_prices  # noqa: E402
 from ..operators.scoring import unscored, with_latest_scores  # noqa: E402
 from ..sources import feeds  # noqa: E402
@@ -127,14 +126,10 @@ def q_headline_hash(spark, sf_dir):
 
 @register("headline_dedup")
 def q_headline_dedup(spark, sf_dir):
-    """Two ingest runs split on a poll-slot edge; the second run
+    """Two ingest runs split on a poll-slot edge; the second run
     inserts only hashes the first did not store."""
-    rec = C.records(spark, sf_dir)
-    cut = C.cut_slot()
-    run1 = first_arrivals(rec.filter(F.col("batch_id") < cut))
-    run2 = ingest_headlines(rec.filter(F.col("batch_id") >= cut), existing=run1)
-    out = run1.withColumn("run", F.lit(1)).unionByName(run2.withColumn("run", F.lit(2)))
-    return out.select("headline_hash", "ticker", "headline", "source", "raw_timestamp",
+    run = F.when(F.col("batch_id") < C.cut_slot(), 1).otherwise(2)
+    return ingest_runs(C.records(spark, sf_dir), run).select("headline_hash", "ticker", "headline", "source", "raw_timestamp",
                       "market_date", "feed_rank", "run")
 
 
@@ -490,23 +485,121 @@ def q_stream_late_rows(spark, sf_dir):
 
 @register("stream_dedup_bounded")
 def q_stream_dedup_bounded(spark, sf_dir):
-    """R2: watermark-bounded dedup of the landed feeds; rows without a publish
-    time are left out."""
-    from ..operators.ingest import headline_records, with_hash
+    """R2: two runs whose look-up goes back seven days before the batch."""
     base = _stream_base(spark)
-    in_dir = f"{base}/in"
-    _land_feeds(spark, sf_dir, in_dir, True)
-    _land_feeds(spark, sf_dir, in_dir, False)
-    s = spark.readStream.schema(R.FEED_FILE_SCHEMA).json(in_dir)
-    arts = feeds.explode_articles(s).withColumn("feed_rank", R.feed_rank())
-    recs = with_hash(headline_records(arts, as_of=C.AS_OF)).filter(
-        F.col("published_ts").isNotNull())
-    out = R.bounded_dedup(recs).select("headline_hash", "ticker", "published_ts")
-    q = (out.writeStream.format("parquet").option("path", f"{base}/out")
-         .option("checkpointLocation", f"{base}/ckpt").outputMode("append")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(f"{base}/out")
+    for first in (True, False):
+        _land_feeds(spark, sf_dir, f"{base}/in", first)
+        R.start_bounded(spark, f"{base}/in", f"{base}/headlines", f"{base}/ckpt",
+                        as_of=C.AS_OF).awaitTermination()
+    return R.open_table(spark, f"{base}/headlines", "headlines").select(
+        "headline_hash", "ticker", "published_ts", "market_date", "batch_no")
+
+
+@register("newest_stored")
+def q_newest_stored(spark, sf_dir):
+    """P8 on the stream's table: 10 newest rows, read from the newest commits."""
+    from ..streaming.stores import newest_rows
+    base = _stream_base(spark)
+    table = _run_headline_stream(spark, sf_dir, base)
+    return newest_rows(spark, table, "headlines", R.read_ledger(spark, f"{base}/ledger"), 10,
+                       ["batch_id", "ticker_pos", "feed_rank"]).select(
+        "ticker", "market_date", "headline", "source")
+
+
+@register("health_stored")
+def q_health_stored(spark, sf_dir):
+    """Totals of the stored tables from file footers; every hash whose
+    first digit is below 8 is scored twice, and the scores are compacted."""
+    from ..sources.tables import PRICES, SCORES, stream_schema
+    from ..streaming import compaction as Z
+    base = _stream_base(spark)
+    table = _run_headline_stream(spark, sf_dir, base)
+
+    def scorer(label):
+        def run(backlog):
+            return backlog.filter(F.col("headline_hash") < "8").select(
+                "headline_hash", F.lit(label).alias("sentiment_label"), F.lit(1.0).alias("confidence"),
+                F.lit(None).cast("string").alias("attention_keyword"), F.lit("rule").alias("model_version"))
+        return run
+    R.start_scoring(spark, table, f"{base}/scores", f"{base}/c-score", scorer("neutral")).awaitTermination()
+    # a second opinion on the same headlines, as a later model version writes it
+    again = scorer("positive")(spark.read.parquet(table)).withColumn("score_seq", F.lit(1).cast("bigint"))
+    R.commit(again, f"{base}/scores", "scores", "second", 0)
+    gen = Z.compact(spark, f"{base}/scores")
+    from ..streaming.stores import write_prices
+    write_prices(C.returns(spark, sf_dir), f"{base}/prices")
+    s = H.footer_session(spark)
+    h = H.footer_totals(s, table, stream_schema("headlines"), "market_date").first()
+    scored = H.footer_totals(s, Z.snapshot_path(f"{base}/scores", gen), SCORES).first()["n"]
+    p = H.footer_totals(s, f"{base}/prices", PRICES).first()["n"]
+    positive = Z.effective_scores(spark, f"{base}/scores").agg(F.count_if(F.col("sentiment_label") == "positive"))
+    return spark.createDataFrame(
+        [(h["n"], scored, h["n"] - scored, h["newest"], p, positive.first()[0])],
+        "total_headlines bigint, scored_headlines bigint, unscored_headlines bigint, newest_session date, "
+        "total_price_records bigint, n_positive bigint")
+
+
+@register("stream_service")
+def q_stream_service(spark, sf_dir):
+    """News, price and scoring jobs side by side, the scorer broken; the
+    ledger rows of all three."""
+    from ..operators.prices import ohlcv_bars
+    from ..streaming.service import Service
+    base = _stream_base(spark)
+    for first in (True, False):
+        _land_feeds(spark, sf_dir, f"{base}/in", first)
+    ohlcv_bars(driver.ticks(spark, sf_dir)).withColumns({
+        "fetch_id": F.lit(0).cast("bigint"), "fetched_ts": F.lit(None).cast("timestamp_ntz"),
+    }).write.parquet(f"{base}/bars")
+    R.open_table(spark, f"{base}/headlines", "headlines")
+
+    def broken(backlog):
+        raise ValueError("the scorer does not load")
+    jobs = Service(spark, f"{base}/events", restarts=1)
+    ledger = f"{base}/ledger"
+    jobs.add("news_job", lambda: R.start_headlines(spark, f"{base}/in", f"{base}/headlines", f"{base}/c-news",
+                                                   ledger, as_of=C.AS_OF))
+    jobs.add("price_job", lambda: R.start_prices(spark, f"{base}/bars", f"{base}/prices", f"{base}/c-price",
+                                                 ledger))
+    # fed by the landed files, so it has a micro-batch whenever it starts
+    jobs.add("scoring_job", lambda: R.start_scoring(spark, f"{base}/headlines", f"{base}/scores",
+                                                    f"{base}/c-score", broken, ledger, source=f"{base}/in"))
+    jobs.run()
+    return R.read_ledger(spark, ledger).select(
+        "job_name", "inserted", "skipped",
+        F.col("error").contains("the scorer does not load").alias("broken"))
+
+
+def _damaged_feeds(spark, sf_dir):
+    """Feed responses as landed text lines; every fifth is cut short."""
+    pages = feeds.feed_documents(feeds.build_feed_pages(driver.article_rows(spark, sf_dir)))
+    text = F.to_json(F.struct("ticker", "ticker_pos", "batch_id", "page", "articles"))
+    cut = (F.col("page") + F.col("ticker_pos") + F.col("batch_id")) % C.DAMAGED_EVERY == 0
+    return pages.select("ticker", F.when(cut, F.substring(text, F.lit(1), F.length(text) - 5))
+                        .otherwise(text).alias("value"))
+
+
+@register("feed_quarantine")
+def q_feed_quarantine(spark, sf_dir):
+    """Usable and broken responses per ticker, and the articles read."""
+    checked = feeds.checked_feed(_damaged_feeds(spark, sf_dir))
+    return checked.groupBy("ticker").agg(
+        F.count("*").alias("n_responses"), F.count("reason").alias("n_broken"),
+        F.sum(F.coalesce(F.size("articles"), F.lit(0))).cast("bigint").alias("n_articles"))
+
+
+@register("stream_quarantine")
+def q_stream_quarantine(spark, sf_dir):
+    """The headline stream over a feed with broken responses; they are
+    put aside, the others are stored."""
+    base = _stream_base(spark)
+    _damaged_feeds(spark, sf_dir).select("value").write.text(f"{base}/in")
+    table = f"{base}/headlines"
+    R.start_headlines(spark, f"{base}/in", table, f"{base}/ckpt", f"{base}/ledger", as_of=C.AS_OF,
+                      quarantine=True).awaitTermination()
+    aside = R.read_quarantine(spark, table).groupBy("run", "batch_no").agg(F.count("*").alias("n_broken"))
+    return R.read_ledger(spark, f"{base}/ledger").join(aside, ["run", "batch_no"], "left").select(
+        "batch_no", "inserted", "skipped", F.coalesce("n_broken", F.lit(0)).alias("n_broken"))
 
 
 @register("stream_prices")

@@ -65,6 +65,7 @@ SPIKE_K = 1.0
 HORIZONS = (1, 4, 24)
 ASOF_CELL_SECONDS = 3600      # as-of join time cell (hot tickers span many)
 BACKLOG_LIMIT = 200
+DAMAGED_EVERY = 5             # feed responses that the quarantine queries cut short
 # ---------------------------------------------------------------------------
 
 

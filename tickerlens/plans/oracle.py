@@ -577,3 +577,59 @@ SELECT CAST(coalesce(won.n, 0) AS BIGINT) AS inserted,
        CAST(coalesce(seen.n, 0) - coalesce(won.n, 0) AS BIGINT) AS skipped,
        CAST(coalesce(seen.late, 0) AS BIGINT) AS late, seen.newest, CAST(runs.batch_no AS BIGINT) AS batch_no
 FROM runs LEFT JOIN seen USING (batch_no) LEFT JOIN won USING (batch_no)""")
+
+# bounded look-up: the second run forgets what the first stored for sessions
+# more than seven days before its own earliest one
+oracle("stream_dedup_bounded", S.with_ctes(S.ARTICLES, S.RECORDS) + f"""
+, rec AS (SELECT *, {_RUN} AS batch_no FROM records WHERE ticker IS NOT NULL AND source IS NOT NULL),
+won AS (
+  SELECT * EXCLUDE (rn) FROM (
+    SELECT *, row_number() OVER (PARTITION BY headline_hash, batch_no
+             ORDER BY batch_id, ticker_pos, raw_timestamp DESC NULLS LAST, feed_rank) AS rn FROM rec) r
+  WHERE rn = 1)
+SELECT headline_hash, ticker, published_ts, market_date, CAST(batch_no AS BIGINT) AS batch_no
+FROM won w
+WHERE batch_no = 0 OR NOT EXISTS (
+  SELECT 1 FROM won o WHERE o.batch_no = 0 AND o.headline_hash = w.headline_hash
+    AND o.market_date >= (SELECT min(market_date) FROM rec WHERE batch_no = 1) - 7)""")
+
+oracle("newest_stored", S.with_ctes(S.ARTICLES, S.RECORDS, S.PAGED) + """
+SELECT ticker, market_date, headline, source FROM stored
+ORDER BY batch_id DESC, ticker_pos DESC, raw_timestamp ASC NULLS FIRST, feed_rank DESC LIMIT 10""")
+
+oracle("stream_service", S.with_ctes(S.ARTICLES, S.RECORDS, S.PAGED, S.TICKS, S.BARS, S.RETURNS) + """
+SELECT 'news_job' AS job_name, (SELECT count(*) FROM stored) AS inserted,
+       (SELECT count(*) FROM records) - (SELECT count(*) FROM stored) AS skipped, CAST(NULL AS BOOLEAN) AS broken
+UNION ALL SELECT 'price_job', (SELECT count(*) FROM rets), 0, NULL
+UNION ALL SELECT 'scoring_job', 0, 0, true FROM range(2)""")
+
+# responses hold 20 articles of a (ticker, poll), newest first; every fifth
+# response is broken
+RESPONSES = f"""paged AS (
+  SELECT *, ((page + ticker_pos + batch_id) % {C.DAMAGED_EVERY}) = 0 AS broken
+  FROM (SELECT *, (row_number() OVER (PARTITION BY ticker, batch_id
+                     ORDER BY published_at DESC NULLS LAST, feed_rank) - 1) // 20 AS page FROM articles) a)"""
+
+oracle("feed_quarantine", S.with_ctes(S.ARTICLES, RESPONSES) + """
+SELECT ticker, count(*) AS n_responses, count(*) FILTER (WHERE broken) AS n_broken,
+       CAST(coalesce(sum(n) FILTER (WHERE NOT broken), 0) AS BIGINT) AS n_articles
+FROM (SELECT ticker, batch_id, page, broken, count(*) AS n FROM paged GROUP BY ALL) r GROUP BY ticker""")
+
+oracle("stream_quarantine", S.with_ctes(S.ARTICLES, RESPONSES) + f"""
+, rec AS (
+  SELECT ticker, source, {S.sha('headline')} AS headline_hash
+  FROM (SELECT *, {S.clean_title('title')} AS headline, {S.source_of('source_name', 'url')} AS source
+        FROM paged WHERE NOT broken) a
+  WHERE {S.title_kept('headline')}),
+n AS (SELECT count(*) AS n, count(DISTINCT headline_hash)
+               FILTER (WHERE ticker IS NOT NULL AND source IS NOT NULL) AS won FROM rec)
+SELECT CAST(0 AS BIGINT) AS batch_no, won AS inserted, n - won AS skipped,
+       (SELECT count(*) FROM (SELECT DISTINCT ticker, batch_id, page FROM paged WHERE broken) b) AS n_broken
+FROM n""")
+
+oracle("health_stored", S.with_ctes(S.ARTICLES, S.RECORDS, S.PAGED, S.TICKS, S.BARS, S.RETURNS) + """
+SELECT count(*) AS total_headlines, count(*) FILTER (WHERE headline_hash < '8') AS scored_headlines,
+       count(*) FILTER (WHERE headline_hash >= '8') AS unscored_headlines, max(market_date) AS newest_session,
+       (SELECT count(*) FROM rets) AS total_price_records,
+       count(*) FILTER (WHERE headline_hash < '8') AS n_positive
+FROM stored""")

@@ -87,7 +87,8 @@ def article_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Every line of every document is an article.  Columns: doc_id (line id),
     lang, ticker, ticker_pos, title, source_name, url, published_at (raw ISO
-    text, may be NULL), batch_id, feed_rank (line id).
+    text, may be NULL), batch_id, feed_rank (line id), published_raw (the time
+    itself).
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     ev = table(spark, sf_dir, "events").select(
@@ -108,6 +109,7 @@ def article_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         iso_seconds_z("pub_ts").alias("published_at"),
         F.coalesce(poll_slot("pub_ts"), F.lit(0).cast("bigint")).alias("batch_id"),
         F.col("doc_id").alias("feed_rank"),
+        F.col("pub_ts").alias("published_raw"),
     )
 
 

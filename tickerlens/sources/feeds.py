@@ -26,6 +26,8 @@ ARTICLE = T.StructType([
 FEED_SCHEMA = T.StructType([T.StructField("articles", T.ArrayType(ARTICLE))])
 
 # --- fixed values -----------------------------------------------------------
+RAW_TIME = "published_raw"    # publish time before it became text, if known
+BROKEN = "_broken"    # column of a response that is no JSON
 PAGE_SIZE = 20        # articles per ticker per request
 DAYS_BACK = 7         # request window
 LANGUAGE = "en"
@@ -54,6 +56,28 @@ def parse_feed(responses: DataFrame, json_col: str = "value") -> DataFrame:
         .select(*ctx, F.col("r.articles").alias("articles"))
 
 
+def checked_feed(responses: DataFrame, json_col: str = "value") -> DataFrame:
+    """S1 for JSON text that may be broken: like ``parse_feed``, with the text
+    and the reason of a response that cannot be used (``empty`` or
+    ``malformed``; NULL for a usable one).  A response without articles is
+    usable and has none."""
+    ctx = [c for c in responses.columns if c != json_col]
+    checked = T.StructType([*FEED_SCHEMA.fields, T.StructField(BROKEN, T.StringType())])
+    text = F.col(json_col)
+    parsed = responses.select(*ctx, text.alias("text"), F.from_json(
+        text, checked, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BROKEN}).alias("r"))
+    reason = (F.when(F.coalesce(F.trim("text"), F.lit("")) == "", "empty")
+              .when(F.col("r").isNull() | F.col(f"r.{BROKEN}").isNotNull(), "malformed"))
+    return parsed.select(*ctx, "text", reason.alias("reason"),
+                         F.when(reason.isNull(), F.col("r.articles")).alias("articles"))
+
+
+def split_feed(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Usable responses, and the others with text and reason."""
+    good = checked.filter(F.col("reason").isNull()).drop("text", "reason")
+    return good, checked.filter(F.col("reason").isNotNull()).drop("articles")
+
+
 def explode_articles(feeds: DataFrame) -> DataFrame:
     """One row per article; a missing ``articles`` array yields no rows.
 
@@ -108,7 +132,12 @@ def feed_window(articles: DataFrame, as_of, days: int = DAYS_BACK,
     ``row_number() <= k`` plans as a WindowGroupLimit, so each mapper keeps at
     most ``k`` rows per ticker before the shuffle."""
     ts = parse_iso_utc("published_at")
-    d = F.to_date(ts)
+    # the raw time, where the source has one, is tested before it is formatted:
+    # the filter then reaches the scan
+    d = F.to_date(F.col(RAW_TIME) if RAW_TIME in articles.columns else ts)
+    if RAW_TIME in articles.columns:
+        lo, hi = (days_from(as_of, k).cast("timestamp_ntz") for k in (-days, 1))
+        articles = articles.filter((F.col(RAW_TIME) >= lo) & (F.col(RAW_TIME) < hi))
     cond = (d >= days_from(as_of, -days)) & (d <= days_from(as_of, 0))
     if lang is not None and "lang" in articles.columns:
         cond = cond & (F.col("lang") == lang)

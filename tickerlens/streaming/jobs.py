@@ -31,9 +31,10 @@ from pyspark.sql import types as T
 from ..functions.time import in_trading_hours
 from ..operators.ingest import first_arrivals, headline_records, not_stored, with_hash
 from ..operators.prices import ingest_prices, log_return
-from ..sources.feeds import FEED_SCHEMA, explode_articles
-from ..sources.tables import JOB_LOG, create_if_absent, stream_schema
+from ..sources.feeds import BROKEN, FEED_SCHEMA, explode_articles
+from ..sources.tables import COMMIT, JOB_LOG, create_if_absent, stream_schema
 from . import stores
+from .service import query_name
 from .stores import Counts, commit, open_table, others
 
 LATE_AFTER = "7 days"         # behind the newest row of earlier batches: late
@@ -141,17 +142,20 @@ def _guarded(name: str, ledger_path: str | None, body: Body, run_id: _RunId):
 def _start(stream: DataFrame, name: str, checkpoint: str, ledger_path: str | None, body: Body,
            trigger: dict | None):
     rid = _RunId()
-    w = (stream.writeStream.option("checkpointLocation", checkpoint)
+    w = (stream.writeStream.queryName(query_name(name)).option("checkpointLocation", checkpoint)
          .foreachBatch(_guarded(name, ledger_path, body, rid)))
     return rid.give(w.trigger(**(trigger or {"availableNow": True})).start())
 
 
 def headline_batch(table_path: str, as_of=None, keys: Sequence[str] = ("headline_hash",),
-                   ledger_path: str | None = None) -> Body:
+                   ledger_path: str | None = None, digits: int = stores.PREFIX_DIGITS) -> Body:
     """R1/R5 body: feed responses -> records, staged and counted in one pass
     -> first wins in batch -> keys stored under the batch's prefixes -> append.
     Late rows are accepted at any age and counted.  A batch without articles
-    inserts and skips nothing."""
+    inserts and skips nothing.
+
+    ``digits`` sets the partitions of the key table: few for scheduled runs whose
+    batches touch them all, more for small batches over a large store."""
     def body(batch: DataFrame, run: str, batch_no: int) -> Counts:
         spark = batch.sparkSession
         table = open_table(spark, table_path, "headlines")
@@ -160,33 +164,98 @@ def headline_batch(table_path: str, as_of=None, keys: Sequence[str] = ("headline
         late = F.col("published_ts") < late_before(spark, ledger_path, "news_job", run, batch_no)
         recs, seen = stores.staged(
             recs, f"{table_path.rstrip('/')}_staging/{run}", late=F.count_if(late),
-            newest=F.max("published_ts"), prefixes=F.collect_set(stores.prefix_of(keys[-1])))
-        known = stores.stored_keys(spark, table_path, keys, seen["prefixes"], run, batch_no)
+            newest=F.max("published_ts"), prefixes=F.collect_set(stores.prefix_of(keys[-1], digits)))
+        known = stores.stored_keys(spark, table_path, keys, seen["prefixes"], run, batch_no, digits)
         new = stores.unseen(first_arrivals(recs, keys), recs, known, keys)
         ins = commit(new, table_path, "headlines", run, batch_no)
-        stores.commit_keys(spark, table_path, keys, run, batch_no)
+        stores.commit_keys(spark, table_path, keys, run, batch_no, digits)
         return Counts(ins, seen["n"] - ins, seen["late"], seen["newest"])
     return body
 
 
+def quarantine_path(table_path: str) -> str:
+    return f"{table_path.rstrip('/')}_quarantine"
+
+
+def read_quarantine(spark: SparkSession, table_path: str) -> DataFrame:
+    """Text of the responses that could not be read, by micro-batch."""
+    schema = T.StructType([T.StructField("text", T.StringType()), *COMMIT])
+    create_if_absent(spark, quarantine_path(table_path), schema, stores.COMMIT_COLS)
+    return spark.read.schema(schema).parquet(quarantine_path(table_path))
+
+
+def with_quarantine(body: Body, table_path: str) -> Body:
+    """A headline body whose broken responses are put aside first, under the
+    micro-batch's own partition (a replay replaces them); the rest go on."""
+    def run_body(batch: DataFrame, run: str, batch_no: int) -> Counts:
+        rows = batch.filter(F.col(BROKEN).isNotNull()).select(
+            F.col(BROKEN).alias("text"), F.lit(run).alias("run"), F.lit(batch_no).cast("bigint").alias("batch_no"))
+        read_quarantine(batch.sparkSession, table_path)
+        (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy(*stores.COMMIT_COLS).parquet(quarantine_path(table_path)))
+        return body(batch.filter(F.col(BROKEN).isNull()).drop(BROKEN), run, batch_no)
+    return run_body
+
+
 def start_headlines(spark: SparkSession, source_path: str, table_path: str,
                     checkpoint: str, ledger_path: str | None = None, as_of=None,
-                    trigger: dict | None = None, max_files_per_trigger: int | None = None):
+                    trigger: dict | None = None, max_files_per_trigger: int | None = None,
+                    quarantine: bool = False, digits: int = stores.PREFIX_DIGITS):
     """Headline ingest stream over landed feed JSON files.
 
-    No watermark: late articles are accepted at any age (R5)."""
+    No watermark: late articles are accepted at any age (R5).  With
+    ``quarantine`` a response that is no JSON is put aside with its text
+    (``read_quarantine``) instead of being read as one without articles."""
     open_table(spark, table_path, "headlines")
+    body = headline_batch(table_path, as_of, ledger_path=ledger_path, digits=digits)
     reader = spark.readStream.schema(FEED_FILE_SCHEMA)
+    if quarantine:
+        body = with_quarantine(body, table_path)
+        reader = (spark.readStream.schema(T.StructType([*FEED_FILE_SCHEMA.fields,
+                                                        T.StructField(BROKEN, T.StringType())]))
+                  .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BROKEN))
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     return _start(reader.json(source_path), "news_job", checkpoint, ledger_path,
-                  headline_batch(table_path, as_of, ledger_path=ledger_path), trigger)
+                  body, trigger)
+
+
+def bounded_batch(table_path: str, as_of=None, span_days: int = 7,
+                  keys: Sequence[str] = ("headline_hash",)) -> Body:
+    """R2 body: like R1, but a key is looked up only among the sessions from
+    ``span_days`` before the batch's earliest one; what was stored for older
+    sessions is forgotten, so a look-up never grows with history.  First wins in
+    the batch; a row without a publish time belongs to the run's session and is
+    treated like any other, and no row is dropped for its age."""
+    def body(batch: DataFrame, run: str, batch_no: int) -> Counts:
+        spark = batch.sparkSession
+        open_table(spark, table_path, "headlines")
+        arts = explode_articles(batch).withColumn("feed_rank", feed_rank())
+        recs = with_hash(headline_records(arts, as_of=as_of), stripped=True)
+        recs, seen = stores.staged(recs, f"{table_path.rstrip('/')}_staging/{run}",
+                                   earliest=F.min("market_date"), newest=F.max("published_ts"))
+        since = seen["earliest"] and seen["earliest"] - dt.timedelta(days=span_days)
+        known = stores.recent_keys(spark, table_path, keys, since, run, batch_no)
+        new = stores.unseen(first_arrivals(recs, keys), recs, known, keys)
+        ins = commit(new, table_path, "headlines", run, batch_no)
+        stores.commit_day_keys(spark, table_path, keys, run, batch_no)
+        return Counts(ins, seen["n"] - ins, 0, seen["newest"])
+    return body
+
+
+def start_bounded(spark: SparkSession, source_path: str, table_path: str, checkpoint: str,
+                  ledger_path: str | None = None, as_of=None, trigger: dict | None = None,
+                  span_days: int = 7):
+    """R2: headline ingest that is unique within ``span_days`` only."""
+    open_table(spark, table_path, "headlines")
+    return _start(spark.readStream.schema(FEED_FILE_SCHEMA).json(source_path), "news_job", checkpoint,
+                  ledger_path, bounded_batch(table_path, as_of, span_days), trigger)
 
 
 def bounded_dedup(records: DataFrame, delay: str = "7 days",
                   ts: str = "published_ts", key: str = "headline_hash") -> DataFrame:
-    """R2 (option): state-bounded dedup inside the watermark delay.  Weaker
-    than R1: no first-wins order and rows older than the watermark drop.
+    """R2 as a streaming operator: dedup in Spark's state inside the watermark
+    delay, for pipelines without a table.  Weaker than ``bounded_batch``: no first-wins order and rows older than the watermark drop.
     Watermarks need a TIMESTAMP column, so the UTC ``TIMESTAMP_NTZ`` is
     converted (UTC wall clock -> instant) first."""
     ev = F.col(ts).cast("timestamp")
@@ -254,11 +323,16 @@ def scoring_batch(headlines_path: str, scores_path: str,
 
 def start_scoring(spark: SparkSession, headlines_path: str, scores_path: str,
                   checkpoint: str, scorer: Callable[[DataFrame], DataFrame] | None,
-                  ledger_path: str | None = None, trigger: dict | None = None):
+                  ledger_path: str | None = None, trigger: dict | None = None,
+                  source: str | None = None):
     """Score what the ingest stream stored; the two jobs share only
-    tables, may start in any order and have separate checkpoints."""
+    tables, may start in any order and have separate checkpoints.  The job
+    wakes when headlines are stored or, with ``source``, when feeds land."""
     open_table(spark, headlines_path, "headlines")
     open_table(spark, scores_path, "scores")
-    stream = spark.readStream.schema(stream_schema("headlines")).parquet(headlines_path)
+    if source:
+        stream = spark.readStream.schema(FEED_FILE_SCHEMA).json(source)
+    else:
+        stream = spark.readStream.schema(stream_schema("headlines")).parquet(headlines_path)
     return _start(stream, "scoring_job", checkpoint, ledger_path,
                   scoring_batch(headlines_path, scores_path, scorer), trigger)

@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from ..sources.tables import COMMIT, create_if_absent, stream_schema
 
 COMMIT_COLS = ("run", "batch_no")
-PREFIX_DIGITS = 2             # 256 partitions of keys
+PREFIX_DIGITS = 1             # hex digits of a key partition: 16, 256, 4096, ... partitions
 TABLE_PARTITIONS = {"headlines": COMMIT_COLS, "scores": COMMIT_COLS,
                     "prices": ("market_date", *COMMIT_COLS)}
 
@@ -43,8 +43,8 @@ class Counts:
     newest: dt.datetime | None = None
 
 
-def prefix_of(key: Column | str) -> Column:
-    return F.substring(key, 1, PREFIX_DIGITS)
+def prefix_of(key: Column | str, digits: int = PREFIX_DIGITS) -> Column:
+    return F.substring(key, 1, digits)
 
 
 def open_table(spark: SparkSession, path: str, name: str) -> DataFrame:
@@ -92,8 +92,10 @@ def commit(df: DataFrame, path: str, name: str, run: str, batch_no: int) -> int:
 
 # ------------------------------------------------------------------- keys ----
 
-def keys_path(table_path: str) -> str:
-    return f"{table_path.rstrip('/')}_keys"
+def keys_path(table_path: str, digits: int = PREFIX_DIGITS) -> str:
+    """One key table per number of digits: a store that grows can change to
+    more digits, its keys are then dealt anew from the table."""
+    return f"{table_path.rstrip('/')}_keys{digits}"
 
 
 def _key_schema(keys: Sequence[str]) -> T.StructType:
@@ -101,37 +103,40 @@ def _key_schema(keys: Sequence[str]) -> T.StructType:
                          T.StructField("prefix", T.StringType()), *COMMIT])
 
 
-def _key_rows(table: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return table.select(*keys, prefix_of(keys[-1]).alias("prefix"), *COMMIT_COLS)
+def _key_rows(table: DataFrame, keys: Sequence[str], digits: int) -> DataFrame:
+    return table.select(*keys, prefix_of(keys[-1], digits).alias("prefix"), *COMMIT_COLS)
 
 
-def open_keys(spark: SparkSession, table_path: str, keys: Sequence[str]) -> DataFrame:
+def open_keys(spark: SparkSession, table_path: str, keys: Sequence[str],
+              digits: int = PREFIX_DIGITS) -> DataFrame:
     """The key table beside ``headlines``; made from the table where only the
     table exists (one written without keys)."""
-    path = keys_path(table_path)
+    path = keys_path(table_path, digits)
     schema = _key_schema(keys)
     create_if_absent(spark, path, schema, ("prefix", *COMMIT_COLS))
     found = spark.read.schema(schema).parquet(path)
     if not found.take(1):
         table = open_table(spark, table_path, "headlines")
         if table.take(1):
-            _overwrite(_key_rows(table, keys).repartition("prefix"), path, ("prefix", *COMMIT_COLS))
+            _overwrite(_key_rows(table, keys, digits).repartition("prefix"), path, ("prefix", *COMMIT_COLS))
             found = spark.read.schema(schema).parquet(path)
     return found
 
 
-def commit_keys(spark: SparkSession, table_path: str, keys: Sequence[str], run: str, batch_no: int) -> None:
+def commit_keys(spark: SparkSession, table_path: str, keys: Sequence[str], run: str, batch_no: int,
+                digits: int = PREFIX_DIGITS) -> None:
     """Write the keys of a committed micro-batch.  A crash before this step
     leaves the batch uncommitted for the stream, and its replay writes both."""
     rows = own(open_table(spark, table_path, "headlines"), run, batch_no)
-    _overwrite(_key_rows(rows, keys).repartition("prefix"), keys_path(table_path), ("prefix", *COMMIT_COLS))
+    _overwrite(_key_rows(rows, keys, digits).repartition("prefix"), keys_path(table_path, digits),
+               ("prefix", *COMMIT_COLS))
 
 
 def stored_keys(spark: SparkSession, table_path: str, keys: Sequence[str], prefixes: Sequence[str],
-                run: str, batch_no: int) -> DataFrame:
+                run: str, batch_no: int, digits: int = PREFIX_DIGITS) -> DataFrame:
     """Keys that other micro-batches stored under ``prefixes`` (partition
     filters on both, so no other partition is read)."""
-    found = others(open_keys(spark, table_path, keys), run, batch_no)
+    found = others(open_keys(spark, table_path, keys, digits), run, batch_no)
     return found.filter(F.col("prefix").isin(list(prefixes)))
 
 
@@ -144,6 +149,51 @@ def unseen(winners: DataFrame, batch: DataFrame, stored: DataFrame, keys: Sequen
     return winners.join(hits, on, "left_anti")
 
 
+# -------------------------------------------------- keys by session (R2) ----
+
+def day_keys_path(table_path: str) -> str:
+    return f"{table_path.rstrip('/')}_days"
+
+
+def open_day_keys(spark: SparkSession, table_path: str, keys: Sequence[str]) -> DataFrame:
+    """Keys by the session they arrived for."""
+    schema = T.StructType([*[T.StructField(k, T.StringType()) for k in keys],
+                           T.StructField("market_date", T.DateType()), *COMMIT])
+    create_if_absent(spark, day_keys_path(table_path), schema, ("market_date", *COMMIT_COLS))
+    return spark.read.schema(schema).parquet(day_keys_path(table_path))
+
+
+def recent_keys(spark: SparkSession, table_path: str, keys: Sequence[str], since: dt.date | None,
+                run: str, batch_no: int) -> DataFrame:
+    """Keys that other micro-batches stored for sessions from ``since`` on (a
+    partition filter: older sessions are not read)."""
+    found = others(open_day_keys(spark, table_path, keys), run, batch_no)
+    return found.filter(F.col("market_date") >= F.lit(since).cast("date"))
+
+
+def commit_day_keys(spark: SparkSession, table_path: str, keys: Sequence[str], run: str, batch_no: int) -> None:
+    rows = own(open_table(spark, table_path, "headlines"), run, batch_no)
+    _overwrite(rows.select(*keys, "market_date", *COMMIT_COLS).repartition("market_date"),
+               day_keys_path(table_path), ("market_date", *COMMIT_COLS))
+
+
+def newest_rows(spark: SparkSession, table_path: str, name: str, ledger: DataFrame, k: int,
+                order: Sequence[str]) -> DataFrame:
+    """The ``k`` newest rows of a stream's table, by the ledger: from the
+    newest commits that together hold ``k`` rows, and no other files.  ``ledger``
+    has one small row per commit; at most ``k`` commits are taken."""
+    commits = (ledger.filter(F.col("error").isNull() & (F.col("inserted") > 0))
+               .orderBy(F.col("ran_at").desc(), F.col("batch_no").desc()).limit(k)
+               .select("run", "batch_no", "inserted").collect())
+    wanted, have = F.lit(False), 0
+    for c in commits:
+        if have >= k:
+            break
+        wanted, have = wanted | ((F.col("run") == c["run"]) & (F.col("batch_no") == c["batch_no"])), have + c["inserted"]
+    rows = open_table(spark, table_path, name).filter(wanted)
+    return rows.orderBy(F.col("batch_no").desc(), *[F.col(c).desc() for c in order]).limit(k)
+
+
 # ----------------------------------------------------------------- prices ----
 
 def stored_prices(spark: SparkSession, path: str, dates: Sequence[dt.date]) -> DataFrame:
