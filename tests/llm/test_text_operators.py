@@ -288,6 +288,37 @@ def test_decontamination_recall_and_precision(spark):
     assert len(got) >= 0.95 * len(want) and len(want) >= 190
 
 
+@pytest.mark.parametrize("n", [5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 18, 19, 20, 22, 25, 26, 40, 60])
+def test_decontamination_recall_at_the_limit_of_every_length(n):
+    """Random edits, as many as the limit allows."""
+    rng = random.Random(n)
+    vocab = [f"word{k}" for k in range(3000)] + ["the", "of", "and", "to"] * 200
+    items, texts = [], []
+    for i in range(100):
+        x = rng.choices(vocab, k=n)
+        items.append((i, " ".join(x).encode()))
+        for _ in range(n // 5):
+            p, op = rng.randrange(len(x)), rng.randrange(3)
+            x[p:p + 1] = [[rng.choice(vocab)], [x[p], rng.choice(vocab)], []][op]
+        texts.append(" ".join(rng.choices(vocab, k=30) + x + rng.choices(vocab, k=30)).encode())
+    index = decontam.Index(items)
+    words = [decontam.norm_words(t) for t in texts]
+    got = {(t, k) for t, k, *_ in decontam.leaks_of(words, index)}
+    due = {i for i, w in enumerate(words) if decontam.infix_distance(index.words[i], w)[0] <= n // 5}
+    assert len(due) > 90 and len([i for i in due if (i, i) in got]) >= 0.93 * len(due)
+
+
+def test_decontamination_in_blocks(spark, edges, monkeypatch):
+    items = spark.createDataFrame([(1, PASSAGE), (4, ORDINARY), (5, ORDINARY), (None, ORDINARY)],
+                                  "item_id bigint, text string")
+    whole = sorted(map(tuple, decontam.benchmark_leaks(edges, items).collect()))
+    for name, v in (("BLOCK_ITEMS", 1), ("BLOCK_BYTES", 100)):
+        with monkeypatch.context() as m:
+            m.setattr(decontam, name, v)
+            assert sorted(map(tuple, decontam.benchmark_leaks(edges, items).collect())) == whole
+    assert {r[1] for r in whole} == {1, 4, 5}
+
+
 def test_decontamination_edges(spark, edges):
     items = spark.createDataFrame([(1, PASSAGE), (2, None), (3, ""), (4, ORDINARY), (5, ORDINARY)],
                                   "item_id bigint, text string")

@@ -13,15 +13,21 @@ no item, so almost all of them end after a few steps.  Starts that keep the
 whole key name an item and a shift; the item-sized window around them is then
 compared exactly: the smallest word edit distance of the item to any run of
 words in it.  Nothing is shuffled.  Items are a stated query set: they are
-indexed in blocks of bounded size, each broadcast and run against all texts.
+indexed in blocks of bounded rows and bytes, each broadcast and run against all
+texts; with more than one block the results of each are written before the next.
+
+Short items leave few words between their edits, so they have more walks, and
+their keys end as soon as they tell a few words.
 
 A text holds an item if some run of its words has an edit distance of at most
 20 % of the item's words.  Words are compared in lower case, without
 ASCII punctuation at their ends.
 
-Defined results: NULL or empty texts and items match nothing; repeated items
-are reported each under its id, repeated texts each under theirs; empty tables
-give an empty result.
+Defined results: NULL or empty texts and items match nothing; an item without an
+id is left out, a text without one is reported under NULL; repeated items are
+reported each under its id, repeated texts each under theirs; of equally near
+runs of a text the first counts; a very long text is searched whole; empty
+tables give an empty result; other columns are not carried.
 """
 
 from __future__ import annotations
@@ -37,13 +43,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles as S
+from .common import stored
 
 # --- fixed values -----------------------------------------------------------
 WALKS = 4                     # repetitions, each with its own random bits
 STEPS = (0, 3, 6, 10, 14, 18) # sampled steps of a walk
 MIN_TOLD = 5                  # different words that a key tells
+SHORT = 26                    # items of fewer words have more walks and shorter keys
+SHORT_WALKS = 8
+SHORT_TOLD = ((20, 5), (14, 4), (6, 3), (0, 2))   # least words of the item, words its keys tell
 MAX_ERROR_PCT = 20            # edits per 100 words of the item
-BLOCK_ITEMS = 20_000          # items indexed and broadcast together
+BLOCK_ITEMS = 20_000          # items indexed and broadcast together, and their bytes
+BLOCK_BYTES = 8 << 20
 CHUNK_WORDS = 150_000         # words walked over together in a task
 BITS = 1 << 18                # size of the pre-filters
 CACHE_WORDS = 150_000
@@ -93,13 +104,15 @@ class Index:
                 self.ids.append(i)
                 self.words.append(w)
         # per walk and level: keys that go on, and keys that end there
-        self.open = [[np.empty(0, np.uint64)] * len(STEPS) for _ in range(WALKS)]
+        walks = SHORT_WALKS if any(len(w) < SHORT for w in self.words) else WALKS
+        self.open = [[np.empty(0, np.uint64)] * len(STEPS) for _ in range(walks)]
         self.ends: list[list[dict[int, list[tuple[int, int]]]]] = [
-            [{} for _ in STEPS] for _ in range(WALKS)]
-        for r in range(WALKS):
+            [{} for _ in STEPS] for _ in range(walks)]
+        for r in range(walks):
             seen: list[set[int]] = [set() for _ in STEPS]
             for k, w in enumerate(self.words):
-                self._add(r, k, w, seen)
+                if r < WALKS or len(w) < SHORT:
+                    self._add(r, k, w, seen)
             self.open[r] = [np.sort(np.fromiter(s, np.uint64, len(s))) for s in seen]
         self.filters = [[self._filter(o) for o in lv] for lv in self.open]
 
@@ -111,7 +124,7 @@ class Index:
         level = np.full(n, -1)
         step = 0
         keys = np.zeros((len(STEPS), n), np.uint64)
-        told = np.zeros(n, np.int64)          # different words of the item in the key
+        told = np.zeros((len(STEPS), n), np.int64)   # different words of the item in the key
         before = np.full(n, -1)
         for lv, at in enumerate(STEPS):
             while step < at:
@@ -121,13 +134,22 @@ class Index:
             inside = (ptr < n) & (level == lv - 1)
             key[inside] = _grow(key[inside], w[ptr[inside]])
             level[inside] = lv
-            told += inside & (ptr != before)
+            told[lv] = (told[lv - 1] if lv else 0) + (inside & (ptr != before))
             before = ptr.copy()
             keys[lv] = key
-        last = level.max()          # short items end at a lower level
-        # a walk that stood still tells few words; it serves if there is no better
-        told[level < last] = 0
-        for o in np.flatnonzero((level == last) & (told >= min(MIN_TOLD, told.max()))):
+        if n < SHORT:
+            # a key ends where it tells enough: short keys survive edits
+            need = min(next(t for least, t in SHORT_TOLD if n >= least), told[-1].max())
+            end = (told < need).sum(axis=0)
+            serve = np.flatnonzero(told[-1] >= need)
+        else:
+            # a walk that stood still tells few words; it serves if there is no better
+            last = level.max()
+            end = np.full(n, last)
+            reached = np.where(level < last, 0, told[-1])
+            serve = np.flatnonzero((level == last) & (reached >= min(MIN_TOLD, reached.max())))
+        for o in serve:
+            last = int(end[o])
             for lv in range(last + 1):
                 seen[lv].add(int(keys[lv, o]))
             self.ends[r][last].setdefault(int(keys[last, o]), []).append((k, int(o)))
@@ -138,6 +160,15 @@ class Index:
         f[(keys & np.uint64(BITS - 1)).astype(np.int64)] = True
         return f
 
+    @staticmethod
+    def _walk(flat: np.ndarray, ptr: np.ndarray, r: int, step: int, at: int) -> np.ndarray:
+        """Pointers after the steps from ``step`` to ``at``; a step draws the
+        bits of the words it stands on, few by then."""
+        while step < at:
+            ptr = ptr + ((_bits(flat[ptr], r) >> np.uint64(step)) & np.uint64(1)).astype(np.int64)
+            step += 1
+        return ptr
+
     def starts(self, flat: np.ndarray) -> np.ndarray:
         """(position, item, shift) of every start in ``flat`` that shares a
         whole key with an item, without repetitions."""
@@ -146,14 +177,13 @@ class Index:
         # depends on the walk
         first = _grow(np.zeros(len(flat), np.uint64), flat)
         low = (first & np.uint64(BITS - 1)).astype(np.int64)
-        for r in range(WALKS):
-            bits = _bits(flat, r)
+        for r in range(len(self.open)):
             sure = np.flatnonzero(self.filters[r][0][low] & (flat != _GAP))
             pos, ptr, key, step = sure, sure.copy(), first[sure], 0
             for lv, at in enumerate(STEPS):
-                while step < at:
-                    ptr = ptr + ((bits[ptr] >> np.uint64(step)) & np.uint64(1)).astype(np.int64)
-                    step += 1
+                if step < at and len(ptr):
+                    ptr = self._walk(flat, ptr, r, step, at)
+                step = at
                 if lv:
                     key = _grow(key, flat[ptr])
                     ok = self.filters[r][lv][(key & np.uint64(BITS - 1)).astype(np.int64)]
@@ -246,7 +276,8 @@ def benchmark_leaks(df: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
     items = items.select(F.col(item_id).cast("bigint").alias("i"),
                          F.col(item_text).cast("string").cast("binary").alias("t"))
     items = items.filter(F.col("t").isNotNull() & F.col("i").isNotNull())
-    blocks = max(1, math.ceil(items.count() / BLOCK_ITEMS))
+    size = items.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("t")).alias("b")).first()
+    blocks = max(1, math.ceil(size["n"] / BLOCK_ITEMS), math.ceil((size["b"] or 0) / BLOCK_BYTES))
     out = None
     for b in range(blocks):
         block = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b)
@@ -278,6 +309,9 @@ def benchmark_leaks(df: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
                 yield flush(ids, words)
 
         part = texts.mapInArrow(run, _SCHEMA)
+        if blocks > 1:                # one block's index is held at a time
+            part = stored(part, "leaks")
+            index.destroy()
         out = part if out is None else out.union(part)
     return out.select(F.col("id").alias(id_col), "item_id", "at", "n_words", "distance")
 
