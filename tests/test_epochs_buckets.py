@@ -85,6 +85,23 @@ def test_epochs_equal_numpy(spark, parts, tmp_path):
     assert (pred["label"] == pred["prediction"]).mean() == got[best]["val_accuracy"]
 
 
+def test_scorer_gives_the_logits_of_the_rows(spark, parts):
+    from tickerlens.operators.scoring import score_in_pandas
+    rows, (_, val) = parts
+    for seed in (1, 2):                    # two models, one after the other, in the same workers
+        w = np.random.default_rng(seed).normal(size=(PLAN.width + 1, 3))
+        x, _ = dense(rows[1], PLAN)
+        df = spark.createDataFrame([(str(r[0]), r[1]) for r in rows[1]] + [("blank", " "), ("none", None)],
+                                   "headline_hash string, headline string")
+        got = {r["headline_hash"]: (r["sentiment_label"], r["confidence"])
+               for r in score_in_pandas(df, E.EpochScorer(w)).collect()}
+        p = softmax(x @ w)
+        names = ["negative", "neutral", "positive"]
+        for k, r in enumerate(rows[1]):
+            assert got[str(r[0])][0] == names[p[k].argmax()] and abs(got[str(r[0])][1] - p[k].max()) < 1e-12
+        assert got["blank"] == got["none"] == (names[w[0].argmax()], pytest.approx(softmax(w[:1]).max()))
+
+
 def test_training_resumes_after_the_last_finished_epoch(spark, parts, tmp_path, monkeypatch):
     _, (train, val) = parts
     whole, _ = E.train_epochs(train, val, f"{tmp_path}/whole", PLAN)

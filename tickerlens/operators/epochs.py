@@ -13,7 +13,9 @@ every step (decoupled weight decay).  Bucket -1 is the bias of a row.
 
 from __future__ import annotations
 
+import hashlib
 import itertools
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.model import word_tokens
+from ..functions.model import TOKEN_PATTERN, word_tokens
 from ..sources.tables import create_if_absent
 from .ml import macro_metrics
 
 N_CLASSES = 3
+CACHE_TOKENS = 100_000        # token places a scoring worker remembers
+_GAPS = re.compile(TOKEN_PATTERN)
 WEIGHT_SCHEMA = "bucket int, w0 double, w1 double, w2 double"
 METRIC_SCHEMA = ("epoch int, loss double, val_accuracy double, val_precision double, val_recall double, "
                  "val_f1 double")
@@ -123,6 +127,37 @@ def predict(rows: DataFrame, weights: np.ndarray) -> DataFrame:
         run, "label int, prediction int")
 
 
+class EpochScorer:
+    """The trained weights as a model for ``scoring.score_in_pandas``: logits of
+    whole texts in Arrow batches.  The weights are bounded by ``width`` and go
+    with the task; a worker keeps one model per set of weights."""
+
+    def __init__(self, weights: np.ndarray):
+        self.weights, self.width = weights, len(weights) - 1
+        self.cache_key = f"epochs-{hashlib.sha256(weights.tobytes()).hexdigest()}"
+
+    def load(self) -> None:
+        self.known: dict[str, int] = {}
+
+    def _row(self, token: str) -> int:
+        at = self.known.get(token)
+        if at is None:
+            if len(self.known) >= CACHE_TOKENS:
+                self.known.clear()
+            digest = hashlib.sha256(token.encode("utf-8")).digest()
+            at = self.known[token] = int.from_bytes(digest[:4], "big") % self.width + 1
+        return at
+
+    def logits(self, texts: pd.Series) -> np.ndarray:
+        tokens = [[t for t in _GAPS.split(x.lower()) if t] for x in texts]
+        size = np.array(list(map(len, tokens)))
+        at = np.array([self._row(t) for ts in tokens for t in ts], np.int64)
+        out = np.repeat(self.weights[:1], len(tokens), axis=0)
+        row = np.repeat(np.arange(len(tokens)), size)
+        np.add.at(out, row, self.weights[at] / size[row][:, None])
+        return out
+
+
 # ------------------------------------------------------------ saved epochs ----
 
 def _save(spark: SparkSession, path: str, epoch: int, weights: np.ndarray, metrics: tuple) -> None:

@@ -430,6 +430,26 @@ def q_epoch_eval(spark, sf_dir):
     return C.round_doubles(M.macro_metrics(predict(test, weights)))
 
 
+@register("epoch_drain")
+def q_epoch_drain(spark, sf_dir):
+    """M1/L2: the whole unscored backlog through the Arrow scorer, with the
+    weights of the best epoch."""
+    from ..operators.epochs import EpochScorer
+    from ..operators.scoring import score_in_pandas
+    weights, _, _ = _epochs(spark, sf_dir)
+    backlog = unscored(C.stored_headlines(spark, sf_dir), C.scores(spark, sf_dir))
+    out = score_in_pandas(backlog, EpochScorer(weights), model_version="epochs")
+    return C.round_doubles(out.select("headline_hash", "sentiment_label", "confidence"))
+
+
+@register("corpus_files")
+def q_corpus_files(spark, sf_dir):
+    """The corpus written as a text file and read back as one."""
+    path = scratch_path(spark, f"tickerlens/corpus-{uuid.uuid4().hex}")
+    driver.corpus_lines(spark, sf_dir).select("value").write.option("lineSep", "\n").text(path)
+    return K.parse_corpus(K.read_corpus(spark, path, "UTF-8")).select("sentence", "label")
+
+
 # ---------------------------------------------------------- streaming ----
 
 from ..streaming import jobs as R  # noqa: E402

@@ -453,6 +453,30 @@ SELECT {S.r6('accuracy')} AS accuracy, {S.r6('precision')} AS precision, {S.r6('
        {S.r6('f1')} AS f1
 FROM ({_best_test()}) t WHERE epoch = (SELECT arg_max(epoch, (f1, -epoch)) FROM runs)""")
 
+_BEST = " UNION ALL ".join(
+    f"SELECT * FROM w_{(e + 1) * _PLAN.steps} WHERE (SELECT arg_max(epoch, (f1, -epoch)) FROM runs) = {e}"
+    for e in range(_PLAN.epochs))
+oracle("epoch_drain", S.with_ctes(S.ARTICLES, S.RECORDS, S.STORED, S.HUMAN_SCORES, *_EPOCHS) + f"""
+, best AS MATERIALIZED ({_BEST}),
+backlog AS (
+  SELECT headline_hash, {S.tokens('headline')} AS ts FROM stored s
+  WHERE NOT EXISTS (SELECT 1 FROM scores c WHERE c.headline_hash = s.headline_hash)),
+hf AS (
+  SELECT headline_hash, b, count(*) / max(n) AS v
+  FROM (SELECT headline_hash, len(ts) AS n,
+               CAST('0x' || substr(sha256(t), 1, 8) AS BIGINT) % {_PLAN.width} AS b
+        FROM (SELECT *, unnest(ts) AS t FROM backlog) x) y GROUP BY headline_hash, b
+  UNION ALL SELECT headline_hash, -1, 1.0 FROM backlog),
+z AS (
+  SELECT f.headline_hash, k.c, coalesce(sum(f.v * w.w), 0) AS z
+  FROM hf f CROSS JOIN kinds k LEFT JOIN best w ON w.b = f.b AND w.c = k.c GROUP BY f.headline_hash, k.c)
+SELECT headline_hash, {_NAMES}[arg_max(c, (z, -c)) + 1] AS sentiment_label,
+       {S.r6('1 / sum(exp(z - mz))')} AS confidence
+FROM (SELECT *, max(z) OVER (PARTITION BY headline_hash) AS mz FROM z) m GROUP BY headline_hash""")
+
+oracle("corpus_files", S.with_ctes(LINES, PARSED) + """
+SELECT sentence, label FROM kept""")
+
 # ------------------------------------------------------- model decode ----
 
 MODEL = f"""mo AS (
