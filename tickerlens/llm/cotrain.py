@@ -15,8 +15,9 @@ executors), and scoring is plain arithmetic on columns.
 Defined results: NULL texts count as empty, NULL sources and languages as '';
 rows whose label is not 0 or 1 count as unlabelled, of several labels of one
 document the smallest counts; with labels of one class only every document
-gets that class's share (0.5 without labels); equal rows get equal scores; an
-empty table gives an empty table.
+gets that class's share (0.5 without labels); equal rows get equal scores, so
+ties stay ties; a very long text is read whole; an empty table gives an empty
+table.
 """
 
 from __future__ import annotations

@@ -23,8 +23,11 @@ which similar sets mostly begin with the same token, and rare-first orders
 Links are connected by large-star/small-star steps (``components``).
 
 Defined results: a NULL text or a text without words has an empty set and is
-linked with nothing; repeated rows with one id are one document; an empty
-table gives an empty table.
+linked with nothing; repeated rows with one id are one document (of rows that
+share an id but not the text, one text counts for all of them; which one is not
+defined); a row without an id has an empty set; equal sets belong to one class,
+ties have no order; a very long text is one set, whole; an empty table gives an
+empty table; the result has the id and the result columns only.
 """
 
 from __future__ import annotations

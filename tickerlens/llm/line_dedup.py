@@ -15,8 +15,9 @@ per-host list is bounded.
 Defined results: lines are split at \\n and compared without the white space
 around them; lines without a word are kept; a NULL host counts as the host ''
 and a NULL text stays NULL (and is no page); a text that loses every line
-becomes ''; repeated lines all go or all stay; an empty table gives an empty
-table; extra columns are carried through.
+becomes ''; repeated lines all go or all stay; repeated rows are one page; a
+very long text is read whole; an empty table gives an empty table; extra
+columns are carried through.  Lines of a host are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations

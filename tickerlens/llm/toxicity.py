@@ -11,8 +11,10 @@ class shares of all labelled rows).  Scoring reads whole texts in one Arrow
 UDF and shuffles nothing.
 
 Defined results: NULL and empty texts score like a text without savings; with
-labels of one class only, every text gets that class's share; an empty table
-gives an empty table; neither labels nor language, source or id enter a score.
+labels of one class only, every text gets that class's share; every row is
+scored by itself, so repeated rows have equal scores; a NULL id is in no fold
+(``held_out`` is NULL) and is never learnt from; a very long text is scored over
+all its windows; an empty table gives an empty table; neither labels nor language, source or id enter a score.
 """
 
 from __future__ import annotations
