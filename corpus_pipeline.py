@@ -3,6 +3,16 @@ and read again as the next one's input.
 
 Every stage takes (spark, docs, sf_dir), works on all its predecessor kept and
 returns the columns of ``documents``; the last one adds the token ids.
+
+Whole texts travel to the Python workers in Arrow batches.  A batch is held
+several times over (in the JVM, as strings, as results), so the stages ask for
+at most ``BATCH_ROWS`` texts a batch; a smaller setting of the session stays.
+
+Defined results: rows with a NULL, empty or blank text go in the first stage
+(too few words); rows without an id are kept or dropped by their text in every
+stage; of equal texts the one with the smallest id stays; repeated rows of one
+id are one document in the third stage; very long texts are read whole; an
+empty table stays empty; further columns of ``documents`` are carried along.
 """
 
 from __future__ import annotations
@@ -18,6 +28,17 @@ from tickerlens.llm.line_dedup import drop_site_lines
 from tickerlens.llm.quality_rules import quality_cascade
 
 
+# --- fixed values -----------------------------------------------------------
+BATCH_ROWS = 1000             # texts of an Arrow batch
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+# ---------------------------------------------------------------------------
+
+
+def _small_batches(spark: SparkSession) -> None:
+    if not 0 < int(spark.conf.get(BATCH)) <= BATCH_ROWS:
+        spark.conf.set(BATCH, str(BATCH_ROWS))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects."""
     return quality_cascade(docs, kept_col="__kept", kept_only=True).select(
@@ -36,6 +57,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every class of near duplicates (five-word shingles,
     Jaccard 0.8 or more): the one with the smallest id."""
+    _small_batches(spark)
     classes = link_classes(docs.select("doc_id", "text"), k=5, pct=80)
     gone = stored(classes.filter("component_id < doc_id").select("doc_id").distinct(), "duplicates")
     return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
@@ -43,6 +65,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
+    _small_batches(spark)
     leaks = benchmark_leaks(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     gone = stored(leaks.select("doc_id").distinct(), "leaks")
     return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
@@ -51,6 +74,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every text as byte-level BPE ids (packed, 4 bytes each), their number
     and whether they decode to the text."""
+    _small_batches(spark)
     import public_tokenizers
     coded = encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"),
                           public_tokenizers.PATTERN, decoded_col="__decoded")
