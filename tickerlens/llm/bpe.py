@@ -35,9 +35,9 @@ from pyspark.sql import functions as F
 
 # --- fixed values -----------------------------------------------------------
 MAX_VOCAB_BYTES = 32 << 20    # bound of what is broadcast
-SLICE_CHARS = 1 << 20         # characters of texts encoded together
-CACHE_PIECES = 150_000        # two fillings stay in a worker; only speed depends on these
-CACHE_PAIRS = 200_000
+SLICE_CHARS = 1 << 18         # characters of texts encoded together
+CACHE_PIECES = 60_000         # two fillings stay in a worker; only speed depends on these
+CACHE_PAIRS = 100_000
 CACHE_KEY_CHARS = 64
 # white space as the pattern's \s has it (Unicode White_Space)
 SPACE = ("\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
