@@ -55,15 +55,17 @@ def with_hash(records: DataFrame, stripped: bool = False) -> DataFrame:
     return records.withColumn("headline_hash", h)
 
 
-def first_arrivals(records: DataFrame,
-                   keys: Sequence[str] = ("headline_hash",)) -> DataFrame:
+def first_arrivals(records: DataFrame, keys: Sequence[str] = ("headline_hash",),
+                   carry: Sequence[str] | None = None) -> DataFrame:
     """One row per key, the earliest by arrival order.  Rows violating
-    NOT NULL are rejected first so they can never win a key."""
+    NOT NULL are rejected first so they can never win a key.  ``carry`` names the
+    other columns that are wanted (all of them by default): the planner does not
+    prune what a winner carries."""
     keys = list(keys)
     if "headline_hash" not in records.columns:
         records = with_hash(records)
     valid = records.filter(F.expr(" AND ".join(f"{c} IS NOT NULL" for c in NOT_NULL)))
-    payload = [c for c in valid.columns if c not in keys]
+    payload = [c for c in valid.columns if c not in keys and (carry is None or c in carry)]
     return (valid.groupBy(*keys)
             .agg(F.min_by(F.struct(*payload), F.struct(*ORDER_COLS)).alias("r"))
             .select(*keys, "r.*"))

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
@@ -132,21 +134,38 @@ def model_version(model: PipelineModel) -> str:
 def keyword_by_coefficients(scored: DataFrame, model: PipelineModel) -> DataFrame:
     """Keyword analogue for the linear model: the headline token whose bucket
     has the largest coefficient for the predicted class (first position on
-    ties).  The (class, bucket, coef) table has classes x ``FEATURE_WIDTH``
-    rows, bounded by that parameter and not by the data, so it is broadcast.
-    The model output is exploded and aggregated once."""
-    import numpy as np
-    import pandas as pd
+    ties).  The coefficients are classes x ``FEATURE_WIDTH`` numbers, bounded by
+    that parameter and not by the data, so they are broadcast; the best token of
+    a row is found in Arrow batches, and one row per input row is aggregated."""
     coef = model.stages[-1].coefficientMatrix.toArray()
-    n_cls, width = coef.shape
-    pdf = pd.DataFrame({"pred": np.repeat(np.arange(n_cls, dtype=np.int32), width),
-                        "bucket": np.tile(np.arange(width).astype(str), n_cls),
-                        "coef": coef.reshape(-1).astype(float)})
-    table = scored.sparkSession.createDataFrame(pdf, "pred int, bucket string, coef double")
-    toks = scored.select("headline_hash", "pred", "confidence",
-                         F.posexplode_outer("tokens").alias("pos", "tok"))
-    toks = toks.withColumn("bucket", F.expr(bucket_sql("tok", width)))
-    return (toks.join(F.broadcast(table), ["pred", "bucket"], "left")
-            .groupBy("headline_hash", "pred", "confidence")
-            .agg(F.max_by("tok", F.when(F.col("tok").isNotNull(),
-                                        F.struct("coef", -F.col("pos")))).alias("attention_keyword")))
+    sent = scored.sparkSession.sparkContext.broadcast(coef)
+
+    def best(pred: pa.Array, tokens: pa.Array, buckets: pa.Array) -> pa.Array:
+        return _best_tokens(sent.value, pred, tokens, buckets)
+
+    buckets = F.expr(f"transform(tokens, t -> CAST({bucket_sql('t', coef.shape[1])} AS INT))")
+    found = F.arrow_udf(best, "struct<coef: double, neg_pos: int, tok: string>")("pred", "tokens", buckets)
+    rows = scored.select("headline_hash", "pred", "confidence", found.alias("b"))
+    return rows.groupBy("headline_hash", "pred", "confidence").agg(
+        F.max_by("b.tok", F.when(F.col("b.tok").isNotNull(), F.struct("b.coef", "b.neg_pos")))
+        .alias("attention_keyword"))
+
+
+def _best_tokens(coef: np.ndarray, pred: pa.Array, tokens: pa.Array, buckets: pa.Array) -> pa.StructArray:
+    """Per row the token of the largest coefficient, the first of equal ones;
+    NULLs for a row without tokens."""
+    size = buckets.value_lengths().fill_null(0).to_numpy()
+    held = np.flatnonzero(size)
+    row = np.repeat(np.arange(len(size)), size)
+    value = coef[pred.to_numpy(zero_copy_only=False)[row].astype(np.int64), buckets.flatten().to_numpy()]
+    starts = np.cumsum(size) - size
+    top = np.maximum.reduceat(value, starts[held]) if len(held) else value
+    at = np.flatnonzero(value == np.repeat(top, size[held]))
+    at = at[np.unique(row[at], return_index=True)[1]]     # the first of a row
+    take = np.full(len(size), -1, np.int64)
+    take[held] = at
+    none = take < 0
+    safe = pa.array(take, mask=none)
+    return pa.StructArray.from_arrays(
+        [pa.array(value).take(safe), pa.array((starts - take).astype(np.int32), mask=none), tokens.flatten().take(safe)],
+        names=["coef", "neg_pos", "tok"])

@@ -398,7 +398,7 @@ def q_scoring_drain(spark, sf_dir):
     path = f"{scratch_path(spark, 'tickerlens/model')}-{uuid.uuid4().hex}"
     M.save_model(model, path)
     model = M.load_model(spark, path)
-    backlog = unscored(C.stored_headlines(spark, sf_dir), C.scores(spark, sf_dir))
+    backlog = unscored(C.stored_headlines(spark, sf_dir, carry=("headline",)), C.scores(spark, sf_dir))
     return score_with_pipeline(backlog.select("headline_hash", "headline"), model,
                                M.model_version(model), text="headline").drop("model_version")
 

@@ -44,8 +44,8 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
                      stripped=True)
 
 
-def stored_headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return first_arrivals(records(spark, sf_dir))
+def stored_headlines(spark: SparkSession, sf_dir: str, carry: tuple[str, ...] | None = None) -> DataFrame:
+    return first_arrivals(records(spark, sf_dir), carry=carry)
 
 
 # --- more fixed query parameters (our choice) -------------------------------
