@@ -33,6 +33,7 @@ N_CLASSES = 3
 CACHE_TOKENS = 100_000        # token places a scoring worker remembers
 _GAPS = re.compile(TOKEN_PATTERN)
 WEIGHT_SCHEMA = "bucket int, w0 double, w1 double, w2 double"
+ROW_SCHEMA = "label int, buckets array<int>, shares array<double>"
 METRIC_SCHEMA = ("epoch int, loss double, val_accuracy double, val_precision double, val_recall double, "
                  "val_f1 double")
 REPORT = [f.split()[0] for f in METRIC_SCHEMA.split(", ")]
@@ -55,17 +56,54 @@ def digest_number(text: Column) -> Column:
 
 def hashed_rows(df: DataFrame, plan: Plan, text: str = "sentence", row_id: str = "line_no") -> DataFrame:
     """``df`` with its mini-batch (``step``) and its features: buckets of its
-    lower-case tokens and their shares of the tokens, bucket -1 with 1 first."""
-    token = F.expr(f"transform(tokens, t -> CAST(conv(substring(sha2(t, 256), 1, 8), 16, 10) AS BIGINT) "
-                   f"% {plan.width})")
-    rows = df.withColumn("tokens", word_tokens(text)).withColumn("hits", token)
-    rows = rows.withColumn("found", F.array_sort(F.array_distinct("hits")))
-    share = F.expr("transform(found, b -> size(filter(hits, h -> h = b)) / size(hits))")
+    lower-case tokens and their shares of the tokens, bucket -1 with 1 first.
+    Tokens are split in the JVM; a column of Arrow batches counts them, so a
+    filter on other columns still reaches the source."""
+    width, known = plan.width, {}
+
+    def features(tokens: pa.Array) -> pa.Array:
+        return _features(tokens, width, known)
+
+    f = F.arrow_udf(features, "struct<buckets: array<int>, shares: array<double>>")(word_tokens(text))
+    rows = df.withColumn("_f", f)
     return rows.withColumns({
-        "buckets": F.concat(F.array(F.lit(-1)), F.col("found").cast("array<int>")),
-        "shares": F.concat(F.array(F.lit(1.0)), share),
+        "buckets": F.col("_f.buckets"), "shares": F.col("_f.shares"),
         "step": (digest_number(F.concat(F.lit("step:"), F.col(row_id).cast("string"))) % plan.steps).cast("int"),
-    }).drop("tokens", "hits", "found")
+    }).drop("_f")
+
+
+def _features(tokens: pa.Array, width: int, known: dict[str, int]) -> pa.StructArray:
+    """Buckets and shares of rows of tokens; every distinct token of the batch is
+    looked up once.  A row without a token has bucket -1 alone, a NULL row NULL."""
+    n, size = len(tokens), tokens.value_lengths().fill_null(0).to_numpy()
+    coded = tokens.flatten().dictionary_encode()
+    bucket = np.array([_bucket(t, width, known) for t in coded.dictionary.to_pylist()], np.int64)
+    # one number for row and bucket: sorted, they are the rows' features in order
+    at = np.repeat(np.arange(n, dtype=np.int64), size) * width + bucket[coded.indices.to_numpy()]
+    at, count = np.unique(at, return_counts=True)
+    row = at // width
+    valid = tokens.is_valid().to_numpy(zero_copy_only=False)
+    ends = np.cumsum(np.bincount(row, minlength=n) + valid)
+    offsets = np.concatenate(([0], ends)).astype(np.int32)
+    first = offsets[:-1][valid]
+    buckets, shares = np.full(offsets[-1], -1, np.int32), np.ones(offsets[-1])
+    rest = np.ones(offsets[-1], bool)
+    rest[first] = False
+    buckets[rest], shares[rest] = at % width, count / size[row]
+    gaps = pa.array(offsets, pa.int32(), mask=np.append(~valid, False))
+    return pa.StructArray.from_arrays(
+        [pa.ListArray.from_arrays(gaps, pa.array(buckets)), pa.ListArray.from_arrays(gaps, pa.array(shares))],
+        names=["buckets", "shares"])
+
+
+def _bucket(token: str, width: int, known: dict[str, int]) -> int:
+    at = known.get(token)
+    if at is None:
+        if len(known) >= CACHE_TOKENS:
+            known.clear()
+        digest = hashlib.sha256(token.encode("utf-8")).digest()
+        at = known[token] = int.from_bytes(digest[:4], "big") % width
+    return at
 
 
 def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -76,9 +114,13 @@ def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             s.flatten().to_numpy())
 
 
+def _sums(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows of ``values`` by their place ``at``, one column a class."""
+    return np.stack([np.bincount(at, values[:, c], n) for c in range(N_CLASSES)], axis=1)
+
+
 def probabilities(rows: np.ndarray, at: np.ndarray, share: np.ndarray, n: int, weights: np.ndarray) -> np.ndarray:
-    logits = np.zeros((n, N_CLASSES))
-    np.add.at(logits, rows, share[:, None] * weights[at])
+    logits = _sums(rows, share[:, None] * weights[at], n)
     e = np.exp(logits - logits.max(axis=1, keepdims=True))
     return e / e.sum(axis=1, keepdims=True)
 
@@ -95,7 +137,7 @@ def gradient(rows: DataFrame, weights: np.ndarray) -> tuple[np.ndarray, float, i
             p = probabilities(row, at, share, b.num_rows, w)
             loss -= float(np.log(p[np.arange(len(label)), label]).sum())
             p[np.arange(len(label)), label] -= 1.0
-            np.add.at(total, at, share[:, None] * p[row])
+            total += _sums(at, share[:, None] * p[row], len(total))
             n += b.num_rows
         held = np.flatnonzero(total.any(axis=1))
         # the count and the loss travel as a row of their own
@@ -139,23 +181,12 @@ class EpochScorer:
     def load(self) -> None:
         self.known: dict[str, int] = {}
 
-    def _row(self, token: str) -> int:
-        at = self.known.get(token)
-        if at is None:
-            if len(self.known) >= CACHE_TOKENS:
-                self.known.clear()
-            digest = hashlib.sha256(token.encode("utf-8")).digest()
-            at = self.known[token] = int.from_bytes(digest[:4], "big") % self.width + 1
-        return at
-
     def logits(self, texts: pd.Series) -> np.ndarray:
         tokens = [[t for t in _GAPS.split(x.lower()) if t] for x in texts]
         size = np.array(list(map(len, tokens)))
-        at = np.array([self._row(t) for ts in tokens for t in ts], np.int64)
-        out = np.repeat(self.weights[:1], len(tokens), axis=0)
+        at = np.array([_bucket(t, self.width, self.known) + 1 for ts in tokens for t in ts], np.int64)
         row = np.repeat(np.arange(len(tokens)), size)
-        np.add.at(out, row, self.weights[at] / size[row][:, None])
-        return out
+        return self.weights[:1] + _sums(row, self.weights[at] / size[row][:, None], len(tokens))
 
 
 # ------------------------------------------------------------ saved epochs ----
@@ -189,19 +220,30 @@ def best_epoch(report: list) -> int:
     return max(report, key=lambda r: (r["val_f1"], -r["epoch"]))["epoch"]
 
 
-def train_epochs(train: DataFrame, validation: DataFrame, path: str, plan: Plan = Plan()
+def store_rows(rows: DataFrame, path: str, subset: Column) -> DataFrame:
+    """Rows of ``hashed_rows`` written once, by subset and mini-batch, and read
+    back: training, validation and test each read their own files."""
+    (rows.withColumn("subset", subset).select("label", "buckets", "shares", "subset", "step")
+     .write.mode("overwrite").partitionBy("subset", "step").parquet(path))
+    return rows.sparkSession.read.schema(ROW_SCHEMA + ", subset string, step int").parquet(path)
+
+
+def train_epochs(train: DataFrame, validation: DataFrame, path: str, plan: Plan = Plan(), stored: bool = False
                  ) -> tuple[np.ndarray, DataFrame]:
     """Weights of the best epoch and the report of all.  ``train`` and
     ``validation`` are rows of ``hashed_rows``; what an earlier run finished
-    under ``path`` is not trained again."""
+    under ``path`` is not trained again.  With ``stored`` they are rows of
+    ``store_rows``, which are not written a second time."""
     spark = train.sparkSession
     done = finished(spark, path, plan.epochs)
     if len(done) < plan.epochs:
-        rows = f"{path}/rows"
-        train.select("label", "buckets", "shares", "step").write.mode("overwrite").partitionBy("step").parquet(rows)
-        validation.select("label", "buckets", "shares").write.mode("overwrite").parquet(f"{path}/validation")
-        rows = spark.read.schema("label int, buckets array<int>, shares array<double>, step int").parquet(rows)
-        held = spark.read.schema("label int, buckets array<int>, shares array<double>").parquet(f"{path}/validation")
+        rows, held = train, validation
+        if not stored:
+            at = f"{path}/rows"
+            train.select("label", "buckets", "shares", "step").write.mode("overwrite").partitionBy("step").parquet(at)
+            validation.select("label", "buckets", "shares").write.mode("overwrite").parquet(f"{path}/validation")
+            rows = spark.read.schema(ROW_SCHEMA + ", step int").parquet(at)
+            held = spark.read.schema(ROW_SCHEMA).parquet(f"{path}/validation")
         weights = load_weights(spark, path, len(done) - 1) if done else np.zeros((plan.width + 1, N_CLASSES))
         for epoch in range(len(done), plan.epochs):
             loss = seen = 0

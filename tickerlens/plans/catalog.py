@@ -406,14 +406,13 @@ def q_scoring_drain(spark, sf_dir):
 def _epochs(spark, sf_dir):
     """Corpus rows dealt by digest (70 / 15 / 15) and trained for 3 epochs."""
     from ..operators import epochs as E
-    plan = E.Plan()
-    rows = E.hashed_rows(C.corpus(spark, sf_dir), plan)
+    plan, base = E.Plan(), scratch_path(spark, f"tickerlens/epochs-{uuid.uuid4().hex}")
     part = E.digest_number(F.concat(F.lit("split:"), F.col("line_no").cast("string"))) % 100
-    rows = rows.withColumn("part", part)
-    weights, report = E.train_epochs(
-        rows.filter("part < 70"), rows.filter("part >= 70 AND part < 85"),
-        scratch_path(spark, f"tickerlens/epochs-{uuid.uuid4().hex}"), plan)
-    return weights, report, rows.filter("part >= 85")
+    subset = F.when(part < 70, "train").when(part < 85, "validation").when(part >= 85, "test")
+    rows = E.store_rows(E.hashed_rows(C.corpus(spark, sf_dir), plan), f"{base}/stored", subset)
+    weights, report = E.train_epochs(rows.filter("subset = 'train'"), rows.filter("subset = 'validation'"),
+                                     base, plan, stored=True)
+    return weights, report, rows.filter("subset = 'test'")
 
 
 @register("train_epochs")
@@ -437,7 +436,7 @@ def q_epoch_drain(spark, sf_dir):
     from ..operators.epochs import EpochScorer
     from ..operators.scoring import score_in_pandas
     weights, _, _ = _epochs(spark, sf_dir)
-    backlog = unscored(C.stored_headlines(spark, sf_dir), C.scores(spark, sf_dir))
+    backlog = unscored(C.stored_headlines(spark, sf_dir, carry=("headline",)), C.scores(spark, sf_dir))
     out = score_in_pandas(backlog, EpochScorer(weights), model_version="epochs")
     return C.round_doubles(out.select("headline_hash", "sentiment_label", "confidence"))
 
