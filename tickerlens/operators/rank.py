@@ -40,14 +40,20 @@ def distributed_rank(df: DataFrame, group: Sequence[str], cell: Column,
     offs = counts.withColumn("_off", F.coalesce(F.sum("_cn").over(
         Window.partitionBy(*g).orderBy(cell_order)
         .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_cn")
-    if broadcast_offsets:
-        offs = F.broadcast(offs)
-    w = Window.partitionBy(*g, "_cell").orderBy(*order)
-    ranked = x.withColumn("_rn", F.row_number().over(w) - 1)
     keys = g + ["_cell"]
     renamed = offs.withColumnsRenamed({c: f"_o_{c}" for c in keys})
-    # null-safe equality: a NULL cell (or group value) is a real cell here
-    joined = ranked.join(renamed, [ranked[c].eqNullSafe(F.col(f"_o_{c}")) for c in keys])
+    if broadcast_offsets:
+        w = Window.partitionBy(*keys).orderBy(*order)
+        ranked = x.withColumn("_rn", F.row_number().over(w) - 1)
+        # null-safe equality: a NULL cell (or group value) is a real cell here
+        joined = ranked.join(F.broadcast(renamed), [ranked[c].eqNullSafe(F.col(f"_o_{c}")) for c in keys])
+    else:
+        # the cell as one struct, never NULL itself: window and join ask for the
+        # same partitioning, so the rows are shuffled once
+        w = Window.partitionBy("_key").orderBy(*order)
+        ranked = x.withColumn("_key", F.struct(*keys)).withColumn("_rn", F.row_number().over(w) - 1)
+        renamed = renamed.select(F.struct(*[F.col(f"_o_{c}").alias(c) for c in keys]).alias("_o_key"), "_off")
+        joined = ranked.join(renamed, F.col("_key") == F.col("_o_key"))
     result = (joined.withColumn(out, F.col("_rn") + F.col("_off"))
-              .drop("_cell", "_rn", "_off", *[f"_o_{c}" for c in keys]))
+              .drop("_cell", "_key", "_rn", "_off", "_o_key", *[f"_o_{c}" for c in keys]))
     return (result, counts) if with_counts else result

@@ -460,9 +460,11 @@ def _stream_base(spark) -> str:
 
 def _land_feeds(spark, sf_dir, in_dir: str, first: bool) -> None:
     """Land the feed pages of one scheduled run (before / after the cut)."""
-    pages = feeds.feed_documents(feeds.build_feed_pages(driver.article_rows(spark, sf_dir)))
     cond = F.col("batch_id") < C.cut_slot()
-    pages.filter(cond if first else ~cond).write.mode("append").json(in_dir)
+    # pages never mix batches, so the run's articles are picked before paging
+    articles = driver.article_rows(spark, sf_dir).filter(cond if first else ~cond)
+    pages = feeds.feed_documents(feeds.build_feed_pages(articles))
+    pages.write.mode("append").option("compression", "gzip").json(in_dir)
 
 
 def _run_headline_stream(spark, sf_dir, base: str, order=(True, False)) -> str:
@@ -612,7 +614,7 @@ def q_stream_quarantine(spark, sf_dir):
     """The headline stream over a feed with broken responses; they are
     put aside, the others are stored."""
     base = _stream_base(spark)
-    _damaged_feeds(spark, sf_dir).select("value").write.text(f"{base}/in")
+    _damaged_feeds(spark, sf_dir).select("value").write.option("compression", "gzip").text(f"{base}/in")
     table = f"{base}/headlines"
     R.start_headlines(spark, f"{base}/in", table, f"{base}/ckpt", f"{base}/ledger", as_of=C.AS_OF,
                       quarantine=True).awaitTermination()

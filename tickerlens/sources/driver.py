@@ -91,13 +91,15 @@ def article_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     itself).
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    ev = table(spark, sf_dir, "events").select(
-        (F.col("event_id")).alias("ev_id"), F.col("ts").alias("pub_ts"))
+    stride = F.lit(DOC_EVENT_STRIDE)
+    ev = table(spark, sf_dir, "events").filter(F.col("event_id") % stride == 0).select(
+        (F.expr(f"event_id DIV {DOC_EVENT_STRIDE}")).alias("ev_doc"), F.col("ts").alias("pub_ts"))
     pages = table(spark, sf_dir, "pages").select(
         F.col("page_id"), F.col("url"))
-    joined = (docs
-              .join(ev, ev.ev_id == docs.doc_id * DOC_EVENT_STRIDE, "left")
-              .join(pages, pages.page_id == docs.doc_id, "left"))
+    # time and URL meet first, without a text, so a text is shuffled by one key
+    side = ev.join(pages, ev.ev_doc == pages.page_id, "full").select(
+        F.coalesce("ev_doc", "page_id").alias("side_doc"), "pub_ts", "url")
+    joined = docs.join(side, docs.doc_id == side.side_doc, "left")
     # lines open after the joins, so a document is shuffled once, not per line
     return with_lines(joined).select(
         "doc_id", "lang",

@@ -35,6 +35,9 @@ LANGUAGE = "en"
 # feed_rank values per rank cell for articles without a publish time (our
 # choice: bounds the rows one paging task ranks when times are missing)
 NULL_TIME_BUCKET = 4096
+# articles of a (ticker, batch_id) that one task ranks and cuts into pages (our
+# choice); larger groups are ranked by cells
+GROUP_ROWS = 50_000
 
 
 def read_articles(spark: SparkSession, path: str) -> DataFrame:
@@ -96,10 +99,19 @@ def build_feed_pages(articles: DataFrame, page_size: int = PAGE_SIZE) -> DataFra
     """Group article rows into JSON responses of at most ``page_size``
     articles per (ticker, batch_id), newest first, like a paged API.
 
-    The group is bounded by ``page_size`` so ``collect_list`` never holds
-    more than one page; the rank is computed per (ticker, batch_id, minute)
-    cell plus an offset, never as one window over a whole group."""
+    A group of at most ``GROUP_ROWS`` articles is ranked and paged where one
+    shuffle brings it together.  A larger one is ranked per (ticker, batch_id,
+    minute) cell plus an offset, never as one window over a whole group.  A page
+    holds at most ``page_size``, so ``collect_list`` never holds more."""
     from ..operators.rank import distributed_rank
+    group = ["ticker", "batch_id"]
+    # groups above the bound are at most articles / GROUP_ROWS rows
+    large = (articles.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > GROUP_ROWS)
+             .select(*[F.col(c).alias(f"_l_{c}") for c in group]))
+    is_large = [F.col(c).eqNullSafe(F.col(f"_l_{c}")) for c in group]
+    order = [F.col("published_at").desc_nulls_last(), F.col("feed_rank")]
+    small = articles.join(F.broadcast(large), is_large, "left_anti")
+    by_group = small.withColumn("rk", F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1)
     # rank newest first; cells = publish minute, so a hot (ticker, poll)
     # group is ranked by many tasks; the (group, minute) offset table grows
     # with the data and is left to the planner (not force-broadcast)
@@ -109,10 +121,16 @@ def build_feed_pages(articles: DataFrame, page_size: int = PAGE_SIZE) -> DataFra
     minute = F.substring(F.col("published_at"), 1, 16)
     bucket = F.when(F.col("published_at").isNull(),
                     -F.floor(F.col("feed_rank") / F.lit(NULL_TIME_BUCKET)))
-    ranked = distributed_rank(
-        articles, ["ticker", "batch_id"], F.struct(minute.alias("m"), bucket.alias("b")),
-        [F.col("published_at").desc_nulls_last(), F.col("feed_rank")], out="rk",
+    by_cell = distributed_rank(
+        articles.join(F.broadcast(large), is_large, "left_semi"), group,
+        F.struct(minute.alias("m"), bucket.alias("b")), order, out="rk",
         cell_desc=True, broadcast_offsets=False)
+    return _cut_pages(by_group, page_size).unionByName(_cut_pages(by_cell, page_size))
+
+
+def _cut_pages(ranked: DataFrame, page_size: int) -> DataFrame:
+    """Pages of ranked articles; grouped by more than the rank's groups, so rows
+    that lie by group are not shuffled again."""
     item = F.struct(F.col("title"), F.col("url"), F.col("published_at").alias("publishedAt"),
                     F.struct(F.col("source_name").alias("name")).alias("source"))
     pages = (ranked.groupBy("ticker", "ticker_pos", "batch_id",

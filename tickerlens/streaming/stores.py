@@ -30,6 +30,7 @@ from ..sources.tables import COMMIT, create_if_absent, stream_schema
 
 COMMIT_COLS = ("run", "batch_no")
 PREFIX_DIGITS = 1             # hex digits of a key partition: 16, 256, 4096, ... partitions
+CODEC = "zstd"                # of stored and staged rows (mostly text)
 TABLE_PARTITIONS = {"headlines": COMMIT_COLS, "scores": COMMIT_COLS,
                     "prices": ("market_date", *COMMIT_COLS)}
 
@@ -65,7 +66,7 @@ def own(table: DataFrame, run: str, batch_no: int) -> DataFrame:
 
 
 def _overwrite(df: DataFrame, path: str, partitions: Sequence[str]) -> None:
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", CODEC)
      .partitionBy(*partitions).parquet(path))
 
 
@@ -75,7 +76,8 @@ def staged(df: DataFrame, path: str, **counters: Column) -> tuple[DataFrame, dic
     the counters come from result tasks, each counted once."""
     seen = Observation()
     df.observe(seen, F.count(F.lit(1)).alias("n"),
-               *[c.alias(k) for k, c in counters.items()]).write.mode("overwrite").parquet(path)
+               *[c.alias(k) for k, c in counters.items()]).write.mode("overwrite").option(
+                   "compression", CODEC).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), seen.get
 
 
