@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 # --- fixed values -----------------------------------------------------------
 MAX_VOCAB_BYTES = 32 << 20    # bound of what is broadcast
 SLICE_CHARS = 1 << 18         # characters of texts encoded together
-CACHE_PIECES = 60_000         # two fillings stay in a worker; only speed depends on these
+CACHE_PIECES = 120_000        # two fillings stay in a worker; only speed depends on these
 CACHE_PAIRS = 100_000
 CACHE_KEY_CHARS = 64
 # white space as the pattern's \s has it (Unicode White_Space)
@@ -85,6 +85,8 @@ class Codec:
             if len(t) > 1:
                 self._learn(t, r)
         self.fits.clear()
+        self.pack = {r: r.to_bytes(4, "little") for r in self.token}
+        self.whole = {t: self.pack[r] for t, r in self.rank.items() if t.isascii()}
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -181,20 +183,25 @@ class Codec:
         yield from self._slice(held)
 
     def _slice(self, held: list[list[str]]) -> list[bytes]:
-        known, older = self.known, self.older
-        found: dict[str, bytes] = {}
-        for p in set().union(*held):
-            got = known.get(p)
+        """Only pieces that are not remembered pass the loop; the rest of a slice
+        is set and dictionary work as a whole."""
+        known, older, pack = self.known, self.older, self.pack.__getitem__
+        long: list[str] = []
+        for p in set().union(*held).difference(known):
+            got = older.get(p)
             if got is None:
-                got = older.get(p)
+                got = self.whole.get(p)
                 if got is None:
-                    got = _packed(array("I", self.piece_ids(p)))
-                if len(p) <= CACHE_KEY_CHARS:
-                    known[p] = got
-            found[p] = got
+                    got = b"".join(map(pack, self.piece_ids(p)))
+            known[p] = got
+            if len(p) > CACHE_KEY_CHARS:
+                long.append(p)
+        out = [b"".join(map(known.__getitem__, ps)) for ps in held]
+        for p in long:
+            del known[p]
         if len(known) > CACHE_PIECES:             # what was not met since the last time goes
             self.older, self.known = known, {}
-        return [b"".join(map(found.__getitem__, ps)) for ps in held]
+        return out
 
     def encode(self, text: str) -> bytes:
         """Packed ids of a text."""
@@ -236,10 +243,6 @@ def _native(ids: array) -> array:
     return ids
 
 
-def _packed(ids: array) -> bytes:
-    return _native(ids).tobytes()
-
-
 @functools.lru_cache(maxsize=2)
 def codec(raw: bytes, pattern: str) -> Codec:
     """One codec per worker process and vocabulary."""
