@@ -15,8 +15,9 @@ from tickerlens.operators import epochs as E
 from tickerlens.operators import ml as M
 from tickerlens.operators.ingest import first_arrivals
 from tickerlens.operators.rank import distributed_rank
+from tickerlens.plans import catalog as C
 from tickerlens.sources import driver, feeds
-from tickerlens.streaming import stores
+from tickerlens.streaming import jobs, stores
 
 
 def plan_of(df):
@@ -174,3 +175,83 @@ def test_pieces_of_a_slice_are_remembered(monkeypatch):
 
 def test_sql_of_every_oracle_is_text():
     assert all(isinstance(s, str) for s in ORACLES.values())
+
+
+def doc_rows(spark, n=60):
+    rows = [(i, "en", None if i % 13 == 5 else "\n".join(f"d{i} l{k}" for k in range(i % 4 + 1)), f"T{i % 3:02d}", i % 3,
+             f"u{i}", None if i % 9 == 0 else f"2024-01-{1 + i % 3:02d}T10:{i % 7:02d}:00Z", i % 2) for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string, ticker string, ticker_pos int, url string, "
+                                       "published_at string, batch_id long")
+    return docs.withColumns({"published_raw": F.lit(None).cast("timestamp_ntz"),
+                             "n_lines": F.coalesce(F.size(F.split("text", "\n")), F.lit(0))})
+
+
+@pytest.mark.parametrize("bound", [10_000, 22, 0])
+def test_documents_give_the_pages_of_their_lines(spark, monkeypatch, bound):
+    monkeypatch.setattr(feeds, "GROUP_ROWS", bound)
+    docs = doc_rows(spark)
+    got = feeds.build_feed_pages(docs, 5, opened=driver.open_articles, n_rows=F.col("n_lines"))
+    found = {(r["ticker"], r["ticker_pos"], r["batch_id"], r["page"]): [a["title"] for a in r["articles"]]
+             for r in feeds.parse_feed(got).collect()}
+    assert found == pages_in_python(driver.open_articles(docs).collect(), 5)
+
+
+def test_groups_are_measured_without_their_texts(spark, tmp_path):
+    sf = str(tmp_path)
+    spark.sql("SELECT id AS doc_id, 'en' AS lang, concat('a', id, char(10), 'b') AS text FROM range(40)"
+              ).write.parquet(f"{sf}/documents.parquet")
+    spark.sql("SELECT id * 5 AS event_id, TIMESTAMP_NTZ'2024-01-02 10:00:00' AS ts FROM range(40)"
+              ).write.parquet(f"{sf}/events.parquet")
+    spark.sql("SELECT id AS page_id, 'u' AS url FROM range(40)").write.parquet(f"{sf}/pages.parquet")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pages = C._feed_pages(spark, sf)
+        tree = plan_of(pages)
+        assert sum(a["title"][0] in "ab" for r in feeds.parse_feed(pages).collect() for a in r["articles"]) == 80
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # the sizes of groups come from counted lines; documents are moved by group
+    # and opened after that
+    assert "sum(n_lines" in tree
+    lines = tree.splitlines()
+    by_group = next(i for i, x in enumerate(lines) if "Exchange hashpartitioning(ticker" in x and "REPARTITION_BY_COL" in x)
+    assert any("Generate posexplode" in x for x in lines[:by_group])
+
+
+def test_both_runs_are_landed_from_one_write(spark, tmp_path):
+    base = str(tmp_path)
+    row = ([("t", "u", "2024-01-02T10:00:00Z", (None,))], "T00", 0, 7, 0)
+    (spark.createDataFrame([row], jobs.FEED_FILE_SCHEMA).withColumn("first", F.lit(True))
+     .write.option("compression", "gzip").partitionBy("first").json(f"{base}/out"))
+    for n, first in enumerate((True, False), 1):         # nothing was written for the second run
+        C._land_feeds(spark, base, first)
+        assert len(glob.glob(f"{base}/in/*.json*")) == n
+        jobs.start_headlines(spark, f"{base}/in", f"{base}/h", f"{base}/c", f"{base}/log",
+                             as_of="2024-02-01").awaitTermination()
+    log = jobs.read_ledger(spark, f"{base}/log").orderBy("batch_no")
+    assert [tuple(r) for r in log.select("inserted", "skipped").collect()] == [(1, 0), (0, 0)]
+
+
+def test_only_keys_are_staged(spark, tmp_path):
+    row = ([(t, None, "2024-01-02T10:00:00Z", (None,)) for t in ("one", "two", "one")], "T00", 0, 0, 0)
+    batch = spark.createDataFrame([row], jobs.FEED_FILE_SCHEMA)
+    for body in (jobs.headline_batch(f"{tmp_path}/h", "2024-02-01"), jobs.bounded_batch(f"{tmp_path}/b", "2024-02-01")):
+        assert (body(batch, "r", 0).inserted, body(batch, "r", 1).inserted) == (2, 0)
+    for t in ("h", "b"):
+        staged = spark.read.parquet(f"{tmp_path}/{t}_staging/r")
+        assert "headline" not in staged.columns and dict(staged.dtypes)["headline_hash"] == "binary"
+        stored = spark.read.parquet(f"{tmp_path}/{t}").select("headline", "headline_hash").collect()
+        assert sorted(stored) == sorted((x, hashlib.sha256(x.encode()).hexdigest()) for x in ("one", "two"))
+
+
+def test_arrival_is_moved_once(spark):
+    rows = [("h", "T00", "late", "s", "raw", 1, 0, 0), ("h", "T01", "x", "s", None, 0, 5, 9), ("g", "T00", None, "s", "raw", 0, 0, 0),
+            ("g", "T02", "y", "s", "raw", None, 0, 1)]
+    df = spark.createDataFrame(rows, "headline_hash string, ticker string, headline string, source string, "
+                                     "raw_timestamp string, batch_id long, ticker_pos int, feed_rank long")
+    out = first_arrivals(df)
+    assert "min_by" not in plan_of(out)
+    assert out.columns == ["headline_hash", "ticker", "headline", "source", "raw_timestamp", "batch_id", "ticker_pos",
+                           "feed_rank"]
+    assert sorted(map(tuple, out.collect())) == [("g", "T02", "y", "s", "raw", None, 0, 1), ("h", "T01", "x", "s", None, 0, 5, 9)]

@@ -55,6 +55,16 @@ def with_hash(records: DataFrame, stripped: bool = False) -> DataFrame:
     return records.withColumn("headline_hash", h)
 
 
+def packed_hash(df: DataFrame) -> DataFrame:
+    """The hash as its 32 bytes: half of what its hex text takes in a shuffle."""
+    return df.withColumn("headline_hash", F.unhex("headline_hash"))
+
+
+def hex_hash(df: DataFrame) -> DataFrame:
+    """``packed_hash`` undone."""
+    return df.withColumn("headline_hash", F.lower(F.hex("headline_hash")))
+
+
 def first_arrivals(records: DataFrame, keys: Sequence[str] = ("headline_hash",),
                    carry: Sequence[str] | None = None) -> DataFrame:
     """One row per key, the earliest by arrival order.  Rows violating
@@ -66,9 +76,11 @@ def first_arrivals(records: DataFrame, keys: Sequence[str] = ("headline_hash",),
         records = with_hash(records)
     valid = records.filter(F.expr(" AND ".join(f"{c} IS NOT NULL" for c in NOT_NULL)))
     payload = [c for c in valid.columns if c not in keys and (carry is None or c in carry)]
-    return (valid.groupBy(*keys)
-            .agg(F.min_by(F.struct(*payload), F.struct(*ORDER_COLS)).alias("r"))
-            .select(*keys, "r.*"))
+    # the least of (arrival, payload): the arrival is moved once, where min_by
+    # has it among what it carries and once more as what it orders by
+    row = F.struct(F.struct(*ORDER_COLS).alias("at"), *[c for c in payload if c not in ORDER_COLS])
+    return (valid.groupBy(*keys).agg(F.min(row).alias("r"))
+            .select(*keys, *[F.col(f"r.at.{c}" if c in ORDER_COLS else f"r.{c}") for c in payload]))
 
 
 def not_stored(winners: DataFrame, existing: DataFrame, keys: Sequence[str]) -> DataFrame:

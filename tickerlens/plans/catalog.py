@@ -458,19 +458,30 @@ def _stream_base(spark) -> str:
     return scratch_path(spark, f"tickerlens/stream-{uuid.uuid4().hex}")
 
 
-def _land_feeds(spark, sf_dir, in_dir: str, first: bool) -> None:
+def _feed_pages(spark, sf_dir):
+    """Feed pages of all articles; documents are moved whole and opened last."""
+    return feeds.build_feed_pages(driver.article_docs(spark, sf_dir), opened=driver.open_articles,
+                                  n_rows=F.col("n_lines"))
+
+
+def _write_feeds(spark, sf_dir, base: str) -> None:
+    """Write the feed pages of both scheduled runs beside the watched folder.
+    Pages never mix batches, so one pass over the texts makes them all."""
+    pages = feeds.feed_documents(_feed_pages(spark, sf_dir)).withColumn("first", F.col("batch_id") < C.cut_slot())
+    pages.write.option("compression", "gzip").partitionBy("first").json(f"{base}/out")
+
+
+def _land_feeds(spark, base: str, first: bool) -> None:
     """Land the feed pages of one scheduled run (before / after the cut)."""
-    cond = F.col("batch_id") < C.cut_slot()
-    # pages never mix batches, so the run's articles are picked before paging
-    articles = driver.article_rows(spark, sf_dir).filter(cond if first else ~cond)
-    pages = feeds.feed_documents(feeds.build_feed_pages(articles))
-    pages.write.mode("append").option("compression", "gzip").json(in_dir)
+    run = str(first).lower()
+    feeds.land(spark, f"{base}/out/first={run}", f"{base}/in", f"first-{run}")
 
 
 def _run_headline_stream(spark, sf_dir, base: str, order=(True, False)) -> str:
     in_dir, table = f"{base}/in", f"{base}/headlines"
+    _write_feeds(spark, sf_dir, base)
     for first in order:                  # two scheduled runs of the job
-        _land_feeds(spark, sf_dir, in_dir, first)
+        _land_feeds(spark, base, first)
         q = R.start_headlines(spark, in_dir, table, f"{base}/ckpt", f"{base}/ledger",
                               as_of=C.AS_OF)
         q.awaitTermination()
@@ -508,8 +519,9 @@ def q_stream_late_rows(spark, sf_dir):
 def q_stream_dedup_bounded(spark, sf_dir):
     """R2: two runs whose look-up goes back seven days before the batch."""
     base = _stream_base(spark)
+    _write_feeds(spark, sf_dir, base)
     for first in (True, False):
-        _land_feeds(spark, sf_dir, f"{base}/in", first)
+        _land_feeds(spark, base, first)
         R.start_bounded(spark, f"{base}/in", f"{base}/headlines", f"{base}/ckpt",
                         as_of=C.AS_OF).awaitTermination()
     return R.open_table(spark, f"{base}/headlines", "headlines").select(
@@ -567,8 +579,9 @@ def q_stream_service(spark, sf_dir):
     from ..operators.prices import ohlcv_bars
     from ..streaming.service import Service
     base = _stream_base(spark)
+    _write_feeds(spark, sf_dir, base)
     for first in (True, False):
-        _land_feeds(spark, sf_dir, f"{base}/in", first)
+        _land_feeds(spark, base, first)
     ohlcv_bars(driver.ticks(spark, sf_dir)).withColumns({
         "fetch_id": F.lit(0).cast("bigint"), "fetched_ts": F.lit(None).cast("timestamp_ntz"),
     }).write.parquet(f"{base}/bars")
@@ -593,7 +606,7 @@ def q_stream_service(spark, sf_dir):
 
 def _damaged_feeds(spark, sf_dir):
     """Feed responses as landed text lines; every fifth is cut short."""
-    pages = feeds.feed_documents(feeds.build_feed_pages(driver.article_rows(spark, sf_dir)))
+    pages = feeds.feed_documents(_feed_pages(spark, sf_dir))
     text = F.to_json(F.struct("ticker", "ticker_pos", "batch_id", "page", "articles"))
     cut = (F.col("page") + F.col("ticker_pos") + F.col("batch_id")) % C.DAMAGED_EVERY == 0
     return pages.select("ticker", F.when(cut, F.substring(text, F.lit(1), F.length(text) - 5))

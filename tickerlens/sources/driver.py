@@ -82,15 +82,13 @@ def with_lines(docs: DataFrame, text: str = "text") -> DataFrame:
         .withColumn("doc_id", line_id(F.col("doc"), F.col("pos")))
 
 
-def article_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw article rows as a feed would deliver them (before cleaning).
-
-    Every line of every document is an article.  Columns: doc_id (line id),
-    lang, ticker, ticker_pos, title, source_name, url, published_at (raw ISO
-    text, may be NULL), batch_id, feed_rank (line id), published_raw (the time
-    itself).
-    """
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+def article_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the publish time and URL that all their lines share:
+    doc_id, lang, text, n_lines (counted before the text is moved), and the
+    columns of ``article_rows`` that do not depend on the line."""
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "lang", "text",
+        F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).alias("n_lines"))
     stride = F.lit(DOC_EVENT_STRIDE)
     ev = table(spark, sf_dir, "events").filter(F.col("event_id") % stride == 0).select(
         (F.expr(f"event_id DIV {DOC_EVENT_STRIDE}")).alias("ev_doc"), F.col("ts").alias("pub_ts"))
@@ -100,21 +98,38 @@ def article_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     side = ev.join(pages, ev.ev_doc == pages.page_id, "full").select(
         F.coalesce("ev_doc", "page_id").alias("side_doc"), "pub_ts", "url")
     joined = docs.join(side, docs.doc_id == side.side_doc, "left")
-    # lines open after the joins, so a document is shuffled once, not per line
-    return with_lines(joined).select(
-        "doc_id", "lang",
-        ticker_of("doc").alias("ticker"),
-        ticker_pos_of("doc").alias("ticker_pos"),
-        "title",
-        F.lit(None).cast("string").alias("source_name"),
+    return joined.select(
+        "doc_id", "lang", "text", "n_lines",
+        ticker_of("doc_id").alias("ticker"),
+        ticker_pos_of("doc_id").alias("ticker_pos"),
         "url",
         iso_seconds_z("pub_ts").alias("published_at"),
         F.coalesce(poll_slot("pub_ts"), F.lit(0).cast("bigint")).alias("batch_id"),
-        F.col("doc_id").alias("feed_rank"),
         F.col("pub_ts").alias("published_raw"),
     )
 
 
+def open_articles(docs: DataFrame) -> DataFrame:
+    """``article_docs`` -> one article row per line."""
+    return with_lines(docs).select(
+        "doc_id", "lang", "ticker", "ticker_pos", "title",
+        F.lit(None).cast("string").alias("source_name"),
+        "url", "published_at", "batch_id",
+        F.col("doc_id").alias("feed_rank"), "published_raw")
+
+
+def article_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw article rows as a feed would deliver them (before cleaning).
+
+    Every line of every document is an article.  Columns: doc_id (line id),
+    lang, ticker, ticker_pos, title, source_name, url, published_at (raw ISO
+    text, may be NULL), batch_id, feed_rank (line id), published_raw (the time
+    itself).
+    """
+    # lines open after the joins, so a document is shuffled once, not per line
+    return open_articles(article_docs(spark, sf_dir))
+
+
 def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The articles without publish time and URL (no join): doc_id, lang,
     ticker, ticker_pos, title."""

@@ -8,9 +8,9 @@ reads landed files; ``parse_feed`` does the same for a column of JSON text.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -95,10 +95,17 @@ def explode_articles(feeds: DataFrame) -> DataFrame:
                      F.col("a.source.name").alias("source_name"))
 
 
-def build_feed_pages(articles: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:
+def build_feed_pages(articles: DataFrame, page_size: int = PAGE_SIZE,
+                     opened: Callable[[DataFrame], DataFrame] | None = None,
+                     n_rows: Column | None = None) -> DataFrame:
     """Group article rows into JSON responses of at most ``page_size``
     articles per (ticker, batch_id), newest first, like a paged API.
 
+    A row of ``articles`` may hold several articles of one group (a document):
+    ``opened`` then makes article rows of such rows, which happens after they
+    were brought to their group, and ``n_rows`` is how many it makes of a row, so
+    that groups are measured without opening (or moving) what a row holds.
+
     A group of at most ``GROUP_ROWS`` articles is ranked and paged where one
     shuffle brings it together.  A larger one is ranked per (ticker, batch_id,
     minute) cell plus an offset, never as one window over a whole group.  A page
@@ -106,11 +113,15 @@ def build_feed_pages(articles: DataFrame, page_size: int = PAGE_SIZE) -> DataFra
     from ..operators.rank import distributed_rank
     group = ["ticker", "batch_id"]
     # groups above the bound are at most articles / GROUP_ROWS rows
-    large = (articles.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > GROUP_ROWS)
+    n = F.count(F.lit(1)) if n_rows is None else F.sum(n_rows)
+    large = (articles.groupBy(*group).agg(n.alias("n")).filter(F.col("n") > GROUP_ROWS)
              .select(*[F.col(c).alias(f"_l_{c}") for c in group]))
     is_large = [F.col(c).eqNullSafe(F.col(f"_l_{c}")) for c in group]
     order = [F.col("published_at").desc_nulls_last(), F.col("feed_rank")]
     small = articles.join(F.broadcast(large), is_large, "left_anti")
+    cells = articles.join(F.broadcast(large), is_large, "left_semi")
+    if opened:
+        small, cells = opened(small.repartition(*group)), opened(cells)
     by_group = small.withColumn("rk", F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1)
     # rank newest first; cells = publish minute, so a hot (ticker, poll)
     # group is ranked by many tasks; the (group, minute) offset table grows
@@ -122,8 +133,7 @@ def build_feed_pages(articles: DataFrame, page_size: int = PAGE_SIZE) -> DataFra
     bucket = F.when(F.col("published_at").isNull(),
                     -F.floor(F.col("feed_rank") / F.lit(NULL_TIME_BUCKET)))
     by_cell = distributed_rank(
-        articles.join(F.broadcast(large), is_large, "left_semi"), group,
-        F.struct(minute.alias("m"), bucket.alias("b")), order, out="rk",
+        cells, group, F.struct(minute.alias("m"), bucket.alias("b")), order, out="rk",
         cell_desc=True, broadcast_offsets=False)
     return _cut_pages(by_group, page_size).unionByName(_cut_pages(by_cell, page_size))
 
@@ -222,3 +232,19 @@ def feed_documents(pages: DataFrame) -> DataFrame:
     ``articles`` array, ready for ``write.json``."""
     return pages.select("ticker", "ticker_pos", "batch_id", "page",
                         F.from_json(F.col("value"), FEED_SCHEMA)["articles"].alias("articles"))
+
+
+def land(spark: SparkSession, written: str, in_dir: str, name: str) -> None:
+    """Move the finished files of ``written`` into a watched folder, each whole
+    at once (a rename), as files of ``name``.  Nothing written means an empty
+    response file: the poll took place."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    src, dst = path(written), path(in_dir)
+    fs = src.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(dst)
+    files = [s.getPath() for s in fs.listStatus(src)] if fs.exists(src) else []
+    for f in files:
+        if not f.getName().startswith(("_", ".")) and not fs.rename(f, path(dst, f"{name}-{f.getName()}")):
+            raise RuntimeError(f"{f} could not be moved to {in_dir}")
+    if not files:
+        spark.createDataFrame([], FEED_SCHEMA).write.mode("append").json(in_dir)

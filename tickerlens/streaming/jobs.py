@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.time import in_trading_hours
-from ..operators.ingest import first_arrivals, headline_records, not_stored, with_hash
+from ..operators.ingest import (first_arrivals, headline_records, hex_hash, not_stored, packed_hash,
+                                with_hash)
 from ..operators.prices import ingest_prices, log_return
 from ..sources.feeds import BROKEN, FEED_SCHEMA, explode_articles
 from ..sources.tables import COMMIT, JOB_LOG, create_if_absent, stream_schema
@@ -147,10 +148,17 @@ def _start(stream: DataFrame, name: str, checkpoint: str, ledger_path: str | Non
     return rid.give(w.trigger(**(trigger or {"availableNow": True})).start())
 
 
+def batch_records(batch: DataFrame, as_of=None) -> DataFrame:
+    """Headline records of a micro-batch of feed responses, with their hash."""
+    arts = explode_articles(batch).withColumn("feed_rank", feed_rank())
+    return with_hash(headline_records(arts, as_of=as_of), stripped=True)
+
+
 def headline_batch(table_path: str, as_of=None, keys: Sequence[str] = ("headline_hash",),
                    ledger_path: str | None = None, digits: int = stores.PREFIX_DIGITS) -> Body:
-    """R1/R5 body: feed responses -> records, staged and counted in one pass
-    -> first wins in batch -> keys stored under the batch's prefixes -> append.
+    """R1/R5 body: feed responses -> keys of the records staged, and the records
+    counted, in one pass -> first wins in batch -> keys stored under the batch's
+    prefixes -> append.
     Late rows are accepted at any age and counted.  A batch without articles
     inserts and skips nothing.
 
@@ -159,15 +167,15 @@ def headline_batch(table_path: str, as_of=None, keys: Sequence[str] = ("headline
     def body(batch: DataFrame, run: str, batch_no: int) -> Counts:
         spark = batch.sparkSession
         table = open_table(spark, table_path, "headlines")
-        arts = explode_articles(batch).withColumn("feed_rank", feed_rank())
-        recs = with_hash(headline_records(arts, as_of=as_of), stripped=True)
+        recs = batch_records(batch, as_of)
         late = F.col("published_ts") < late_before(spark, ledger_path, "news_job", run, batch_no)
-        recs, seen = stores.staged(
-            recs, f"{table_path.rstrip('/')}_staging/{run}", late=F.count_if(late),
-            newest=F.max("published_ts"), prefixes=F.collect_set(stores.prefix_of(keys[-1], digits)))
+        slim, seen = stores.staged(
+            packed_hash(recs.select(*keys, "published_ts", stores.prefix_of(keys[-1], digits).alias("prefix"))),
+            f"{table_path.rstrip('/')}_staging/{run}", late=F.count_if(late),
+            newest=F.max("published_ts"), prefixes=F.collect_set("prefix"))
         known = stores.stored_keys(spark, table_path, keys, seen["prefixes"], run, batch_no, digits)
-        new = stores.unseen(first_arrivals(recs, keys), recs, known, keys)
-        ins = commit(new, table_path, "headlines", run, batch_no)
+        new = stores.unseen(first_arrivals(packed_hash(recs), keys), slim, known, keys)
+        ins = commit(hex_hash(new), table_path, "headlines", run, batch_no)
         stores.commit_keys(spark, table_path, keys, run, batch_no, digits)
         return Counts(ins, seen["n"] - ins, seen["late"], seen["newest"])
     return body
@@ -230,14 +238,14 @@ def bounded_batch(table_path: str, as_of=None, span_days: int = 7,
     def body(batch: DataFrame, run: str, batch_no: int) -> Counts:
         spark = batch.sparkSession
         open_table(spark, table_path, "headlines")
-        arts = explode_articles(batch).withColumn("feed_rank", feed_rank())
-        recs = with_hash(headline_records(arts, as_of=as_of), stripped=True)
-        recs, seen = stores.staged(recs, f"{table_path.rstrip('/')}_staging/{run}",
+        recs = batch_records(batch, as_of)
+        slim, seen = stores.staged(packed_hash(recs.select(*keys, "market_date", "published_ts")),
+                                   f"{table_path.rstrip('/')}_staging/{run}",
                                    earliest=F.min("market_date"), newest=F.max("published_ts"))
         since = seen["earliest"] and seen["earliest"] - dt.timedelta(days=span_days)
         known = stores.recent_keys(spark, table_path, keys, since, run, batch_no)
-        new = stores.unseen(first_arrivals(recs, keys), recs, known, keys)
-        ins = commit(new, table_path, "headlines", run, batch_no)
+        new = stores.unseen(first_arrivals(packed_hash(recs), keys), slim, known, keys)
+        ins = commit(hex_hash(new), table_path, "headlines", run, batch_no)
         stores.commit_day_keys(spark, table_path, keys, run, batch_no)
         return Counts(ins, seen["n"] - ins, 0, seen["newest"])
     return body

@@ -10,10 +10,14 @@ it may collide with and nothing else.
 Below that every table is partitioned by ``run`` and ``batch_no``: a replayed
 micro-batch overwrites its own partitions, so no MERGE is needed.
 
-A micro-batch is staged first: one pass parses the source, writes the rows and
-observes their counters (rows, late rows, prefixes or dates) in the tasks that
-write.  Everything after reads the staged rows, with their real size known to
-the planner.  The staging folder belongs to one query and holds one micro-batch.
+A micro-batch is staged first: one pass parses the source, writes the rows (of
+headlines the keys only; their texts are read from the landed files once more
+when they are stored) and observes their counters (rows, late rows, prefixes or
+dates) in the tasks that write.  Look-ups read the staged rows, with their real
+size known to the planner.  The staging folder belongs to one query and holds
+one micro-batch.
+
+Headline hashes are moved as their 32 bytes and stored as hex text.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.ingest import hex_hash, packed_hash
 from ..sources.tables import COMMIT, create_if_absent, stream_schema
 
 COMMIT_COLS = ("run", "batch_no")
@@ -129,9 +134,14 @@ def commit_keys(spark: SparkSession, table_path: str, keys: Sequence[str], run:
                 digits: int = PREFIX_DIGITS) -> None:
     """Write the keys of a committed micro-batch.  A crash before this step
     leaves the batch uncommitted for the stream, and its replay writes both."""
-    rows = own(open_table(spark, table_path, "headlines"), run, batch_no)
-    _overwrite(_key_rows(rows, keys, digits).repartition("prefix"), keys_path(table_path, digits),
-               ("prefix", *COMMIT_COLS))
+    rows = _key_rows(own(open_table(spark, table_path, "headlines"), run, batch_no), keys, digits)
+    _overwrite(_dealt(rows, "prefix", run, batch_no), keys_path(table_path, digits), ("prefix", *COMMIT_COLS))
+
+
+def _dealt(rows: DataFrame, by: str, run: str, batch_no: int) -> DataFrame:
+    """Key rows of one commit, brought together ``by`` a column."""
+    rows = hex_hash(packed_hash(rows.drop(*COMMIT_COLS)).repartition(by))
+    return rows.withColumns({"run": F.lit(run), "batch_no": F.lit(batch_no).cast("bigint")})
 
 
 def stored_keys(spark: SparkSession, table_path: str, keys: Sequence[str], prefixes: Sequence[str],
@@ -145,9 +155,12 @@ def stored_keys(spark: SparkSession, table_path: str, keys: Sequence[str], prefi
 def unseen(winners: DataFrame, batch: DataFrame, stored: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of ``winners`` whose key is not stored.  The stored keys that
     the batch holds are found first (reading only the batch's key columns),
-    then the winners are anti-joined against those few."""
+    then the winners are anti-joined against those few.  ``winners`` and
+    ``batch`` have packed hashes."""
     on = list(keys)
-    hits = stored.select(*on).join(batch.select(*on), on, "left_semi")
+    if stored.isEmpty():              # a first run: nothing to look up
+        return winners
+    hits = packed_hash(stored.select(*on)).join(batch.select(*on), on, "left_semi")
     return winners.join(hits, on, "left_anti")
 
 
@@ -174,8 +187,8 @@ def recent_keys(spark: SparkSession, table_path: str, keys: Sequence[str], since
 
 
 def commit_day_keys(spark: SparkSession, table_path: str, keys: Sequence[str], run: str, batch_no: int) -> None:
-    rows = own(open_table(spark, table_path, "headlines"), run, batch_no)
-    _overwrite(rows.select(*keys, "market_date", *COMMIT_COLS).repartition("market_date"),
+    rows = own(open_table(spark, table_path, "headlines"), run, batch_no).select(*keys, "market_date")
+    _overwrite(_dealt(rows, "market_date", run, batch_no),
                day_keys_path(table_path), ("market_date", *COMMIT_COLS))
 
 
