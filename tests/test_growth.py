@@ -255,3 +255,34 @@ def test_arrival_is_moved_once(spark):
     assert out.columns == ["headline_hash", "ticker", "headline", "source", "raw_timestamp", "batch_id", "ticker_pos",
                            "feed_rank"]
     assert sorted(map(tuple, out.collect())) == [("g", "T02", "y", "s", "raw", None, 0, 1), ("h", "T01", "x", "s", None, 0, 5, 9)]
+
+
+def test_a_first_run_looks_nothing_up(spark, tmp_path, monkeypatch):
+    calls = []
+    real = jobs.not_stored
+    monkeypatch.setattr(jobs, "not_stored", lambda *a: calls.append(1) or real(*a))
+    row = ([(t, None, "2024-01-02T10:00:00Z", (None,)) for t in ("one", "two", "one")], "T00", 0, 0, 0)
+    batch = spark.createDataFrame([row], jobs.FEED_FILE_SCHEMA)
+    table = f"{tmp_path}/h"
+    jobs.headline_batch(table, "2024-02-01")(batch, "r", 0)
+
+    def scorer(backlog):
+        return backlog.select("headline_hash", F.lit("neutral").alias("sentiment_label"), F.lit(1.0).alias("confidence"),
+                              F.lit(None).cast("string").alias("attention_keyword"), F.lit("m").alias("model_version"))
+    body = jobs.scoring_batch(table, f"{tmp_path}/s", scorer)
+    assert [(body(batch, "s", n).inserted, len(calls)) for n in range(2)] == [(2, 0), (0, 1)]
+    winners = spark.createDataFrame([(bytearray(b"a"), 1)], "headline_hash binary, n int")
+    none = spark.createDataFrame([], "headline_hash string")
+    assert stores.unseen(winners, winners, none, ["headline_hash"]) is winners
+
+
+def test_times_of_winners_are_those_of_records(spark):
+    arts = [(t, None, ts, (None,)) for t, ts in (("one", "2024-01-05T23:30:00Z"), ("two", None), ("three", "no time"))]
+    batch = spark.createDataFrame([(arts, "T00", 0, 0, 0)], jobs.FEED_FILE_SCHEMA)
+    recs = jobs.batch_records(batch, "2024-02-01")
+    won = jobs.hex_hash(jobs.batch_winners(recs, "2024-02-01", ["headline_hash"]))
+    cols = sorted(recs.columns)
+    assert sorted(won.columns) == cols
+    assert sorted(map(str, won.select(cols).collect())) == sorted(map(str, recs.select(cols).collect()))
+    shuffled = plan_of(won).split("Exchange")[1]
+    assert "session" not in shuffled and "market_date" not in shuffled.splitlines()[1]

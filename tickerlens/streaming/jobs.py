@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from ..functions.time import in_trading_hours
 from ..operators.ingest import (first_arrivals, headline_records, hex_hash, not_stored, packed_hash,
-                                with_hash)
+                                with_hash, with_times)
 from ..operators.prices import ingest_prices, log_return
 from ..sources.feeds import BROKEN, FEED_SCHEMA, explode_articles
 from ..sources.tables import COMMIT, JOB_LOG, create_if_absent, stream_schema
@@ -154,6 +154,13 @@ def batch_records(batch: DataFrame, as_of=None) -> DataFrame:
     return with_hash(headline_records(arts, as_of=as_of), stripped=True)
 
 
+def batch_winners(recs: DataFrame, as_of, keys: Sequence[str]) -> DataFrame:
+    """First arrivals of a micro-batch with packed hashes; what follows from
+    another column is not moved but derived again."""
+    moved = [c for c in recs.columns if c not in ("published_ts", "market_date")]
+    return with_times(first_arrivals(packed_hash(recs), keys, carry=moved), as_of)
+
+
 def headline_batch(table_path: str, as_of=None, keys: Sequence[str] = ("headline_hash",),
                    ledger_path: str | None = None, digits: int = stores.PREFIX_DIGITS) -> Body:
     """R1/R5 body: feed responses -> keys of the records staged, and the records
@@ -174,7 +181,7 @@ def headline_batch(table_path: str, as_of=None, keys: Sequence[str] = ("headline
             f"{table_path.rstrip('/')}_staging/{run}", late=F.count_if(late),
             newest=F.max("published_ts"), prefixes=F.collect_set("prefix"))
         known = stores.stored_keys(spark, table_path, keys, seen["prefixes"], run, batch_no, digits)
-        new = stores.unseen(first_arrivals(packed_hash(recs), keys), slim, known, keys)
+        new = stores.unseen(batch_winners(recs, as_of, keys), slim, known, keys)
         ins = commit(hex_hash(new), table_path, "headlines", run, batch_no)
         stores.commit_keys(spark, table_path, keys, run, batch_no, digits)
         return Counts(ins, seen["n"] - ins, seen["late"], seen["newest"])
@@ -244,7 +251,7 @@ def bounded_batch(table_path: str, as_of=None, span_days: int = 7,
                                    earliest=F.min("market_date"), newest=F.max("published_ts"))
         since = seen["earliest"] and seen["earliest"] - dt.timedelta(days=span_days)
         known = stores.recent_keys(spark, table_path, keys, since, run, batch_no)
-        new = stores.unseen(first_arrivals(packed_hash(recs), keys), slim, known, keys)
+        new = stores.unseen(batch_winners(recs, as_of, keys), slim, known, keys)
         ins = commit(hex_hash(new), table_path, "headlines", run, batch_no)
         stores.commit_day_keys(spark, table_path, keys, run, batch_no)
         return Counts(ins, seen["n"] - ins, 0, seen["newest"])
@@ -322,8 +329,9 @@ def scoring_batch(headlines_path: str, scores_path: str,
             return Counts()
         done = others(open_table(spark, scores_path, "scores"), run, batch_no)
         stored = open_table(spark, headlines_path, "headlines")
-        backlog = not_stored(stored.select("headline_hash", "headline").dropDuplicates(["headline_hash"]),
-                             done, ["headline_hash"])
+        backlog = stored.select("headline_hash", "headline").dropDuplicates(["headline_hash"])
+        if not done.isEmpty():        # a first run has nothing to look up
+            backlog = not_stored(backlog, done, ["headline_hash"])
         scored = scorer(backlog).withColumn("score_seq", F.lit(batch_no).cast("bigint"))
         return Counts(commit(scored, scores_path, "scores", run, batch_no))
     return body
